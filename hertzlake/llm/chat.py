@@ -13,7 +13,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from os.path import commonprefix
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +35,14 @@ def unescape(text: str) -> str:
     return re.sub(r"\\.", lambda code: _PLAIN[code[0]], text)
 
 
+@lru_cache(512)
+def _marked_turn(turn: Turn) -> str:
+    return f"### {escape(turn[0])}: {escape(turn[1])}</turn>\n"
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """`### role: text</turn>` and a line end for each turn, roles and texts escaped."""
-    return "".join(f"### {escape(role)}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join(map(_marked_turn, turns))
 
 
 def marked_role(header: str) -> str:
@@ -63,11 +68,27 @@ class Formatted:
     rewrites: list[int] = field(default_factory=list)
 
 
-def _split(one: str, other: str) -> tuple[int, int]:
-    """Lengths of the common head and the common tail of two renderings that differ in one probe."""
-    head = len(commonprefix((one, other)))
-    tail = len(commonprefix((one[head:][::-1], other[head:][::-1])))
-    return head, tail
+def _common(one: str, other: str) -> int:
+    """Length of the common start, by halving: whole slices are compared, not single characters."""
+    low, high = 0, min(len(one), len(other))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if one[low:middle] == other[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _split(before: str, one: str, other: str) -> tuple[int, int]:
+    """Lengths of the common head and the common tail of two renderings that differ in one probe.
+
+    Both mostly start with the output before; then only what follows is compared.
+    """
+    known = len(before) if one.startswith(before) and other.startswith(before) else 0
+    one, other = one[known:], other[known:]
+    head = _common(one, other)
+    return known + head, _common(one[head:][::-1], other[head:][::-1])
 
 
 def format_turns(turns: list[Turn], template: Template) -> Formatted:
@@ -84,8 +105,8 @@ def format_turns(turns: list[Turn], template: Template) -> Formatted:
         start = len(before)
         if not output.startswith(before):
             found.rewrites.append(k)
-            start = len(commonprefix((before, output)))
-        head, tail = _split(*(template.render([*prefix, (role, probe)]) for probe in template.probes))
+            start = _common(before, output)
+        head, tail = _split(before, *(template.render([*prefix, (role, probe)]) for probe in template.probes))
         found.spans.append((start, head, len(output) - tail, len(output)))
         found.text = before = output
     return found
