@@ -26,7 +26,7 @@ CAPACITY = 4096
 #: Numbers by which the pieces of one length are split when they are numbered.
 SALTS = 64
 #: Entries of a worker's cache of blank-separated strings.
-CACHE = 200_000
+CACHE = 500_000
 
 #: A filled sequence: (length, copies) of its content, from the front.
 Pattern = tuple[tuple[int, int], ...]
@@ -184,40 +184,93 @@ def intervals(plan: Plan, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "start", "first", "copies", "at"]).sort_values(["length", "start"])
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+class WordEncoder:
+    """Encodes texts with a tokenizer that lower-cases, drops blanks and splits words from marks.
 
+    No token crosses a blank, so each blank-separated string is encoded once a cache life. In most of
+    them Latin letters are followed by marks or nothing; the tokenizer splits there, normalisation
+    leaves such letters as they are, and the word goes to the tokenizer's model directly.
+    """
+
+    MARKS = b".,!?;:*#$%&"
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The model's sign of each byte; bytes that no UTF-8 text has are left out.
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        signs = {}
+        for at in (*range(0x80), *range(0x80, 0x800, 64), *range(0x80, 0xC0)):
+            sign = byte_level.pre_tokenize_str(chr(at))[0][0]
+            signs.update(zip(chr(at).encode(), sign))
+        self.signs = signs
+        self.cache: dict[bytes, bytes] = {}
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(self.MARKS)
+        if word and word != chunk:
+            if word not in self.cache:
+                self.cache[word] = self._new(word)
+            letters = word.decode().lower()
+            if letters[-1].isalpha() and letters[-1] < "\u0250":
+                marks = chunk[len(word) :]
+                if marks not in self.cache:
+                    self.cache[marks] = self.whole(marks)
+                return self.cache[word] + self.cache[marks]
+            return self.whole(chunk)
+        letters = chunk.decode().lower()
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return self.whole(chunk)
+        found = self.model.tokenize(letters.encode().decode("latin-1").translate(self.signs))
+        return np.array([x.id for x in found], "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids, four bytes each, lowest first."""
+        data = text.encode().lower()
+        if any(x in data for x in self.special):
+            return self.whole(text.encode())
+        if b"\xcc" in data or b"\xcd" in data:  # combining marks, which may depend on the letter's case
+            data = text.encode()
+        chunks = data.split()
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        for chunk in set(chunks).difference(cache):
+            cache[chunk] = self._new(chunk)
+        return b"".join(map(cache.__getitem__, chunks))
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One encoder a worker and tokenizer."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each row of docs: its tokens and end_id, cut at capacity.
 
-    The tokenizer's words end at blanks, so that each blank-separated string is encoded once a cache
-    life. A null text counts as empty and has the token end_id alone. No shuffle.
+    A null text counts as empty and has the token end_id alone. No shuffle.
     """
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        tokenizer, cache = _tokenizer(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = (text or "").encode().split()
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list(set(words).difference(cache))
-                for at in range(0, len(new), 1000):
-                    part = new[at : at + 1000]
-                    found = tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-                    cache.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(part, found))
-                ids = b"".join(map(cache.__getitem__, words)) + end
+                ids = encoder.encode(text or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
