@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries of a worker's piece cache and of its table of token pairs; both are emptied when full.
-CACHE = 200_000
+CACHE = 500_000
 PAIRS = 500_000
 
 
@@ -35,7 +35,13 @@ class PrefixEncoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        #: Node of the tokens' tree: byte to node, and under -1 the token that ends here.
+        self.tree: dict = {}
+        for token, rank in ranks.items():
+            node = self.tree
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[-1] = rank
         self._pairs: dict[tuple[int | None, int], bool] = {}
 
     def _merged(self, data: bytes) -> list[bytes]:
@@ -52,32 +58,32 @@ class PrefixEncoder:
 
     def _fits(self, before: int | None, token: int) -> bool:
         """Whether BPE leaves (before, token) as they are; before is None at the start."""
-        key = (before, token)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            own = [] if before is None else [self.tokens[before]]
-            own.append(self.tokens[token])
-            known = self._pairs[key] = self._merged(b"".join(own)) == own
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        own = [] if before is None else [self.tokens[before]]
+        own.append(self.tokens[token])
+        known = self._pairs[before, token] = self._merged(b"".join(own)) == own
         return known
 
     def _fill(self, data: bytes, last: list[int | None], done: int, start: int) -> Iterator[int]:
         """Fill last[k] for k > done from the tokens that start at start or later; yields each settled k."""
-        n = len(data)
-        for j in range(start, n):
+        pairs = self._pairs
+        for j in range(start, len(data)):
             if j > done:
                 yield j
-            before = last[j] if j else None
-            for k in range(j + 1, min(n, j + self.longest) + 1):
-                part = data[j:k]
-                if part not in self.prefixes:
+            before, node, k = last[j], self.tree, j
+            for byte in data[j : j + self.longest]:
+                node = node.get(byte)
+                if node is None:
                     break
+                k += 1
                 if k > done and last[k] is None:
-                    token = self.ranks.get(part)
-                    if token is not None and self._fits(before, token):
-                        last[k] = token
-        yield n
+                    token = node.get(-1)
+                    if token is not None:
+                        fits = pairs.get((before, token))
+                        if self._fits(before, token) if fits is None else fits:
+                            last[k] = token
+        yield len(data)
 
     def prefix_tokens(self, data: bytes) -> list[int | None]:
         """last[k]: the last token of the encoding of data[:k]; last[0] is None."""
