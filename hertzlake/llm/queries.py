@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, media, packing, pii
+from . import bpe, chat, embedjoin, linededup, media, minhash, packing, pii, quality, urltree
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dropped_lines_digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,30 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(turns.unionByName(control)).select(*columns)
 
 
+#: Fixed rules.
+RULES = [
+    urltree.Rule("com", "/en/", "block"),
+    urltree.Rule("example.com", "/en/7", "allow"),
+    urltree.Rule("net", "/de/", "allow"),
+    urltree.Rule("example.net", "/de/8", "block"),
+    urltree.Rule("org", "/es/", "block"),
+]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return urltree.judge_urls(table(spark, sf_dir, "pages"), labels, RULES)
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return media.text_media(table(spark, sf_dir, "documents")).select(*columns)
@@ -54,7 +83,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_dedup, op3_chat_formatting, op7_media_columns, op8_best_fit_packing, op9_byte_bpe, op10_pii]
+    found = [op1_quality_classifier, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_media_columns, op8_best_fit_packing, op9_byte_bpe, op10_pii]
     return {f.__name__: f for f in found}
 
 
@@ -87,6 +116,44 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+c AS (SELECT min(doc_id) AS doc_id, list_sort(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles)),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM c),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * (n + m - shared)),
+links AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+cls AS (SELECT s.doc_id, len(s.shingles) AS n, c.doc_id AS rep FROM s LEFT JOIN c ON list_sort(s.shingles) = c.shingles)
+SELECT cls.doc_id, n::BIGINT AS n_shingles, coalesce(component_id, cls.doc_id)::BIGINT AS component_id,
+       coalesce(component_id, cls.doc_id) = cls.doc_id AS kept
+FROM cls LEFT JOIN least ON least.doc_id = rep
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+k AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, k.b FROM reach r JOIN k ON r.b = k.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM k GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL}
