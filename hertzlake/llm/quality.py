@@ -27,6 +27,10 @@ DIMS = 4096
 #: Rows that the scorer is trained on, the first in the order of their ids' hashes; with fewer, all.
 SAMPLE = 8192
 LEAST_SCORE = 0.5
+#: Chance of the vote `good` for a bad and for a good document, before any is estimated.
+START = (0.5, 0.995)
+#: Words that a text's shares are shrunk by, as shares of few words tell little.
+SHRINK = 8
 
 #: Bytes by kind: capitals, letters (with all bytes of letters beyond ASCII), digits, blanks; marks stay.
 _SHAPES = bytes(
@@ -60,7 +64,7 @@ def _vote(value: float, good: float, bad: float) -> str:
 
 
 LABELLERS: dict[str, Callable[[Measured], str]] = {
-    "marks": lambda x: _vote(x.marks / max(1, x.filled), 0.08, 0.2),
+    "marks": lambda x: _vote(x.marks / max(1, x.filled), 0.06, 0.11) if x.filled >= 40 else ABSTAIN,
     "capitals": lambda x: _vote(x.capitals / max(1, x.letters), 0.15, 0.5) if x.letters >= 20 else ABSTAIN,
     "repeats": lambda x: _vote(x.repeats, 0.04, 0.25) if x.n >= 8 else ABSTAIN,
     "distinct": lambda x: _vote(1 - x.distinct, 0.6, 0.85) if x.n >= 40 else ABSTAIN,
@@ -76,7 +80,7 @@ def hashed_features(x: Measured) -> tuple[list[int], list[float]]:
     found: dict[int, float] = {}
     for name, value in shares.items():
         at = zlib.crc32(name)
-        found[at % DIMS] = found.get(at % DIMS, 0.0) + (value if at & 0x80000000 else -value)
+        found[at % DIMS] = found.get(at % DIMS, 0.0) + (value if at & 0x80000000 else -value) * x.n / (x.n + SHRINK)
     return list(found), list(found.values())
 
 
@@ -104,18 +108,19 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     """Posterior of good by pattern of votes; by labeller and class (bad, good) the chance of the vote `good`; the share of good.
 
     patterns: how often each pattern occurs. Labellers count as independent given the class; votes not cast
-    tell nothing. Each class starts with labellers that are right four times out of five.
+    tell nothing. Each labeller looks for one kind of junk, so they start as rarely wrong about good
+    documents and as missing most bad ones.
     """
     names = sorted(patterns)
     weight = np.array([patterns[x] for x in names], float)
     cast = np.array([[v != ABSTAIN for v in x] for x in names], float).reshape(len(names), -1)
     good = np.array([[v == GOOD for v in x] for x in names], float).reshape(len(names), -1)
-    says, share = np.tile([[0.2], [0.8]], (1, cast.shape[1])), 0.8
+    says, share = np.tile([[START[0]], [START[1]]], (1, cast.shape[1])), 0.8
     for _ in range(rounds):
         chance = [np.log(p) + (good @ np.log(s) + (cast - good) @ np.log(1 - s)) for p, s in zip((1 - share, share), says)]
         posterior = 1 / (1 + np.exp(np.clip(chance[0] - chance[1], -500, 500)))
         for k, own in enumerate((1 - posterior, posterior)):
-            says[k] = (own * weight @ good + (0.2, 0.8)[k]) / (own * weight @ cast + 1)  # one vote of prior
+            says[k] = (own * weight @ good + START[k]) / (own * weight @ cast + 1)  # one vote of prior
         says = says.clip(1e-4, 1 - 1e-4)
         share = float(np.clip((posterior @ weight + 0.8) / (weight.sum() + 1), 1e-4, 1 - 1e-4))
     return dict(zip(names, posterior.tolist())), says, share
@@ -130,12 +135,10 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 3
     at = np.concatenate([x[0] for x in rows]).astype(int)
     value = np.concatenate([x[1] for x in rows])
     label = np.array([x[2] for x in rows])
-    # both classes weigh the same, or few bad documents would count for little
-    each = label / max(label.sum(), 1e-9) + (1 - label) / max((1 - label).sum(), 1e-9)
     first, second = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
     for step in range(1, rounds + 1):
         score = np.bincount(row, value * weights[at], len(rows)) + weights[-1]
-        wrong = (1 / (1 + np.exp(-score.clip(-500, 500))) - label) * each
+        wrong = (1 / (1 + np.exp(-score.clip(-500, 500))) - label) / len(rows)
         slope = np.append(np.bincount(at, value * wrong[row], DIMS), wrong.sum()) + decay * weights
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights -= 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
