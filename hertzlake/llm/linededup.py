@@ -9,7 +9,6 @@ into one run of the next level, so that a join meets few runs however many batch
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +27,12 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
+def _split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    return docs.select("doc_id", _split_lines(F.col("text")).alias("lines"))
 
 
 class LineRuns:
@@ -89,51 +92,62 @@ def count_lines(docs: DataFrame, batches: int = BATCHES, fan_out: int = FAN_OUT)
     return runs
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_lines (before), n_dropped, text (the lines that stay) of each row of docs.
+def _with_lost(docs: DataFrame, least_docs: int, batches: int) -> DataFrame:
+    """row (a struct of docs' columns), lines, and lost, the places of the lines that the row loses.
 
-    Lines whose key has a code point at least and stands in least_docs rows or more are dropped in every
-    row. A null or empty text is one empty line, which stays. Repeated rows count as documents each and
-    give repeated results; an empty table gives an empty result; other columns are ignored.
-
-    The texts are shuffled once, to meet the places of the lines that they lose; lines travel as hashes.
+    The rows are shuffled once, to meet the places of the lines that they lose; lines travel as hashes.
     Of lines in more than rows / HOT_SHARE documents there are few, whatever the input: their hashes are
     broadcast, all others are joined by hash, so that no hot line meets in a task.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("version"))
     frequent = stored(count_lines(texts, batches).counts().filter(F.col("n") >= least_docs), "lines")
     total = frequent.agg(F.sum("n")).first()[0]
     if total is None:
-        return _lines(texts).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.array_join("lines", "\n").alias("text"))
+        return rows.select("row", _split_lines(F.col("row.text")).alias("lines"), F.array().cast("array<int>").alias("lost"))
     hot = frequent.filter(F.col("n") > total / HOT_SHARE)
     cold = frequent.filter(F.col("n") <= total / HOT_SHARE)
-    version = F.xxhash64("text").alias("version")  # repeated ids with other texts stay apart
     h1, h2 = hash128(F.col("key"))
-    keys = F.transform("lines", line_key)
     lines = (
-        _lines(texts.withColumn("doc_id", F.struct("doc_id", version)))
-        .select("doc_id.*", F.posexplode(keys).alias("pos", "key"))
+        texts.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.transform(_split_lines(F.col("text")), line_key)).alias("pos", "key"))
         .filter(F.length("key") > 0)
         .select("doc_id", "version", "pos", h1.alias("h1"), h2.alias("h2"))
     )
     marked = lines.join(F.broadcast(hot.select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left")
     sure = marked.filter("hot").select("doc_id", "version", "pos")
     rest = marked.filter("hot is null").join(cold.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc_id", "version", "pos")
-    lost = reduce(DataFrame.union, [sure, rest]).groupBy("doc_id", "version").agg(F.collect_set("pos").alias("lost"))
-    left, right = texts.withColumn("version", version).alias("l"), lost.alias("r")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.version").eqNullSafe(F.col("r.version"))
-    joined = left.join(right, same, "left").select(F.col("l.doc_id").alias("doc_id"), F.col("l.text").alias("text"), "lost")
-    cut = joined.select(
-        "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.coalesce("lost", F.array().cast("array<int>")).alias("lost")
-    )
+    # repeated ids with other texts stay apart by the text's version
+    lost = sure.union(rest).groupBy("doc_id", "version").agg(F.collect_set("pos").alias("lost")).alias("r")
+    same = F.col("row.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.version").eqNullSafe(F.col("r.version"))
+    joined = rows.alias("l").join(lost, same, "left")
+    return joined.select("row", _split_lines(F.col("row.text")).alias("lines"), F.coalesce("r.lost", F.array().cast("array<int>")).alias("lost"))
+
+
+def _kept_text() -> Column:
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost")))
     kept = F.when(F.size("lost") == 0, F.col("lines")).otherwise(F.transform(stay, lambda at: F.get("lines", at)))
+    return F.array_join(kept, "\n")
+
+
+def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_lines (before), n_dropped, text (the lines that stay) of each row of docs.
+
+    Lines whose key has a code point at least and stands in least_docs rows or more are dropped in every
+    row. A null or empty text is one empty line, which stays. Repeated rows count as documents each and
+    give repeated results; an empty table gives an empty result; other columns are ignored.
+    """
+    cut = _with_lost(docs.select("doc_id", "text"), least_docs, batches)
     return cut.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text")
+        "row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), _kept_text().alias("text")
     )
 
 
+def dedup_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
+    """docs with the lines that stay as text and all other columns as they are; cases as in dedup_lines."""
+    cut = _with_lost(docs, least_docs, batches)
+    return cut.select(*(_kept_text().alias(x) if x == "text" else F.col(f"row.`{x}`").alias(x) for x in docs.columns))
+
+
 def dropped_lines_digests(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """dedup_lines with the kept text as a digest."""
     return dedup_lines(docs, least_docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
