@@ -1,13 +1,72 @@
-"""Corpus pipeline: stages are added as their operators are."""
+"""Corpus pipeline: quality, line dedup, near-duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
+as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hertzlake.llm import linededup, minhash, packing, pii, quality
+from hertzlake.llm.common import stored
+from hertzlake.llm.queries import WORD_BPE, _tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _chosen(docs: DataFrame, results: DataFrame, keep: Column) -> DataFrame:
+    """The rows of docs whose doc_id the results keep; ids with several rows stay as a whole."""
+    ids = results.filter(keep).select("doc_id").distinct()
+    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return _chosen(docs, quality.classify_quality(docs), F.col("kept"))
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in many documents go from each; documents stay, also those left empty."""
+    return _counted(linededup.dedup_documents(docs.select(*COLUMNS)))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    return _chosen(docs, minhash.near_duplicates(docs), F.col("kept"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by marks of their kind."""
+    return _counted(pii.redacted_documents(docs.select(*COLUMNS)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the training sequences."""
+    return packing.pack(docs, _tokenizer(WORD_BPE))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_common_lines),
+    ("minhash near-dedup", one_of_near_duplicates),
+    ("pii", without_personal_data),
+    ("best-fit packing", packed),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = stored(docs, name.replace(" ", "-"))
     return docs
