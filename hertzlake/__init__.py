@@ -1,0 +1 @@
+"""Frequency estimation on electrical waveforms as Spark plans."""
