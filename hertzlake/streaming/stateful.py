@@ -21,7 +21,7 @@ OUT = "series_id string, i long, t double, frequency_hz double, rocof_hz_s doubl
 
 
 def _sign(x: float, epsilon: float) -> int:
-    return (x > epsilon) - (x < -epsilon)
+    return int(x > epsilon) - int(x < -epsilon)
 
 
 def _stepped(s0: int, s1: int, mode: str) -> bool:
