@@ -215,15 +215,16 @@ def _pivots(members: DataFrame) -> DataFrame:
     return stored(members.join(company, "id").groupBy("band", "key").agg(most).select("band", "key", F.col("m.id").alias("pivot")), "pivots")
 
 
-def _open_pairs(members: DataFrame, pivots: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Surviving pairs (a, b) of a bucket's members, besides its pivot, in different components so far.
+def _open_links(members: DataFrame, pivots: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between different components so far of a bucket's members, besides its pivot.
 
-    Members outside the bucket's largest component are compared with all, BLOCK against BLOCK; a pair
-    comes from the first band in which it agrees, so it comes once.
+    Members outside the bucket's largest component are compared with all, BLOCK against BLOCK. Pairs that
+    signature batches don't prune are decided on full sets, the most similar first; one link joins two
+    components, so their other pairs need none. A pair is compared in the first band in which it agrees.
     """
     at = ["band", "key"]
     rest = members.filter("n > 2").join(pivots, at).filter("id != pivot")
-    rest = rest.join(labels, "id", "left").select(*at, "id", F.coalesce("root", "id").alias("root"))
+    rest = stored(rest.join(labels, "id", "left").select(*at, "id", F.coalesce("root", "id").alias("root")), "rest")
     parts = rest.groupBy(*at, "root").agg(F.count("*").alias("size"))
     open_ = parts.groupBy(*at).agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("largest"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -233,26 +234,35 @@ def _open_pairs(members: DataFrame, pivots: DataFrame, reps: DataFrame, labels:
         ),
         "open",
     )
-    every = stored(rest, "rest").join(open_, at).join(reps.select("id", "signature"), "id")
+    every = rest.join(open_, at).join(reps.select("id", "signature"), "id").join(sets, "id")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    columns = [*at, "id", "root", "signature"]
+    columns = [*at, "id", "root", "signature", "shingles"]
     all_members = every.select(*columns, F.lit(False).alias("outside"), deal("blocks", 1).alias("block"), spread("chunks").alias("chunk"))
     outside = every.filter("root != main").select(*columns, F.lit(True).alias("outside"), spread("blocks").alias("block"), deal("chunks", 2).alias("chunk"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         signed = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
-        ids, roots, out = rows["id"].to_numpy(), rows["root"].to_numpy(), rows["outside"].to_numpy()
+        ids, out = rows["id"].to_numpy(), rows["outside"].to_numpy()
+        names, roots = np.unique(rows["root"].to_numpy(), return_inverse=True)
         x, y = np.flatnonzero(out), np.flatnonzero(~out)
         i, j = np.nonzero(roots[x][:, None] != roots[y][None, :])
         i, j = x[i], y[j]
         stay = survivors(signed[i], signed[j])
-        i, j = i[stay], j[stay]
-        same = (signed[i] == signed[j]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == rows["band"].iloc[0]
-        i, j = ids[i[same]], ids[j[same]]
-        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
-
-    return stored(all_members.union(outside).groupBy(*at, "block", "chunk").applyInPandas(compare, "a long, b long").distinct(), "survivors")
+        same = signed[i[stay]] == signed[j[stay]]
+        stay = stay[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == rows["band"].iloc[0]]
+        agree = (signed[i[stay]] == signed[j[stay]]).sum(1)
+        stay = stay[np.argsort(-agree, kind="stable")]
+        whole = [np.frombuffer(z, np.uint64) for z in rows["shingles"]]
+        group, found = np.arange(len(names)), []
+        for a, b in zip(i[stay], j[stay]):
+            one, other = group[roots[a]], group[roots[b]]
+            if one != other and linked(whole[a], whole[b]):
+                group[group == other] = one
+                found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return stored(all_members.union(outside).groupBy(*at, "block", "chunk").applyInPandas(compare, "a long, b long").distinct(), "open-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -277,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _sets(docs, members.select("id").distinct())
     links = _verified(_pruned(pairs, reps), sets)
     labels = connected_components(links)
-    more = _verified(_open_pairs(members, pivots, reps, labels), sets)
+    more = _open_links(members, pivots, reps, sets, labels)
     labels = connected_components(links.union(more))
     least = labels.groupBy("root").agg(F.min("id").alias("component_id"))
     groups = labels.join(least, "root").select("id", "component_id")
