@@ -155,5 +155,56 @@ FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a
 """
 
 
+def _op4_sql() -> str:
+    """The tree by the same steps as the operator: a CTE for each level on the way down."""
+    levels, keys = urltree.LEVELS, ", ".join(["host", *urltree.LEVELS, "deep"])
+    segment = lambda d: f"coalesce(string_split(path, '/')[{d + 1}], '')"
+    named = ", ".join(
+        f"CASE WHEN regexp_matches({segment(d)}, '^[0-9a-f]{{8,}}$') THEN '{{h}}' ELSE regexp_replace({segment(d)}, '[0-9]+', '{{n}}', 'g') END AS {s}"
+        for d, s in enumerate(levels, 1)
+    )
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(RULES, key=lambda r: (-len(r.name), r.name))
+    chosen = lambda part: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, part)}'" for r in longest) + " END"
+    steps, tree, above = [], "paths", ["host"]
+    for s in levels:
+        up = ", ".join(above)
+        steps.append(
+            f"tree_{s} AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY {up}, {s}) < {urltree.LEAST_SUPPORT} THEN '*' ELSE {s} END AS t{s} FROM {tree})"
+        )
+        tree, above = f"tree_{s}", [*above, f"t{s}"]
+    steps.append(
+        f"down AS (SELECT host, (sum(good) + {urltree.PRIOR} * any_value(p)) / (sum(labelled) + {urltree.PRIOR}) AS purity FROM {tree}, whole GROUP BY host)"
+    )
+    known, above = "down", ["host"]
+    for s in levels:
+        up, branch = ", ".join(above), f"t{s}"
+        steps.append(f"own_{s} AS (SELECT {up}, {branch}, sum(good) AS g, sum(labelled) AS m FROM {tree} GROUP BY {up}, {branch})")
+        steps.append(f"far_{s} AS (SELECT *, abs(g - m * purity) > {urltree.SIMILAR} * sqrt(m * purity * (1 - purity)) AS apart FROM own_{s} JOIN {known} USING ({up}))")
+        group = f"PARTITION BY {up}, apart, CASE WHEN apart THEN {branch} ELSE '' END"
+        steps.append(
+            f"down_{s} AS (SELECT {up}, {branch}, (sum(g) OVER ({group}) + {urltree.PRIOR} * purity) / (sum(m) OVER ({group}) + {urltree.PRIOR}) AS purity FROM far_{s})"
+        )
+        known, above = f"down_{s}", [*above, branch]
+    return rf"""
+WITH cut AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+named AS (SELECT *, {named}, len(string_split(path, '/')) > {urltree.DEPTH + 1} AS deep FROM cut),
+known AS (SELECT doc_id AS page_id, min((quality = 1 AND toxic = 0)::INT) AS good FROM labels GROUP BY doc_id),
+paths AS (
+  SELECT {keys}, count(*) AS n, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS labelled
+  FROM named LEFT JOIN known USING (page_id) GROUP BY {keys}),
+whole AS (SELECT coalesce(sum(good) / nullif(sum(labelled), 0), 1.0) AS p FROM paths),
+{", ".join(steps)},
+blocked AS (SELECT {keys}, 'block' AS found FROM {tree} JOIN {known} USING ({", ".join(above)}) WHERE purity < {urltree.LEAST_PURITY})
+SELECT page_id, host, path, {chosen("name")} AS rule, coalesce({chosen("verdict")}, found, 'allow') AS verdict
+FROM named LEFT JOIN blocked USING ({keys})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_url_filters": _op4_sql(), "op5_minhash_near_dedup": OP5_SQL,
+        "op6_embedding_near_dedup": OP6_SQL,
+    }

@@ -25,10 +25,10 @@ def test_query_equals_sql(spark, folder, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
-def test_query_returns_every_row(spark, folder, name):
-    found = queries()[name](spark, folder)
-    ids = spark.read.parquet(f"{folder}/documents.parquet").count()
-    assert found.select("doc_id").distinct().count() == ids
+def test_query_returns_every_document(spark, folder, name):
+    found = [r.doc_id for r in queries()[name](spark, folder).select("doc_id").collect()]
+    ids = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    assert sorted(set(found) if "packing" in name else found) == sorted(ids)  # packing has a row a piece
 
 
 def test_pipeline_stages(spark, folder):
