@@ -1,9 +1,10 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n): line hashes in sorted buckets, and in how many documents of the run's
-batches the line stands. A new batch counts its lines, merge-joins the sorted runs to learn which of
-them are known, and adds its own run on level 0. When a level holds `fan_out` runs, they are compacted
-into one run of the next level, so that a join meets few runs however many batches came.
+A run is a table of (h1, h2, n): sorted line hashes, and in how many documents of the run's batches the
+line stands. A new batch counts its lines, anti-joins the merged runs, which leaves the lines that they
+don't yet show to be frequent, and adds these as its own run on level 0. When a level holds `fan_out`
+runs, they are compacted into one run of the next level, so that a join meets few runs however many
+batches came.
 """
 
 from __future__ import annotations
@@ -35,11 +36,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _split_lines(F.col("text")).alias("lines"))
 
 
+def _hashed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """columns, h1, h2: each document's distinct lines that aren't blank, as hashes."""
+    keys = F.array_distinct(F.transform(_split_lines(F.col("text")), line_key))
+    h1, h2 = hash128(F.col("key"))
+    lines = docs.select(*columns, F.explode(keys).alias("key")).filter(F.length("key") > 0)
+    return lines.withColumns({"h1": h1, "h2": h2}).drop("key")
+
+
+def _counted(lines: DataFrame, *by: str) -> DataFrame:
+    return lines.groupBy(*by, "h1", "h2").agg(F.count("*").alias("n"))
+
+
 class LineRuns:
     """The runs of one corpus, in a folder of the shared file system."""
 
-    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out = spark, fan_out
+    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fan_out: int = FAN_OUT):
+        self.spark, self.least_docs, self.fan_out = spark, least_docs, fan_out
         self.folder = shared_path(spark, "line-runs")
         self.levels: list[list[str]] = []
 
@@ -58,17 +71,24 @@ class LineRuns:
         return [path for level in self.levels for path in level]
 
     def counts(self) -> DataFrame:
-        """h1, h2, n over all batches: the runs merged."""
+        """h1, h2, n over all batches: the runs merged. From least_docs on, n is a lower bound."""
         paths = self._paths()
         runs = self._read(paths) if paths else self.spark.createDataFrame([], "h1 long, h2 long, n long")
         return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
+    def frequent(self) -> DataFrame:
+        """The lines in least_docs documents or more."""
+        return self.counts().filter(F.col("n") >= self.least_docs)
+
     def add(self, batch: DataFrame) -> None:
-        """Count the batch's lines (doc_id, text) and add them as a run; compact full levels."""
-        keys = F.array_distinct(F.transform("lines", line_key))
-        lines = _lines(batch).select(F.explode(keys).alias("key")).filter(F.length("key") > 0)
-        h1, h2 = hash128(F.col("key"))
-        self._write(lines.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count("*").alias("n")), 0)
+        """Count the lines of a batch of documents (doc_id, text) and add them as a run."""
+        self.add_counts(_counted(_hashed(batch)))
+
+    def add_counts(self, counts: DataFrame) -> None:
+        """Add a batch's lines (h1, h2, n), without those known as frequent, as a run; compact full levels."""
+        if self._paths():
+            counts = counts.join(self.frequent().select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._write(counts.select("h1", "h2", "n"), 0)
         level = 0
         while len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
@@ -84,11 +104,15 @@ class LineRuns:
         return lines.withColumns({"h1": h1, "h2": h2}).join(self.counts(), ["h1", "h2"], "left_anti").drop("h1", "h2")
 
 
-def count_lines(docs: DataFrame, batches: int = BATCHES, fan_out: int = FAN_OUT) -> LineRuns:
-    """The runs of docs, taken in so many batches by doc_id's hash."""
-    runs = LineRuns(docs.sparkSession, fan_out)
+def count_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT) -> LineRuns:
+    """The runs of docs, taken in so many batches by doc_id's hash. Texts are read once, for the hashes of all batches."""
+    spark = docs.sparkSession
+    runs, path = LineRuns(spark, least_docs, fan_out), shared_path(spark, "line-batches")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
+    _counted(_hashed(docs, batch), "batch").write.partitionBy("batch").parquet(path)
+    every = spark.read.schema("h1 long, h2 long, n long, batch int").parquet(path)
     for k in range(batches):
-        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        runs.add_counts(every.filter(F.col("batch") == k))
     return runs
 
 
@@ -101,7 +125,7 @@ def _with_lost(docs: DataFrame, least_docs: int, batches: int) -> DataFrame:
     """
     texts = docs.select("doc_id", "text")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("version"))
-    frequent = stored(count_lines(texts, batches).counts().filter(F.col("n") >= least_docs), "lines")
+    frequent = stored(count_lines(texts, least_docs, batches).frequent(), "lines")
     total = frequent.agg(F.sum("n")).first()[0]
     if total is None:
         return rows.select("row", _split_lines(F.col("row.text")).alias("lines"), F.array().cast("array<int>").alias("lost"))

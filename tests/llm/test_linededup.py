@@ -38,3 +38,14 @@ def test_runs_are_levelled(spark):
     assert Counter(r.n for r in runs.counts().collect()) == Counter({5: 1, 2: 1, 1: 5})
     fresh = runs.unseen(spark.createDataFrame([(9, "ALL \nnew\nown 3")], "doc_id long, text string")).collect()
     assert [(r.pos, r.line) for r in fresh] == [(1, "new")]
+
+
+def test_frequent_lines_are_not_added_again(spark):
+    runs = linededup.LineRuns(spark, least_docs=2, fan_out=9)
+    for k in range(4):
+        runs.add(spark.createDataFrame([(2 * k, "all\nsame"), (2 * k + 1, f"ALL\nown {k}")], "doc_id long, text string"))
+    sizes = [runs._read([path]).count() for path in runs.levels[0]]
+    assert sizes == [3, 2, 1, 1]  # all is frequent from the first batch on, same from the second
+    assert runs.frequent().count() == 2
+    docs = spark.createDataFrame([(k, "all\nsame") for k in range(40)], "doc_id long, text string")
+    assert linededup.count_lines(docs, least_docs=10).frequent().count() == 2
