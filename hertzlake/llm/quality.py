@@ -112,9 +112,10 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     documents and as missing most bad ones.
     """
     names = sorted(patterns)
+    width = len(names[0]) if names else 0
     weight = np.array([patterns[x] for x in names], float)
-    cast = np.array([[v != ABSTAIN for v in x] for x in names], float).reshape(len(names), -1)
-    good = np.array([[v == GOOD for v in x] for x in names], float).reshape(len(names), -1)
+    cast = np.array([[v != ABSTAIN for v in x] for x in names], float).reshape(len(names), width)
+    good = np.array([[v == GOOD for v in x] for x in names], float).reshape(len(names), width)
     says, share = np.tile([[START[0]], [START[1]]], (1, cast.shape[1])), 0.8
     for _ in range(rounds):
         chance = [np.log(p) + (good @ np.log(s) + (cast - good) @ np.log(1 - s)) for p, s in zip((1 - share, share), says)]
