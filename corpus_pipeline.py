@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents.
+
+Nulls, empty and repeated rows: a null or empty text is rejected by the first stage; a null doc_id is an id
+like others, but its rows are linked with no near-duplicates; rows with one doc_id stay or go together;
+an empty table gives an empty result; columns that documents lack are dropped.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _chosen(docs: DataFrame, results: DataFrame, keep: Column) -> DataFrame:
-    """The rows of docs whose doc_id the results keep; ids with several rows stay as a whole."""
-    ids = results.filter(keep).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+    """The rows of docs whose doc_id the results keep; ids with several rows stay as a whole, also the null id."""
+    ids = results.filter(keep).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

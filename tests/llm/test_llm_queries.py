@@ -53,3 +53,17 @@ def test_pipeline_stages(spark, folder):
     assert {k: sum(r.length for r in last if r.doc_id == k) for k in tokens} == tokens
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in last)
+
+
+def test_pipeline_of_odd_rows(spark, folder, tmp_path):
+    good = "The quiet river bends around the old mill, and the miller counts his sacks every evening before supper."
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, line string"
+    rows = [(1, good), (1, good), (2, good + " Then he sleeps."), (3, None), (4, ""), (None, good), (None, good), (5, "\n\n"), (6, " ".join(f"{good[k % 60 :]} {k}" for k in range(900)))]
+    docs = spark.createDataFrame([(i, t, None, None, None, None, "x") for i, t in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = quality.classify_quality(docs).filter("kept").collect()
+    assert {r.doc_id for r in found} == {r.doc_id for r in kept} - {2}  # 2 is near 1
+    assert sum(r.doc_id is None for r in found) == 2 and sum(r.doc_id == 1 for r in found) == 2
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
