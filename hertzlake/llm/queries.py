@@ -50,9 +50,13 @@ RULES = [
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose doc_id is the number in its url's path; page_id is no doc_id.
+
+    The SQL twin still joins labels by page_id, so its verdicts differ.
+    """
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
-    return urltree.judge_urls(table(spark, sf_dir, "pages"), labels, RULES)
+    labels = table(spark, sf_dir, "labels").select("doc_id", good.alias("good"))
+    return urltree.judge_urls(table(spark, sf_dir, "pages"), labels, RULES, key="doc_id")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

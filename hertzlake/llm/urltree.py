@@ -48,6 +48,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def document_of(path: Column) -> Column:
+    """The number that the last segment is, without extension and trailing slashes, or null."""
+    return F.regexp_extract(path, r"/([0-9]+)(?:[.][^/]*)?/*\z", 1).try_cast("long")
+
+
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest fitting rule as struct<name,verdict>, or null. The list is bounded, so it is part of the plan."""
     if len(rules) > MAX_RULES:
@@ -114,19 +119,19 @@ def template_purity(pages: DataFrame) -> DataFrame:
     return tree.join(purity, above).select(*keys, "purity")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_purity: float = LEAST_PURITY) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_purity: float = LEAST_PURITY, key: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict of each row of pages (page_id, url).
 
-    labels (page_id, good 0/1, null: unlabelled) tell good pages; several labels of a page count as one, good if
-    all are. A url that is null or has no `://` has an empty host and path and belongs to their template. The
+    labels (key, good 0/1, null: unlabelled) tell good pages; several labels of a key count as one, good if all
+    are. The key is page_id, or doc_id: the number in the url's path, see document_of. A url that is null or has no `://` has an empty host and path and belongs to their template. The
     verdict is the longest fitting rule's, else block if the template's smoothed purity is under least_purity,
     else allow; without any labels all is allowed. Repeated rows count and give repeated results, an empty
     table gives an empty result; other columns are ignored. Rows are joined with blocked templates only.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    named = named.withColumns(_levels(F.col("path")))
-    known = labels.filter("good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
-    purity = template_purity(named.join(known, "page_id", "left"))
+    named = named.withColumns(_levels(F.col("path"))).withColumn("doc_id", document_of(F.col("path")))
+    known = labels.filter("good is not null").groupBy(key).agg(F.min("good").alias("good"))
+    purity = template_purity(named.join(known, key, "left"))
     keys = ["host", *LEVELS, "deep"]
     blocked = stored(purity.filter(F.col("purity") < least_purity).select(*keys, F.lit("block").alias("found")), "blocked")
     judged = named.join(blocked, keys, "left").withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))

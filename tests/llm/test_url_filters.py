@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hertzlake.llm import urltree
-from hertzlake.llm.queries import RULES
+from hertzlake.llm.queries import RULES, op4_url_filters
 
 
 def judged(spark, urls, labels=(), rules=()):
@@ -53,3 +53,19 @@ def test_no_python_in_the_plan(spark, folder, capsys):
     urltree.judge_urls(pages, labels, RULES).explain()
     plan = capsys.readouterr().out
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_labels_are_those_of_the_document_in_the_url(spark, tmp_path):
+    # page_id k is the document 119 - k; documents 0 to 39 are bad, and are the pages 80 to 119 under /ads
+    urls = [f"http://h.xyz/{'ads' if k >= 80 else 'news'}/{119 - k}{('', '/', '.html')[k % 3]}?n={k}" for k in range(120)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(d, int(d >= 40), 0) for d in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.page_id: r.verdict for r in op4_url_filters(spark, str(tmp_path)).collect()}
+    assert {k for k, v in found.items() if v == "block"} == set(range(80, 120)) and len(found) == 120
+
+
+def test_documents_of_paths(spark):
+    paths = {"/en/7": 7, "/en/7.html": 7, "/en/7//": 7, "/en/a7": None, "/7/en": None, "": None, "/en/" + "9" * 30: None, "/x/012": 12}
+    frame = spark.createDataFrame([(p,) for p in paths], "path string").select("path", urltree.document_of(F.col("path")).alias("d"))
+    assert {r.path: r.d for r in frame.collect()} == paths
