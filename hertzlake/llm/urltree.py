@@ -2,7 +2,7 @@
 
 Each host has a tree of path segments. Segments that vary (numbers, hexadecimal ids, segments too rare
 under their parent) become wildcards. Below a node, branches whose labels can't be told from the node's
-share of good pages are merged; the others stay apart. A branch's purity, its share of good pages, is
+share of good pages are merged with their subtrees; the others stay apart. A branch's purity, its share of good pages, is
 smoothed towards its parent's. Templates under the least purity are blocked, and fixed rules overrule.
 """
 
@@ -23,6 +23,8 @@ PRIOR = 8.0
 #: Standard deviations within which branches are similar.
 SIMILAR = 1.64
 LEAST_PURITY = 0.5
+#: The branch that similar branches become; no segment has a slash.
+MERGED = "/*"
 MAX_RULES = 1000
 
 
@@ -93,29 +95,24 @@ def template_purity(pages: DataFrame) -> DataFrame:
     paths = stored(paths.fillna(0.0, ["good"]), "paths")
     total = paths.agg(F.sum("good"), F.sum("labelled")).first()
     whole = (total[0] / total[1]) if total[1] else 1.0
-    # segments too rare under their parent become wildcards, from the host down
+    # from the host down; similar branches of a node become one branch, whose subtrees meet on the next level
     tree, above = paths, ["host"]
-    for level in LEVELS:
-        support = tree.groupBy(*above, level).agg(F.sum("n").alias("support")).filter(F.col("support") < LEAST_SUPPORT)
-        rare = support.select(*above, level, F.lit("*").alias("wild"))
-        tree = tree.join(rare, [*above, level], "left").withColumn(f"t{level}", F.coalesce("wild", level)).drop("wild")
-        above = [*above, f"t{level}"]
-    tree = stored(tree, "tree")
-    # purity from the host down; similar branches of a node are pooled
     nodes = tree.groupBy("host").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     purity = nodes.select("host", branch_purity(F.lit(whole), F.col("good"), F.col("labelled")).alias("purity"))
-    above = ["host"]
     for level in LEVELS:
-        own = tree.groupBy(*above, f"t{level}").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+        # segments too rare under their node become wildcards
+        support = tree.groupBy(*above, level).agg(F.sum("n").alias("support")).filter(F.col("support") < LEAST_SUPPORT)
+        rare = support.select(*above, level, F.lit("*").alias("wild"))
+        tree = stored(tree.join(rare, [*above, level], "left").withColumn("segment", F.coalesce("wild", level)).drop("wild"), "tree")
+        own = tree.groupBy(*above, "segment").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
         p, m = F.col("purity"), F.col("labelled")
         far = F.abs(F.col("good") - m * p) > SIMILAR * F.sqrt(m * p * (1 - p))
-        own = own.join(purity, above).withColumn("apart", far).withColumn("branch", F.when(far, F.col(f"t{level}")).otherwise(""))
-        group = [*above, "apart", "branch"]
-        pooled = own.groupBy(*group).agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"), F.first("purity").alias("p"))
-        pooled = stored(pooled.select(*group, branch_purity(F.col("p"), F.col("g"), F.col("l")).alias("own")), "pooled")
-        purity = own.join(pooled, group).select(*above, f"t{level}", F.col("own").alias("purity"))
-        above = [*above, f"t{level}"]
-        purity = stored(purity, "purity")
+        branch = f"t{level}"
+        own = stored(own.join(purity, above).withColumn(branch, F.when(far, F.col("segment")).otherwise(MERGED)), "own")
+        tree = tree.join(own.select(*above, "segment", branch), [*above, "segment"]).drop("segment")
+        pooled = own.groupBy(*above, branch).agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"), F.first("purity").alias("p"))
+        above = [*above, branch]
+        purity = stored(pooled.select(*above, branch_purity(F.col("p"), F.col("g"), F.col("l")).alias("purity")), "purity")
     return tree.join(purity, above).select(*keys, "purity")
 
 

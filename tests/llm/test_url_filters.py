@@ -65,6 +65,15 @@ def test_labels_are_those_of_the_document_in_the_url(spark, tmp_path):
     assert {k for k, v in found.items() if v == "block"} == set(range(80, 120)) and len(found) == 120
 
 
+def test_subtrees_of_similar_branches_meet(spark):
+    # /spam of each user: 5 pages, 2 labelled, both bad; the user's other pages: 8, all good
+    users = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    urls = [f"http://h.xyz/user-{u}/{'spam' if k < 5 else 'blog'}/{k}" for u in users for k in range(13)]
+    labels = [(k, int(k % 13 >= 5)) for k in range(1300) if k % 13 not in (2, 3, 4)]
+    found = judged(spark, urls, labels)
+    assert {k for k, r in found.items() if r.verdict == "block"} == {k for k in range(1300) if k % 13 < 5}
+
+
 def test_documents_of_paths(spark):
     paths = {"/en/7": 7, "/en/7.html": 7, "/en/7//": 7, "/en/a7": None, "/7/en": None, "": None, "/en/" + "9" * 30: None, "/x/012": 12}
     frame = spark.createDataFrame([(p,) for p in paths], "path string").select("path", urltree.document_of(F.col("path")).alias("d"))
