@@ -52,7 +52,7 @@ RULES = [
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document whose doc_id is the number in its url's path; page_id is no doc_id.
 
-    The SQL twin still joins labels by page_id and doesn't merge subtrees, so its verdicts differ.
+    The SQL twin still joins labels by page_id, doesn't merge subtrees and cuts paths to three segments, so its verdicts differ.
     """
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     labels = table(spark, sf_dir, "labels").select("doc_id", good.alias("good"))

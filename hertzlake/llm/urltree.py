@@ -9,13 +9,14 @@ smoothed towards its parent's. Templates under the least purity are blocked, and
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
 
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of the tree that shorter paths are filled up to with empty segments.
 DEPTH = 3
 LEAST_SUPPORT = 5
 #: Labelled pages that the parent's purity counts as.
@@ -71,49 +72,87 @@ def _segment(value: Column) -> Column:
     return F.when(value.rlike("^[0-9a-f]{8,}$"), F.lit("{h}")).otherwise(F.regexp_replace(value, "[0-9]+", "{n}"))
 
 
+#: The SQL twin's names of the first levels.
 LEVELS = [f"s{d}" for d in range(1, DEPTH + 1)]
 
 
-def _levels(path: Column) -> dict[str, Column]:
-    """The generalised segments of the tree's levels and, in `deep`, whether there are more."""
+def _segments(path: Column) -> Column:
+    """All generalised segments of the path."""
     parts = F.split(path, "/", -1)
-    levels = {name: _segment(F.coalesce(F.get(parts, F.lit(d)), F.lit(""))) for d, name in enumerate(LEVELS, 1)}
-    return levels | {"deep": F.size(parts) > DEPTH + 1}
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), _segment)
 
 
 def branch_purity(parent: Column, good: Column, labelled: Column) -> Column:
     return (good + PRIOR * parent) / (labelled + PRIOR)
 
 
+def _far(good: Column, labelled: Column, purity: Column) -> Column:
+    return F.abs(good - labelled * purity) > SIMILAR * F.sqrt(labelled * purity * (1 - purity))
+
+
+def _going_on() -> Column:
+    """Whether branches of a node can matter: it has paths that differ, support, and labels that can be told apart.
+
+    No part of the labels is farther from the node's purity than all its good or all its bad ones.
+    """
+    good, bad, none = F.col("good"), F.col("labelled") - F.col("good"), F.lit(0.0)
+    apart = _far(good, good, F.col("purity")) | _far(none, bad, F.col("purity"))
+    return (F.col("least") != F.col("most")) & (F.col("n") >= LEAST_SUPPORT) & apart
+
+
+def _shared() -> Column:
+    """The number of first segments that all paths of a node share: that of its least and its most."""
+    same = F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)), F.size(same) + F.lit(1)) - 1
+
+
 def template_purity(pages: DataFrame) -> DataFrame:
-    """host, s1.. and deep (as in the rows) with the purity of the template that they fall under.
+    """host and segments (as in the rows) with the purity of the template that they fall under.
+
+    pages: host, segments, good (1, 0 or null). One row a distinct generalised path.
 
-    pages: host, s1.., deep, good (1, 0 or null). One row a distinct generalised path.
+    The first DEPTH levels are those of every host. Below, a node goes on while its branches can matter, at the
+    first segment in which its paths differ, so that the steps are bounded by the data's branchings and labels,
+    not by its longest path; there a branch that has all rows of its node tells nothing new and keeps its purity.
     """
-    keys = ["host", *LEVELS, "deep"]
+    keys = ["host", "segments"]
+    sums = [F.sum(x).alias(x) for x in ("n", "good", "labelled")]
     paths = pages.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("good").cast("double").alias("good"), F.count("good").cast("double").alias("labelled"))
     paths = stored(paths.fillna(0.0, ["good"]), "paths")
     total = paths.agg(F.sum("good"), F.sum("labelled")).first()
     whole = (total[0] / total[1]) if total[1] else 1.0
     # from the host down; similar branches of a node become one branch, whose subtrees meet on the next level
-    tree, above = paths, ["host"]
-    nodes = tree.groupBy("host").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-    purity = nodes.select("host", branch_purity(F.lit(whole), F.col("good"), F.col("labelled")).alias("purity"))
-    for level in LEVELS:
+    tree = paths.withColumns({"node": F.array("host"), "rest": F.col("segments")})
+    nodes = tree.groupBy("node").agg(*sums).withColumn("purity", branch_purity(F.lit(whole), F.col("good"), F.col("labelled")))
+    nodes, done, level = nodes.withColumn("shared", F.lit(0)), [], 0
+    while True:
+        level += 1
         # segments too rare under their node become wildcards
-        support = tree.groupBy(*above, level).agg(F.sum("n").alias("support")).filter(F.col("support") < LEAST_SUPPORT)
-        rare = support.select(*above, level, F.lit("*").alias("wild"))
-        tree = stored(tree.join(rare, [*above, level], "left").withColumn("segment", F.coalesce("wild", level)).drop("wild"), "tree")
-        own = tree.groupBy(*above, "segment").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-        p, m = F.col("purity"), F.col("labelled")
-        far = F.abs(F.col("good") - m * p) > SIMILAR * F.sqrt(m * p * (1 - p))
-        branch = f"t{level}"
-        own = stored(own.join(purity, above).withColumn(branch, F.when(far, F.col("segment")).otherwise(MERGED)), "own")
-        tree = tree.join(own.select(*above, "segment", branch), [*above, "segment"]).drop("segment")
-        pooled = own.groupBy(*above, branch).agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"), F.first("purity").alias("p"))
-        above = [*above, branch]
-        purity = stored(pooled.select(*above, branch_purity(F.col("p"), F.col("g"), F.col("l")).alias("purity")), "purity")
-    return tree.join(purity, above).select(*keys, "purity")
+        cut = tree.join(nodes.select("node", "shared"), "node").withColumn("segment", F.coalesce(F.get("rest", F.col("shared")), F.lit("")))
+        cut = cut.withColumn("rest", F.slice("rest", F.col("shared") + 2, F.size("rest") + 1)).drop("shared")
+        support = cut.groupBy("node", "segment").agg(F.sum("n").alias("support")).filter(F.col("support") < LEAST_SUPPORT)
+        rare = support.select("node", "segment", F.lit("*").alias("wild"))
+        cut = stored(cut.join(rare, ["node", "segment"], "left").withColumn("segment", F.coalesce("wild", "segment")).drop("wild"), "tree")
+        own = cut.groupBy("node", "segment").agg(*sums).join(nodes.select("node", "purity", F.col("n").alias("all")), "node")
+        apart = _far(F.col("good"), F.col("labelled"), F.col("purity"))
+        own = stored(own.withColumn("branch", F.when(apart, F.col("segment")).otherwise(MERGED)), "own")
+        tree = cut.join(own.select("node", "segment", "branch"), ["node", "segment"])
+        tree = stored(tree.withColumn("node", F.concat("node", F.array("branch"))).drop("segment", "branch"), "branches")
+        pooled = own.groupBy("node", "branch").agg(*sums, F.first("purity").alias("p"), F.first("all").alias("all"))
+        new = branch_purity(F.col("p"), F.col("good"), F.col("labelled"))
+        new = new if level <= DEPTH else F.when(F.col("n") == F.col("all"), F.col("p")).otherwise(new)
+        nodes = pooled.select(F.concat("node", F.array("branch")).alias("node"), "n", "good", "labelled", new.alias("purity"))
+        if level < DEPTH:
+            nodes = stored(nodes.withColumn("shared", F.lit(0)), "nodes")
+            continue
+        ends = tree.groupBy("node").agg(F.min("rest").alias("least"), F.max("rest").alias("most"))
+        nodes = nodes.join(ends, "node").withColumn("on", _going_on()).withColumn("shared", _shared().cast("int")).drop("least", "most")
+        nodes = stored(nodes, "nodes")
+        done.append(tree.join(nodes.filter("not on").select("node", "purity"), "node").select(*keys, "purity"))
+        nodes = nodes.filter("on").drop("on")
+        if nodes.isEmpty():
+            return reduce(DataFrame.union, done)
+        tree = tree.join(nodes.select("node"), "node", "left_semi")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_purity: float = LEAST_PURITY, key: str = "page_id") -> DataFrame:
@@ -126,10 +165,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_pur
     table gives an empty result; other columns are ignored. Rows are joined with blocked templates only.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    named = named.withColumns(_levels(F.col("path"))).withColumn("doc_id", document_of(F.col("path")))
+    named = named.withColumns({"segments": _segments(F.col("path")), "doc_id": document_of(F.col("path"))})
     known = labels.filter("good is not null").groupBy(key).agg(F.min("good").alias("good"))
     purity = template_purity(named.join(known, key, "left"))
-    keys = ["host", *LEVELS, "deep"]
+    keys = ["host", "segments"]
     blocked = stored(purity.filter(F.col("purity") < least_purity).select(*keys, F.lit("block").alias("found")), "blocked")
     judged = named.join(blocked, keys, "left").withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("fits.verdict", "found", F.lit("allow"))

@@ -74,6 +74,21 @@ def test_subtrees_of_similar_branches_meet(spark):
     assert {k for k, r in found.items() if r.verdict == "block"} == {k for k in range(1300) if k % 13 < 5}
 
 
+def test_no_depth_is_cut(spark):
+    deep = "a/b/c/" + "d/" * 300
+    urls = [f"http://h.xyz/{deep}{'spam' if k < 40 else 'news'}/{k}" for k in range(80)]
+    urls += [f"http://h.xyz/{deep}x/{'spam' if k < 40 else 'news'}/y/{k}" for k in range(80)]
+    found = judged(spark, urls, [(k, int(k % 80 >= 40)) for k in range(160) if k % 2])
+    assert {k for k, r in found.items() if r.verdict == "block"} == {k for k in range(160) if k % 80 < 40}
+
+
+def test_a_deep_chain_counts_labels_once(spark):
+    # below the third segment, the one branch of a node keeps its purity
+    urls = [f"http://{h}.xyz/{'a/' * d}{k}" for h, d in (("h", 3), ("g", 60)) for k in range(20)] + [f"http://i.xyz/{k}" for k in range(60)]
+    labels = [(0, 0), (1, 1), (2, 1), (20, 0), (21, 1), (22, 1)] + [(k, 1) for k in range(40, 90)]
+    assert {r.verdict for r in judged(spark, urls, labels).values()} == {"allow"}
+
+
 def test_documents_of_paths(spark):
     paths = {"/en/7": 7, "/en/7.html": 7, "/en/7//": 7, "/en/a7": None, "/7/en": None, "": None, "/en/" + "9" * 30: None, "/x/012": 12}
     frame = spark.createDataFrame([(p,) for p in paths], "path string").select("path", urltree.document_of(F.col("path")).alias("d"))
