@@ -266,9 +266,9 @@ def ipdft_rocof(spark, folder):
 # several channels
 
 def _event_types(spark: SparkSession, folder: str) -> dict[str, str]:
-    """The first five event types in order, as channels; there are few."""
-    names = sorted(x[0] for x in read_table(spark, folder, "events").select("event_type").distinct().limit(1000).collect() if x[0] is not None)
-    return dict(zip(names[:5], CHANNELS))
+    """The first five event types in order, as channels."""
+    types = read_table(spark, folder, "events").select("event_type").filter("event_type is not null").distinct()
+    return dict(zip((x[0] for x in types.orderBy("event_type").limit(5).collect()), CHANNELS))
 
 
 _TYPES_SQL = "SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)"

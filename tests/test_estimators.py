@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hertzlake.config import IpdftConfig, MultiConfig, NetworkConfig, RampStep, ZcdConfig
 from hertzlake.operators import fusion, ipdft, metrics, pmu, products, zcd
-from hertzlake.plans import benchmark
+from hertzlake.plans import benchmark, queries
 from hertzlake.sources import signals
 
 SCHEMA = "series_id string, i long, t double, x double"
@@ -230,3 +230,9 @@ def test_csv_source(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,time,volt\n0,0.0,1.5\n1,0.1,-2\n")
     found = signals.from_csv(spark, str(tmp_path / "a.csv"), {"i": "n", "t": "time", "x": "volt"}).orderBy("i").collect()
     assert [(r.i, r.x) for r in found] == [(0, 1.5), (1, -2.0)]
+
+
+def test_event_types_are_the_first_in_order(spark, tmp_path):
+    types = spark.range(20000).select(F.format_string("e%05d", "id").alias("event_type"))
+    types.union(spark.createDataFrame([(None,)], "event_type string")).write.parquet(f"{tmp_path}/events.parquet")
+    assert list(queries._event_types(spark, str(tmp_path))) == [f"e0000{k}" for k in range(5)]
