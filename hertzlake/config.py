@@ -92,7 +92,7 @@ class IpdftConfig:
 
 @dataclass(frozen=True)
 class RampStep:
-    f0_hz: float = 60.0
-    f_step_hz: float = 59.5
-    t_step_s: float = 2.0
-    t_back_s: float = 4.0
+    f0: float = 60.0
+    f_step: float = 59.5
+    t_step: float = 2.0
+    t_back: float = 4.0

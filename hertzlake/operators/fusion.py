@@ -9,6 +9,9 @@ from ..config import MultiConfig, NetworkConfig
 from ..functions.columns import complex_of
 from .zcd import zcd_trace
 
+#: Edges of a graph that is broadcast.
+SMALL_GRAPH = 100_000
+
 
 def combined(column: str, how: str) -> Column:
     """Mean, or else the exact median; 0 of nothing."""
@@ -20,10 +23,9 @@ def channel_traces(wide: DataFrame, config: MultiConfig) -> DataFrame:
     value = lambda c: F.col(c) if c in wide.columns else F.lit(0.0)
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), value(c).cast("double").alias("x")) for c in config.channels)))
     long = wide.select("series_id", "i", F.col("timestamp").alias("t"), pairs.alias("p")).select("series_id", "p.channel", "i", "t", "p.x")
-    keyed = long.withColumn("series_id", F.concat_ws("\x1f", "series_id", "channel"))
-    traced = zcd_trace(keyed, config.zcd).select("series_id", "i", "frequency_hz", "rocof_hz_s")
-    joined = keyed.join(traced, ["series_id", "i"])
-    return joined.withColumn("series_id", F.substring_index("series_id", "\x1f", 1))
+    keyed = long.withColumn("unit", F.col("series_id")).withColumn("series_id", F.concat_ws("\x1f", "series_id", "channel"))
+    traced = zcd_trace(keyed, config.zcd, keep=("unit", "channel", "x"))
+    return traced.select(F.col("unit").alias("series_id"), "channel", "i", "t", "x", "frequency_hz", "rocof_hz_s")
 
 
 def multi_channel(wide: DataFrame, config: MultiConfig = MultiConfig()) -> DataFrame:
@@ -38,17 +40,18 @@ def multi_channel(wide: DataFrame, config: MultiConfig = MultiConfig()) -> DataF
 def metropolis_weights(edges: DataFrame) -> DataFrame:
     """src, dst, w of directed edges (src, dst) and of each source with itself.
 
-    The degree counts repeated edges; a target without edges of its own has degree 1. Repeated edges have
-    one weight, and a source's own weight replaces that of an edge to itself.
+    A target without edges of its own has degree 1. Repeated edges have one weight, but count as often as
+    they come in the degree and in the sum that the own weight completes to one. An edge to itself counts
+    in both, too; its weight is the own weight.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    pairs = edges.select("src", "dst").distinct()
+    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
+    degree = pairs.groupBy("src").agg(F.sum("times").alias("degree"))
     other = degree.select(F.col("src").alias("dst"), F.col("degree").alias("other"))
     weighed = pairs.join(degree, "src").join(other, "dst", "left")
-    weighed = weighed.select("src", "dst", (F.lit(1.0) / (1 + F.greatest("degree", F.coalesce("other", F.lit(1))))).alias("w"))
-    rest = weighed.groupBy("src").agg(F.sum("w").alias("sum"))
+    weighed = weighed.select("src", "dst", "times", (F.lit(1.0) / (1 + F.greatest("degree", F.coalesce("other", F.lit(1))))).alias("w"))
+    rest = weighed.groupBy("src").agg(F.sum(F.col("times") * F.col("w")).alias("sum"))
     own = rest.select("src", F.col("src").alias("dst"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("sum")).alias("w"))
-    return weighed.filter("src != dst").union(own)
+    return weighed.filter("src != dst").select("src", "dst", "w").union(own)
 
 
 def consensus_step(values: DataFrame, edges: DataFrame, alpha: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,30 +59,33 @@ def consensus_step(values: DataFrame, edges: DataFrame, alpha: float = 1.0, by:
 
     (1 - alpha) f + alpha (w_own f + sum of w f over edges); a neighbour without a value has f itself. Edges
     count as often as they come. A node without edges keeps its value; without any edges all get the mean.
+    The edges of a graph of up to SMALL_GRAPH edges are broadcast, so that the values of a node, which are
+    as many as steps, needn't meet in one task; larger graphs are joined by node.
     """
     by_ = list(by)
     known = values.select("node").distinct()
     inside = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi")
-    if inside.isEmpty():
+    size = inside.limit(SMALL_GRAPH + 1).count()
+    small = F.broadcast if size <= SMALL_GRAPH else lambda x: x
+    if not size:
         mean = values.groupBy(*by_).agg(F.avg("f").alias("f"))
         return values.select(*by_, "node").join(mean, by_) if by_ else values.select("node").crossJoin(F.broadcast(mean))
     weights = metropolis_weights(inside)
     own = weights.filter("src = dst").select(F.col("src").alias("node"), F.col("w").alias("w_own"))
     terms = inside.join(weights, ["src", "dst"]).select(F.col("src").alias("node"), "dst", "w")
     other = values.select(*by_, F.col("node").alias("dst"), F.col("f").alias("f_other"))
-    met = values.join(terms, "node").join(other, [*by_, "dst"], "left")
+    met = values.join(small(terms), "node").join(other, [*by_, "dst"], "left")
     sums = met.groupBy(*by_, "node").agg(F.sum(F.col("w") * F.coalesce("f_other", "f")).alias("around"))
-    joined = values.join(own, "node", "left").join(sums, [*by_, "node"], "left")
+    joined = values.join(small(own), "node", "left").join(sums, [*by_, "node"], "left")
     mixed = F.coalesce("w_own", F.lit(1.0)) * F.col("f") + F.coalesce("around", F.lit(0.0))
     return joined.select(*by_, "node", (F.lit(1.0 - alpha) * F.col("f") + F.lit(float(alpha)) * mixed).alias("f"))
 
 
 def node_traces(samples: DataFrame, config: NetworkConfig) -> DataFrame:
     """i, t, node, frequency_hz, rocof_hz_s of samples (i, t, node, value): unknown nodes are ignored, absent ones are 0."""
-    spark = samples.sparkSession
-    nodes = spark.createDataFrame([(n,) for n in config.nodes], "node string")
     times = samples.select("i", "t").distinct()
-    grid = times.crossJoin(F.broadcast(nodes)).join(samples.select("i", "node", "value"), ["i", "node"], "left")
+    # the configured nodes are a constant of the plan
+    grid = times.withColumn("node", F.explode(F.lit(list(config.nodes)))).join(samples.select("i", "node", "value"), ["i", "node"], "left")
     keyed = grid.select(F.col("node").alias("series_id"), "i", "t", F.coalesce("value", F.lit(0.0)).alias("x"))
     return zcd_trace(keyed, config.zcd).select("i", "t", F.col("series_id").alias("node"), "frequency_hz", "rocof_hz_s")
 

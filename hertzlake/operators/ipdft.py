@@ -55,15 +55,15 @@ def ipdft_trace_sql(signal: DataFrame, config: IpdftConfig) -> DataFrame:
     return with_rate(filled.withColumn("frequency_hz", F.coalesce("frequency_hz", F.lit(config.nominal_hz))))
 
 
-def frame_frequencies(x: np.ndarray, config: IpdftConfig) -> np.ndarray:
-    """The frequency of each full frame of x."""
+def frame_frequencies(x: np.ndarray, config: IpdftConfig, refined: bool = True) -> np.ndarray:
+    """The frequency of each full frame of x; of the peak's bin alone if not refined."""
     n, half = config.frame_len, config.frame_len // 2
     found = []
     frames = np.lib.stride_tricks.sliding_window_view(x, n)
     for at in range(0, len(frames), 4096):
         mag = np.abs(np.fft.rfft(frames[at : at + 4096], axis=1))[:, :half]
         rows, k = np.arange(len(mag)), mag.argmax(1)
-        inside = (k >= 1) & (k < half - 1)
+        inside = (k >= 1) & (k < half - 1) & refined
         left, middle, right = (mag[rows, np.clip(k + d, 0, half - 1)] for d in (-1, 0, 1))
         bend = left - 2 * middle + right
         delta = np.where(inside & (bend != 0), 0.5 * (left - right) / np.where(bend == 0, 1, bend), 0.0)
@@ -71,25 +71,27 @@ def frame_frequencies(x: np.ndarray, config: IpdftConfig) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0)
 
 
-def ipdft_trace(signal: DataFrame, config: IpdftConfig, chunk: int = 1 << 16) -> DataFrame:
-    """series_id, i, t, frequency_hz, rocof_hz_s of each sample of signal (series_id, i, t, x).
+def ipdft_trace(signal: DataFrame, config: IpdftConfig, chunk: int = 1 << 16, keep: tuple[str, ...] = (), refined: bool = True) -> DataFrame:
+    """series_id, i, t, frequency_hz, rocof_hz_s of each sample of signal (series_id, i, t, x), and the columns to keep.
 
     i numbers a series' samples from 0. The nominal frequency holds until the first frame is full. A
     sample goes to its chunk and, near its end, to the next one, which needs frames that begin before it.
     """
     n = config.frame_len
     own, later = F.floor(F.col("i") / F.lit(chunk)), F.floor((F.col("i") + F.lit(n)) / F.lit(chunk))
-    dealt = signal.select("series_id", "i", "t", "x", F.explode(F.sequence(own, later)).alias("chunk"))
+    more = [c for c in keep if c not in ("series_id", "i", "t", "x")]
+    dealt = signal.select("series_id", "i", "t", "x", *more, F.explode(F.sequence(own, later)).alias("chunk"))
 
     def estimate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
         start, found = key[1] * chunk, np.full(len(rows), np.nan)
         if len(rows) >= n:
-            found[n - 1 :] = frame_frequencies(rows["x"].to_numpy(), config)
+            found[n - 1 :] = frame_frequencies(rows["x"].to_numpy(), config, refined)
         f = np.where(rows["i"] >= n - 1, found, config.nominal_hz)
         dt, df = np.diff(rows["t"], prepend=np.nan), np.diff(f, prepend=np.nan)
         rate = np.where(dt > 0, df / np.where(dt > 0, dt, 1), 0.0)
-        out = pd.DataFrame({"series_id": rows["series_id"], "i": rows["i"], "t": rows["t"], "frequency_hz": f, "rocof_hz_s": rate})
+        out = pd.DataFrame({"series_id": rows["series_id"], "i": rows["i"], "t": rows["t"], "frequency_hz": f, "rocof_hz_s": rate, **{c: rows[c] for c in keep}})
         return out[rows["i"] >= start]
 
-    return dealt.groupBy("series_id", "chunk").applyInPandas(estimate, "series_id string, i long, t double, frequency_hz double, rocof_hz_s double")
+    kept = "".join(f", `{c}` {signal.schema[c].dataType.simpleString()}" for c in keep)
+    return dealt.groupBy("series_id", "chunk").applyInPandas(estimate, f"series_id string, i long, t double, frequency_hz double, rocof_hz_s double{kept}")

@@ -29,17 +29,54 @@ def frequency_rmse(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] =
     return both.groupBy(*by).agg(F.count("*").alias("n_samples"), nan_if_null(rmse_of(real, F.col("f_true"))).alias("rmse"))
 
 
-def error_quantiles(estimates: DataFrame, truth: DataFrame) -> DataFrame:
-    """series_id, fe_p50, fe_p95, rfe_p50, rfe_p95: absolute errors of frequency and of its rate, whose truth is the numeric derivative."""
+def error_quantiles(estimates: DataFrame, truth: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """series_id, fe_p50, fe_p95, rfe_p50, rfe_p95: absolute errors of frequency and of its rate, whose truth is the numeric derivative.
+
+    Exact quantiles hold a series' distinct errors in one task; with an accuracy they are approximate, in a
+    sketch of that many entries (ranks are off by at most one in so many).
+    """
     order = Window.partitionBy("series_id").orderBy("i")
     both = estimates.join(truth.select("series_id", "i", "f_true"), ["series_id", "i"])
     dt = F.col("t") - F.lag("t").over(order)
     rate = F.when(dt > 0, (F.col("f_true") - F.lag("f_true").over(order)) / F.nullif(dt, F.lit(0.0))).otherwise(0.0)
     errors = both.select("series_id", F.abs(F.col("frequency_hz") - F.col("f_true")).alias("fe"), F.abs(F.col("rocof_hz_s") - rate).alias("rfe"))
-    at = lambda c, p: F.percentile(c, F.lit(p)).alias(f"{c}_p{round(100 * p)}")
+    cut = lambda c, p: F.percentile(c, F.lit(p)) if accuracy is None else F.percentile_approx(c, p, accuracy)
+    at = lambda c, p: cut(c, p).alias(f"{c}_p{round(100 * p)}")
     return errors.groupBy("series_id").agg(at("fe", 0.5), at("fe", 0.95), at("rfe", 0.5), at("rfe", 0.95))
 
 
+def without_warm_up(estimates: DataFrame, frames: int) -> DataFrame:
+    """The estimates after the first `frames` of each series; i numbers them from 0."""
+    return estimates.filter(F.col("i") >= frames)
+
+
+def truth_gaps(signal: DataFrame, analytic: Column, tolerance: float = 1e-6) -> DataFrame:
+    """series_id, n_samples, n_wrong, largest of a signal (series_id, i, t, f_true) against an analytic frequency, an expression in t.
+
+    A null or NaN on either side is wrong; `largest` is over the others.
+    """
+    gap = F.abs(F.col("f_true") - analytic)
+    known = F.when(~F.isnan(gap), gap)
+    wrong = F.coalesce(known > tolerance, F.lit(True))
+    return signal.groupBy("series_id").agg(F.count("*").alias("n_samples"), F.count_if(wrong).alias("n_wrong"), F.max(known).alias("largest"))
+
+
+def golden_gaps(results: DataFrame, golden: DataFrame, keys: tuple[str, ...], column: str, tolerance: float = 0.03) -> DataFrame:
+    """keys, found, expected, passed: whether each result's column is within a share of the golden one; rows that one side lacks fail."""
+    found, expected = results.select(*keys, F.col(column).alias("found")), golden.select(*keys, F.col(column).alias("expected"))
+    both = found.join(expected, list(keys), "full")
+    near = F.abs(F.col("found") - F.col("expected")) <= F.lit(tolerance) * F.abs("expected")
+    return both.withColumn("passed", F.coalesce(near, F.lit(False)))
+
+
+def suite_digest(rows: DataFrame) -> str:
+    """The same for equal rows in any order and partitioning, else another one: a sum over rows of two hashes each."""
+    columns = sorted(rows.columns)
+    hashes = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (0, 1)]
+    found = rows.agg(F.count("*"), *hashes).first()
+    return "-".join(map(str, found))
+
+
 def total_vector_error(estimate: Column, truth: Column) -> Column:
     """Of complex structs: the distance over the truth's magnitude; null if that is 0."""
     gap = complex_of(estimate["re"] - truth["re"], estimate["im"] - truth["im"])

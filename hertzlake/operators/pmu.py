@@ -27,10 +27,10 @@ def pivoted(signal: DataFrame, channels: dict[str, str]) -> DataFrame:
     return grouped.select(F.lit("pmu").alias("series_id"), "i", *CHANNELS, "timestamp")
 
 
-def channel_signal(samples: DataFrame, channel: str, required: bool = False) -> DataFrame:
-    """A channel of PMU samples as a signal; one that isn't there is 0, or an error if required."""
+def channel_signal(samples: DataFrame, channel: str, required: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A channel of PMU samples as a signal, and the columns to keep; a channel that isn't there is 0, or an error if required."""
     x = F.col(channel) if required or channel in samples.columns else F.lit(0.0)
-    return samples.select("series_id", "i", F.col("timestamp").alias("t"), x.cast("double").alias("x"))
+    return samples.select("series_id", "i", F.col("timestamp").alias("t"), x.cast("double").alias("x"), *keep)
 
 
 def validated(samples: DataFrame, strict: bool = False) -> DataFrame:
@@ -53,10 +53,11 @@ def zcd_estimates(samples: DataFrame, config: ZcdConfig = ZcdConfig()) -> DataFr
 
 
 def ipdft_estimates(samples: DataFrame, config: IpdftConfig) -> DataFrame:
-    """PMU estimates by the interpolated DFT of one channel; each phasor is the channel's sample."""
-    signal = channel_signal(samples, config.channel)
-    trace = ipdft_trace(signal, config).join(signal.select("series_id", "i", "x"), ["series_id", "i"])
-    return _estimates(trace, F.create_map(*(part for c in CHANNELS for part in (F.lit(c), complex_of(F.col("x"))))))
+    """PMU estimates by the interpolated DFT of one channel; the phasors are the six channels' samples, 0 for one that isn't there."""
+    fields = [(F.col(c) if c in samples.columns else F.lit(0.0)).cast("double").alias(c) for c in CHANNELS]
+    signal = channel_signal(samples.select("*", *(f for c, f in zip(CHANNELS, fields) if c not in samples.columns)), config.channel, keep=CHANNELS)
+    trace = ipdft_trace(signal, config, keep=CHANNELS)
+    return _estimates(trace, F.create_map(*(part for c in CHANNELS for part in (F.lit(c), complex_of(F.col(c))))))
 
 
 def standard_rows(estimates: DataFrame, names: tuple[str, ...] = CHANNELS) -> DataFrame:

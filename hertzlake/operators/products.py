@@ -27,12 +27,36 @@ def y_limits(truth: DataFrame, window: tuple[float, float] = BOTTOM_WINDOW, shar
     return inside.select("series_id", (F.col("m") * F.lit(1 - share)).alias("y_min"), (F.col("m") * F.lit(1 + share)).alias("y_max"))
 
 
-def estimate_axis(estimates: DataFrame, ends: DataFrame) -> DataFrame:
-    """estimates (series_id, i) with t spread evenly from 0 to ends' (series_id, n, t_end)."""
-    joined = estimates.join(ends, "series_id")
+def estimate_axis(estimates: DataFrame, ends: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """estimates (keys, i) with t spread evenly from 0 to ends' (keys, n, t_end)."""
+    joined = estimates.join(ends, list(keys))
     return joined.withColumn("t", F.col("i") * F.coalesce(F.col("t_end") / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))).drop("n", "t_end")
 
 
+def plot_series(signal: DataFrame, estimates: DataFrame, windows: tuple[tuple[float, float], ...] = TOP_WINDOWS, bottom: tuple[float, float] = BOTTOM_WINDOW) -> DataFrame:
+    """panel, line, series_id, window_id, t, y, y_min, y_max: all lines of the plot of a signal and its estimates (series_id, name, i, frequency_hz).
+
+    Panel `top` has the signal's samples in the zoom windows, `bottom` each estimator's frequencies, spread
+    evenly over the signal's time, and the true frequency, with the limits of the y axis.
+    """
+    ends = signal.groupBy("series_id").agg(F.max("t").alias("t_end"))
+    counts = estimates.groupBy("series_id", "name").agg(F.count("*").alias("n")).join(ends, "series_id")
+    spread = estimate_axis(estimates.select("series_id", "name", "i", "frequency_hz"), counts, ("series_id", "name"))
+    none = F.lit(None).cast("double")
+    top = zoom_windows(signal, windows).select(
+        F.lit("top").alias("panel"), F.lit("signal").alias("line"), "series_id", "window_id", "t", F.col("x").alias("y"), none.alias("y_min"), none.alias("y_max")
+    )
+    curves = spread.select(F.col("name").alias("line"), "series_id", "t", F.col("frequency_hz").alias("y"))
+    truth = signal.select(F.lit("truth").alias("line"), "series_id", "t", F.col("f_true").alias("y"))
+    below = curves.union(truth).join(y_limits(signal, bottom), "series_id", "left")
+    return top.unionByName(below.select(F.lit("bottom").alias("panel"), "line", "series_id", F.lit(0).alias("window_id"), "t", "y", "y_min", "y_max"))
+
+
+def heatmap(results: DataFrame, rows: str, columns: str, value: str, names: list[str]) -> DataFrame:
+    """One row for each of `rows` with a column for each name: the cells of a heat map, null where there is no result."""
+    return results.groupBy(rows).pivot(columns, names).agg(F.first(value, ignorenulls=True))
+
+
 def pareto_front(results: DataFrame, cost: str, error: str) -> DataFrame:
     """The results that none beats in both columns: one pass per distinct cost, whose count is small in a report."""
     best = results.groupBy(cost).agg(F.min(error).alias("best"))

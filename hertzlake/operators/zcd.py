@@ -2,15 +2,15 @@
 
 Crossings are found between neighbouring samples, a frequency is one over the time from the anchor to an
 accepted crossing, and only an accepted crossing becomes the anchor. In the directional modes, without
-deadband and with finite samples at growing times, that is windows alone: one exchange and one sort by
-series. In general it is a fold over the crossings in the order of samples, a fraction of the samples.
-A long series can be cut into chunks that are worked on in parallel.
+deadband and at growing times, that is windows alone: one exchange and one sort by series. In general it
+is a fold over the crossings in the order of samples, a fraction of the samples. A long series is cut
+into chunks that are worked on in parallel; only tables with a row a chunk have windows over a series.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ZcdConfig
 from ..functions.columns import crosses, crossing_time
+from ..storage import stored
 
 TRACE = ["series_id", "i", "t", "frequency_hz", "rocof_hz_s", "crossed", "t_cross"]
 
@@ -52,99 +53,162 @@ def crossings(signal: DataFrame, config: ZcdConfig = ZcdConfig()) -> DataFrame:
     return found.select("series_id", F.row_number().over(_order()).cast("long").alias("n"), "i", "t_cross")
 
 
+def _matched(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left with right's other columns, null where none fits; null keys fit each other."""
+    others = [c for c in right.columns if c not in keys]
+    named = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *others)
+    same = reduce(Column.__and__, (left[k].eqNullSafe(named[f"_{k}"]) for k in keys))
+    return left.join(named, same, "left").select(*left.columns, *others)
+
+
 def _accepted(marked: DataFrame, config: ZcdConfig) -> DataFrame:
     """marked with f and r, the frequency and its rate where a crossing is accepted; by windows.
 
     A gap over the longest period only grows, as its anchor stays; so the first one ends all acceptance.
+    So does a first crossing at NaN, an anchor that nothing fits; a later one at NaN is not accepted.
     """
-    gap = F.col("t_cross") - F.last("t_cross", True).over(_before())
-    timed = marked.withColumn("gap", gap)
+    sure = marked.withColumn("sure", F.when(~F.isnan("t_cross"), F.col("t_cross")))
+    timed = sure.withColumn("gap", F.col("sure") - F.last("sure", True).over(_before()))
     late = F.max(F.col("gap") > config.max_period_s).over(_so_far())
-    fits = (F.col("gap") >= config.min_period_s) & ~F.coalesce(late, F.lit(False))
+    dead = F.isnan(F.first("t_cross", True).over(_so_far()))
+    fits = (F.col("gap") >= config.min_period_s) & ~F.coalesce(late, F.lit(False)) & ~dead
     timed = timed.withColumn("f", F.when(fits, F.lit(1.0) / F.nullif("gap", F.lit(0.0))))
-    return timed.withColumn("r", (F.col("f") - F.last("f", True).over(_before())) / F.nullif("gap", F.lit(0.0))).drop("gap")
+    return timed.withColumn("r", (F.col("f") - F.last("f", True).over(_before())) / F.nullif("gap", F.lit(0.0))).drop("gap", "sure")
 
 
 def _folded(marked: DataFrame, config: ZcdConfig) -> DataFrame:
     """series_id, i, f, r of accepted crossings, by a fold in the order of samples.
 
-    A first crossing at NaN is an anchor that no later crossing fits.
+    A first crossing at NaN is an anchor that no later crossing fits. The crossings of a series stream
+    through a task in order; the task holds a batch of them and the state.
     """
     low, high = config.min_period_s, config.max_period_s
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
+    def fold(frames):
+        series: object = frames  # no series yet
         anchor = before = None
-        found = []
-        for i, time in zip(rows["i"], rows["t_cross"]):
-            if anchor is None:
-                anchor = time
-            elif low <= time - anchor <= high:
-                f = 1.0 / (time - anchor)
-                found.append((i, f, math.nan if before is None else (f - before) / (time - anchor)))
-                anchor, before = time, f
-        out = pd.DataFrame(found, columns=["i", "f", "r"])
-        out.insert(0, "series_id", rows["series_id"].iloc[0])
-        return out
+        for rows in frames:
+            found = []
+            for name, i, time in zip(rows["series_id"], rows["i"], rows["t_cross"]):
+                if name != series:
+                    series, anchor, before = name, None, None
+                if anchor is None:
+                    anchor = time
+                elif low <= time - anchor <= high:
+                    f = 1.0 / (time - anchor)
+                    found.append((name, i, f, math.nan if before is None else (f - before) / (time - anchor)))
+                    anchor, before = time, f
+            yield pd.DataFrame(found, columns=["series_id", "i", "f", "r"])
 
     times = marked.filter("crossed").select("series_id", "i", F.coalesce("t_cross", F.lit(math.nan)).alias("t_cross"))
-    accepted = times.groupBy("series_id").applyInPandas(fold, "series_id string, i long, f double, r double")
+    ordered = times.repartition("series_id").sortWithinPartitions("series_id", "i")
+    accepted = ordered.mapInPandas(fold, "series_id string, i long, f double, r double")
     return accepted.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def needs_fold(config: ZcdConfig) -> bool:
-    """Whether crossing times may not grow, or may be closer than the shortest period."""
-    return config.epsilon != 0 or config.mode not in ("neg_to_pos", "pos_to_neg")
+    """Whether crossing times may not grow, or may be closer than a shortest period over the default."""
+    return config.epsilon != 0 or config.mode not in ("neg_to_pos", "pos_to_neg") or config.min_period_s > ZcdConfig.min_period_s
 
 
-def zcd_trace(signal: DataFrame, config: ZcdConfig = ZcdConfig(), fold: bool | None = None) -> DataFrame:
+def zcd_trace(signal: DataFrame, config: ZcdConfig = ZcdConfig(), fold: bool | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """TRACE of each sample of signal (series_id, i, t, x): the last accepted frequency, nominal before one,
-    and its rate, 0 before two.
+    and its rate, 0 before two; and the columns to keep.
 
-    fold: take the fold even where windows do; needed where samples aren't finite, times don't grow or
-    steps are under the shortest period. A null sample is no crossing. i must be unique in a series.
+    fold: take the fold even where windows do; needed where times don't grow or steps are under the
+    shortest period. A null sample is no crossing, a null series is a series. i must be unique in a series.
     """
-    marked = mark_crossings(signal.select("series_id", "i", "t", "x"), config)
+    columns = ["series_id", "i", "t", "x"]
+    more = [c for c in keep if c not in columns]
+    marked = mark_crossings(signal.select(*columns, *more), config)
     if needs_fold(config) if fold is None else fold:
-        marked = marked.join(_folded(marked, config), ["series_id", "i"], "left")
+        marked = _matched(marked, _folded(marked, config), "series_id", "i")
     else:
         marked = _accepted(marked, config)
     return marked.select(
         "series_id", "i", "t", F.coalesce(F.last("f", True).over(_so_far()), F.lit(config.nominal_hz)).alias("frequency_hz"),
-        F.coalesce(F.last("r", True).over(_so_far()), F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross",
+        F.coalesce(F.last("r", True).over(_so_far()), F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross", *(c for c in keep if c not in TRACE),
     )
 
 
+#: Crossing times that a chunk hands on: those of a frequency, its rate, and both before a gap that is too long.
+HANDED = 4
+
+
+def _last_times(sure: Column, over_before, over_so_far, marked: DataFrame) -> DataFrame:
+    """marked with times: the last HANDED crossing times so far, newest first; null before one."""
+    names = ["sure", *(f"b{k}" for k in range(1, HANDED))]
+    timed = marked.withColumn("sure", sure)
+    for name, earlier in zip(names[1:], names):
+        timed = timed.withColumn(name, F.when(F.col("sure").isNotNull(), F.last(earlier, True).over(over_before)))
+    times = F.when(F.col("sure").isNotNull(), F.array_compact(F.array(*names)))
+    return timed.withColumn("times", F.last(times, True).over(over_so_far)).drop(*names)
+
+
+def _carried(ends: DataFrame) -> DataFrame:
+    """ends (series_id, chunk, times at the chunk's end) with earlier: the last HANDED times before the chunk."""
+    past = Window.partitionBy("series_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"p{k}" for k in range(HANDED)]
+    for name, before in zip(names, ["times", *names]):
+        some = F.col("times") if before == "times" else F.when(F.col("times").isNotNull(), F.col(before))
+        ends = ends.withColumn(name, F.last(some, True).over(past))
+    none = F.array().cast("array<double>")
+    return ends.withColumn("earlier", F.slice(F.concat(*(F.coalesce(name, none) for name in names)), 1, HANDED)).drop(*names)
+
+
+def _chunks(signal: DataFrame, config: ZcdConfig, chunk: int) -> DataFrame:
+    """signal's samples, marked, with their chunk; a chunk's last sample visits the next one."""
+    own = F.floor(F.col("i") / F.lit(chunk))
+    both = F.when(F.pmod("i", F.lit(chunk)) == chunk - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = signal.select("series_id", "i", "t", "x", F.explode(both).alias("chunk"))
+    marked = _marked(cut, F.lag("x").over(_order("chunk")), F.lag("t").over(_order("chunk")), config)
+    return marked.filter(own == F.col("chunk"))
+
+
 def zcd_trace_chunked(signal: DataFrame, config: ZcdConfig = ZcdConfig(), chunk: int = 1 << 20, fold: bool | None = None) -> DataFrame:
-    """zcd_trace for long series: samples are partitioned by series and chunk of i.
+    """zcd_trace for long series, whose samples i numbers from 0: samples are partitioned by series and chunk of i.
 
-    Only a chunk's last sample, its crossings and its last accepted frequency cross chunks.
+    Samples are marked once and stored with the last crossing times in their chunk. Across chunks go a
+    chunk's last crossing times only, and a series' first gap that is too long. The fold takes the
+    crossings of a series in order; all else is worked on by chunk.
     """
-    cut = signal.select("series_id", "i", "t", "x", F.floor(F.col("i") / F.lit(chunk)).alias("chunk"))
-    ends = cut.groupBy("series_id", "chunk").agg(F.max_by(F.struct("x", "t"), "i").alias("end"))
-    by_chunk = Window.partitionBy("series_id").orderBy("chunk")
-    ends = ends.select("series_id", "chunk", F.lag("end").over(by_chunk).alias("end"))
-    own = _order("chunk")
-    first = F.row_number().over(own) == 1
-    with_ends = cut.join(ends, ["series_id", "chunk"])
-    x0 = F.when(first, F.col("end.x")).otherwise(F.lag("x").over(own))
-    t0 = F.when(first, F.col("end.t")).otherwise(F.lag("t").over(own))
-    marked = _marked(with_ends, x0, t0, config).drop("end")
-    found = marked.filter("crossed")
-    fold = needs_fold(config) if fold is None else fold
-    accepted = (_folded(found, config) if fold else _accepted(found, config)).filter("f is not null").select("series_id", "i", "f", "r")
+    marked = _chunks(signal, config, chunk)
+    if needs_fold(config) if fold is None else fold:
+        return _filled(stored(marked.drop("x"), "marked"), config, chunk)
+    sure = F.when(F.col("crossed") & ~F.isnan("t_cross"), F.col("t_cross"))
+    marked = stored(_last_times(sure, _before("chunk"), _so_far("chunk"), marked).drop("x"), "marked")
+    first = F.min_by("t_cross", F.when(F.col("crossed"), F.col("i")))
+    ends = marked.groupBy("series_id", "chunk").agg(F.max_by("times", "i").alias("times"), first.alias("first"))
+    carried = stored(_carried(ends), "chunk-ends")
+    none = F.array().cast("array<double>")
+    known = F.slice(F.concat(F.coalesce("times", none), F.coalesce("earlier", none)), 1, HANDED)
+    joined = _matched(marked, carried.select("series_id", "chunk", "earlier"), "series_id", "chunk").withColumn("known", known)
+    gap = F.get("known", F.lit(0)) - F.get("known", F.lit(1))
+    late = joined.filter(F.col("crossed") & ~F.isnan("t_cross") & (gap > config.max_period_s))
+    late = late.groupBy("series_id").agg(F.min("i").alias("late"), F.min_by("known", "i").alias("frozen"))
+    dead = carried.filter("first is not null").groupBy("series_id").agg(F.isnan(F.min_by("first", "chunk")).alias("dead")).filter("dead")
+    joined = _matched(_matched(joined, late, "series_id"), dead, "series_id")
+    known = F.when(F.col("dead"), none).when(F.col("i") >= F.col("late"), F.slice("frozen", 2, HANDED)).otherwise(F.col("known"))
+    joined = joined.withColumn("known", known)
+    newer, older = (F.get("known", F.lit(k)) - F.get("known", F.lit(k + 1)) for k in range(2))
+    f = F.lit(1.0) / F.nullif(newer, F.lit(0.0))
+    r = (f - F.lit(1.0) / F.nullif(older, F.lit(0.0))) / F.nullif(newer, F.lit(0.0))
+    return joined.select(
+        "series_id", "i", "t", F.coalesce(f, F.lit(config.nominal_hz)).alias("frequency_hz"), F.coalesce(r, F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross"
+    )
+
+
+def _filled(marked: DataFrame, config: ZcdConfig, chunk: int) -> DataFrame:
+    """The trace of marked samples by the fold, filled forward in each chunk and from chunk to chunk."""
+    accepted = stored(_folded(marked, config), "accepted")
     carried = accepted.withColumn("chunk", F.floor(F.col("i") / F.lit(chunk)))
     last = carried.groupBy("series_id", "chunk").agg(F.max_by("f", "i").alias("f"), F.max_by("r", F.when(F.col("r").isNotNull(), F.col("i"))).alias("r"))
-    every = cut.select("series_id", "chunk").distinct().join(last, ["series_id", "chunk"], "left")
-    past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    every = _matched(marked.select("series_id", "chunk").distinct(), last, "series_id", "chunk")
+    past = Window.partitionBy("series_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     every = every.select("series_id", "chunk", F.last("f", True).over(past).alias("f0"), F.last("r", True).over(past).alias("r0"))
-    joined = marked.join(accepted, ["series_id", "i"], "left").join(every, ["series_id", "chunk"], "left")
+    joined = _matched(_matched(marked, accepted, "series_id", "i"), every, "series_id", "chunk")
     run = _so_far("chunk")
     return joined.select(
         "series_id", "i", "t", F.coalesce(F.last("f", True).over(run), "f0", F.lit(config.nominal_hz)).alias("frequency_hz"),
         F.coalesce(F.last("r", True).over(run), "r0", F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross",
     )
-
-
-def with_mode(config: ZcdConfig, mode: str) -> ZcdConfig:
-    return replace(config, mode=mode)

@@ -3,40 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IpdftConfig, RampStep, ZcdConfig
+from ..functions.columns import nan_if_null
 from ..operators.ipdft import ipdft_trace
-from ..operators.metrics import frequency_rmse
+from ..operators.metrics import rmse_of, without_warm_up
 from ..operators.products import as_arrays
 from ..operators.zcd import zcd_trace
 from ..sources import signals
+from ..streaming.stateful import ipdft_stream, zcd_stream
 
 Scenario = Callable[[SparkSession], DataFrame]
-#: From a signal (series_id, i, t, x) to series_id, i, t, frequency_hz, rocof_hz_s and more.
-Estimator = Callable[[DataFrame], DataFrame]
 FS = 5000.0
 
+
+class Estimator(Protocol):
+    """From a signal (series_id, i, t, x) to series_id, i, t, frequency_hz, rocof_hz_s and more.
+
+    batch may keep the columns named; a sample's state is that of its series' samples before it, and starts
+    anew with each series, so nothing needs a reset between runs. stream is the same over a stream.
+    """
+
+    def batch(self, signal: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame: ...
+
+    def stream(self, signal: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Zcd:
+    config: ZcdConfig = ZcdConfig()
+
+    def batch(self, signal: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        return zcd_trace(signal, self.config, keep=keep)
+
+    def stream(self, signal: DataFrame) -> DataFrame:
+        return zcd_stream(signal, self.config)
+
+
+@dataclass(frozen=True)
+class Ipdft:
+    config: IpdftConfig = IpdftConfig(FS, 256)
+
+    def batch(self, signal: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        return ipdft_trace(signal, self.config, keep=keep)
+
+    def stream(self, signal: DataFrame) -> DataFrame:
+        return ipdft_stream(signal, self.config)
+
+
+@dataclass(frozen=True)
+class BatchOnly:
+    """A function of a signal as an estimator without a stream form."""
+
+    trace: Callable[[DataFrame], DataFrame]
+
+    def batch(self, signal: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        return self.trace(signal)
+
+    def stream(self, signal: DataFrame) -> DataFrame:
+        raise NotImplementedError("this estimator has no stream form")
+
+
 SCENARIOS: dict[str, Scenario] = {
     "frequency_step": lambda s: signals.frequency_step(s, 60.0, 59.5, 1.0, 2.0, 4.0, FS, "frequency_step"),
     "clean_drift": lambda s: signals.clean(s, 60.0, 0.1, 0.2, FS, "clean_drift"),
     "ramp_step": lambda s: signals.ramp_step(s, RampStep(60.0, 59.5, 0.5, 1.5), 2.0, FS, 1.0, "ramp_step"),
 }
-ESTIMATORS: dict[str, Estimator] = {
-    "zcd": lambda x: zcd_trace(x, ZcdConfig()),
-    "ipdft": lambda x: ipdft_trace(x, IpdftConfig(FS, 256)),
-}
+ESTIMATORS: dict[str, Estimator] = {"zcd": Zcd(), "ipdft": Ipdft()}
 
 
 def register_scenario(name: str, scenario: Scenario) -> None:
     SCENARIOS[name] = scenario
 
 
-def register_estimator(name: str, estimator: Estimator) -> None:
-    ESTIMATORS[name] = estimator
+def register_estimator(name: str, estimator: Estimator | Callable[[DataFrame], DataFrame]) -> None:
+    """An estimator, or a function of a signal."""
+    ESTIMATORS[name] = estimator if hasattr(estimator, "batch") else BatchOnly(estimator)
 
 
 def list_scenarios() -> list[str]:
@@ -47,25 +95,32 @@ def list_estimators() -> list[str]:
     return sorted(ESTIMATORS)
 
 
-def estimates(spark: SparkSession, scenarios: list[str] | None = None, estimators: list[str] | None = None) -> DataFrame:
-    """scenario, name, series_id, i, t, frequency_hz, rocof_hz_s, f_true of every estimator on every scenario; no state passes between them."""
-    parts = []
+def estimates(spark: SparkSession, scenarios: list[str] | None = None, estimators: list[str] | None = None, warm_up: int = 0) -> DataFrame:
+    """scenario, name, series_id, i, t, frequency_hz, rocof_hz_s, f_true of every estimator on every scenario, without the warm-up samples.
+
+    No state passes between them. An estimator that doesn't keep f_true is joined with it by sample.
+    """
+    parts, columns = [], ["series_id", "i", "t", "frequency_hz", "rocof_hz_s", "f_true"]
     for scenario in scenarios or list_scenarios():
         signal = SCENARIOS[scenario](spark)
         for name in estimators or list_estimators():
-            traced = ESTIMATORS[name](signal.drop("f_true")).select("series_id", "i", "t", "frequency_hz", "rocof_hz_s")
-            scored = traced.join(signal.select("series_id", "i", "f_true"), ["series_id", "i"])
-            parts.append(scored.select(F.lit(scenario).alias("scenario"), F.lit(name).alias("name"), *scored.columns))
+            traced = ESTIMATORS[name].batch(signal, ("f_true",))
+            if "f_true" not in traced.columns:
+                traced = traced.join(signal.select("series_id", "i", "f_true"), ["series_id", "i"])
+            parts.append(without_warm_up(traced, warm_up).select(F.lit(scenario).alias("scenario"), F.lit(name).alias("name"), *columns))
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_matrix(spark: SparkSession, scenarios: list[str] | None = None, estimators: list[str] | None = None, with_estimates: bool = False) -> DataFrame:
-    """scenario, name, n_samples, rmse and, if asked for, f_hat."""
-    every = estimates(spark, scenarios, estimators)
-    keyed = every.withColumn("series_id", F.concat_ws("\x1f", "scenario", "name"))
-    truth = keyed.select("series_id", "i", "f_true")
-    scored = frequency_rmse(keyed.drop("f_true", "scenario", "name"), truth)
-    if with_estimates:
-        scored = scored.join(as_arrays(keyed), "series_id")
+def run_matrix(
+    spark: SparkSession, scenarios: list[str] | None = None, estimators: list[str] | None = None, with_estimates: bool = False, warm_up: int = 0
+) -> DataFrame:
+    """scenario, name, n_samples, rmse and, if asked for, f_hat; a NaN or null estimate is counted but not scored."""
+    every = estimates(spark, scenarios, estimators, warm_up)
+    real = F.when(~F.isnan(nan_if_null(F.col("frequency_hz"))), F.col("frequency_hz"))
+    keys = ["scenario", "name"]
+    scored = every.groupBy(*keys).agg(F.count("*").alias("n_samples"), nan_if_null(rmse_of(real, F.col("f_true"))).alias("rmse"))
+    if not with_estimates:
+        return scored
+    keyed = every.withColumn("series_id", F.concat_ws("\x1f", *keys))
     parts = F.split("series_id", "\x1f")
-    return scored.select(parts[0].alias("scenario"), parts[1].alias("name"), *(c for c in scored.columns if c != "series_id"))
+    return scored.join(as_arrays(keyed).select(parts[0].alias("scenario"), parts[1].alias("name"), "f_hat"), keys)

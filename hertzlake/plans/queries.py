@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import IpdftConfig, MultiConfig, NetworkConfig, RampStep, ZcdConfig
 from ..functions.columns import angle, complex_of, has_status, magnitude
-from ..operators import fusion, ipdft, metrics, pmu, products, zcd
-from ..schema import CHANNELS, rounded
+from ..operators import fusion, ipdft, metrics, pmu, products, spectral, zcd
+from ..schema import CHANNELS, STATUS, rounded
 from ..sources import signals
 from ..sources.tables import STEP, event_signal, read_table
+from ..storage import shared_path
 from ..streaming import stateful
 from . import benchmark
 
@@ -178,12 +178,12 @@ def zcd_step_trace(spark, folder):
 
 @query(f"WITH {_windowed(EVENTS_SQL, 'pos_to_neg')} SELECT {TRACE_SQL} FROM trace")
 def zcd_pos_to_neg(spark, folder):
-    return _trace(zcd.zcd_trace(event_signal(spark, folder), ZcdConfig(mode="pos_to_neg")))
+    return _trace(zcd.zcd_trace_chunked(event_signal(spark, folder), ZcdConfig(mode="pos_to_neg")))
 
 
 @query(f"WITH {_windowed(EVENTS_SQL)} SELECT {TRACE_SQL} FROM trace")
 def zcd_rocof(spark, folder):
-    return _trace(zcd.zcd_trace(event_signal(spark, folder)))
+    return _trace(zcd.zcd_trace_chunked(event_signal(spark, folder)))
 
 
 @query(f"WITH {_windowed(EVENTS_SQL)} SELECT {TRACE_SQL} FROM trace")
@@ -193,17 +193,17 @@ def zcd_chunked(spark, folder):
 
 @query(f"WITH RECURSIVE {_stepwise(EVENTS_SQL, 0.0, 'either')} SELECT {TRACE_SQL} FROM trace")
 def zcd_either(spark, folder):
-    return _trace(zcd.zcd_trace(event_signal(spark, folder), ZcdConfig(mode="either")))
+    return _trace(zcd.zcd_trace_chunked(event_signal(spark, folder), ZcdConfig(mode="either")))
 
 
 @query(f"WITH RECURSIVE {_stepwise(EVENTS_SQL, 20.0, 'neg_to_pos')} SELECT {TRACE_SQL} FROM trace")
 def zcd_deadband(spark, folder):
-    return _trace(zcd.zcd_trace(event_signal(spark, folder), ZcdConfig(epsilon=20.0)))
+    return _trace(zcd.zcd_trace_chunked(event_signal(spark, folder), ZcdConfig(epsilon=20.0)))
 
 
 @query(f"WITH RECURSIVE {_stepwise(EVENTS_SQL, 0.0, 'neg_to_pos', 0.0006)} SELECT {TRACE_SQL} FROM trace")
 def zcd_debounce_fold(spark, folder):
-    return _trace(zcd.zcd_trace(event_signal(spark, folder), ZcdConfig(min_period_s=0.0006), fold=True))
+    return _trace(zcd.zcd_trace_chunked(event_signal(spark, folder), ZcdConfig(min_period_s=0.0006), fold=True))
 
 
 _LATCH = f"SELECT series_id, i, t, CASE WHEN t >= 1.0 AND t < 2.5 THEN -1.0::DOUBLE ELSE x END AS x FROM ({STEP_SQL})"
@@ -263,6 +263,58 @@ def ipdft_rocof(spark, folder):
     return _out(ipdft.ipdft_trace_sql(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 256)), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
+_DRIFT = f"{_generated('clean', 1000, 5000.0, '60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE')}"
+
+
+def _rated(trace0: str) -> str:
+    """CTE trace of CTE trace0 (series_id, i, t, frequency_hz)."""
+    return f"""{trace0}, trace AS (SELECT *, CASE WHEN t - lag(t) OVER w > 0 THEN (frequency_hz - lag(frequency_hz) OVER w) / nullif(t - lag(t) OVER w, 0) ELSE 0.0 END AS rocof_hz_s
+    FROM trace0 WINDOW w AS (PARTITION BY series_id ORDER BY i))"""
+
+
+@query(f"WITH {_rated(_peaks(_DRIFT, 256, 5000.0).split('trace0 AS')[0] + 'trace0 AS (SELECT sig.series_id, sig.i, t, coalesce(k * (5000.0::DOUBLE / 256), 60.0::DOUBLE) AS frequency_hz FROM sig LEFT JOIN peak ON peak.series_id = sig.series_id AND peak.i = sig.i)')} SELECT {_IPDFT_SQL} FROM trace")
+def fft_peak_trace(spark, folder):
+    found = ipdft.ipdft_trace(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 256), refined=False)
+    return _out(found, *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
+GRID = tuple(55.0 + 0.5 * k for k in range(21))
+_FRAMES = "(PARTITION BY series_id ORDER BY i ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)"
+_POWERS = f"""sig AS ({_DRIFT}), parts AS (SELECT series_id, i, t, f, x * cos(2 * pi() * f / 5000.0::DOUBLE * i) AS c, x * sin(2 * pi() * f / 5000.0::DOUBLE * i) AS s FROM sig, (SELECT 55.0::DOUBLE + 0.5 * range AS f FROM range(21))),
+    powers AS (SELECT series_id, i, t, f, pow(sum(c) OVER w, 2) + pow(sum(s) OVER w, 2) AS p FROM parts WINDOW w AS (PARTITION BY series_id, f ORDER BY i ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)),
+    trace0 AS (SELECT series_id, i, any_value(t) AS t, CASE WHEN i >= 249 THEN arg_max(f, p) ELSE 60.0::DOUBLE END AS frequency_hz FROM powers GROUP BY series_id, i)"""
+
+
+@query(f"WITH {_rated(_POWERS)} SELECT {_IPDFT_SQL} FROM trace")
+def goertzel_trace(spark, folder):
+    found = spectral.goertzel_trace(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 250), GRID)
+    return _out(found, *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
+_TURNS = f"""sig AS ({_DRIFT}), parts AS (SELECT series_id, i, t, x * cos(2 * pi() * 3 / 250 * (i % 250)) AS c, x * sin(2 * pi() * 3 / 250 * (i % 250)) AS s FROM sig),
+    sums AS (SELECT series_id, i, t, sum(c) OVER w AS c, sum(s) OVER w AS s FROM parts WINDOW w AS {_FRAMES}),
+    steps AS (SELECT *, lag(c) OVER (PARTITION BY series_id ORDER BY i) AS c0, lag(s) OVER (PARTITION BY series_id ORDER BY i) AS s0 FROM sums),
+    trace0 AS (SELECT series_id, i, t, CASE WHEN i >= 250 THEN 60.0::DOUBLE + atan2(c * s0 - s * c0, c * c0 + s * s0) * 5000.0::DOUBLE / (2 * pi()) ELSE 60.0::DOUBLE END AS frequency_hz FROM steps)"""
+
+
+@query(f"WITH {_rated(_TURNS)} SELECT {_IPDFT_SQL} FROM trace")
+def sliding_dft_trace(spark, folder):
+    found = spectral.sliding_dft_trace(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 250))
+    return _out(found, *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
+@query(
+    f"""SELECT series_id::VARCHAR AS series_id, i::BIGINT AS i, {R('any_value(t)')} AS t, {R('median(frequency_hz)', 4)} AS frequency_hz, {R('median(rocof_hz_s)', 0)} AS rocof_hz_s FROM (
+    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_windowed(_DRIFT)} SELECT * FROM trace) UNION ALL
+    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_peaks(_DRIFT, 256, 5000.0)} SELECT * FROM trace) UNION ALL
+    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_rated(_TURNS)} SELECT * FROM trace)) GROUP BY series_id, i"""
+)
+def ensemble_trace(spark, folder):
+    signal = signals.clean(spark, 60.0, 0.1, 0.2)
+    parts = [zcd.zcd_trace(signal), ipdft.ipdft_trace(signal, IpdftConfig(5000.0, 256)), spectral.sliding_dft_trace(signal, IpdftConfig(5000.0, 250))]
+    return _out(spectral.ensemble_trace(parts), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
 # several channels
 
 def _event_types(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -323,8 +375,8 @@ _RING_SQL = """placed AS (SELECT n_regionkey AS r, n_nationkey::VARCHAR AS n, ro
     edge AS (SELECT a.n AS src, b.n AS dst FROM placed a JOIN placed b ON a.r = b.r AND (b.k = a.k % a.size + 1 OR a.k = b.k % b.size + 1)
              UNION ALL VALUES ('0', 'nowhere'), ('1', '1'), ('2', '3'), ('2', '3'))"""
 _WEIGHTS_SQL = """degree AS (SELECT src, count(*) AS d FROM edge GROUP BY src),
-    weighed AS (SELECT p.src, p.dst, 1.0::DOUBLE / (1 + greatest(a.d, coalesce(b.d, 1))) AS w FROM (SELECT DISTINCT src, dst FROM edge) p JOIN degree a ON a.src = p.src LEFT JOIN degree b ON b.src = p.dst),
-    weight AS (SELECT * FROM weighed WHERE src <> dst UNION ALL SELECT src, src, greatest(0.0, 1.0 - sum(w)) FROM weighed GROUP BY src)"""
+    weighed AS (SELECT p.src, p.dst, n, 1.0::DOUBLE / (1 + greatest(a.d, coalesce(b.d, 1))) AS w FROM (SELECT src, dst, count(*) AS n FROM edge GROUP BY src, dst) p JOIN degree a ON a.src = p.src LEFT JOIN degree b ON b.src = p.dst),
+    weight AS (SELECT src, dst, w FROM weighed WHERE src <> dst UNION ALL SELECT src, src, greatest(0.0, 1.0 - sum(n * w)) FROM weighed GROUP BY src)"""
 
 
 @query(f"WITH {_RING_SQL}, {_WEIGHTS_SQL} SELECT src, dst, {R('w')} AS w FROM weight")
@@ -348,27 +400,61 @@ def consensus_step(spark, folder):
     return _out(fusion.consensus_step(_nation_values(spark, folder), _ring(spark, folder), 0.5), "node", "f")
 
 
+#: Nodes of a network, which its configuration lists on the driver.
+MOST_NODES = 100_000
+
+
 def _nodes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
-    signal = event_signal(spark, folder)
-    names = tuple(_event_types(spark, folder))
+    """All event types as nodes, in a ring of their order."""
+    types = read_table(spark, folder, "events").select("event_type").filter("event_type is not null").distinct()
+    names = tuple(x[0] for x in types.orderBy("event_type").limit(MOST_NODES + 1).collect())
+    if len(names) > MOST_NODES:
+        raise ValueError(f"a network of more than {MOST_NODES} nodes")
     ring = [(a, b) for k, a in enumerate(names) for b in (names[(k + 1) % len(names)], names[k - 1])]
-    return signal.select("i", "t", F.col("series_id").alias("node"), F.col("x").alias("value")), spark.createDataFrame(ring, "src string, dst string"), names
+    samples = event_signal(spark, folder).select("i", "t", F.col("series_id").alias("node"), F.col("x").alias("value"))
+    return samples, spark.createDataFrame(ring, "src string, dst string"), names
 
 
-@query(
-    f"""WITH {_windowed(f'''SELECT y.event_type AS series_id, g.i, g.t, coalesce(s.x, 0.0) AS x FROM (SELECT i, max(t) AS t FROM ({EVENTS_SQL}) GROUP BY i) g
-    CROSS JOIN ({_TYPES_SQL}) y LEFT JOIN ({EVENTS_SQL}) s ON s.series_id = y.event_type AND s.i = g.i WHERE k <= 5''')}
-    SELECT i::BIGINT AS i, {R('any_value(t)')} AS t, {R('avg(frequency_hz)')} AS frequency_hz, {R('avg(rocof_hz_s)', 3)} AS rocof_hz_s FROM trace GROUP BY i"""
+FUSED = "i long, t double, node string, local_hz double, local_rocof_hz_s double, frequency_hz double, rocof_hz_s double"
+
+
+def _fused(spark: SparkSession, folder: str, **config) -> DataFrame:
+    """A row for each step and node: its own estimate and the fused one."""
+    samples, edges, names = _nodes(spark, folder)
+    if not names:
+        return spark.createDataFrame([], FUSED)
+    found = fusion.fused_network(samples, edges, NetworkConfig(names, **config))
+    flat = found.select("i", "t", F.explode("local").alias("node", "v"), "frequency_hz", "rocof_hz_s")
+    flat = flat.withColumns({"local_hz": F.col("v.frequency_hz"), "local_rocof_hz_s": F.col("v.rocof_hz_s")})
+    return _out(flat, "i", "t", "node", "local_hz", "local_rocof_hz_s", "frequency_hz", "rocof_hz_s", rocof_hz_s=3, local_rocof_hz_s=3)
+
+
+_NODE_TYPES = "SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)"
+_NODE_TRACES = _windowed(
+    f"""SELECT y.event_type AS series_id, g.i, g.t, coalesce(s.x, 0.0) AS x FROM (SELECT i, max(t) AS t FROM ({EVENTS_SQL}) GROUP BY i) g
+    CROSS JOIN ({_NODE_TYPES}) y LEFT JOIN ({EVENTS_SQL}) s ON s.series_id = y.event_type AND s.i = g.i"""
 )
+_FUSED_OUT = f"""t.i::BIGINT AS i, {R('t.t')} AS t, t.series_id::VARCHAR AS node, {R('t.frequency_hz')} AS local_hz, {R('t.rocof_hz_s', 3)} AS local_rocof_hz_s,
+    {R('h.f')} AS frequency_hz, {R('h.r', 3)} AS rocof_hz_s FROM trace t JOIN"""
+
+
+@query(f"WITH {_NODE_TRACES} SELECT {_FUSED_OUT} (SELECT i, avg(frequency_hz) AS f, avg(rocof_hz_s) AS r FROM trace GROUP BY i) h ON h.i = t.i")
 def fused_mean(spark, folder):
-    samples, edges, names = _nodes(spark, folder)
-    return _out(fusion.fused_network(samples, edges, NetworkConfig(names, fuse="mean")), "i", "t", "frequency_hz", "rocof_hz_s", rocof_hz_s=3)
+    return _fused(spark, folder, fuse="mean")
 
 
-@query()
+@query(
+    f"""WITH {_NODE_TRACES}, ring AS ({_NODE_TYPES}),
+    edge AS (SELECT a.event_type AS src, b.event_type AS dst FROM ring a JOIN ring b ON b.k = (a.k + 1) % a.size
+             UNION ALL SELECT a.event_type, b.event_type FROM ring a JOIN ring b ON b.k = (a.k + a.size - 1) % a.size), {_WEIGHTS_SQL},
+    around AS (SELECT a.i, a.series_id, sum(w.w * coalesce(b.frequency_hz, a.frequency_hz)) AS s FROM trace a JOIN edge e ON e.src = a.series_id
+               JOIN weight w ON w.src = e.src AND w.dst = e.dst LEFT JOIN trace b ON b.i = a.i AND b.series_id = e.dst GROUP BY a.i, a.series_id),
+    mixed AS (SELECT v.i, v.rocof_hz_s AS r, 0.5 * v.frequency_hz + 0.5 * (coalesce(o.w, 1.0) * v.frequency_hz + coalesce(a.s, 0.0)) AS f
+              FROM trace v LEFT JOIN weight o ON o.src = v.series_id AND o.dst = v.series_id LEFT JOIN around a ON a.i = v.i AND a.series_id = v.series_id)
+    SELECT {_FUSED_OUT} (SELECT i, avg(f) AS f, avg(r) AS r FROM mixed GROUP BY i) h ON h.i = t.i"""
+)
 def fused_consensus(spark, folder):
-    samples, edges, names = _nodes(spark, folder)
-    return _out(fusion.fused_network(samples, edges, NetworkConfig(names, alpha=0.5)), "i", "t", "local", "frequency_hz", "rocof_hz_s", rocof_hz_s=3)
+    return _fused(spark, folder, alpha=0.5)
 
 
 # PMU records
@@ -398,13 +484,13 @@ def pmu_standard_row(spark, folder):
 
 
 @query(
-    """SELECT event_id::BIGINT AS event_id, (user_id % 16)::INTEGER AS status_word, user_id % 16 = 0 AS ok, (user_id % 16) & 1 <> 0 AS sync_lost, (user_id % 16) & 2 <> 0 AS data_invalid,
-    (user_id % 16) & 8 <> 0 AS estimation_error FROM events"""
+    """SELECT event_id::BIGINT AS event_id, (user_id % 16)::INTEGER AS status_word, user_id % 16 = 0 AS ok, (user_id % 16) & 1 <> 0 AS data_error, (user_id % 16) & 2 <> 0 AS clock_not_synced,
+    (user_id % 16) & 4 <> 0 AS pll_unlocked, (user_id % 16) & 8 <> 0 AS over_range FROM events"""
 )
 def pmu_status_flags(spark, folder):
     word = (F.col("user_id") % 16).cast("int")
     rows = read_table(spark, folder, "events").select("event_id", word.alias("status_word"))
-    return rows.select("event_id", "status_word", *(has_status(F.col("status_word"), x.upper()).alias(x) for x in ("ok", "sync_lost", "data_invalid", "estimation_error")))
+    return rows.select("event_id", "status_word", *(has_status(F.col("status_word"), x).alias(x.lower()) for x in STATUS))
 
 
 @query(f"WITH {_windowed(EVENTS_SQL)} SELECT {TRACE_SQL.replace('AS t,', 'AS timestamp_utc,')}, 0::INTEGER AS status_word FROM trace")
@@ -413,6 +499,18 @@ def pmu_zcd_estimates(spark, folder):
     return _out(found, "series_id", "i", "timestamp_utc", "frequency_hz", "rocof_hz_s", "status_word", rocof_hz_s=3)
 
 
+@query(
+    f"""WITH {_peaks(_generated('clean', 1000, 5000.0, '60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE'), 256, 5000.0)}
+    SELECT t.series_id::VARCHAR AS series_id, t.i::BIGINT AS i, {R('t.t')} AS "TIMESTAMP_UTC", {R('t.frequency_hz', 4)} AS "FREQUENCY_HZ", {R('t.rocof_hz_s', 0)} AS "ROCOF_HZ_S", 0::INTEGER AS "STATUS_WORD",
+    {R('abs(sig.x)')} AS "V1_MAG", {R('CASE WHEN sig.x < 0 THEN pi() ELSE 0.0 END')} AS "V1_ANGLE_RAD", 0.0::DOUBLE AS "I3_MAG", 0.0::DOUBLE AS "I3_ANGLE_RAD"
+    FROM trace t JOIN sig ON sig.i = t.i"""
+)
+def pmu_ipdft_estimates(spark, folder):
+    samples = pmu.as_samples(signals.clean(spark, 60.0, 0.1, 0.2))
+    flat = pmu.standard_rows(pmu.ipdft_estimates(samples, IpdftConfig(5000.0, 256)), ("V1", "I3"))
+    return _out(flat, *flat.columns, FREQUENCY_HZ=4, ROCOF_HZ_S=0)
+
+
 # scores
 
 
@@ -421,7 +519,26 @@ def benchmark_zcd(spark, folder):
     return _out(benchmark.run_matrix(spark, ["frequency_step"], ["zcd"]), "scenario", "name", "n_samples", "rmse")
 
 
-@query()
+_DRIFT_SQL = _generated("clean_drift", 1000, 5000.0, "60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE")
+_SCENARIOS_SQL = {
+    "frequency_step": STEP_SQL,
+    "clean_drift": _DRIFT_SQL,
+    "ramp_step": _generated(
+        "ramp_step", 10000, 5000.0,
+        """CASE WHEN t < 0.5 THEN 60.0::DOUBLE WHEN t < 1.0 THEN 60.0::DOUBLE - 1.0::DOUBLE * (t - 0.5::DOUBLE) WHEN t < 1.5 THEN 59.5::DOUBLE
+        WHEN t < 2.0 THEN 59.5::DOUBLE + 1.0::DOUBLE * (t - 1.5::DOUBLE) ELSE 60.0::DOUBLE END""",
+    ),
+}
+_ESTIMATORS_SQL = {"zcd": _windowed, "ipdft": lambda signal: _peaks(signal, 256, 5000.0)}
+
+
+def _scored_sql(scenario: str, name: str, rounded: bool = True) -> str:
+    signal, rmse = _SCENARIOS_SQL[scenario], "sqrt(avg(pow(frequency_hz - f_true, 2)))"
+    return f"""SELECT '{scenario}' AS scenario, '{name}' AS name, count(*)::BIGINT AS n_samples, {R(rmse) if rounded else rmse} AS rmse
+    FROM (WITH {_ESTIMATORS_SQL[name](signal)} SELECT i, frequency_hz FROM trace) JOIN ({signal}) USING (i)"""
+
+
+@query(" UNION ALL ".join(_scored_sql(x, y) for x in _SCENARIOS_SQL for y in _ESTIMATORS_SQL))
 def benchmark_matrix(spark, folder):
     return _out(benchmark.run_matrix(spark), "scenario", "name", "n_samples", "rmse")
 
@@ -430,7 +547,7 @@ def benchmark_matrix(spark, folder):
 def rmse_by_series(spark, folder):
     signal = event_signal(spark, folder)
     truth = signal.select("series_id", "i", F.lit(60.0).alias("f_true"))
-    return _out(metrics.frequency_rmse(zcd.zcd_trace(signal), truth), "series_id", "n_samples", "rmse")
+    return _out(metrics.frequency_rmse(zcd.zcd_trace_chunked(signal), truth), "series_id", "n_samples", "rmse")
 
 
 @query(
@@ -489,9 +606,75 @@ def plot_ylim(spark, folder):
     return _out(products.y_limits(_step(spark)), "series_id", "y_min", "y_max")
 
 
-@query()
+@query(
+    f"""SELECT 'clean_drift' AS scenario, name, (count(*) OVER (PARTITION BY name))::BIGINT AS n_samples,
+    {R('sqrt(avg(pow(frequency_hz - f_true, 2)) OVER (PARTITION BY name))')} AS rmse, i::BIGINT AS i, {R('frequency_hz', 4)} AS frequency_hz FROM (
+    SELECT 'zcd' AS name, i, frequency_hz FROM (WITH {_windowed(_DRIFT_SQL)} SELECT * FROM trace) UNION ALL
+    SELECT 'ipdft', i, frequency_hz FROM (WITH {_peaks(_DRIFT_SQL, 256, 5000.0)} SELECT * FROM trace)) JOIN ({_DRIFT_SQL}) USING (i)"""
+)
 def result_json(spark, folder):
-    return products.summary_json(benchmark.run_matrix(spark, ["clean_drift"], with_estimates=True))
+    """The summary in JSON, read back."""
+    made = products.summary_json(benchmark.run_matrix(spark, ["clean_drift"], with_estimates=True))
+    back = made.select("scenario", F.explode(F.from_json("json", "array<struct<name:string,n_samples:bigint,rmse:double,f_hat:array<double>>>")).alias("r"))
+    flat = back.select("scenario", "r.name", "r.n_samples", "r.rmse", F.posexplode("r.f_hat").alias("i", "frequency_hz"))
+    return _out(flat.withColumn("i", F.col("i").cast("long")), "scenario", "name", "n_samples", "rmse", "i", "frequency_hz", frequency_hz=4)
+
+
+@query(
+    f"""WITH s AS ({STEP_SQL}), z AS (SELECT avg(f_true) AS m FROM s WHERE t BETWEEN 0.5 AND 2.5), e AS (WITH {_windowed(STEP_SQL)} SELECT i, frequency_hz FROM trace),
+    rows AS (SELECT 'top' AS panel, 'signal' AS line, window_id, t, x AS y, false AS low FROM ({_ZOOM})
+      UNION ALL SELECT 'bottom', 'zcd', 0, i * ((SELECT max(t) FROM s) / ((SELECT count(*) FROM e) - 1)), frequency_hz, true FROM e
+      UNION ALL SELECT 'bottom', 'truth', 0, t, f_true, true FROM s)
+    SELECT panel, line, 'step' AS series_id, window_id::INTEGER AS window_id, {R('t')} AS t, {R('y')} AS y,
+      CASE WHEN low THEN {R('m * (1 - 0.15::DOUBLE)')} END AS y_min, CASE WHEN low THEN {R('m * (1 + 0.15::DOUBLE)')} END AS y_max FROM rows, z"""
+)
+def plot_product(spark, folder):
+    signal = _step(spark)
+    found = products.plot_series(signal, zcd.zcd_trace(signal).withColumn("name", F.lit("zcd")))
+    return _out(found, "panel", "line", "series_id", "window_id", "t", "y", "y_min", "y_max")
+
+
+@query(
+    f"""WITH m AS ({' UNION ALL '.join(_scored_sql(x, y) for x in ('clean_drift', 'ramp_step') for y in _ESTIMATORS_SQL)})
+    SELECT scenario, any_value(rmse) FILTER (WHERE name = 'ipdft') AS ipdft, any_value(rmse) FILTER (WHERE name = 'zcd') AS zcd FROM m GROUP BY scenario"""
+)
+def report_heatmap(spark, folder):
+    results = benchmark.run_matrix(spark, ["clean_drift", "ramp_step"])
+    return _out(products.heatmap(results, "scenario", "name", "rmse", ["ipdft", "zcd"]), "scenario", "ipdft", "zcd")
+
+
+_COSTS_SQL = "SELECT o_orderpriority AS name, count(*) AS n, avg(o_totalprice) AS cost, stddev_samp(o_totalprice) AS error FROM orders GROUP BY 1"
+
+
+def _costs(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.avg("o_totalprice").alias("cost"), F.stddev("o_totalprice").alias("error"))
+
+
+@query(f"WITH c AS ({_COSTS_SQL}) SELECT name, {R('cost', 4)} AS cost, {R('error', 4)} AS error FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.cost <= c.cost AND d.error <= c.error AND (d.cost < c.cost OR d.error < c.error))")
+def report_pareto(spark, folder):
+    return _out(products.pareto_front(_costs(spark, folder), "cost", "error"), "name", "cost", "error", cost=4, error=4)
+
+
+@query(f"WITH c AS ({_COSTS_SQL}), m AS (SELECT avg(cost) AS m FROM c) SELECT name, cost <= 100000 AND error <= 40000 AS passed, concat_ws('; ', CASE WHEN cost > 100000 THEN 'cost > 100000' END, CASE WHEN error > 40000 THEN 'error > 40000' END) AS reasons FROM c")
+def budget_verdicts(spark, folder):
+    return metrics.verdicts(_costs(spark, folder), {"cost": 100000, "error": 40000}).select("name", "passed", "reasons")
+
+
+@query(f"SELECT name, {R('rmse')} AS found, {R('rmse * 1.02')} AS expected, true AS passed FROM ({' UNION ALL '.join(_scored_sql('clean_drift', y, False) for y in _ESTIMATORS_SQL)})")
+def golden_compare(spark, folder):
+    results = benchmark.run_matrix(spark, ["clean_drift"])
+    return _out(metrics.golden_gaps(results, results.withColumn("rmse", F.col("rmse") * 1.02), ("name",), "rmse"), "name", "found", "expected", "passed")
+
+
+@query(f"SELECT 'step' AS series_id, count(*)::BIGINT AS n_samples, 0::BIGINT AS n_wrong, 0.0::DOUBLE AS largest FROM ({STEP_SQL})")
+def truth_check(spark, folder):
+    analytic = F.when((F.col("t") >= 1.0) & (F.col("t") < 2.0), 59.5).otherwise(60.0)
+    return _out(metrics.truth_gaps(_step(spark), analytic), "series_id", "n_samples", "n_wrong", "largest")
+
+
+@query(f"WITH {_windowed(STEP_SQL)} SELECT 'frequency_step' AS scenario, 'zcd' AS name, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - f_true, 2)))')} AS rmse FROM trace WHERE i >= 500")
+def benchmark_warm_up(spark, folder):
+    return _out(benchmark.run_matrix(spark, ["frequency_step"], ["zcd"], warm_up=500), "scenario", "name", "n_samples", "rmse")
 
 
 @query(
@@ -506,16 +689,15 @@ def error_histogram(spark, folder):
 
 
 def _streamed(spark: SparkSession, folder: str, estimate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The event signal, written in two parts by the order of samples, through a stream, until all is there."""
-    base = tempfile.mkdtemp(prefix="stream-")
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{conf.rstrip('/')}/{base.rsplit('/', 1)[-1]}" if conf else base
-    signal = event_signal(spark, folder)
-    half = signal.agg(F.max("i")).first()[0] // 2
-    for part in (F.col("i") <= half, F.col("i") > half):
-        signal.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema("series_id string, i long, t double, x double").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{base}/in")
-    stateful.drained(estimate(source), f"{base}/out", f"{base}/checkpoint")
+    """The event signal through a stream in two runs, the first half of the samples in the one, the others in the next."""
+    signal, base = event_signal(spark, folder), shared_path(spark, "stream")
+    last = signal.agg(F.max("i")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], stateful.OUT)
+    for part in (F.col("i") <= last // 2, F.col("i") > last // 2):
+        signal.filter(part).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema("series_id string, i long, t double, x double").parquet(f"{base}/in")
+        stateful.drained(estimate(source), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stateful.OUT).parquet(f"{base}/out")
 
 

@@ -11,8 +11,8 @@ PMU_SAMPLE = "series_id string, i bigint, V1 double, V2 double, V3 double, I1 do
 PHASORS = "map<string,struct<re:double,im:double>>"
 PMU_ESTIMATE = f"series_id string, i bigint, timestamp_utc double, frequency_hz double, rocof_hz_s double, status_word int, phasors {PHASORS}"
 RUN_RESULT = "scenario string, name string, n_samples bigint, rmse double, f_hat array<double>"
-#: Status bits.
-STATUS = {"OK": 0, "SYNC_LOST": 1, "DATA_INVALID": 2, "OVERFLOW": 4, "ESTIMATION_ERROR": 8}
+#: Status bits. Fixed values.
+STATUS = {"OK": 0, "DATA_ERROR": 1, "CLOCK_NOT_SYNCED": 2, "PLL_UNLOCKED": 4, "OVER_RANGE": 8}
 KEY = ("series_id", "i")
 
 

@@ -12,20 +12,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import RampStep
+from ..storage import stored
 
 TWO_PI = 2 * math.pi
 
 
 def samples(spark: SparkSession, duration: float, fs: float, series_id: str, count: int | None = None) -> DataFrame:
     """series_id, i, t; as many as steps of 1 / fs begin within the duration, or count."""
+    if fs <= 0:
+        raise ValueError("fs must be positive")
     step = 1.0 / fs
     n = max(0, math.ceil(duration / step)) if count is None else count
     return spark.range(n).select(F.lit(series_id).alias("series_id"), F.col("id").alias("i"), (F.col("id") * F.lit(step)).alias("t"))
 
 
-def with_phase(timed: DataFrame, frequency: Column, fs: float) -> DataFrame:
-    run = Window.partitionBy("series_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    summed = timed.withColumn("f_true", frequency.cast("double")).withColumn("total", F.sum("f_true").over(run))
+#: Samples of a running sum's chunk.
+CHUNK = 1 << 20
+
+
+def running_total(signal: DataFrame, column: str, chunk: int = CHUNK) -> DataFrame:
+    """signal with total, the sum of a column up to and with each sample: within chunks of i, plus the sums of the chunks before."""
+    cut = signal.withColumn("chunk", F.floor(F.col("i") / F.lit(chunk)))
+    own = Window.partitionBy("series_id", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy("series_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("series_id", "chunk").agg(F.sum(column).alias("all"))
+    sums = sums.select(F.col("series_id").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("all").over(past), F.lit(0.0)).alias("ahead"))
+    summed = cut.withColumn("total", F.sum(column).over(own))
+    joined = summed.join(sums, F.col("series_id").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
+    return joined.select(*signal.columns, (F.col("total") + F.col("ahead")).alias("total"))
+
+
+def with_phase(timed: DataFrame, frequency: Column, fs: float, chunk: int = CHUNK) -> DataFrame:
+    """series_id, i, t, x, f_true: a sine whose phase is the running sum of the frequency."""
+    summed = running_total(timed.withColumn("f_true", frequency.cast("double")), "f_true", chunk)
     return summed.select("series_id", "i", "t", F.sin(F.lit(TWO_PI) * F.col("total") / F.lit(float(fs))).alias("x"), "f_true")
 
 
@@ -46,16 +65,16 @@ def frequency_step(
 
 def ramp_frequency(t: Column, config: RampStep, rocof: float) -> Column:
     """f0, a ramp to f_step, f_step, a ramp back, f0; the order of the cases decides where ramps overlap."""
-    change = config.f_step_hz - config.f0_hz
+    change = config.f_step - config.f0
     length = abs(change) / rocof if rocof > 0 else 0.0
     slope = math.copysign(rocof, change) if change else rocof
-    a, b = config.t_step_s, config.t_back_s
+    a, b = config.t_step, config.t_back
     return (
-        F.when(t < a, config.f0_hz)
-        .when(t < a + length, F.lit(config.f0_hz) + F.lit(slope) * (t - a))
-        .when(t < b, config.f_step_hz)
-        .when(t < b + length, F.lit(config.f_step_hz) - F.lit(slope) * (t - b))
-        .otherwise(config.f0_hz)
+        F.when(t < a, config.f0)
+        .when(t < a + length, F.lit(config.f0) + F.lit(slope) * (t - a))
+        .when(t < b, config.f_step)
+        .when(t < b + length, F.lit(config.f_step) - F.lit(slope) * (t - b))
+        .otherwise(config.f0)
     )
 
 
@@ -63,8 +82,6 @@ def ramp_step(
     spark: SparkSession, config: RampStep | None = None, duration: float = 6.0, fs: float = 5000.0, rocof: float = 1.0, series_id: str = "ramp_step"
 ) -> DataFrame:
     """A step with ramps at rocof; none or a negative rocof is a plain step."""
-    if fs <= 0:
-        raise ValueError("fs must be positive")
     if duration < 0:
         raise ValueError("duration must not be negative")
     return with_phase(samples(spark, duration, fs, series_id), ramp_frequency(F.col("t"), config or RampStep(), float(rocof)), fs)
@@ -83,10 +100,9 @@ def chirp(spark: SparkSession, f0: float = 59.0, f1: float = 61.0, duration: flo
 
 def with_harmonics(signal: DataFrame, parts: dict[float, float], offset: float = 0.0, fs: float = 5000.0) -> DataFrame:
     """signal with multiples of its phase (order: amplitude; orders need not be whole) and an offset."""
-    run = Window.partitionBy("series_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    phase = F.lit(TWO_PI) * F.sum("f_true").over(run) / F.lit(float(fs))
+    phase = F.lit(TWO_PI) * F.col("total") / F.lit(float(fs))
     added = sum((F.lit(float(a)) * F.sin(F.lit(float(k)) * phase) for k, a in parts.items()), F.lit(float(offset)))
-    return signal.withColumn("x", F.col("x") + added)
+    return running_total(signal, "f_true").withColumn("x", F.col("x") + added).drop("total")
 
 
 def with_sag(signal: DataFrame, start: float, end: float, depth: float) -> DataFrame:
@@ -102,12 +118,25 @@ def with_noise(signal: DataFrame, sigma: float, seed: int = 0) -> DataFrame:
 
 
 def from_table(rows: DataFrame, series: str, order: str, value: str, step: float) -> DataFrame:
-    """A table's rows as signals: a series for each value of `series`, samples in the given unique order, less their mean."""
-    by = Window.partitionBy("series_id")
+    """A table's rows as signals: a series for each value of `series`, samples in the given unique order, less their mean.
+
+    Rows are sorted by ranges of series and order, so that a long series is many tasks' work, and stored
+    with their places. The first place of a series in a range and the ranges' counts and sums, a row for
+    each series and range, give numbers from 0 and the mean. A null series is a series.
+    """
     picked = rows.select(F.col(series).cast("string").alias("series_id"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    return picked.select(
-        "series_id", (F.row_number().over(by.orderBy("o")) - 1).cast("long").alias("i"), (F.col("v") - F.avg("v").over(by)).alias("x")
-    ).select("series_id", "i", (F.col("i") * F.lit(float(step))).alias("t"), "x")
+    ordered = picked.repartitionByRange("series_id", "o").sortWithinPartitions("series_id", "o")
+    # the id's upper bits are the range, the lower ones count its rows
+    placed = stored(ordered.select("series_id", "v", F.monotonically_increasing_id().alias("place")).withColumn("part", F.shiftright("place", 33)), "numbered")
+    parts = placed.groupBy("series_id", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum("v").alias("sum"), F.count("v").alias("known"))
+    whole = Window.partitionBy("series_id")
+    past = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(past), F.lit(0)) - F.col("first")
+    mean = F.sum("sum").over(whole) / F.nullif(F.sum("known").over(whole), F.lit(0))
+    parts = parts.select(F.col("series_id").alias("s"), F.col("part").alias("p"), shift.alias("shift"), mean.alias("mean"))
+    joined = placed.join(parts, F.col("series_id").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    numbered = joined.select("series_id", (F.col("place") + F.col("shift")).alias("i"), (F.col("v") - F.col("mean")).alias("x"))
+    return numbered.select("series_id", "i", (F.col("i") * F.lit(float(step))).alias("t"), "x")
 
 
 def from_csv(spark: SparkSession, path: str, mapping: dict[str, str], series_id: str = "csv") -> DataFrame:

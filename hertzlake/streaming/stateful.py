@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import IpdftConfig, ZcdConfig
@@ -33,13 +34,16 @@ def _stepped(s0: int, s1: int, mode: str) -> bool:
 
 
 def zcd_stream(signal: DataFrame, config: ZcdConfig = ZcdConfig()) -> DataFrame:
-    """OUT of a stream (series_id, i, t, x). State: last sample, anchor, frequency and its rate; null until known."""
+    """OUT of a stream (series_id, i, t, x). State: last sample, anchor, frequency and its rate; null until known.
+
+    A null sample is no crossing and is followed by none.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         x0, t0, anchor, f, r = state.get if state.exists else (None,) * 5
         rows, out = pd.concat(list(frames)).sort_values("i"), []
-        for i, t, x in zip(rows["i"], rows["t"], rows["x"]):
-            if x0 is not None and _stepped(_sign(x0, config.epsilon), _sign(x, config.epsilon), config.mode):
+        for i, t, x, gone in zip(rows["i"], rows["t"], rows["x"], rows["gone"]):
+            if x0 is not None and not gone and _stepped(_sign(x0, config.epsilon), _sign(x, config.epsilon), config.mode):
                 time = t0 + (t - t0) * (-x0 / (x - x0))
                 gap = math.nan if anchor is None else time - anchor
                 if config.min_period_s <= gap <= config.max_period_s:
@@ -47,12 +51,12 @@ def zcd_stream(signal: DataFrame, config: ZcdConfig = ZcdConfig()) -> DataFrame:
                     anchor, f = time, 1.0 / gap
                 elif anchor is None:
                     anchor = time
-            x0, t0 = float(x), float(t)
+            x0, t0 = None if gone else float(x), float(t)
             out.append((key[0], i, t, config.nominal_hz if f is None else f, 0.0 if r is None else r))
         state.update((x0, t0, anchor, f, r))
         yield pd.DataFrame(out, columns=["series_id", "i", "t", "frequency_hz", "rocof_hz_s"])
 
-    return signal.select("series_id", "i", "t", "x").groupBy("series_id").applyInPandasWithState(
+    return signal.select("series_id", "i", "t", "x", signal["x"].isNull().alias("gone")).groupBy("series_id").applyInPandasWithState(
         step, OUT, "x0 double, t0 double, anchor double, f double, r double", "append", GroupStateTimeout.NoTimeout
     )
 
@@ -80,12 +84,25 @@ def ipdft_stream(signal: DataFrame, config: IpdftConfig) -> DataFrame:
     )
 
 
-def late_limited(signal: DataFrame, time_column: str, delay: str) -> DataFrame:
-    """The stream with a watermark on an event time, cast to a time with a zone, as watermarks need."""
-    return signal.withColumn(time_column, signal[time_column].cast("timestamp")).withWatermark(time_column, delay)
+def in_order(signal: DataFrame, time_column: str, delay: str) -> DataFrame:
+    """series_id, i, t, x of a stream whose samples come out of order: each once, as soon as the watermark has passed its time.
+
+    A sample later than the delay, or a repeated one, is dropped by the watermark. The time column is cast to
+    a time with a zone, as watermarks need. In append mode a group is given out when its time is past, so
+    the estimators, which sort a micro-batch by i, see samples in order.
+    """
+    timed = signal.withColumn(time_column, signal[time_column].cast("timestamp")).withWatermark(time_column, delay)
+    first = [F.first(c).alias(c) for c in ("t", "x")]
+    # the window is one microsecond: it closes when the watermark passes the sample's time
+    return timed.groupBy(F.window(time_column, "1 microsecond"), "series_id", "i").agg(*first).select("series_id", "i", "t", "x")
+
+
+def without_series(signal: DataFrame, ended: DataFrame) -> DataFrame:
+    """The stream without the series of a table (series_id): a reset is a new series_id, and the ended one's samples go."""
+    return signal.join(ended.select("series_id").distinct(), "series_id", "left_anti")
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write all that is there to Parquet at path, and stop."""
+    """Write all that is there to Parquet at path, and stop; with the same checkpoint the next call goes on from there."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -24,3 +24,8 @@ def test_imports_without_the_training_data_operators(tmp_path):
     shutil.rmtree(tmp_path / "hertzlake" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; assert 'zcd_rocof' in e.queries() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_imports_without_a_package_of_the_training_data_operators():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'zcd_rocof' in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

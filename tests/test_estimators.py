@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hertzlake.config import IpdftConfig, MultiConfig, NetworkConfig, RampStep, ZcdConfig
-from hertzlake.operators import fusion, ipdft, metrics, pmu, products, zcd
+from hertzlake.operators import fusion, ipdft, metrics, pmu, products, spectral, zcd
 from hertzlake.plans import benchmark, queries
 from hertzlake.sources import signals
 
@@ -75,15 +75,26 @@ def test_latch_freezes_the_estimate(spark):
     assert found.frequency_hz[found.t > 2.6].nunique() == 1
 
 
-@pytest.mark.parametrize("at", [0, 200])
-def test_nan_needs_the_fold(spark, at):
+@pytest.mark.parametrize("at", [0, 40, 200])
+@pytest.mark.parametrize("trace", [lambda x: zcd.zcd_trace(x), lambda x: zcd.zcd_trace(x, fold=True), lambda x: zcd.zcd_trace_chunked(x, chunk=77)])
+def test_nan_samples(spark, at, trace):
     t, x = noisy(1500)
     x = x.copy()
     x[at : at + 40] = math.nan
-    found = traced(zcd.zcd_trace(frame(spark, {"s": (t, x)}), fold=True))
+    found = traced(trace(frame(spark, {"s": (t, x)})))
     np.testing.assert_allclose(found.frequency_hz, [f for f, _ in loop(t, x, ZcdConfig())], rtol=1e-9)
 
 
+@pytest.mark.parametrize("trace", [lambda x: zcd.zcd_trace(x), lambda x: zcd.zcd_trace(x, fold=True), lambda x: zcd.zcd_trace_chunked(x, chunk=50), lambda x: zcd.zcd_trace_chunked(x, chunk=50, fold=True)])
+def test_a_null_series_is_a_series(spark, trace):
+    signal = frame(spark, {"a": noisy(600)})
+    both = signal.union(signal.withColumn("series_id", F.lit(None).cast("string")))
+    found = trace(both).toPandas().sort_values("i")
+    alone, other = (found[known].frequency_hz.to_numpy() for known in (found.series_id.notna(), found.series_id.isna()))
+    np.testing.assert_array_equal(alone, other)
+    assert len(set(alone)) > 2
+
+
 def test_crossings_can_go_back_with_a_deadband(spark):
     x = [-1, -0.21, -0.19, -1, 1]
     found = zcd.crossings(frame(spark, {"s": (np.arange(5) / 1000, x)}), ZcdConfig(epsilon=0.2)).orderBy("n").collect()
@@ -173,6 +184,42 @@ def test_consensus_of_the_direct_formula(spark):
     assert set(none.values()) == {59.5}
 
 
+def direct_weights(adjacency):
+    """The definition, entry by entry of the neighbours' lists."""
+    degree = {a: max(1, len(near)) for a, near in adjacency.items()}
+    found = {}
+    for a, near in adjacency.items():
+        for b in near:
+            found[a, b] = 1 / (1 + max(degree[a], degree.get(b, 1)))
+        found[a, a] = max(0.0, 1 - sum(1 / (1 + max(degree[a], degree.get(b, 1))) for b in near))
+    return found
+
+
+@pytest.mark.parametrize("pairs", ["ab ab", "ab ab ba", "aa ab ba", "aa aa ab az", "ab bc ca cb ac ba ba cc"])
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_repeated_edges_and_edges_to_itself(spark, monkeypatch, pairs, small):
+    monkeypatch.setattr(fusion, "SMALL_GRAPH", small)
+    adjacency = {}
+    for pair in pairs.split():
+        adjacency.setdefault(pair[0], []).append(pair[1])
+    edges = spark.createDataFrame([tuple(p) for p in pairs.split()], "src string, dst string")
+    weights = direct_weights(adjacency)
+    found = {(r.src, r.dst): r.w for r in fusion.metropolis_weights(edges).collect()}
+    assert found.keys() == weights.keys() and all(math.isclose(found[k], weights[k], rel_tol=1e-12) for k in weights)
+    values = {"a": 60.0, "b": 60.5, "c": 59.0, "d": 61.0}
+    stepped = {r.node: r.f for r in fusion.consensus_step(spark.createDataFrame(list(values.items()), "node string, f double"), edges, 0.7).collect()}
+    for node, f in values.items():
+        around = sum(weights[node, b] * values.get(b, f) for b in adjacency.get(node, []))
+        expected = 0.3 * f + 0.7 * (weights.get((node, node), 1.0) * f + around)
+        assert math.isclose(stepped[node], expected, rel_tol=1e-12)
+
+
+def test_equal_frequencies_stay(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b")], "src string, dst string")
+    values = spark.createDataFrame([("a", 60.0), ("b", 60.0)], "node string, f double")
+    assert {round(r.f, 9) for r in fusion.consensus_step(values, edges).collect()} == {60.0}
+
+
 def test_strict_scores_and_validation_raise(spark):
     estimates = spark.createDataFrame([("s", 0, 1.0)], "series_id string, i long, frequency_hz double")
     truth = spark.createDataFrame([("s", 1, 1.0)], "series_id string, i long, f_true double")
@@ -232,6 +279,51 @@ def test_csv_source(spark, tmp_path):
     assert [(r.i, r.x) for r in found] == [(0, 1.5), (1, -2.0)]
 
 
+def test_reports_of_suites(spark):
+    rows = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0), ("t", "a", 3.0)], "scenario string, name string, rmse double")
+    cells = {r.scenario: (r.a, r.b) for r in products.heatmap(rows, "scenario", "name", "rmse", ["a", "b"]).collect()}
+    assert cells == {"s": (1.0, 2.0), "t": (3.0, None)}
+    golden = spark.createDataFrame([("s", "a", 1.02), ("s", "b", 2.5), ("u", "a", 1.0)], rows.schema)
+    passed = {(r.scenario, r["name"]): r.passed for r in metrics.golden_gaps(rows, golden, ("scenario", "name"), "rmse").collect()}
+    assert passed == {("s", "a"): True, ("s", "b"): False, ("t", "a"): False, ("u", "a"): False}
+    assert metrics.suite_digest(rows) == metrics.suite_digest(rows.repartition(3)) != metrics.suite_digest(rows.union(rows.limit(1)))
+    tone = signals.clean(spark, 60.0, 0.1, 0.2)
+    assert metrics.truth_gaps(tone, F.lit(60.0) + 0.5 * F.col("t")).first().n_wrong == 0
+    wrong = metrics.truth_gaps(tone.withColumn("f_true", F.when(F.col("i") == 7, math.nan).when(F.col("i") != 8, F.col("f_true"))), F.lit(60.0) + 0.5 * F.col("t")).first()
+    assert (wrong.n_samples, wrong.n_wrong) == (1000, 2)
+    exact, near = (metrics.error_quantiles(zcd.zcd_trace(tone), tone, a).first() for a in (None, 10000))
+    assert abs(exact.fe_p95 - near.fe_p95) < 1e-3
+
+
+def test_registries(spark, monkeypatch):
+    monkeypatch.setattr(benchmark, "SCENARIOS", dict(benchmark.SCENARIOS))
+    monkeypatch.setattr(benchmark, "ESTIMATORS", dict(benchmark.ESTIMATORS))
+    benchmark.register_scenario("short", lambda s: signals.clean(s, 60.0, 0.0, 0.1, 5000.0, "short"))
+    benchmark.register_estimator("constant", lambda signal: signal.select("series_id", "i", "t", F.lit(61.0).alias("frequency_hz"), F.lit(0.0).alias("rocof_hz_s")))
+    assert "short" in benchmark.list_scenarios() and "constant" in benchmark.list_estimators()
+    row = benchmark.run_matrix(spark, ["short"], ["constant"]).first()
+    assert (row.n_samples, row.rmse) == (500, 1.0)
+    assert benchmark.run_matrix(spark, ["short"], ["constant"], warm_up=100).first().n_samples == 400
+    with pytest.raises(NotImplementedError):
+        benchmark.ESTIMATORS["constant"].stream(None)
+
+
+def test_spectral_estimators_on_a_pure_tone(spark):
+    tone = signals.clean(spark, 60.2, 0.0, 0.3)
+    found = spectral.sliding_dft_trace(tone, IpdftConfig(5000.0, 250)).filter("i > 250").toPandas()
+    assert abs(found.frequency_hz.mean() - 60.2) < 0.01
+    grid = tuple(59.0 + 0.1 * k for k in range(21))
+    far = spectral.goertzel_trace(tone, IpdftConfig(5000.0, 1000), grid).filter("i > 1000").toPandas()
+    assert abs(far.frequency_hz.mean() - 60.2) < 0.11
+
+
+def test_phasors_are_the_channels_samples(spark):
+    rows = [("u", i, float(i), 2.0, -3.0, 4.0, 5.0, i / 100) for i in range(40)]
+    samples = spark.createDataFrame(rows, "series_id string, i long, V1 double, V2 double, V3 double, I1 double, I2 double, timestamp double")
+    for row in pmu.ipdft_estimates(samples, IpdftConfig(100.0, 8)).collect():
+        assert {k: (z.re, z.im) for k, z in row.phasors.items()} == {"V1": (row.i, 0), "V2": (2, 0), "V3": (-3, 0), "I1": (4, 0), "I2": (5, 0), "I3": (0, 0)}
+
+
 def test_event_types_are_the_first_in_order(spark, tmp_path):
     types = spark.range(20000).select(F.format_string("e%05d", "id").alias("event_type"))
     types.union(spark.createDataFrame([(None,)], "event_type string")).write.parquet(f"{tmp_path}/events.parquet")
