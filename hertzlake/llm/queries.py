@@ -50,10 +50,7 @@ RULES = [
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document whose doc_id is the number in its url's path; page_id is no doc_id.
-
-    The SQL twin still joins labels by page_id, doesn't merge subtrees and cuts paths to three segments, so its verdicts differ.
-    """
+    """A page's label is that of the document whose doc_id is the number in its url's path; page_id is no doc_id."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     labels = table(spark, sf_dir, "labels").select("doc_id", good.alias("good"))
     return urltree.judge_urls(table(spark, sf_dir, "pages"), labels, RULES, key="doc_id")
@@ -160,50 +157,43 @@ FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a
 
 
 def _op4_sql() -> str:
-    """The tree by the same steps as the operator: a CTE for each level on the way down."""
-    levels, keys = urltree.LEVELS, ", ".join(["host", *urltree.LEVELS, "deep"])
-    segment = lambda d: f"coalesce(string_split(path, '/')[{d + 1}], '')"
-    named = ", ".join(
-        f"CASE WHEN regexp_matches({segment(d)}, '^[0-9a-f]{{8,}}$') THEN '{{h}}' ELSE regexp_replace({segment(d)}, '[0-9]+', '{{n}}', 'g') END AS {s}"
-        for d, s in enumerate(levels, 1)
-    )
+    """The tree by the same steps as the operator: a recursion over levels, in which each row is a distinct generalised path."""
+    prior, least_support = urltree.PRIOR, urltree.LEAST_SUPPORT
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     longest = sorted(RULES, key=lambda r: (-len(r.name), r.name))
     chosen = lambda part: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, part)}'" for r in longest) + " END"
-    steps, tree, above = [], "paths", ["host"]
-    for s in levels:
-        up = ", ".join(above)
-        steps.append(
-            f"tree_{s} AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY {up}, {s}) < {urltree.LEAST_SUPPORT} THEN '*' ELSE {s} END AS t{s} FROM {tree})"
-        )
-        tree, above = f"tree_{s}", [*above, f"t{s}"]
-    steps.append(
-        f"down AS (SELECT host, (sum(good) + {urltree.PRIOR} * any_value(p)) / (sum(labelled) + {urltree.PRIOR}) AS purity FROM {tree}, whole GROUP BY host)"
-    )
-    known, above = "down", ["host"]
-    for s in levels:
-        up, branch = ", ".join(above), f"t{s}"
-        steps.append(f"own_{s} AS (SELECT {up}, {branch}, sum(good) AS g, sum(labelled) AS m FROM {tree} GROUP BY {up}, {branch})")
-        steps.append(f"far_{s} AS (SELECT *, abs(g - m * purity) > {urltree.SIMILAR} * sqrt(m * purity * (1 - purity)) AS apart FROM own_{s} JOIN {known} USING ({up}))")
-        group = f"PARTITION BY {up}, apart, CASE WHEN apart THEN {branch} ELSE '' END"
-        steps.append(
-            f"down_{s} AS (SELECT {up}, {branch}, (sum(g) OVER ({group}) + {urltree.PRIOR} * purity) / (sum(m) OVER ({group}) + {urltree.PRIOR}) AS purity FROM far_{s})"
-        )
-        known, above = f"down_{s}", [*above, branch]
+    purity = lambda good, labelled, parent: f"(({good} + {prior} * {parent}) / ({labelled} + {prior}))"
+    far = lambda good, labelled, p: f"(abs({good} - {labelled} * {p}) > {urltree.SIMILAR} * sqrt({labelled} * {p} * (1 - {p})))"
+    sums = lambda by: ", ".join(f"sum({x}) OVER (PARTITION BY {by}) AS {x}_" for x in ("n", "good", "labelled"))
     return rf"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-named AS (SELECT *, {named}, len(string_split(path, '/')) > {urltree.DEPTH + 1} AS deep FROM cut),
-known AS (SELECT doc_id AS page_id, min((quality = 1 AND toxic = 0)::INT) AS good FROM labels GROUP BY doc_id),
+named AS (
+  SELECT *, list_transform(string_split(path, '/')[2:], lambda s: CASE WHEN regexp_matches(s, '^[0-9a-f]{{8,}}$') THEN '{{h}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS segments,
+         try_cast(regexp_extract(path, '/([0-9]+)(?:[.][^/]*)?/*$', 1) AS BIGINT) AS doc_id FROM cut),
+known AS (SELECT doc_id, min((quality = 1 AND toxic = 0)::INT) AS g FROM labels WHERE (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY doc_id),
 paths AS (
-  SELECT {keys}, count(*) AS n, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS labelled
-  FROM named LEFT JOIN known USING (page_id) GROUP BY {keys}),
+  SELECT host, segments, count(*)::DOUBLE AS n, coalesce(sum(g), 0)::DOUBLE AS good, count(g)::DOUBLE AS labelled FROM named LEFT JOIN known USING (doc_id) GROUP BY ALL),
 whole AS (SELECT coalesce(sum(good) / nullif(sum(labelled), 0), 1.0) AS p FROM paths),
-{", ".join(steps)},
-blocked AS (SELECT {keys}, 'block' AS found FROM {tree} JOIN {known} USING ({", ".join(above)}) WHERE purity < {urltree.LEAST_PURITY})
+tree AS (
+  SELECT host, segments, n, good, labelled, [host] AS node, segments AS rest, 0 AS shared, 0 AS level, true AS going,
+         sum(n) OVER (PARTITION BY host) AS whole_n, {purity('sum(good) OVER (PARTITION BY host)', 'sum(labelled) OVER (PARTITION BY host)', 'p')} AS purity FROM paths, whole
+  UNION ALL
+  SELECT host, segments, n, good, labelled, node, rest, shared, level,
+         level < {urltree.DEPTH} OR (least <> most AND whole_n >= {least_support} AND ({far('good_', 'good_', 'purity')} OR {far('0', '(labelled_ - good_)', 'purity')})) AS going, whole_n, purity
+  FROM (SELECT *, CASE WHEN level < {urltree.DEPTH} THEN 0 ELSE coalesce(list_min(list_filter(range(1, greatest(len(least), len(most)) + 1), lambda k: least[k] IS DISTINCT FROM most[k])) - 1,
+               greatest(len(least), len(most))) END AS shared FROM (
+    SELECT * EXCLUDE (n_, p, whole_n), n_ AS whole_n, min(rest) OVER (PARTITION BY node) AS least, max(rest) OVER (PARTITION BY node) AS most,
+           CASE WHEN level > {urltree.DEPTH} AND n_ = whole_n THEN p ELSE {purity('good_', 'labelled_', 'p')} END AS purity FROM (
+      SELECT host, segments, n, good, labelled, list_append(node, branch) AS node, rest, level + 1 AS level, whole_n, p, {sums('node, branch')} FROM (
+        SELECT *, CASE WHEN {far('good_', 'labelled_', 'p')} THEN segment ELSE '{urltree.MERGED}' END AS branch FROM (
+          SELECT *, {sums('node, segment')} FROM (
+            SELECT *, CASE WHEN sum(n) OVER (PARTITION BY node, own) < {least_support} THEN '*' ELSE own END AS segment FROM (
+              SELECT host, segments, n, good, labelled, node, level, whole_n, purity AS p, coalesce(rest[shared + 1], '') AS own, rest[shared + 2:] AS rest FROM tree WHERE going))) x) y) z))),
+blocked AS (SELECT host, segments, 'block' AS found FROM tree WHERE NOT going AND purity < {urltree.LEAST_PURITY})
 SELECT page_id, host, path, {chosen("name")} AS rule, coalesce({chosen("verdict")}, found, 'allow') AS verdict
-FROM named LEFT JOIN blocked USING ({keys})
+FROM named LEFT JOIN blocked USING (host, segments)
 """
 
 

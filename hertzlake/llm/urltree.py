@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
 
-#: Levels of the tree that shorter paths are filled up to with empty segments.
+#: The first levels are those of every host, shorter paths filled up with empty segments; the tree goes on below where labels can tell branches apart.
 DEPTH = 3
 LEAST_SUPPORT = 5
 #: Labelled pages that the parent's purity counts as.
@@ -26,7 +26,8 @@ SIMILAR = 1.64
 LEAST_PURITY = 0.5
 #: The branch that similar branches become; no segment has a slash.
 MERGED = "/*"
-MAX_RULES = 1000
+#: Rules that become conditions of the plan; longer lists are joined by host.
+CHAIN = 200
 
 
 @dataclass(frozen=True)
@@ -57,9 +58,7 @@ def document_of(path: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest fitting rule as struct<name,verdict>, or null. The list is bounded, so it is part of the plan."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """The longest fitting rule as struct<name,verdict>, or null, as a chain of conditions."""
     found = F.lit(None).cast("struct<name:string,verdict:string>")
     for rule in sorted(rules, key=lambda r: (len(r.name), r.name)):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
@@ -67,13 +66,27 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _segment(value: Column) -> Column:
-    """A segment with numbers and hexadecimal ids as wildcards."""
-    return F.when(value.rlike("^[0-9a-f]{8,}$"), F.lit("{h}")).otherwise(F.regexp_replace(value, "[0-9]+", "{n}"))
+def with_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+    """pages (host, path, more) with fits, the longest fitting rule as struct<name,verdict>, or null.
+
+    Of a long list each distinct host gets the rules of its own name and of those it is a subdomain of.
+    """
+    if len(rules) <= CHAIN:
+        return pages.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
+    rows = [(r.host, len(r.name), r.name, r.path, r.verdict) for r in set(rules)]
+    table = pages.sparkSession.createDataFrame(rows, "above string, size int, name string, start string, verdict string")
+    labels = F.split("host", "[.]", -1)
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    own = pages.select("host").distinct().withColumn("above", above).join(table, "above")
+    own = own.groupBy("host").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "name", "start", "verdict")))).alias("rules"))
+    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0))
+    fits = F.when(first.isNotNull(), F.struct(first["name"].alias("name"), first["verdict"].alias("verdict")))
+    return pages.join(own, "host", "left").withColumn("fits", fits).drop("rules")
 
 
-#: The SQL twin's names of the first levels.
-LEVELS = [f"s{d}" for d in range(1, DEPTH + 1)]
+def _segment(value: Column) -> Column:
+    """A segment with numbers and hexadecimal ids as wildcards."""
+    return F.when(value.rlike(r"\A[0-9a-f]{8,}\z"), F.lit("{h}")).otherwise(F.regexp_replace(value, "[0-9]+", "{n}"))
 
 
 def _segments(path: Column) -> Column:
@@ -167,9 +180,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_pur
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumns({"segments": _segments(F.col("path")), "doc_id": document_of(F.col("path"))})
     known = labels.filter("good is not null").groupBy(key).agg(F.min("good").alias("good"))
-    purity = template_purity(named.join(known, key, "left"))
+    # pages without a key are dealt out by their host and path, as nothing fits them
+    spread = F.when(F.col(key).isNull(), F.xxhash64("host", "path")).otherwise(F.lit(0))
+    labelled = named.withColumn("spread", spread).join(known.withColumn("spread", F.lit(0).cast("long")), [key, "spread"], "left")
+    purity = template_purity(labelled.drop("spread"))
     keys = ["host", "segments"]
     blocked = stored(purity.filter(F.col("purity") < least_purity).select(*keys, F.lit("block").alias("found")), "blocked")
-    judged = named.join(blocked, keys, "left").withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
+    judged = with_rules(named.join(blocked, keys, "left"), rules)
     verdict = F.coalesce("fits.verdict", "found", F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("fits.name").alias("rule"), verdict.alias("verdict"))
