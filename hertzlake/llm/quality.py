@@ -4,27 +4,28 @@ Overlapping heuristic labellers call a document good or bad or abstain. Expectat
 estimates, without true labels, each labeller's accuracy in either class and the share of good
 documents, from how often each pattern of votes occurs in the whole corpus. The posterior of its pattern is a
 document's label, and a linear scorer over hashed features learns from the labels of a bounded sample.
-The scorer judges every document, also where labellers abstain or contradict each other.
+The scorer judges every document, also where labellers abstain or contradict each other. Texts are read
+for the votes, once more for the sample's features, and once more to be scored: no text is shuffled.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 GOOD, BAD, ABSTAIN = "1", "0", "-"
 DIMS = 4096
-#: Rows that the scorer is trained on, the first in the order of their ids' hashes; with fewer, all.
+#: Different texts with votes that the scorer is trained on, the first in the order of their hashes; with fewer, all.
 SAMPLE = 8192
 LEAST_SCORE = 0.5
 #: Chance of the vote `good` for a bad and for a good document, before any is estimated.
@@ -36,10 +37,18 @@ SHRINK = 8
 _SHAPES = bytes(
     65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256)
 )
-_RUNS = re.compile(rb"([aA0])\1+")
 _MARKS = bytes(b for b in range(256) if _SHAPES[b] in b"aA0 ")
 
 
+def _shaped(kinds: bytes) -> bytes:
+    """Kinds of bytes with each run of letters, capitals or digits as one."""
+    for one in (b"a", b"A", b"0"):
+        two = one * 2
+        while two in kinds:
+            kinds = kinds.replace(two * 2, one).replace(two, one)
+    return kinds
+
+
 class Measured:
     """What labellers and features need to know of a text."""
 
@@ -52,9 +61,10 @@ class Measured:
         self.capitals = kinds.count(b"A")
         self.filled = len(data) - kinds.count(b" ")
         self.marks = len(data.translate(None, _MARKS))
-        self.shapes = Counter(_RUNS.sub(rb"\1", kinds).split())
+        self.counts = Counter(self.words)
+        self.shapes = Counter(_shaped(kinds).split())
         self.repeats = sum(map(eq, self.words, self.words[1:])) / max(1, self.n - 1)
-        self.distinct = len(set(self.words)) / max(1, self.n)
+        self.distinct = len(self.counts) / max(1, self.n)
         self.unlettered = sum(n for shape, n in self.shapes.items() if b"a" not in shape and b"A" not in shape) / max(1, self.n)
 
 
@@ -73,10 +83,15 @@ LABELLERS: dict[str, Callable[[Measured], str]] = {
 }
 
 
+NOBODY = ABSTAIN * len(LABELLERS)
+
+
 def hashed_features(x: Measured) -> tuple[list[int], list[float]]:
-    """Places and values: shares of word shapes, and of repeated and distinct words, hashed to DIMS places."""
+    """Places and values, hashed to DIMS places: shares of word shapes, of words, and of repeated and distinct words."""
     shares = {b"shape:" + shape: n / x.n for shape, n in x.shapes.items()}
     shares |= {b"=repeats": x.repeats, b"=same": 1 - x.distinct, b"=marks": x.marks / max(1, x.filled), b"=capitals": x.capitals / max(1, x.letters)}
+    for word, n in x.counts.items():
+        shares[word] = n / x.n
     found: dict[int, float] = {}
     for name, value in shares.items():
         at = zlib.crc32(name)
@@ -84,24 +99,24 @@ def hashed_features(x: Measured) -> tuple[list[int], list[float]]:
     return list(found), list(found.values())
 
 
-def measured_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, votes (a letter for each labeller), places and values; the last two are null without words."""
+def votes_of(x: Measured) -> str:
+    """A letter for each labeller; a text without words gets no votes."""
+    return "".join(labeller(x) for labeller in LABELLERS.values()) if x.n else NOBODY
+
+
+def voted_documents(docs: DataFrame) -> DataFrame:
+    """votes and place of each row of docs; place is the text's hash, by which texts are sampled."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                x = Measured(text or "")
-                votes = "".join(labeller(x) for labeller in LABELLERS.values()) if x.n else ABSTAIN * len(LABELLERS)
-                rows.append((votes, *(hashed_features(x) if x.n else (None, None))))
-            votes, places, values = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(votes, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
-                ["doc_id", "votes", "places", "values"],
-            )
+            votes = [votes_of(Measured(text or "")) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), batch.column(0)], ["votes", "place"])
+
+    return docs.select(_place(docs).alias("place"), "text").mapInArrow(run, "votes string, place long")
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(picked.mapInArrow(run, "doc_id long, votes string, places array<int>, values array<double>"), "measured")
+
+def _place(docs: DataFrame) -> Column:
+    return F.xxhash64(F.lit(3), docs["text"])
 
 
 def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
@@ -127,7 +142,7 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     return dict(zip(names, posterior.tolist())), says, share
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, decay: float = 1e-5) -> np.ndarray:
+def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 120, decay: float = 1e-5) -> np.ndarray:
     """Weights, the last one constant, of a logistic regression on (places, values, label between 0 and 1)."""
     weights = np.zeros(DIMS + 1)
     if not rows:
@@ -146,39 +161,89 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 3
     return weights
 
 
+@dataclass(frozen=True)
+class Model:
+    posteriors: dict[str, float]
+    weights: np.ndarray
+
+    def score(self, x: Measured) -> float | None:
+        if not x.n:
+            return None
+        places, values = hashed_features(x)
+        return float(1 / (1 + np.exp(-np.clip(self.weights[places] @ np.array(values) + self.weights[-1], -500, 500))))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of docs: labellers from the counts of all rows' votes, the scorer from `sample` different texts.
+
+    The driver gets the counts of at most 3^labellers vote patterns, a hash and the features of `sample`
+    texts, each at most DIMS numbers. Where no labeller votes on any row, all weights are 0.
+    """
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.stored(voted_documents(docs).groupBy("votes", "place").agg(F.count("*").alias("n")), "voted")
+    found = texts.groupBy("votes").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).filter(F.col("votes") != NOBODY).collect()
+    posteriors, _, _ = fit_labellers({x["votes"]: x["n"] for x in found})
+    total = sum(x["texts"] for x in found)
+    if not total:
+        return Model(posteriors, np.zeros(DIMS + 1))
+    some = texts.filter(F.col("votes") != NOBODY).select("place")
+    # of many texts only about twice the sample is ordered, so that partitions don't send the driver a sample each
+    most = min((1 << 63) - 1, (1 << 64) * 2 * sample // total - (1 << 63))
+    last = lambda rows: rows.orderBy("place").limit(sample).agg(F.max("place"), F.count("*")).first()
+    cut, n = last(some.filter(F.col("place") <= most))
+    if n < min(sample, total):
+        cut, n = last(some)
+    scratch.clear()
+
+    def run(batches):
+        for batch in batches:
+            measured = [Measured(text or "") for text in batch.column(1).to_pylist()]
+            rows = [(place, votes_of(x), *hashed_features(x)) for place, x in zip(batch.column(0).to_pylist(), measured) if x.n]
+            rows = [x for x in rows if x[1] != NOBODY]
+            columns = zip(*rows) if rows else [()] * 4
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["place", "votes", "places", "values"])
+
+    chosen = docs.select(_place(docs).alias("place"), "text").filter(F.col("place") <= cut).groupBy("place").agg(F.first("text").alias("text"))
+    featured = chosen.mapInArrow(run, "place long, votes string, places array<int>, values array<double>")
+    rows = featured.orderBy("place").limit(sample).select("places", "values", "votes").toPandas()
+    return Model(posteriors, fit_scorer([(p, v, posteriors[x]) for p, v, x in rows.itertuples(index=False)]))
+
+
 def classify_quality(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
     """doc_id, votes, posterior, score, kept of each row of docs.
 
     posterior is null if no labeller votes. A null or empty text, or one without words, has no score and
-    is not kept. Repeated rows give repeated results, an empty table gives an empty result; other columns
-    are ignored. The driver gets the counts of at most 3^labellers vote patterns and the features of
-    `sample` rows; a text's features are as many as its word shapes, at most DIMS.
+    is not kept. Where no labeller votes on any row of docs, nothing tells good from bad: all scores are 0.5
+    and rows with words are kept. Null and repeated ids are ids like others; repeated rows give repeated
+    results, an empty table gives an empty result; other columns are ignored.
     """
-    measured = measured_documents(docs)
-    spark = docs.sparkSession
-    counts = {x["votes"]: x["count"] for x in measured.groupBy("votes").count().collect()}
-    nobody = ABSTAIN * len(LABELLERS)
-    counts.pop(nobody, None)
-    posteriors, _, _ = fit_labellers(counts)
-    voted = measured.filter(F.col("places").isNotNull() & (F.col("votes") != nobody))
-    # of many rows only about twice the sample is ordered, so that partitions don't send the driver a sample each
-    place, places = F.pmod(F.xxhash64(F.lit(3), "doc_id", "votes"), F.lit(1 << 30)), (1 << 30) * 2 * sample / max(1, sum(counts.values()))
-    picked = voted.filter(place < places).orderBy(F.xxhash64("doc_id", "votes"), "doc_id").limit(sample).select("places", "values", "votes").toPandas()
-    weights = fit_scorer([(p, v, posteriors[x]) for p, v, x in picked.itertuples(index=False)])
-    shared = spark.sparkContext.broadcast((weights, posteriors))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def run(batches):
-        weights, posteriors = shared.value
+        model = shared.value
         for batch in batches:
-            votes = batch.column(1).to_pylist()
-            scores = [
-                None if at is None else float(1 / (1 + np.exp(-np.clip(weights[at] @ np.array(value) + weights[-1], -500, 500))))
-                for at, value in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            measured = [Measured(text or "") for text in batch.column(1).to_pylist()]
+            votes, scores = [votes_of(x) for x in measured], [model.score(x) for x in measured]
             kept = [x is not None and x >= least_score for x in scores]
+            posteriors = [model.posteriors.get(x) for x in votes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([posteriors.get(x) for x in votes], pa.float64()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())],
+                [batch.column(0), pa.array(votes, pa.string()), pa.array(posteriors, pa.float64()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())],
                 ["doc_id", "votes", "posterior", "score", "kept"],
             )
 
-    return measured.mapInArrow(run, "doc_id long, votes string, posterior double, score double, kept boolean")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return picked.mapInArrow(run, "doc_id long, votes string, posterior double, score double, kept boolean")
+
+
+def good_documents(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all columns, that classify_quality keeps; scored and filtered where they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(fit(docs, sample)), docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            scores = [model.score(Measured(text or "")) for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([x is not None and x >= least_score for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,61 @@ def test_held_out_accuracy(spark):
     assert good.kept.mean() > 0.995 and (~bad.kept).mean() > 0.8
 
 
+def brute(rows):
+    """The operator's definition row by row: all votes, their posteriors, the sample by hash order, the scores."""
+    import xxhash
+
+    def place(text):
+        seed = xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42)
+        found = seed if text is None else xxhash.xxh64_intdigest(text.encode(), seed)
+        return found - (1 << 64) if found >> 63 else found
+
+    measured = [quality.Measured(text or "") for _, text in rows]
+    votes = ["".join(f(x) for f in quality.LABELLERS.values()) if x.n else quality.NOBODY for x in measured]
+    patterns = {}
+    for v in votes:
+        if v != quality.NOBODY:
+            patterns[v] = patterns.get(v, 0) + 1
+    posteriors = quality.fit_labellers(patterns)[0]
+    texts = {place(rows[k][1]): k for k in range(len(rows)) if votes[k] != quality.NOBODY}
+    picked = [texts[x] for x in sorted(texts)[:60]]
+    weights = quality.fit_scorer([(*quality.hashed_features(measured[k]), posteriors[votes[k]]) for k in picked])
+    for (doc_id, _), x, v in zip(rows, measured, votes):
+        score = None
+        if x.n:
+            at, values = quality.hashed_features(x)
+            score = 1 / (1 + np.exp(-(sum(weights[a] * value for a, value in zip(at, values)) + weights[-1])))
+        yield str(doc_id), v, posteriors.get(v), score, score is not None and score >= 0.5
+
+
+def test_equals_brute_force(spark, folder):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()] + [(None, "Null ids too, " * 9), (7000, None), (7001, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((str(r.doc_id), r.votes, r.posterior, r.score, r.kept) for r in quality.classify_quality(docs, sample=60).collect())
+    expected = sorted(brute(rows))
+    assert [x[:3] + x[4:] for x in found] == [x[:3] + x[4:] for x in expected]
+    assert all(a[3] is b[3] is None or abs(a[3] - b[3]) < 1e-6 for a, b in zip(found, expected))
+    kept = [(r.doc_id, r.text) for r in quality.good_documents(docs, sample=60).collect()]
+    assert sorted(map(str, kept)) == sorted(str(row) for row, x in zip(rows, brute(rows)) if x[4])
+
+
+def test_rows_without_ids_are_judged(spark):
+    clean = "The house of wonders stands by the river, and the people of the town pass it on their way. "
+    rows = [(None, clean * (1 + k % 7)) for k in range(1600)] + [(None, "BUY!! NOW!! $$$ ### ***&&& " * (15 + k % 3)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = quality.classify_quality(docs, sample=50).collect()
+    assert sum(r.kept for r in found) == 1600 and quality.good_documents(docs, sample=50).filter("text LIKE 'BUY%'").count() == 0
+
+
+def test_without_any_vote_all_words_stay(spark):
+    docs = spark.createDataFrame([(1, "Yes."), (2, "No no"), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: (r.score, r.kept) for r in quality.classify_quality(docs).collect()} == {1: (0.5, True), 2: (0.5, True), 3: (None, False)}
+
+
+def test_shapes():
+    assert quality.Measured("Aaa BBB a1b22 éé. x--y").shapes == {b"Aa": 1, b"A": 1, b"a0a0": 1, b"a.": 1, b"a--a": 1}
+
+
 def test_cases(spark):
     clean = "The house of wonders stands by the river, and the people of the town pass it on their way. "
     rows = [(k, clean * (1 + k % 5), "x") for k in range(200)] + [(300 + k, "BUY!! NOW!! $$$ ### ***&&& " * 20, "x") for k in range(20)]
