@@ -1,9 +1,11 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds the anchors of a text: at-signs, dots and plus signs before a digit,
-digits, scheme separators and identifier cues. A deterministic parser for each kind expands an
-anchor over neighbouring characters and validates what it finds. Parsers of one kind work from left
-to right and start behind their own last match, so their matches are leftmost and do not overlap.
+digits, scheme separators and identifier cues in any case. A deterministic parser for each kind expands
+an anchor over neighbouring characters and validates what it finds: an account number by its form or
+check digits. Parsers of one kind work from left to right and start behind their own last match, so their
+matches are leftmost and do not overlap; they look at a cheap condition first, so that text that repeats an
+anchor costs no more than other text.
 """
 
 from __future__ import annotations
@@ -24,10 +26,16 @@ LABEL = LETTERS | DIGITS | frozenset("-")
 DIALLED = DIGITS | frozenset(" ().-")
 ENDS_URL = frozenset(" \t\n\x0b\x0c\r<>\"'`{}|\\^")
 SECRET = LETTERS | DIGITS | frozenset("-_")
-#: Words before an account number or a secret, then at most a separator and a quote.
-CUES = ("account", "iban", "passport", "token", "api_key", "secret", "password", "ssn")
+#: Words before an account number or a secret, in lower case. Fixed values.
+CUES = (
+    "account", "acct", "iban", "passport", "token", "api_key", "apikey", "api-key", "secret", "password", "passwd", "ssn", "social security",
+)
+#: Words that may stand between a cue and its value. Fixed values.
+LINKS = ("number", "no.", "no", "nr.", "nr", "id", "is", "key")
 #: Letters and digits that such a value has at least; values without a digit are words.
 LEAST_VALUE = 6
+#: Letters and digits of an IBAN at most.
+LONGEST_IBAN = 34
 
 Span = tuple[int, int]
 
@@ -117,27 +125,72 @@ def url_at(text: str, colon: int, free: int) -> tuple[Span | None, int]:
     start = colon
     while start > free and text[start - 1] in LETTERS:
         start -= 1
+    if start == colon:
+        return None, free
     end = colon + 3
     while end < len(text) and text[end] not in ENDS_URL:
         end += 1
     while end > colon + 3 and text[end - 1] in ".,;:!?)*#&$%":
         end -= 1
-    if start == colon or end == colon + 3:
+    if end == colon + 3:
         return None, free
     return (start, end), end
 
 
+def iban_right(value: str) -> bool:
+    """Two letters, two check digits, letters and digits: the number they make leaves 1 when divided by 97."""
+    if not (15 <= len(value) <= LONGEST_IBAN and value[:2].isalpha() and value[2:4].isdigit()):
+        return False
+    return int("".join(str(int(x, 36)) for x in value[4:] + value[:4])) % 97 == 1
+
+
+def _printed(text: str, start: int, end: int) -> int:
+    """Where a value of letters and digits that starts at `start` ends if single blanks or hyphens part its printed groups.
+
+    Groups are of capitals and digits and hold a digit each; the first ends at `end`. An IBAN ends where its
+    check digits are right, and may have groups without a digit.
+    """
+    best, plain, n, digits = end, "", len(text), True
+    at = start
+    while True:
+        stop = at
+        while stop < n and stop - at < LONGEST_IBAN and (text[stop] in DIGITS or "A" <= text[stop] <= "Z"):
+            stop += 1
+        group = text[at:stop]
+        plain += group
+        if not group or len(plain) > LONGEST_IBAN or stop < n and text[stop] in SECRET and text[stop] != "-":
+            return best
+        if iban_right(plain):
+            return stop
+        digits = digits and any(x in DIGITS for x in group)
+        best = max(best, stop) if digits else best
+        if not (stop + 1 < n and text[stop] in " -"):
+            return best
+        at = stop + 1
+
+
 def account_at(text: str, end_of_cue: int, free: int) -> tuple[Span | None, int]:
-    """The value behind a cue: blanks, `:`, `=` or `#`, a quote, then letters and digits."""
+    """The value behind a cue: blanks, `:`, `=` or `#`, a quote, perhaps one of LINKS; then letters and digits, also in printed groups."""
     start, n = end_of_cue, len(text)
-    while start < n and start - end_of_cue < 8 and text[start] in " :=#\"'":
-        start += 1
+    if start >= n or text[start] not in " :=#\"'" or start < free:
+        return None, free
+    for _ in range(3):
+        while start < n and text[start] in " :=#\"'":
+            start += 1
+        near = text[start : start + 8].lower()
+        link = next((x for x in LINKS if near.startswith(x) and near[len(x) : len(x) + 1] in ("", " ", ":", "=", "#")), None)
+        if not link:
+            break
+        start += len(link)
     end = start
     while end < n and text[end] in SECRET:
         end += 1
-    value = text[start:end]
-    if start < free or start == end_of_cue or len(value) < LEAST_VALUE or not any(x in DIGITS for x in value):
-        return None, free
+    if end == start:
+        return None, max(free, start)  # the blanks and quotes before it hold no cue
+    end = _printed(text, start, end)
+    value = [x for x in text[start:end] if x in LETTERS or x in DIGITS]
+    if len(value) < LEAST_VALUE or not any(x in DIGITS for x in value):
+        return None, max(free, end)
     return (start, end), end
 
 
@@ -155,8 +208,7 @@ def anchors() -> ahocorasick.Automaton:
         found.setdefault("." + digit, []).append("ip")
         found.setdefault("+" + digit, []).append("phone")
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.setdefault(form, []).append("account")
+        found.setdefault(cue, []).append("account")
     automaton = ahocorasick.Automaton()
     for word, kinds in found.items():
         automaton.add_word(word, [(KINDS.index(kind), *PARSERS[kind]) for kind in kinds])
@@ -172,7 +224,10 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     if not _AUTOMATON:
         _AUTOMATON.append(anchors())
     free, spans = [0] * len(KINDS), []
-    for end, hits in _AUTOMATON[0].iter(text):
+    lower = text.lower()
+    if len(lower) != len(text):  # some letters have longer small forms
+        lower = "".join(x.lower() if len(x.lower()) == 1 else x for x in text)
+    for end, hits in _AUTOMATON[0].iter(lower):
         for kind, parser, shift in hits:
             span, free[kind] = parser(text, end + shift, free[kind])
             if span:
@@ -230,19 +285,19 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
 
 
 def personal_data_digests(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, base_sha256 and spans (all of them, joined) of each row; cases as above."""
+    """Counts of the base kinds, base_sha256, spans (all of them, joined) and counts of the added kinds; cases as above."""
 
     def run(batches):
-        names = ["doc_id", *(f"n_{kind}" for kind in BASE), "base_sha256", "spans"]
+        names = ["doc_id", *(f"n_{kind}" for kind in BASE), "base_sha256", "spans", *(f"n_{kind}" for kind in KINDS[len(BASE) :])]
         for batch in batches:
             found = [find_spans(x or "") for x in batch.column(1).to_pylist()]
             base = [[s for s in x if s[1] < len(BASE)] for x in found]
-            counts = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in range(len(BASE))]
+            counts = [pa.array([sum(s[1] == k for s in x) for x in found], pa.int64()) for k in range(len(KINDS))]
             digests = [hashlib.sha256(_joined(x).encode()).hexdigest() for x in base]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(map(_joined, found), pa.string())], names
+                [batch.column(0), *counts[: len(BASE)], pa.array(digests, pa.string()), pa.array(map(_joined, found), pa.string()), *counts[len(BASE) :]], names
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long"
     )

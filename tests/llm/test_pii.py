@@ -41,6 +41,46 @@ def test_added_spans_and_redaction():
     assert pii.redact("http://a@b.co", pii.find_spans("http://a@b.co")) == "<URL>"
 
 
+def accounts(text):
+    return [text[a:b] for a, k, b in pii.find_spans(text) if pii.KINDS[k] == "account"]
+
+
+def test_printed_forms_of_accounts():
+    cases = {
+        "IBAN: DE89 3704 0044 0532 0130 00 is mine": ["DE89 3704 0044 0532 0130 00"],
+        "iban GB82 WEST 1234 5698 7654 32 1": ["GB82 WEST 1234 5698 7654 32"],
+        "iban GB83 WEST 1234 5698 7654 32": [],  # wrong check digits: what is before the group without a digit is too short
+        "account 1234 5678 9012 of": ["1234 5678 9012"],
+        "Account Number: 12345678": ["12345678"],
+        "ACCOUNT no. is          12-345-678, ok": ["12-345-678"],
+        "SSN 078-05-1120.": ["078-05-1120"],
+        "Social Security number 078-05-1120": ["078-05-1120"],
+        "ToKeN = 'abc_123-xyz'": ["abc_123-xyz"],
+        "password is hunter2 today": ["hunter2"],
+        "the token of thanks": [],
+        "accountant 123456": [],
+        "account": [],
+    }
+    assert {text: accounts(text) for text in cases} == cases
+    assert pii.iban_right("DE89370400440532013000") and pii.iban_right("GB82WEST12345698765432") and not pii.iban_right("DE88370400440532013000")
+    assert accounts("İ İban DE89370400440532013000") == [] and accounts("İİ iban DE89370400440532013000") == ["DE89370400440532013000"]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    def seconds(piece, n):
+        began = time.perf_counter()
+        pii.find_spans(piece * n)
+        return time.perf_counter() - began
+
+    pieces = ["secret", "secret ", "token=", "token-", "://", "a://", "a://!", "@", "a@", "@a", "a.", "1.", ".1", "+1", "+1 ", "1 ", "1-", "iban 1A ", "account no ", "account \"", "a" * 7, "secret" + "z" * 50]
+    for piece in pieces:
+        n = 200_000 // len(piece)
+        # quadratic work would take ten times longer for ten times the text, and minutes for this one
+        assert seconds(piece, n) < 20 * max(seconds(piece, n // 10), 0.01) and seconds(piece, n) < 5, piece
+
+
 def test_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -49,6 +89,7 @@ def test_documents(spark, folder):
         joined = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[1] == k for s in spans) for k in range(4)]
+        assert row.n_url + row.n_account + len(spans) == (row.spans.count(",") + 1 if row.spans else 0)
 
 
 def test_cases(spark):
