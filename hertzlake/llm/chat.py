@@ -4,7 +4,8 @@ The template only maps a list of turns to a string. The formatter renders the co
 successive prefixes and compares each output with the one before: what is new is the turn's span.
 Two more renderings, with the turn's text replaced by either of two probe letters, tell the turn's
 text from its header and trailer, as they agree everywhere else. An output that doesn't start with
-the one before comes from a template that rewrites history.
+the one before comes from a template that rewrites history; then spans of earlier outputs say nothing
+of the last one, and all texts are located again, by probes in the whole conversation.
 """
 
 from __future__ import annotations
@@ -62,8 +63,9 @@ class Template:
 @dataclass
 class Formatted:
     text: str = ""
-    #: (start of the turn, start of its text, end of its text, end of the turn), code points of text.
-    spans: list[tuple[int, int, int, int]] = field(default_factory=list)
+    #: (start of the turn, start of its text, end of its text, end of the turn), code points of text. Where
+    #: history is rewritten, the turn's own ends are None, and all is None for a text that text doesn't show.
+    spans: list[tuple[int | None, int | None, int | None, int | None]] = field(default_factory=list)
     #: Turns whose output doesn't start with the output before.
     rewrites: list[int] = field(default_factory=list)
 
@@ -91,10 +93,22 @@ def _split(before: str, one: str, other: str) -> tuple[int, int]:
     return known + head, _common(one[head:][::-1], other[head:][::-1])
 
 
+def _located(turns: list[Turn], output: str, template: Template) -> list[tuple[int | None, int | None, int | None, int | None]]:
+    """The place of each turn's text in the last output: where whole conversations with a probe for it differ."""
+    spans: list[tuple[int | None, int | None, int | None, int | None]] = []
+    for k, (role, text) in enumerate(turns):
+        one, other = (template.render([*turns[:k], (role, probe), *turns[k + 1 :]]) for probe in template.probes)
+        head, tail = _split("", one, other)
+        end = len(output) - tail
+        shown = one != other and head <= end and output[:head] == one[:head] and output[end:] == one[len(one) - tail :]
+        spans.append((None, head, end, None) if shown and template.read_text(output[head:end]) == text else (None,) * 4)
+    return spans
+
+
 def format_turns(turns: list[Turn], template: Template) -> Formatted:
     """The rendered conversation and each turn's place in it.
 
-    Spans hold for the last output. A rewritten turn's span starts where the outputs begin to differ.
+    All spans hold for the last output.
     """
     found, before = Formatted(), template.render([])
     if not turns:
@@ -102,20 +116,21 @@ def format_turns(turns: list[Turn], template: Template) -> Formatted:
     for k, (role, _) in enumerate(turns):
         prefix = turns[:k]
         output = template.render(turns[: k + 1])
-        start = len(before)
         if not output.startswith(before):
             found.rewrites.append(k)
-            start = _common(before, output)
-        head, tail = _split(before, *(template.render([*prefix, (role, probe)]) for probe in template.probes))
-        found.spans.append((start, head, len(output) - tail, len(output)))
+        if not found.rewrites:
+            head, tail = _split(before, *(template.render([*prefix, (role, probe)]) for probe in template.probes))
+            found.spans.append((len(before), head, len(output) - tail, len(output)))
         found.text = before = output
+    if found.rewrites:
+        found.spans = _located(turns, found.text, template)
     return found
 
 
-def read_back(found: Formatted, template: Template) -> list[Turn]:
-    """Roles and texts, from the rendered text and the spans alone."""
+def read_back(found: Formatted, template: Template) -> list[tuple[str | None, str | None]]:
+    """Roles and texts, from the rendered text and the spans alone; None where the spans are."""
     return [
-        (template.read_role(found.text[start:head]), template.read_text(found.text[head:tail]))
+        (None if start is None else template.read_role(found.text[start:head]), None if head is None else template.read_text(found.text[head:tail]))
         for start, head, tail, _ in found.spans
     ]
 
@@ -138,7 +153,9 @@ def format_conversations(turns: DataFrame, template: Template = Template(), loss
 
     conv_id, n_turns, formatted string, spans array<struct<start,text_start,text_end,end>>, loss_spans
     array<struct<start,end>> (the places of loss_role's texts), rewrites array<int>, and, read back from
-    formatted: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    formatted: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A template that rewrites
+    history has null starts and ends of turns, roles as given, and null spans of texts that its last output
+    doesn't show; such texts are not under the loss mask and count as empty in turns_sha256.
 
     A null text or role counts as empty, a null turn comes first, equal turn numbers are ordered by role
     and text, repeated rows are turns of their own, a null conv_id is a conversation. An empty table
@@ -159,8 +176,8 @@ def format_conversations(turns: DataFrame, template: Template = Template(), loss
 
     def one(conv_id: int | None, turns: list[dict]) -> tuple:
         found = format_turns([(x["role"], x["text"]) for x in turns], template)
-        again = read_back(found, template)
-        loss = [(head, tail) for (role, _), (_, head, tail, _) in zip(again, found.spans) if role == loss_role]
+        again = [(x["role"] if role is None else role, text or "") for x, (role, text) in zip(turns, read_back(found, template))]
+        loss = [(head, tail) for (role, _), (_, head, tail, _) in zip(again, found.spans) if role == loss_role and head is not None]
         said = "".join(template.read_text(found.text[head:tail]) for head, tail in loss)
         every = "".join(f"{role}\n{text}\n" for role, text in again)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()

@@ -23,6 +23,25 @@ def test_templates_that_rewrite_history_are_found():
     assert chat.format_turns([("u", "abc"), ("v", "d"), ("v", "e")], last_only).rewrites == [1, 2]
 
 
+def test_spans_hold_for_the_last_output():
+    counted = chat.Template(render=lambda turns: f"{len(turns)} turns\n" + "".join(f"[{role}] {text}\n" for role, text in turns), read_text=lambda t: t)
+    turns = [("assistant" if k % 2 else "user", f"text{k}") for k in range(11)] + [("user", ""), ("assistant", "x")]
+    found = chat.format_turns(turns, counted)
+    assert found.rewrites and [found.text[b:c] for _, b, c, _ in found.spans] == [text for _, text in turns]
+    last_only = chat.Template(render=lambda turns: "".join(f"[{r}]{t if k + 1 == len(turns) else '...'};" for k, (r, t) in enumerate(turns)), read_text=lambda t: t)
+    found = chat.format_turns([("u", "abc"), ("v", "..."), ("v", "e")], last_only)
+    assert found.text == "[u]...;[v]...;[v]e;" and found.spans == [(None,) * 4, (None,) * 4, (None, 17, 18, None)]
+
+
+def test_loss_of_a_template_that_rewrites(spark):
+    counted = chat.Template(render=lambda turns: f"{len(turns)} turns\n" + "".join(f"[{role}] {text}\n" for role, text in turns), read_text=lambda t: t)
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text{k}") for k in range(12)]
+    found = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), counted).first()
+    said = "".join(t for _, _, role, t in rows if role == "assistant")
+    assert found.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and found.loss_chars == len(said) and found.n_turns == 12
+    assert "".join(found.formatted[x.start : x.end] for x in found.loss_spans) == said and found.spans[0].start is None
+
+
 def test_another_black_box_is_located():
     plain = chat.Template(render=lambda turns: "".join(f"<{role}>{text}</{role}>" for role, text in turns), read_role=lambda h: h[1:-1], read_text=lambda t: t)
     turns = [("system", "be x"), ("user", ""), ("assistant", "xy yx")]
