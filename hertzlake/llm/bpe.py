@@ -18,9 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of a worker's piece cache and of its table of token pairs; both are emptied when full.
+#: Entries of a worker's piece cache and of its table of token pairs; both are emptied when full. Longer pieces aren't kept.
 CACHE = 500_000
 PAIRS = 500_000
+CACHED_CHARS = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -140,10 +141,11 @@ class TextEncoder:
         pieces = self.pattern.findall(text)
         if len(self.cache) > CACHE:
             self.cache.clear()
+        own = {}  # long pieces live as long as their text
         for piece in set(pieces).difference(self.cache):
-            self.cache[piece] = self.encoder.ids(piece.encode())
+            (self.cache if len(piece) <= CACHED_CHARS else own)[piece] = self.encoder.ids(piece.encode())
         ids: list[int] = []
-        for found in map(self.cache.__getitem__, pieces):
+        for found in map(self.cache.__getitem__, pieces) if not own else (own[x] if x in own else self.cache[x] for x in pieces):
             ids += found
         return ids
 
