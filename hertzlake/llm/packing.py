@@ -10,6 +10,7 @@ an interval's formula gives sequence and offset.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass, field
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CAPACITY = 4096
-#: Numbers by which the pieces of one length are split when they are numbered.
-SALTS = 64
-#: Entries of a worker's cache of blank-separated strings.
-CACHE = 500_000
+#: Pieces of one length that are numbered in one task; more are split by salts.
+NUMBERED = 1_000_000
+#: Entries of a worker's cache of blank-separated strings; longer ones aren't kept.
+CACHE, CACHED_BYTES = 500_000, 64
 
 #: A filled sequence: (length, copies) of its content, from the front.
 Pattern = tuple[tuple[int, int], ...]
@@ -184,6 +185,22 @@ def intervals(plan: Plan, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "start", "first", "copies", "at"]).sort_values(["length", "start"])
 
 
+#: Steps of the tokenizers that WordEncoder is written for. Fixed values.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False}
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases, drops blanks and splits words from marks.
 
@@ -200,6 +217,8 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Whether the tokenizer does what this class builds on; if not, it encodes whole texts.
+        self.known = self._known()
         self.model = self.tokenizer.model
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         #: The model's sign of each byte; bytes that no UTF-8 text has are left out.
@@ -211,20 +230,30 @@ class WordEncoder:
         self.signs = signs
         self.cache: dict[bytes, bytes] = {}
 
+    def _known(self) -> bool:
+        """Whether the file has the settings that this class is written for."""
+        spec = json.loads(self.tokenizer.to_str())
+        return all(spec[part] == settings for part, settings in SETTINGS.items()) and all(spec["model"][k] == v for k, v in MODEL.items())
+
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _new(self, chunk: bytes) -> bytes:
         word = chunk.rstrip(self.MARKS)
         if word and word != chunk:
-            if word not in self.cache:
-                self.cache[word] = self._new(word)
+            ids = self.cache.get(word)
+            if ids is None:
+                ids = self._new(word)
+                if len(word) <= CACHED_BYTES:
+                    self.cache[word] = ids
             letters = word.decode().lower()
             if letters[-1].isalpha() and letters[-1] < "\u0250":
                 marks = chunk[len(word) :]
+                if len(marks) > CACHED_BYTES:
+                    return ids + self.whole(marks)
                 if marks not in self.cache:
                     self.cache[marks] = self.whole(marks)
-                return self.cache[word] + self.cache[marks]
+                return ids + self.cache[marks]
             return self.whole(chunk)
         letters = chunk.decode().lower()
         if not letters.isalpha() or max(letters) >= "\u0250":
@@ -234,6 +263,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids, four bytes each, lowest first."""
+        if not self.known:
+            return self.whole(text.encode())
         data = text.encode().lower()
         if any(x in data for x in self.special):
             return self.whole(text.encode())
@@ -243,9 +274,10 @@ class WordEncoder:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
+        own = {}  # long strings live as long as their text
         for chunk in set(chunks).difference(cache):
-            cache[chunk] = self._new(chunk)
-        return b"".join(map(cache.__getitem__, chunks))
+            (cache if len(chunk) <= CACHED_BYTES else own)[chunk] = self._new(chunk)
+        return b"".join(map(cache.__getitem__, chunks) if not own else (own[x] if x in own else cache[x] for x in chunks))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -284,32 +316,41 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """token_pieces with sequence_id and offset, in as few sequences as the plan finds.
 
-    The driver gets a histogram of at most capacity x SALTS numbers and returns the plan's intervals,
-    a few for each length. Repeated rows are pieces of their own; an empty table gives an empty result;
-    other columns are ignored.
+    The driver gets the histogram of lengths, at most capacity numbers and one more for each NUMBERED pieces
+    of a length, and returns the plan's intervals, a few for each length. Repeated rows are pieces of their
+    own; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = stored(token_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    grid = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, n in salted.groupBy("length", "salt").count().toPandas().itertuples(index=False):
-        grid[length, salt] = n
-    plan = plan_packing(grid.sum(1), capacity)
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().toPandas().itertuples(index=False):
+        counts[length] = n
+    plan = plan_packing(counts, capacity)
     table = intervals(plan, capacity)
-    per_length = grid.sum(1)
-    base = np.cumsum(per_length) - per_length  # pieces before those of a length, if they stood in order
-    ahead = np.cumsum(grid, 1) - grid
+    base = np.cumsum(counts) - counts  # pieces before those of a length, if they stood in order
+    # a length's pieces are numbered by salt; a cell is a length and a salt
+    salts = np.maximum(1, -(-counts // NUMBERED))
+    first_cell = np.cumsum(salts) - salts
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(salts.tolist()), F.col("length").cast("int"))).cast("int")
+    salted = pieces.withColumn("salt", dealt if salts.max() > 1 else F.lit(0))
+    sizes = np.zeros(salts.sum(), np.int64)
+    if salts.max() > 1:
+        for length, salt, n in salted.groupBy("length", "salt").count().toPandas().itertuples(index=False):
+            sizes[first_cell[length] + salt] = n
+    else:
+        sizes[:] = counts
+    ahead = np.cumsum(sizes) - sizes  # cells are in the order of lengths, so this is base and the salts before
     shared = spark.sparkContext.broadcast(
-        (base[:, None] + ahead, (base[table["length"]] + table["start"]).to_numpy(), table[["first", "copies", "at"]].to_numpy(), base)
+        (first_cell, ahead, (base[table["length"]] + table["start"]).to_numpy(), table[["first", "copies", "at"]].to_numpy())
     )
     numbered = salted.withColumn(
         "k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     )
 
     def place(frames):
-        offsets, starts, formulas, base = shared.value
+        first_cell, offsets, starts, formulas = shared.value
         for x in frames:
-            place = offsets[x["length"], x["salt"]] + x["k"].to_numpy()
+            place = offsets[first_cell[x["length"]] + x["salt"].to_numpy()] + x["k"].to_numpy()
             row = np.searchsorted(starts, place, "right") - 1
             first, copies, at = formulas[row].T if len(x) else np.zeros((3, 0), np.int64)
             ahead = place - starts[row]

@@ -92,3 +92,25 @@ def test_small_sequences_and_cases(spark):
     checked({r[0]: r[1] for r in rows}, packing.pack(docs, PATH, capacity=64).collect(), 64)
     twice = docs.limit(5).union(docs.limit(5))
     assert packing.pack(twice, PATH).count() == 10 and packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_another_tokenizer_encodes_by_the_library():
+    other = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert ENCODER.known and not other.known
+    text = "The House, of wonders'll  stand\n\n"
+    ids = other.tokenizer.encode(text, add_special_tokens=False).ids
+    assert other.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_long_strings_are_not_kept():
+    encoder = packing.WordEncoder(PATH)
+    for text in ("x" * 5000, "Y" * 100 + "!" * 200, "." * 300, "Ab" * 40 + "."):
+        assert encoder.encode(text) == encoder.whole(text.encode())
+    assert all(len(x) <= packing.CACHED_BYTES for x in encoder.cache)
+
+
+def test_many_pieces_of_a_length_are_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "NUMBERED", 7)
+    rows = [(k, "the house of wonders " * (k % 3)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    checked(dict(rows), packing.pack(docs, PATH, capacity=64).collect(), 64)
