@@ -41,24 +41,23 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: list[str] = []
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def stored(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """df, written to the shared folder and read again, so that a lost executor costs no earlier work."""
         path = shared_path(self.spark, name)
         df.write.option("compression", codec).parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
 
     def clear(self, *keep: DataFrame) -> None:
-        """Delete all tables but those that the frames to keep read."""
-        kept = [file for df in keep for file in df.inputFiles()]
-        names = {path.rsplit("/", 1)[-1] for path in self.paths}
-        read = {part for file in kept for part in file.split("/") if part in names}
-        for path in self.paths:
-            if path.rsplit("/", 1)[-1] not in read:
+        """Delete all tables but those to keep, given as stored() returned them."""
+        kept = [x for x in self.tables if any(x[0] is table for table in keep)]
+        for table, path in self.tables:
+            if not any(table is x[0] for x in kept):
                 remove(self.spark, path)
-        self.paths = [path for path in self.paths if path.rsplit("/", 1)[-1] in read]
+        self.tables = kept
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
