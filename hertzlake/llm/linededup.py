@@ -1,26 +1,35 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n): sorted line hashes, and in how many documents of the run's batches the
-line stands. A new batch counts its lines, anti-joins the merged runs, which leaves the lines that they
-don't yet show to be frequent, and adds these as its own run on level 0. When a level holds `fan_out`
-runs, they are compacted into one run of the next level, so that a join meets few runs however many
-batches came.
+A run is a table of (h1, h2, n): line hashes, and in how many documents of the run's batches the line
+stands. Runs are bucketed by hash and sorted, so that a batch meets the runs bucket by bucket, without a
+shuffle of what they hold. A new batch counts its lines, merge-anti-joins the runs, which leaves the lines
+that they don't yet show to be frequent, and adds these as its own run on level 0. When a level holds
+`fan_out` runs, they are compacted into one run of the next level, so that a join meets few runs however
+many batches came.
+
+Rows then lose their frequent lines where they are: up to a checked number, the hashes of frequent lines are
+broadcast. Beyond it, the hashes of all lines are joined with them, and rows with the places that they lose.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, hash128, remove, shared_path, stored
+from .common import BLANKS, Scratch, ascii_lower, hash128, remove, shared_path
 
 LEAST_DOCS = 10
 BATCHES = 4
-FAN_OUT = 4
-#: Lines that so many rows are sure to lose are dropped by a broadcast table; at most so many there are.
-HOT_SHARE = 5000
+FAN_OUT = 3
+#: Frequent lines whose hashes, 16 bytes each, are broadcast.
+MOST_BROADCAST = 500_000
 
 
 def line_key(line: Column) -> Column:
@@ -44,36 +53,40 @@ def _hashed(docs: DataFrame, *columns: Column) -> DataFrame:
     return lines.withColumns({"h1": h1, "h2": h2}).drop("key")
 
 
-def _counted(lines: DataFrame, *by: str) -> DataFrame:
-    return lines.groupBy(*by, "h1", "h2").agg(F.count("*").alias("n"))
+def _counted(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
 
 
 class LineRuns:
-    """The runs of one corpus, in a folder of the shared file system."""
+    """The runs of one corpus: partitions of a bucketed table, whose files lie in a folder of the shared file system."""
 
     def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fan_out: int = FAN_OUT):
         self.spark, self.least_docs, self.fan_out = spark, least_docs, fan_out
-        self.folder = shared_path(spark, "line-runs")
+        self.path = shared_path(spark, "line_runs")
+        self.table = f"line_runs_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
     def _write(self, run: DataFrame, level: int) -> None:
-        """run, dealt by hash and sorted within each file."""
-        path = f"{self.folder}/level{level}-{uuid.uuid4().hex}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        """run, as files of one bucket each, sorted by hash."""
+        name = f"level{level}-{uuid.uuid4().hex}"
+        named = run.select("h1", "h2", "n", F.lit(name).alias("run"))
+        bucketed = named.write.mode("append").partitionBy("run").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        bucketed.option("path", self.path).format("parquet").saveAsTable(self.table)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.table(self.table).filter(F.col("run").isin(names)).select("h1", "h2", "n")
 
-    def _paths(self) -> list[str]:
-        return [path for level in self.levels for path in level]
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def counts(self) -> DataFrame:
         """h1, h2, n over all batches: the runs merged. From least_docs on, n is a lower bound."""
-        paths = self._paths()
-        runs = self._read(paths) if paths else self.spark.createDataFrame([], "h1 long, h2 long, n long")
+        names = self._names()
+        runs = self._read(names) if names else self.spark.createDataFrame([], "h1 long, h2 long, n long")
         return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
@@ -86,15 +99,16 @@ class LineRuns:
 
     def add_counts(self, counts: DataFrame) -> None:
         """Add a batch's lines (h1, h2, n), without those known as frequent, as a run; compact full levels."""
-        if self._paths():
-            counts = counts.join(self.frequent().select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._write(counts.select("h1", "h2", "n"), 0)
+        if self._names():
+            counts = counts.join(self.frequent().select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self._write(counts, 0)
         level = 0
         while len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
             self._write(self._read(full).groupBy("h1", "h2").agg(F.sum("n").alias("n")), level + 1)
-            for path in full:
-                remove(self.spark, path)
+            for name in full:
+                self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (run = '{name}')")
+                remove(self.spark, f"{self.path}/run={name}")
             level += 1
 
     def unseen(self, batch: DataFrame) -> DataFrame:
@@ -103,47 +117,92 @@ class LineRuns:
         lines = _lines(batch).select("doc_id", F.posexplode("lines").alias("pos", "line"))
         return lines.withColumns({"h1": h1, "h2": h2}).join(self.counts(), ["h1", "h2"], "left_anti").drop("h1", "h2")
 
+    def drop(self) -> None:
+        """Delete the runs."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)
+
 
 def count_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT) -> LineRuns:
-    """The runs of docs, taken in so many batches by doc_id's hash. Texts are read once, for the hashes of all batches."""
+    """The runs of docs, taken in so many batches by doc_id's hash.
+
+    Texts are read once: a row for each line has its count in each batch, in buckets that the runs share.
+    """
     spark = docs.sparkSession
-    runs, path = LineRuns(spark, least_docs, fan_out), shared_path(spark, "line-batches")
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
-    _counted(_hashed(docs, batch), "batch").write.partitionBy("batch").parquet(path)
-    every = spark.read.schema("h1 long, h2 long, n long, batch int").parquet(path)
+    runs, name = LineRuns(spark, least_docs, fan_out), f"line_batches_{uuid.uuid4().hex}"
+    path = shared_path(spark, "line_batches")
+    lines = _hashed(docs, F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
+    every = lines.groupBy("h1", "h2").agg(*(F.count_if(F.col("batch") == k).alias(f"n{k}") for k in range(batches)))
+    every.write.bucketBy(runs.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
     for k in range(batches):
-        runs.add_counts(every.filter(F.col("batch") == k))
+        runs.add_counts(spark.table(name).select("h1", "h2", F.col(f"n{k}").alias("n")).filter("n > 0"))
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
     return runs
 
 
-def _with_lost(docs: DataFrame, least_docs: int, batches: int) -> DataFrame:
+#: The state that hash128's second hash starts from.
+_SECOND = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
+
+
+class Frequent:
+    """The hashes of the frequent lines, in a task."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray):
+        self.first = set(h1.view(np.uint64).tolist())
+        self.both = set(zip(h1.view(np.uint64).tolist(), h2.view(np.uint64).tolist()))
+
+    def stays(self, line: bytes) -> bool:
+        key = line.strip(BLANKS.encode()).lower()
+        h1 = xxhash.xxh64_intdigest(key, 42)
+        return h1 not in self.first or not key or (h1, xxhash.xxh64_intdigest(key, _SECOND)) not in self.both
+
+
+def _frequent(docs: DataFrame, least_docs: int, batches: int) -> tuple[DataFrame, Callable[[], Frequent] | None]:
+    """The frequent lines, stored, and what makes them in a task, if they are few."""
+    runs = count_lines(docs.select("doc_id", "text"), least_docs, batches)
+    frequent = Scratch(docs.sparkSession).stored(runs.frequent().select("h1", "h2"), "lines")
+    runs.drop()
+    if frequent.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return frequent, None
+    found = frequent.toPandas().astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((found["h1"].to_numpy(), found["h2"].to_numpy()))
+    made: list[Frequent] = []
+
+    def task() -> Frequent:
+        if not made:
+            made.append(Frequent(*shared.value))
+        return made[0]
+
+    return frequent, task
+
+
+def _stripped(column: pa.Array, frequent: Frequent) -> Iterator[tuple[int, int, bytes]]:
+    """Lines before, lines dropped and the lines that stay of each text."""
+    for text in column.cast(pa.binary()).to_pylist():
+        lines = (text or b"").split(b"\n")
+        kept = [x for x in lines if frequent.stays(x)]
+        yield len(lines), len(lines) - len(kept), text or b"" if len(kept) == len(lines) else b"\n".join(kept)
+
+
+def _with_lost(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """row (a struct of docs' columns), lines, and lost, the places of the lines that the row loses.
 
-    The rows are shuffled once, to meet the places of the lines that they lose; lines travel as hashes.
-    Of lines in more than rows / HOT_SHARE documents there are few, whatever the input: their hashes are
-    broadcast, all others are joined by hash, so that no hot line meets in a task.
+    The rows are shuffled once, to meet the places of the lines that they lose; lines travel as hashes. A
+    hot line's rows are split by adaptive execution, as frequent lines come once each.
     """
-    texts = docs.select("doc_id", "text")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("version"))
-    frequent = stored(count_lines(texts, least_docs, batches).frequent(), "lines")
-    total = frequent.agg(F.sum("n")).first()[0]
-    if total is None:
-        return rows.select("row", _split_lines(F.col("row.text")).alias("lines"), F.array().cast("array<int>").alias("lost"))
-    hot = frequent.filter(F.col("n") > total / HOT_SHARE)
-    cold = frequent.filter(F.col("n") <= total / HOT_SHARE)
     h1, h2 = hash128(F.col("key"))
     lines = (
-        texts.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.transform(_split_lines(F.col("text")), line_key)).alias("pos", "key"))
+        docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.transform(_split_lines(F.col("text")), line_key)).alias("pos", "key"))
         .filter(F.length("key") > 0)
         .select("doc_id", "version", "pos", h1.alias("h1"), h2.alias("h2"))
     )
-    marked = lines.join(F.broadcast(hot.select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left")
-    sure = marked.filter("hot").select("doc_id", "version", "pos")
-    rest = marked.filter("hot is null").join(cold.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc_id", "version", "pos")
+    lost = lines.join(frequent, ["h1", "h2"], "left_semi")
     # repeated ids with other texts stay apart by the text's version
-    lost = sure.union(rest).groupBy("doc_id", "version").agg(F.collect_set("pos").alias("lost")).alias("r")
+    lost = lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("lost")).alias("r")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("version")).alias("l")
     same = F.col("row.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.version").eqNullSafe(F.col("r.version"))
-    joined = rows.alias("l").join(lost, same, "left")
+    joined = rows.join(lost, same, "left")
     return joined.select("row", _split_lines(F.col("row.text")).alias("lines"), F.coalesce("r.lost", F.array().cast("array<int>")).alias("lost"))
 
 
@@ -160,18 +219,52 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
     row. A null or empty text is one empty line, which stays. Repeated rows count as documents each and
     give repeated results; an empty table gives an empty result; other columns are ignored.
     """
-    cut = _with_lost(docs.select("doc_id", "text"), least_docs, batches)
-    return cut.select(
-        "row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), _kept_text().alias("text")
-    )
+    frequent, task = _frequent(docs, least_docs, batches)
+    if task is None:
+        cut = _with_lost(docs.select("doc_id", "text"), frequent)
+        return cut.select(
+            "row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), _kept_text().alias("text")
+        )
+    return _mapped(docs, task, "text", lambda kept: kept)
+
+
+def _mapped(docs: DataFrame, task: Callable[[], Frequent], name: str, last: Callable[[bytes], bytes | str]) -> DataFrame:
+    """doc_id, n_lines, n_dropped and a string of the lines that stay."""
+    picked = docs.select("doc_id", "text")
+    kind = picked.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        frequent = task()
+        for batch in batches:
+            rows = list(_stripped(batch.column(1), frequent))
+            columns = [pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([last(x[2]) for x in rows], pa.string())], ["doc_id", "n_lines", "n_dropped", name])
+
+    return picked.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, {name} string")
 
 
 def dedup_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
     """docs with the lines that stay as text and all other columns as they are; cases as in dedup_lines."""
-    cut = _with_lost(docs, least_docs, batches)
-    return cut.select(*(_kept_text().alias(x) if x == "text" else F.col(f"row.`{x}`").alias(x) for x in docs.columns))
+    frequent, task = _frequent(docs, least_docs, batches)
+    if task is None:
+        cut = _with_lost(docs, frequent)
+        return cut.select(*(_kept_text().alias(x) if x == "text" else F.col(f"row.`{x}`").alias(x) for x in docs.columns))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        frequent = task()
+        for batch in batches:
+            kept = pa.array([x[2] for x in _stripped(batch.column(at), frequent)], pa.string())
+            yield batch.set_column(at, pa.field("text", pa.string()), kept)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def dropped_lines_digests(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """dedup_lines with the kept text as a digest."""
-    return dedup_lines(docs, least_docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    """dedup_lines with the kept text as a digest, which is made where the text is."""
+    frequent, task = _frequent(docs, least_docs, BATCHES)
+    if task is None:
+        cut = _with_lost(docs.select("doc_id", "text"), frequent)
+        kept = F.sha2(_kept_text(), 256).alias("kept_sha256")
+        return cut.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), kept)
+    return _mapped(docs, task, "kept_sha256", lambda kept: hashlib.sha256(kept).hexdigest())

@@ -1,6 +1,9 @@
+import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from hertzlake.llm import linededup
 
 
@@ -15,7 +18,9 @@ def brute(texts, least):
     return [(len(own), len(own) - len(stay), "\n".join(stay)) for own, stay in zip(lines, kept)]
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [linededup.MOST_BROADCAST, 0])
+def test_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(linededup, "MOST_BROADCAST", most)
     rnd = random.Random(4)
     pool = ["Share this", " share THIS\t", "É", "é", "", " ", "rare one", "a", "A\r", "Ünique "]
     texts = ["\n".join(rnd.choice([*pool, f"own {k}"]) for _ in range(rnd.randrange(8))) for k in range(80)] + [None, "", "x\n" * 30_000]
@@ -24,6 +29,9 @@ def test_equals_brute_force(spark):
     for least in (2, 10):
         expected = Counter((row[0], *x) for row, x in zip(rows, brute(texts, least)))
         assert Counter(map(tuple, linededup.dedup_lines(docs, least).collect())) == expected
+        digests = linededup.dropped_lines_digests(docs, least)
+        digest = lambda x: (*x[:2], hashlib.sha256(x[2].encode()).hexdigest())
+        assert Counter(map(tuple, digests.collect())) == Counter((row[0], *digest(x)) for row, x in zip(rows, brute(texts, least)))
         documents = linededup.dedup_documents(docs, least)
         assert documents.columns == docs.columns
         assert Counter((r.lost, r.text) for r in documents.collect()) == Counter((row[2], x[2]) for row, x in zip(rows, brute(texts, least)))
@@ -44,8 +52,21 @@ def test_frequent_lines_are_not_added_again(spark):
     runs = linededup.LineRuns(spark, least_docs=2, fan_out=9)
     for k in range(4):
         runs.add(spark.createDataFrame([(2 * k, "all\nsame"), (2 * k + 1, f"ALL\nown {k}")], "doc_id long, text string"))
-    sizes = [runs._read([path]).count() for path in runs.levels[0]]
+    sizes = [runs._read([name]).count() for name in runs.levels[0]]
     assert sizes == [3, 2, 1, 1]  # all is frequent from the first batch on, same from the second
     assert runs.frequent().count() == 2
     docs = spark.createDataFrame([(k, "all\nsame") for k in range(40)], "doc_id long, text string")
     assert linededup.count_lines(docs, least_docs=10).frequent().count() == 2
+
+
+def test_runs_meet_without_a_shuffle(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k, f"all\nown {k}") for k in range(40)], "doc_id long, text string")
+        runs = linededup.count_lines(docs)
+        runs._read(runs._names()).join(runs.frequent().hint("merge"), ["h1", "h2"], "left_anti").explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and [len(x) for x in runs.levels] == [1, 1]
+        runs.drop()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
