@@ -10,13 +10,13 @@ from ..storage import Scratch, remove, shared_dir, shared_path, stored  # noqa:
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows of 64-bit ids that may be broadcast: 16 MB. More are joined by shuffle.
-SMALL = 2_000_000
+#: Rows of 64-bit ids that may be broadcast, 8 MB of numbers. More are joined by shuffle.
+SMALL = 1_000_000
 
 
 def if_small(ids: DataFrame, most: int = SMALL) -> DataFrame:
-    """ids, to be broadcast if a count finds at most so many rows; a written table, as it is read twice."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    """ids, a written table, to be broadcast if a count finds at most so many rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids.hint("merge")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hertzlake.llm import embedjoin
+from hertzlake.storage import Scratch
 
 SCHEMA = "vec_id long, embedding array<float>, label int, component_id string"
 
@@ -37,10 +39,10 @@ def result(spark, rows):
     return sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in found)
 
 
-@pytest.mark.parametrize("block,leaf", [(512, 64), (16, 4)])
-def test_equals_brute_force(spark, monkeypatch, block, leaf):
-    monkeypatch.setattr(embedjoin, "BLOCK", block)
-    monkeypatch.setattr(embedjoin, "LEAF", leaf)
+@pytest.mark.parametrize("block,leaf,fan,group", [(2048, 64, 32, 16), (16, 4, 3, 2)])
+def test_equals_brute_force(spark, monkeypatch, block, leaf, fan, group):
+    for name, value in (("BLOCK", block), ("LEAF", leaf), ("FAN", fan), ("GROUP", group)):
+        monkeypatch.setattr(embedjoin, name, value)
     rng = np.random.default_rng(3)
     rows = []
     for label in (0, 1):
@@ -61,6 +63,26 @@ def test_repeated_rows_and_empty_tables(spark):
     assert result(spark, [(1, None, 1)]) == [("1", 0, "1")]
 
 
+def test_one_id_of_different_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)]
+    assert result(spark, rows) == brute(rows) == [("1", 0, "1"), ("1", 1, "1"), ("2", 1, "1"), ("3", 0, "3")]
+
+
+def test_distant_blocks_are_skipped(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("FAN", 4)):
+        monkeypatch.setattr(embedjoin, name, value)
+    # a half circle of vectors, far more than epsilon long
+    rows = [(k, [float(np.cos(k / 400 * np.pi)), float(np.sin(k / 400 * np.pi))], 1) for k in range(400)]
+    scratch = Scratch(spark)
+    vectors = embedjoin._keyed(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).withColumn("cid", F.col("vec_id"))
+    placed = embedjoin._placed(vectors, embedjoin.principal_axes(vectors), 0.2)
+    blocks, total = embedjoin._numbered(embedjoin._blocks(placed, scratch))
+    pairs = [tuple(r) for r in embedjoin._block_pairs(blocks, total, 0.2, scratch).collect()]
+    assert total >= 50 and len(pairs) == len(set(pairs)) < total * (total + 1) / 4
+    assert sorted(r.block for r in blocks.collect()) == list(range(total))
+    assert result(spark, rows) == brute(rows)
+
+
 def test_table(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert result(spark, rows) == brute(rows)
