@@ -9,6 +9,7 @@ to the references; positions and captions stay with the references.
 from __future__ import annotations
 
 import hashlib
+import html as markup
 import zlib
 from html.parser import HTMLParser
 
@@ -139,28 +140,44 @@ def image_feature(samples: bytes) -> str:
     return f"sum={int(x.sum())};squares={int((x * x).sum())};values={used};falls={int((np.diff(rows) < 0).sum())}"
 
 
-def media_store(docs: DataFrame) -> DataFrame:
-    """The stored images of docs' texts: digest, media; written to the shared folder and read again.
+def text_page(text: str, digest: str) -> str:
+    """A page of a text's lines as paragraphs and a figure that refers to the text's image, with its size as caption."""
+    lines = "".join(f"<p>{markup.escape(line, quote=False)}</p>" for line in text.split("\n"))
+    return f'<article>{lines}<figure><img src="{SCHEME}{digest}"><figcaption>{len(text)} code points</figcaption></figure></article>'
 
-    A writing task stores equal texts once; copies in other tasks are dropped after reading, when rows
-    are small, as to bring equal payloads together first would shuffle every payload.
+
+def pages_and_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, elements, digest, media of docs' texts: the parsed sequence of each text's page, and the text's image.
+
+    Made in one pass over the texts and stored. The sequence's texts are kept as their digests (sha256), as
+    the texts lie in docs. A writing task stores equal images once, null otherwise; copies in other tasks
+    are dropped after reading, when rows are small, as to bring equal payloads together first would shuffle
+    every payload.
     """
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            out = {}
-            for text in batch.column(0).to_pylist():
-                media = to_image(padded((text or "").encode()))
+            rows = []
+            for text in batch.column(1).to_pylist():
+                data = (text or "").encode()
+                media = to_image(padded(data))
                 digest = hashlib.sha256(media)
-                if digest.digest() not in seen:
-                    seen.add(digest.digest())
-                    out[digest.hexdigest()] = media
+                elements = parse_sequence(text_page(text or "", digest.hexdigest()))
+                for element in elements:
+                    element["text"] = element["text"] and sha(element["text"])
+                rows.append((len(data), elements, digest.hexdigest(), None if digest.digest() in seen else media))
+                seen.add(digest.digest())
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(out.values(), pa.binary())], ["digest", "media"])
+            columns = zip(*rows) if rows else [()] * 4
+            kinds = [pa.int64(), kind, pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["doc_id", "n_bytes", "elements", "digest", "media"])
 
-    return stored(docs.select("text").mapInArrow(run, "digest string, media binary"), "media")
+    made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_bytes long, elements {SEQUENCE}, digest string, media binary")
+    return stored(made, "pages-and-media")
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -186,21 +203,6 @@ def media_features(store: DataFrame) -> DataFrame:
     return stored(found.groupBy("digest").agg(*(F.first(x).alias(x) for x in names[1:])), "features")
 
 
-def text_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and html: a page with one figure, which refers to the image of the row's text."""
-
-    def run(batches):
-        for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            digests = [hashlib.sha256(to_image(padded(x))).hexdigest() for x in texts]
-            html = [f'<figure><img src="{SCHEME}{x}"><figcaption>{len(y)} bytes</figcaption></figure>' for x, y in zip(digests, texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, html string")
-
-
 def resolve(sequences: DataFrame, media: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each element of the sequences (keys, elements), with media's columns where its
     digest is the element's reference and null elsewhere; pos and caption stay with the element.
@@ -216,11 +218,34 @@ def resolve(sequences: DataFrame, media: DataFrame, keys: list[str]) -> DataFram
 def text_media(docs: DataFrame) -> DataFrame:
     """The media column of docs' texts: one row a document.
 
-    Text in UTF-8 (null: empty), padded with zero bytes, stored as an 8-bit image; a page refers to the
-    image, the page's sequence is parsed, the reference resolved. Equal texts give equal values; repeated
-    rows give repeated results, an empty table an empty result; other columns are ignored.
+    Text in UTF-8 (null: empty), padded with zero bytes, stored as an 8-bit image. A page holds the text's
+    lines and a figure that refers to the image; its sequence is parsed and the reference resolved. pos is the
+    figure's place behind the texts, n_texts their number, caption the figure's, all as the sequence has
+    them. Equal texts give equal values; repeated rows give repeated results, an empty table an empty
+    result; other columns are ignored.
     """
-    sequences = _parsed(text_pages(docs), ["doc_id", "n_bytes"])
-    found = resolve(sequences, media_features(media_store(docs)), ["doc_id", "n_bytes"])
+    made = pages_and_media(docs)
+    n_texts = F.size(F.filter("elements", lambda e: e["kind"] == "text")).alias("n_texts")
+    figures = made.select("doc_id", "n_bytes", n_texts, F.filter("elements", lambda e: e["kind"] == "media").alias("elements"))
+    found = resolve(figures, media_features(made.filter("media is not null")), ["doc_id", "n_bytes", "n_texts"])
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return found.select("doc_id", "n_bytes", *columns, "pos", "caption")
+    return found.select("doc_id", "n_bytes", *columns, "pos", "n_texts", "caption")
+
+
+def page_sequences(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """page_id, n_texts, n_media, n_resolved, texts_sha256 of each row of pages (page_id, html): its sequence, put together again after
+    its references met media (digest, more) by digest.
+
+    texts_sha256 is the digest of the texts in the order of their positions, joined by line ends. Repeated rows give repeated results.
+    """
+    rows = interleaved(pages).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "sequences")
+    met = resolve(rows, media.select("digest", F.lit(True).alias("there")), ["page_id", "row"])
+    texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "text")))), lambda x: x["text"])
+    found = met.groupBy("row").agg(
+        F.count_if(F.col("kind") == "text").alias("n_texts"), F.count_if(F.col("kind") == "media").alias("n_media"), F.count("there").alias("n_resolved"),
+        F.sha2(F.array_join(texts, "\n"), 256).alias("texts_sha256"),
+    )
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_texts", "n_media", "n_resolved")]
+    return rows.select("page_id", "row").join(found, "row", "left").select("page_id", *counts, F.coalesce("texts_sha256", none).alias("texts_sha256"))

@@ -65,8 +65,13 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return media.text_media(table(spark, sf_dir, "documents")).select(*columns)
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def pages_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of all pages, their references resolved against the images of all documents."""
+    store = media.media_features(media.pages_and_media(table(spark, sf_dir, "documents")).filter("media is not null"))
+    return media.page_sequences(table(spark, sf_dir, "pages"), store)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_media_columns, op8_best_fit_packing, op9_byte_bpe, op10_pii]
+    found = [op1_quality_classifier, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_media_columns, op8_best_fit_packing, op9_byte_bpe, op10_pii, pages_media_sequences]
     return {f.__name__: f for f in found}
 
 

@@ -33,7 +33,10 @@ def expected(text):
     size = max(64, (len(data) + 63) // 64 * 64)
     payload = data.ljust(size, b"\0")
     stored = f"P5\n64 {size // 64}\n255\n".encode() + payload
-    return len(data), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.image_feature(payload)
+    rows = [sum(payload[k : k + 64]) for k in range(0, size, 64)]
+    falls = sum(b < a for a, b in zip(rows, rows[1:]))
+    feature = f"sum={sum(payload)};squares={sum(x * x for x in payload)};values={len(set(payload))};falls={falls}"
+    return len(data), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
 def test_documents_and_cases(spark, folder):
@@ -45,4 +48,28 @@ def test_documents_and_cases(spark, folder):
     assert len(found) == len(texts) + 1
     for r in found:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == expected(texts[r.doc_id])
+        lines = [x for x in (texts[r.doc_id] or "").split("\n") if x.split()]
+        assert (r.pos, r.n_texts, r.caption) == (len(lines), len(lines), f"{len(texts[r.doc_id] or '')} code points")
     assert media.text_media(docs.limit(0)).count() == 0
+
+
+def test_sequences_of_pages(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, HTML), (-3, HTML)], "page_id long, html string")
+    known = spark.createDataFrame([("bb", 1)], "digest string, n int")
+    every = pages.union(odd)
+    expected = []
+    for row in every.collect():
+        found = media.parse_sequence(row.html or "")
+        texts = [e["text"] for e in found if e["kind"] == "text"]
+        refs = [e["ref"] for e in found if e["kind"] == "media"]
+        expected.append((row.page_id, len(texts), len(refs), refs.count("sha256:bb"), hashlib.sha256("\n".join(texts).encode()).hexdigest()))
+    assert sorted(map(tuple, media.page_sequences(every, known).collect())) == sorted(expected)
+    assert media.page_sequences(every.limit(0), known).count() == 0
+
+
+def test_pages_give_back_their_texts():
+    text = "a <b> & c\n\n  two  blanks \t\n</p>&amp;<img src=x>"
+    found = media.parse_sequence(media.text_page(text, "aa"))
+    assert [e["text"] for e in found[:-1]] == ["a <b> & c", "two blanks", "</p>&amp;<img src=x>"]
+    assert (found[-1]["ref"], found[-1]["pos"], found[-1]["caption"]) == ("sha256:aa", 3, f"{len(text)} code points")
