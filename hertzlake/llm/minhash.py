@@ -9,12 +9,15 @@ A large bucket isn't turned into pairs. First all its members meet one pivot, th
 company over all bands. Mostly that joins a group of copies into one component. Then only pairs of
 different components are open, and those are compared in blocks: the members outside the bucket's
 largest component against all members.
+
+What travels is small first. Candidates are pruned by sketches, a byte of each signature entry: entries
+that agree have equal bytes, so a sketch prunes no pair that its signature wouldn't. Full sets are read
+for the members of surviving pairs only, and a pivot's set goes once to each group of its members.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, if_small
 from .components import connected_components
 
 WORDS = 5
@@ -35,8 +38,11 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
-BLOCK = 128
-CACHE = 300_000
+BLOCK = 256
+#: Members that are checked against one copy of their pivot's set.
+GROUP = 64
+#: Words whose hashes a worker keeps, and their bytes at most.
+CACHE, CACHED_BYTES = 300_000, 64
 
 _RANDOM = np.random.default_rng(20)
 _MULTIPLY = _RANDOM.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -57,9 +63,11 @@ def shingles(text: str | None) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     if len(_words) > CACHE:
         _words.clear()
+    own = {}  # long words live as long as their text
     for word in set(words).difference(_words):
-        _words[word] = xxhash.xxh64_intdigest(word)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        (_words if len(word) <= CACHED_BYTES else own)[word] = xxhash.xxh64_intdigest(word)
+    known = _words | own if own else _words
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(words) - WORDS + 1
     mixed = np.zeros(n, np.uint64)
     for k in range(WORDS):
@@ -117,7 +125,17 @@ def linked(one: np.ndarray, other: np.ndarray) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (small + large - shared)
 
 
-def _features(docs: DataFrame) -> DataFrame:
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature; the lower bits of a key tell its band."""
+    rows = signed.reshape(-1, BANDS, ROWS)
+    keys = np.zeros(rows.shape[:2], np.uint64)
+    for k in range(ROWS):
+        keys = (keys ^ rows[:, :, k]) * _PLACE[k]
+        keys ^= keys >> np.uint64(29)
+    return keys // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
+
+
+def _features(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (the set's digest), signature (null for an empty set)."""
 
     def run(batches):
@@ -134,135 +152,172 @@ def _features(docs: DataFrame) -> DataFrame:
             )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(picked.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "shingled")
+    return scratch.stored(picked.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "shingled")
 
 
-def _members(reps: DataFrame) -> DataFrame:
-    """band, key, id of the classes that share a bucket with another class."""
+def _signed(classes: DataFrame) -> DataFrame:
+    """id, keys (array<long>, one for each band) and sketch of the classes."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                ids = part.column(0).to_numpy()
-                rows = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(len(ids), BANDS, ROWS)
-                keys = np.zeros((len(ids), BANDS), np.uint64)
-                for k in range(ROWS):
-                    keys = (keys ^ rows[:, :, k]) * _PLACE[k]
-                    keys ^= keys >> np.uint64(29)
-                bands = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bands), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["band", "key", "id"]
-                )
+            signed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(signed).reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            sketches = pa.array([x.tobytes() for x in signed.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, sketches], ["id", "keys", "sketch"])
 
-    banded = reps.select("id", "signature").mapInArrow(run, "band int, key long, id long")
-    sizes = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    return stored(banded.join(sizes, ["band", "key"]), "members")
+    return classes.select("id", "signature").mapInArrow(run, "id long, keys array<long>, sketch binary")
 
 
-def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """pairs (a, b) with the column of both ends, as column_a and column_b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(values.select(F.col("id").alias(end), F.col(column).alias(f"{column}_{end}")), end)
-    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+def _members(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id, n of the classes that share a bucket with n - 1 other classes."""
+    banded = reps.select(F.explode("keys").alias("key"), "id")
+    sizes = scratch.stored(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    return scratch.stored(banded.join(sizes, "key").select("key", "id", "n"), "members")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that signature batches don't prune."""
+def _pruned(pairs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (id, pivot) that sketch batches don't prune, and in how many entries they agree."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                stay = survivors(_matrix(part.column(2)), _matrix(part.column(3)))
-                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(stay)) for k in (0, 1)], ["a", "b"])
+                one, other = _sketches(part.column(2)), _sketches(part.column(3))
+                stay = survivors(one, other)
+                agree = (one[stay] == other[stay]).sum(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(stay)) for k in (0, 1)), pa.array(agree)], ["id", "pivot", "agree"])
 
-    return stored(_with(pairs, reps, "signature").mapInArrow(run, "a long, b long"), "survivors")
+    signed = reps.select("id", "sketch")
+    met = pairs.join(signed, "id").join(signed.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+    return scratch.stored(met.select("id", "pivot", "sketch", "other").mapInArrow(run, "id long, pivot long, agree int"), "survivors")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+def _sets(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """id and the full set of the given documents, ids being a written table of distinct ids."""
 
     def run(batches):
         for batch in batches:
-            whole = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
-            stay = np.flatnonzero([linked(x, y) for x, y in zip(*whole)])
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(stay)) for k in (0, 1)], ["a", "b"])
+            found = [shingles(x).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(if_small(ids), "id", "left_semi")
+    return scratch.stored(picked.mapInArrow(run, "id long, shingles binary"), "sets")
 
-    return stored(_with(pairs, sets, "shingles").mapInArrow(run, "a long, b long"), "links")
 
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (id, pivot) whose full sets meet the threshold, as links a, b.
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and the full set of the given documents."""
+    A pivot's members are dealt into groups of about GROUP; its set goes to each group once, before theirs.
+    """
+    ids = scratch.stored(pairs.select("id").union(pairs.select("pivot")).distinct(), "needed")
+    sets = _sets(docs, ids, scratch)
+    groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    dealt = pairs.join(groups, "pivot").select("id", "pivot", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("part"))
+    members = dealt.join(sets, "id").select("pivot", "part", F.lit(1).alias("rank"), "id", "shingles")
+    heads = groups.select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).join(sets, F.col("pivot") == F.col("id"))
+    heads = heads.select("pivot", "part", F.lit(0).alias("rank"), "id", "shingles")
 
     def run(batches):
+        head, own = np.zeros(0, np.uint64), None
         for batch in batches:
-            found = [shingles(x).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = []
+            for pivot, part, rank, member, shingled in zip(*(x.to_pylist() for x in batch.columns)):
+                if rank == 0:
+                    head, own = np.frombuffer(shingled, np.uint64), (pivot, part)
+                elif own == (pivot, part) and linked(head, np.frombuffer(shingled, np.uint64)):
+                    found.append((min(member, pivot), max(member, pivot)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return stored(picked.mapInArrow(run, "id long, shingles binary"), "sets")
+    order = ["pivot", "part", "rank"]
+    together = heads.union(members).repartition("pivot", "part").sortWithinPartitions(*order)
+    return scratch.stored(together.mapInArrow(run, "a long, b long"), "links")
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """band, key, pivot: the member whose buckets hold the most members in all."""
+def _pivots(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, pivot: the member whose buckets hold the most members in all."""
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     most = F.max(F.struct("company", "id")).alias("m")
-    return stored(members.join(company, "id").groupBy("band", "key").agg(most).select("band", "key", F.col("m.id").alias("pivot")), "pivots")
+    return scratch.stored(members.join(company, "id").groupBy("key").agg(most).select("key", F.col("m.id").alias("pivot")), "pivots")
 
 
-def _open_links(members: DataFrame, pivots: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _blocks(rest: DataFrame, open_: DataFrame, columns: list[str]) -> DataFrame:
+    """key, block, chunk, outside and columns: the open buckets' members, dealt so that each one outside the largest component meets all."""
+    every = rest.join(open_, "key")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    all_members = every.select("key", *columns, F.lit(False).alias("outside"), deal("blocks", 1).alias("block"), spread("chunks").alias("chunk"))
+    outside = every.filter("root != main").select("key", *columns, F.lit(True).alias("outside"), spread("blocks").alias("block"), deal("chunks", 2).alias("chunk"))
+    return all_members.union(outside)
+
+
+def _met(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of different components in a block that sketch batches don't prune, and their agreements, most first.
+
+    A pair is met in the first band in which it agrees, which a key's lower bits tell.
+    """
+    signed = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, HASHES)
+    roots, out = rows["root"].to_numpy(), rows["outside"].to_numpy()
+    x, y = np.flatnonzero(out), np.flatnonzero(~out)
+    i, j = np.nonzero(roots[x][:, None] != roots[y][None, :])
+    i, j = x[i], y[j]
+    stay = survivors(signed[i], signed[j])
+    i, j = i[stay], j[stay]
+    keys = np.stack(rows["keys"].to_numpy())
+    first = (keys[i] == keys[j]).argmax(1) == int(rows["key"].iloc[0]) % BANDS
+    i, j = i[first], j[first]
+    agree = (signed[i] == signed[j]).sum(1)
+    best = np.argsort(-agree, kind="stable")
+    return i[best], j[best], agree[best]
+
+
+def _open_links(members: DataFrame, pivots: DataFrame, reps: DataFrame, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between different components so far of a bucket's members, besides its pivot.
 
-    Members outside the bucket's largest component are compared with all, BLOCK against BLOCK. Pairs that
-    signature batches don't prune are decided on full sets, the most similar first; one link joins two
-    components, so their other pairs need none. A pair is compared in the first band in which it agrees.
+    Members outside the bucket's largest component are compared with all, BLOCK against BLOCK, by sketches;
+    then those that a pair survives for are compared again with full sets, the most similar first; one
+    link joins two components, so their other pairs need none.
     """
-    at = ["band", "key"]
-    rest = members.filter("n > 2").join(pivots, at).filter("id != pivot")
-    rest = stored(rest.join(labels, "id", "left").select(*at, "id", F.coalesce("root", "id").alias("root")), "rest")
-    parts = rest.groupBy(*at, "root").agg(F.count("*").alias("size"))
-    open_ = parts.groupBy(*at).agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("largest"))
+    rest = members.filter("n > 2").join(pivots, "key").filter("id != pivot")
+    rest = scratch.stored(rest.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rest")
+    parts = rest.groupBy("key", "root").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("largest"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = stored(
+    open_ = scratch.stored(
         open_.filter("parts > 1").select(
-            *at, F.col("largest.root").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("largest.size")).alias("chunks")
+            "key", F.col("largest.root").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("largest.size")).alias("chunks")
         ),
         "open",
     )
-    every = rest.join(open_, at).join(reps.select("id", "signature"), "id").join(sets, "id")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    columns = [*at, "id", "root", "signature", "shingles"]
-    all_members = every.select(*columns, F.lit(False).alias("outside"), deal("blocks", 1).alias("block"), spread("chunks").alias("chunk"))
-    outside = every.filter("root != main").select(*columns, F.lit(True).alias("outside"), spread("blocks").alias("block"), deal("chunks", 2).alias("chunk"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = _met(rows)
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"key": rows["key"].iloc[0], "id": np.unique(np.concatenate((ids[i], ids[j])))})
+
+    signed = rest.join(reps.select("id", "keys", "sketch"), "id")
+    columns = ["id", "root", "keys", "sketch"]
+    needed = scratch.stored(_blocks(signed, open_, columns).groupBy("key", "block", "chunk").applyInPandas(meet, "key long, id long").distinct(), "met")
+    ids = scratch.stored(needed.select("id").distinct(), "needed")
+    sets = _sets(docs, ids, scratch)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        signed = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
-        ids, out = rows["id"].to_numpy(), rows["outside"].to_numpy()
         names, roots = np.unique(rows["root"].to_numpy(), return_inverse=True)
-        x, y = np.flatnonzero(out), np.flatnonzero(~out)
-        i, j = np.nonzero(roots[x][:, None] != roots[y][None, :])
-        i, j = x[i], y[j]
-        stay = survivors(signed[i], signed[j])
-        same = signed[i[stay]] == signed[j[stay]]
-        stay = stay[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == rows["band"].iloc[0]]
-        agree = (signed[i[stay]] == signed[j[stay]]).sum(1)
-        stay = stay[np.argsort(-agree, kind="stable")]
-        whole = [np.frombuffer(z, np.uint64) for z in rows["shingles"]]
+        ids, whole = rows["id"].to_numpy(), [np.frombuffer(z, np.uint64) for z in rows["shingles"]]
         group, found = np.arange(len(names)), []
-        for a, b in zip(i[stay], j[stay]):
+        for a, b in zip(*_met(rows)[:2]):
             one, other = group[roots[a]], group[roots[b]]
             if one != other and linked(whole[a], whole[b]):
                 group[group == other] = one
                 found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return stored(all_members.union(outside).groupBy(*at, "block", "chunk").applyInPandas(compare, "a long, b long").distinct(), "open-links")
+    full = signed.join(needed, ["key", "id"]).join(sets, "id")
+    found = _blocks(full, open_, [*columns, "shingles"]).groupBy("key", "block", "chunk").applyInPandas(compare, "a long, b long")
+    return scratch.stored(found.distinct(), "open-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,26 +328,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document, linked with what any of them is; a row with a null doc_id has a null component and is kept.
     An empty table gives an empty result; other columns are ignored.
     """
-    features = _features(docs)
+    scratch = Scratch(docs.sparkSession)
+    features = _features(docs, scratch)
     full = features.filter("signature is not null and doc_id is not null")
     first = F.min(F.struct("doc_id", "signature")).alias("m")
-    classes = stored(
-        full.groupBy("set_a", "set_b").agg(first, F.count("*").alias("n")).select("set_a", "set_b", "n", F.col("m.doc_id").alias("id"), "m.signature"), "classes"
-    )
-    reps = classes.select("id", "signature")
-    members = _members(reps)
-    pivots = _pivots(members)
-    stars = members.join(pivots, ["band", "key"]).filter("id != pivot")
-    pairs = stored(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-    sets = _sets(docs, members.select("id").distinct())
-    links = _verified(_pruned(pairs, reps), sets)
-    labels = connected_components(links)
-    more = _open_links(members, pivots, reps, sets, labels)
-    labels = connected_components(links.union(more))
+    classes = full.groupBy("set_a", "set_b").agg(first, F.count("*").alias("n"))
+    classes = scratch.stored(classes.select("set_a", "set_b", "n", F.col("m.doc_id").alias("id"), "m.signature"), "classes")
+    reps = scratch.stored(_signed(classes), "signed")
+    members = _members(reps, scratch)
+    pivots = _pivots(members, scratch)
+    stars = members.join(pivots, "key").filter("id != pivot")
+    pairs = scratch.stored(stars.select("id", "pivot").distinct(), "pairs")
+    links = _verified(_pruned(pairs, reps, scratch), docs, scratch)
+    labels = connected_components(links, scratch)
+    more = _open_links(members, pivots, reps, docs, labels, scratch)
+    labels = connected_components(links.union(more), scratch)
     least = labels.groupBy("root").agg(F.min("id").alias("component_id"))
     groups = labels.join(least, "root").select("id", "component_id")
     named = classes.join(groups, "id", "left").select("set_a", "set_b", "n", F.coalesce("component_id", "id").alias("component_id"), "id")
-    named = stored(named.filter("n > 1 or component_id != id").select("set_a", "set_b", "component_id"), "named")
-    filled = features.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    named = scratch.stored(named.filter("n > 1 or component_id != id").select("set_a", "set_b", "component_id"), "named")
+    # empty sets have one digest and no name, so they stay out of the join
+    some = F.when(F.col("n_shingles") > 0, F.col("set_a")).otherwise(F.xxhash64("doc_id"))
+    keyed = features.select("doc_id", "n_shingles", some.alias("set_a"), F.when(F.col("n_shingles") > 0, F.col("set_b")).alias("set_b"))
+    filled = keyed.join(named, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    scratch.clear(features, named)
     return filled.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from hertzlake.llm import minhash
+from hertzlake.llm import common, minhash
 from hertzlake.llm.components import connected_components
+from hertzlake.storage import Scratch
 
 
 def words_of(text):
@@ -50,7 +52,10 @@ def edited(words, rnd, edits):
     return " ".join(words)
 
 
-def test_equals_brute_force_on_groups_and_chains(spark):
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_equals_brute_force_on_groups_and_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(common.if_small, "__defaults__", (small,))
+    monkeypatch.setattr(minhash, "GROUP", 3 if small else 64)
     rnd = random.Random(7)
     rows = []
     base = [f"a{rnd.randrange(500)}" for _ in range(150)]
@@ -90,7 +95,8 @@ def test_pruning_keeps_pairs_at_the_threshold():
 def test_components(spark):
     rnd = random.Random(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(50)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
-    found = connected_components(spark.createDataFrame(links, "a long, b long"))
+    scratch = Scratch(spark)
+    found = connected_components(spark.createDataFrame(links, "a long, b long"), scratch)
     least = found.groupBy("root").agg(F.min("id").alias("least"))
     got = {r.id: r.least for r in found.join(least, "root").collect()}
     group = {}
@@ -100,4 +106,15 @@ def test_components(spark):
             group.update({x: merged for x in merged})
     for x, members in group.items():
         assert got[x] == min(members)
-    assert set(got) == set(group) and connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert set(got) == set(group) and connected_components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+    scratch.clear(found)
+    assert found.count() == len(got) and [table for table, _ in scratch.tables] == [found]
+
+
+def test_sketches_prune_nothing_that_signatures_keep():
+    rnd = np.random.default_rng(5)
+    one = rnd.integers(0, 2**32, (500, minhash.HASHES), dtype=np.uint32)
+    other = np.where(rnd.random((500, 1)) > rnd.random((500, minhash.HASHES)), one, rnd.integers(0, 2**32, one.shape, dtype=np.uint32))
+    kept = set(minhash.survivors(one, other))
+    assert kept and kept <= set(minhash.survivors(one.astype(np.uint8), other.astype(np.uint8)))
+    assert (minhash.band_keys(one) % minhash.BANDS == np.arange(minhash.BANDS)).all()
