@@ -10,29 +10,23 @@ an empty table gives an empty result; columns that documents lack are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hertzlake.llm import linededup, minhash, packing, pii, quality
-from hertzlake.llm.common import stored
+from hertzlake.llm.common import Scratch, if_small
 from hertzlake.llm.queries import WORD_BPE, _tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _chosen(docs: DataFrame, results: DataFrame, keep: Column) -> DataFrame:
-    """The rows of docs whose doc_id the results keep; ids with several rows stay as a whole, also the null id."""
-    ids = results.filter(keep).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return _chosen(docs, quality.classify_quality(docs), F.col("kept"))
+    """Documents that the quality classifier rejects go, where they are scored."""
+    return quality.good_documents(docs.select(*COLUMNS))
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +35,9 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return _chosen(docs, minhash.near_duplicates(docs), F.col("kept"))
+    """Of each group of near-duplicates the document with the smallest doc_id stays; the ids of the others meet the texts."""
+    others = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(if_small(Scratch(spark).stored(others, "near-duplicates")), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
-            docs = stored(docs, name.replace(" ", "-"))
+            docs = scratch.stored(docs, name.replace(" ", "-"))
+            scratch.clear(docs)
     return docs
