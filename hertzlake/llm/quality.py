@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -142,13 +142,13 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     return dict(zip(names, posterior.tolist())), says, share
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 120, decay: float = 1e-5) -> np.ndarray:
+def fit_scorer(rows: list[tuple[Sequence[int], Sequence[float], float]], rounds: int = 120, decay: float = 1e-5) -> np.ndarray:
     """Weights, the last one constant, of a logistic regression on (places, values, label between 0 and 1)."""
     weights = np.zeros(DIMS + 1)
     if not rows:
         return weights
-    row = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
-    at = np.concatenate([x[0] for x in rows]).astype(int)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x[0]) for x in rows])
+    at = np.concatenate([x[0] for x in rows]).astype(np.int32)
     value = np.concatenate([x[1] for x in rows])
     label = np.array([x[2] for x in rows])
     first, second = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
@@ -198,16 +198,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches):
         for batch in batches:
             measured = [Measured(text or "") for text in batch.column(1).to_pylist()]
-            rows = [(place, votes_of(x), *hashed_features(x)) for place, x in zip(batch.column(0).to_pylist(), measured) if x.n]
-            rows = [x for x in rows if x[1] != NOBODY]
+            rows = []
+            for place, x in zip(batch.column(0).to_pylist(), measured):
+                votes = votes_of(x)
+                if votes != NOBODY:
+                    places, values = hashed_features(x)
+                    rows.append((place, votes, np.array(places, np.int32).tobytes(), np.array(values).tobytes()))
             columns = zip(*rows) if rows else [()] * 4
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["place", "votes", "places", "values"])
 
     chosen = docs.select(_place(docs).alias("place"), "text").filter(F.col("place") <= cut).groupBy("place").agg(F.first("text").alias("text"))
-    featured = chosen.mapInArrow(run, "place long, votes string, places array<int>, values array<double>")
+    featured = chosen.mapInArrow(run, "place long, votes string, places binary, values binary")
+    # numbers as bytes, so that the driver makes no object of each
     rows = featured.orderBy("place").limit(sample).select("places", "values", "votes").toPandas()
-    return Model(posteriors, fit_scorer([(p, v, posteriors[x]) for p, v, x in rows.itertuples(index=False)]))
+    return Model(posteriors, fit_scorer([(np.frombuffer(p, np.int32), np.frombuffer(v), posteriors[x]) for p, v, x in rows.itertuples(index=False)]))
 
 
 def classify_quality(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
