@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CAPACITY = 4096
-#: Pieces of one length that are numbered in one task; more are split by salts.
-NUMBERED = 1_000_000
+#: Pieces of one length that are numbered together are at most so many, or this share of all; more are split by salts.
+NUMBERED, SHARES = 1000, 100_000
 #: Entries of a worker's cache of blank-separated strings; longer ones aren't kept.
 CACHE, CACHED_BYTES = 500_000, 64
 
@@ -316,8 +316,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """token_pieces with sequence_id and offset, in as few sequences as the plan finds.
 
-    The driver gets the histogram of lengths, at most capacity numbers and one more for each NUMBERED pieces
-    of a length, and returns the plan's intervals, a few for each length. Repeated rows are pieces of their
+    The driver gets the histogram of lengths and salts, at most capacity + SHARES numbers whatever the input,
+    and returns the plan's intervals, a few for each length. Repeated rows are pieces of their
     own; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -329,7 +329,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     table = intervals(plan, capacity)
     base = np.cumsum(counts) - counts  # pieces before those of a length, if they stood in order
     # a length's pieces are numbered by salt; a cell is a length and a salt
-    salts = np.maximum(1, -(-counts // NUMBERED))
+    salts = np.maximum(1, -(-counts // max(NUMBERED, counts.sum() // SHARES)))
     first_cell = np.cumsum(salts) - salts
     dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(salts.tolist()), F.col("length").cast("int"))).cast("int")
     salted = pieces.withColumn("salt", dealt if salts.max() > 1 else F.lit(0))
