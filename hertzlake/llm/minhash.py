@@ -222,13 +222,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     heads = heads.select("pivot", "part", F.lit(0).alias("rank"), "id", "shingles")
 
     def run(batches):
-        head, own = np.zeros(0, np.uint64), None
+        heads, own = [], None  # more than one where texts share the pivot's id
         for batch in batches:
             found = []
             for pivot, part, rank, member, shingled in zip(*(x.to_pylist() for x in batch.columns)):
+                one = np.frombuffer(shingled, np.uint64)
                 if rank == 0:
-                    head, own = np.frombuffer(shingled, np.uint64), (pivot, part)
-                elif own == (pivot, part) and linked(head, np.frombuffer(shingled, np.uint64)):
+                    heads, own = [*(heads if own == (pivot, part) else ()), one], (pivot, part)
+                elif own == (pivot, part) and any(linked(head, one) for head in heads):
                     found.append((min(member, pivot), max(member, pivot)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -320,6 +321,15 @@ def _open_links(members: DataFrame, pivots: DataFrame, reps: DataFrame, docs: Da
     return scratch.stored(found.distinct(), "open-links")
 
 
+def _same_id(full: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between an id that rows with different sets share and the classes of these."""
+    sets = F.struct("set_a", "set_b")
+    shared = full.groupBy("doc_id").agg(F.min(sets).alias("one"), F.max(sets).alias("other")).filter("one != other").select("doc_id")
+    rows = full.join(if_small(scratch.stored(shared, "shared-ids")), "doc_id", "left_semi").select("doc_id", "set_a", "set_b").distinct()
+    met = classes.select("set_a", "set_b", "id").join(if_small(scratch.stored(rows, "shared-sets")), ["set_a", "set_b"])
+    return met.select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b")).filter("a != b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept of each row of docs.
 
@@ -339,7 +349,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = _pivots(members, scratch)
     stars = members.join(pivots, "key").filter("id != pivot")
     pairs = scratch.stored(stars.select("id", "pivot").distinct(), "pairs")
-    links = _verified(_pruned(pairs, reps, scratch), docs, scratch)
+    links = _verified(_pruned(pairs, reps, scratch), docs, scratch).union(_same_id(full, classes, scratch))
     labels = connected_components(links, scratch)
     more = _open_links(members, pivots, reps, docs, labels, scratch)
     labels = connected_components(links.union(more), scratch)

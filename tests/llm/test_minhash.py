@@ -74,6 +74,14 @@ def test_equals_brute_force_on_documents(spark, folder):
     assert result(spark, rows) == brute(rows)
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    rnd = random.Random(11)
+    base = [[f"s{k}-{rnd.randrange(10**6)}" for _ in range(120)] for k in range(4)]
+    rows = [(1, " ".join(base[0])), (5, " ".join(base[0])), (5, " ".join(base[1])), (8, edited(base[1], rnd, 1)), (9, " ".join(base[2])), (9, " ".join(base[3]))]
+    rows += [(10 + k, edited(base[2 + k % 2], rnd, 1)) for k in range(6)] + [(5, None), (30, "alone"), (None, " ".join(base[3]))]
+    assert result(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
