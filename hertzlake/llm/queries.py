@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedjoin, linededup, media, minhash, packing, pii, quality, urltree
+from . import bpe, chat, embedjoin, linededup, media, minhash, packing, pii, quality, runs, simhash, spelling, urltree
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -88,8 +88,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents near those whose id is divisible by 20, counted."""
+    return simhash.near_documents(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+#: One run of letters in so many loses a letter.
+DAMAGE = 97
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_media_columns, op8_best_fit_packing, op9_byte_bpe, op10_pii, pages_media_sequences]
+    found = [op1_quality_classifier, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_media_columns, op8_best_fit_packing, op9_byte_bpe, op10_pii, op11_document_fingerprints, op12_periodic_runs, op13_spelling_variants, fingerprint_search, pages_media_sequences]
     return {f.__name__: f for f in found}
 
 
