@@ -191,6 +191,8 @@ def _op4_sql() -> str:
     purity = lambda good, labelled, parent: f"(({good} + {prior} * {parent}) / ({labelled} + {prior}))"
     far = lambda good, labelled, p: f"(abs({good} - {labelled} * {p}) > {urltree.SIMILAR} * sqrt({labelled} * {p} * (1 - {p})))"
     sums = lambda by: ", ".join(f"sum({x}) OVER (PARTITION BY {by}) AS {x}_" for x in ("n", "good", "labelled"))
+    shared = "coalesce(list_min(list_filter(range(1, greatest(len(least), len(most)) + 1), lambda k: least[k] IS DISTINCT FROM most[k])) - 1, greatest(len(least), len(most)))"
+    going = lambda n, good, labelled, p: f"(least <> most AND {n} >= {least_support} AND ({far(good, good, p)} OR {far('0', f'({labelled} - {good})', p)}))"
     return rf"""
 WITH RECURSIVE cut AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -203,20 +205,20 @@ paths AS (
   SELECT host, segments, count(*)::DOUBLE AS n, coalesce(sum(g), 0)::DOUBLE AS good, count(g)::DOUBLE AS labelled FROM named LEFT JOIN known USING (doc_id) GROUP BY ALL),
 whole AS (SELECT coalesce(sum(good) / nullif(sum(labelled), 0), 1.0) AS p FROM paths),
 tree AS (
-  SELECT host, segments, n, good, labelled, [host] AS node, segments AS rest, 0 AS shared, 0 AS level, true AS going,
-         sum(n) OVER (PARTITION BY host) AS whole_n, {purity('sum(good) OVER (PARTITION BY host)', 'sum(labelled) OVER (PARTITION BY host)', 'p')} AS purity FROM paths, whole
+  SELECT host, segments, n, good, labelled, node, rest, shared, {going('n_', 'good_', 'labelled_', 'purity')} AS going, labelled_ AS all_labelled, purity
+  FROM (SELECT *, {shared} AS shared, {purity('good_', 'labelled_', 'p')} AS purity FROM (
+    SELECT host, segments, n, good, labelled, p, [host] AS node, segments AS rest, {sums('host')}, min(segments) OVER (PARTITION BY host) AS least, max(segments) OVER (PARTITION BY host) AS most
+    FROM paths, whole))
   UNION ALL
-  SELECT host, segments, n, good, labelled, node, rest, shared, level,
-         level < {urltree.DEPTH} OR (least <> most AND whole_n >= {least_support} AND ({far('good_', 'good_', 'purity')} OR {far('0', '(labelled_ - good_)', 'purity')})) AS going, whole_n, purity
-  FROM (SELECT *, CASE WHEN level < {urltree.DEPTH} THEN 0 ELSE coalesce(list_min(list_filter(range(1, greatest(len(least), len(most)) + 1), lambda k: least[k] IS DISTINCT FROM most[k])) - 1,
-               greatest(len(least), len(most))) END AS shared FROM (
-    SELECT * EXCLUDE (n_, p, whole_n), n_ AS whole_n, min(rest) OVER (PARTITION BY node) AS least, max(rest) OVER (PARTITION BY node) AS most,
-           CASE WHEN level > {urltree.DEPTH} AND n_ = whole_n THEN p ELSE {purity('good_', 'labelled_', 'p')} END AS purity FROM (
-      SELECT host, segments, n, good, labelled, list_append(node, branch) AS node, rest, level + 1 AS level, whole_n, p, {sums('node, branch')} FROM (
+  SELECT host, segments, n, good, labelled, node, rest, {shared} AS shared, {going('n_', 'good_', 'labelled_', 'purity')} AS going, labelled_ AS all_labelled, purity
+  FROM (
+    SELECT *, min(rest) OVER (PARTITION BY node) AS least, max(rest) OVER (PARTITION BY node) AS most,
+           CASE WHEN labelled_ = all_labelled THEN p ELSE {purity('good_', 'labelled_', 'p')} END AS purity FROM (
+      SELECT host, segments, n, good, labelled, list_append(node, branch) AS node, rest, all_labelled, p, {sums('node, branch')} FROM (
         SELECT *, CASE WHEN {far('good_', 'labelled_', 'p')} THEN segment ELSE '{urltree.MERGED}' END AS branch FROM (
           SELECT *, {sums('node, segment')} FROM (
             SELECT *, CASE WHEN sum(n) OVER (PARTITION BY node, own) < {least_support} THEN '*' ELSE own END AS segment FROM (
-              SELECT host, segments, n, good, labelled, node, level, whole_n, purity AS p, coalesce(rest[shared + 1], '') AS own, rest[shared + 2:] AS rest FROM tree WHERE going))) x) y) z))),
+              SELECT host, segments, n, good, labelled, node, all_labelled, purity AS p, coalesce(rest[shared + 1], '') AS own, rest[shared + 2:] AS rest FROM tree WHERE going))) x) y) z)),
 blocked AS (SELECT host, segments, 'block' AS found FROM tree WHERE NOT going AND purity < {urltree.LEAST_PURITY})
 SELECT page_id, host, path, {chosen("name")} AS rule, coalesce({chosen("verdict")}, found, 'allow') AS verdict
 FROM named LEFT JOIN blocked USING (host, segments)

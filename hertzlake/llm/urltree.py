@@ -3,7 +3,8 @@
 Each host has a tree of path segments. Segments that vary (numbers, hexadecimal ids, segments too rare
 under their parent) become wildcards. Below a node, branches whose labels can't be told from the node's
 share of good pages are merged with their subtrees; the others stay apart. A branch's purity, its share of good pages, is
-smoothed towards its parent's. Templates under the least purity are blocked, and fixed rules overrule.
+smoothed towards its parent's, once for the same labels: a branch with all labels of its node keeps the node's. Templates under the
+least purity are blocked, and fixed rules overrule.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import Scratch, ascii_lower
 
-#: The first levels are those of every host, shorter paths filled up with empty segments; the tree goes on below where labels can tell branches apart.
-DEPTH = 3
 LEAST_SUPPORT = 5
 #: Labelled pages that the parent's purity counts as.
 PRIOR = 8.0
@@ -119,53 +118,50 @@ def _shared() -> Column:
     return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)), F.size(same) + F.lit(1)) - 1
 
 
-def template_purity(pages: DataFrame) -> DataFrame:
+def _settled(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes with on, whether the tree goes on below, and shared, the segments that all paths of the node begin with."""
+    ends = tree.groupBy("node").agg(F.min("rest").alias("least"), F.max("rest").alias("most"))
+    return nodes.join(ends, "node").withColumn("on", _going_on()).withColumn("shared", _shared().cast("int")).drop("least", "most")
+
+
+def template_purity(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """host and segments (as in the rows) with the purity of the template that they fall under.
 
     pages: host, segments, good (1, 0 or null). One row a distinct generalised path.
 
-    The first DEPTH levels are those of every host. Below, a node goes on while its branches can matter, at the
-    first segment in which its paths differ, so that the steps are bounded by the data's branchings and labels,
-    not by its longest path; there a branch that has all rows of its node tells nothing new and keeps its purity.
+    From the host down a node goes on while its branches can matter, at the first segment in which its paths differ, so that the steps are
+    bounded by the data's branchings and labels, not by its longest path. A branch that has all labels of its node tells nothing new and keeps its purity.
     """
     keys = ["host", "segments"]
     sums = [F.sum(x).alias(x) for x in ("n", "good", "labelled")]
     paths = pages.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("good").cast("double").alias("good"), F.count("good").cast("double").alias("labelled"))
-    paths = stored(paths.fillna(0.0, ["good"]), "paths")
+    paths = scratch.stored(paths.fillna(0.0, ["good"]), "paths")
     total = paths.agg(F.sum("good"), F.sum("labelled")).first()
     whole = (total[0] / total[1]) if total[1] else 1.0
-    # from the host down; similar branches of a node become one branch, whose subtrees meet on the next level
+    # similar branches of a node become one branch, whose subtrees meet on the next level
     tree = paths.withColumns({"node": F.array("host"), "rest": F.col("segments")})
     nodes = tree.groupBy("node").agg(*sums).withColumn("purity", branch_purity(F.lit(whole), F.col("good"), F.col("labelled")))
-    nodes, done, level = nodes.withColumn("shared", F.lit(0)), [], 0
+    nodes, done = scratch.stored(_settled(tree, nodes), "nodes"), []
     while True:
-        level += 1
+        done.append(tree.join(nodes.filter("not on").select("node", "purity"), "node").select(*keys, "purity"))
+        nodes = nodes.filter("on").drop("on")
+        if nodes.isEmpty():
+            return reduce(DataFrame.union, done)
         # segments too rare under their node become wildcards
         cut = tree.join(nodes.select("node", "shared"), "node").withColumn("segment", F.coalesce(F.get("rest", F.col("shared")), F.lit("")))
         cut = cut.withColumn("rest", F.slice("rest", F.col("shared") + 2, F.size("rest") + 1)).drop("shared")
         support = cut.groupBy("node", "segment").agg(F.sum("n").alias("support")).filter(F.col("support") < LEAST_SUPPORT)
         rare = support.select("node", "segment", F.lit("*").alias("wild"))
-        cut = stored(cut.join(rare, ["node", "segment"], "left").withColumn("segment", F.coalesce("wild", "segment")).drop("wild"), "tree")
-        own = cut.groupBy("node", "segment").agg(*sums).join(nodes.select("node", "purity", F.col("n").alias("all")), "node")
+        cut = scratch.stored(cut.join(rare, ["node", "segment"], "left").withColumn("segment", F.coalesce("wild", "segment")).drop("wild"), "cut")
+        own = cut.groupBy("node", "segment").agg(*sums).join(nodes.select("node", "purity", F.col("labelled").alias("all")), "node")
         apart = _far(F.col("good"), F.col("labelled"), F.col("purity"))
-        own = stored(own.withColumn("branch", F.when(apart, F.col("segment")).otherwise(MERGED)), "own")
+        own = scratch.stored(own.withColumn("branch", F.when(apart, F.col("segment")).otherwise(MERGED)), "own")
         tree = cut.join(own.select("node", "segment", "branch"), ["node", "segment"])
-        tree = stored(tree.withColumn("node", F.concat("node", F.array("branch"))).drop("segment", "branch"), "branches")
+        tree = scratch.stored(tree.withColumn("node", F.concat("node", F.array("branch"))).drop("segment", "branch"), "tree")
         pooled = own.groupBy("node", "branch").agg(*sums, F.first("purity").alias("p"), F.first("all").alias("all"))
-        new = branch_purity(F.col("p"), F.col("good"), F.col("labelled"))
-        new = new if level <= DEPTH else F.when(F.col("n") == F.col("all"), F.col("p")).otherwise(new)
+        new = F.when(F.col("labelled") == F.col("all"), F.col("p")).otherwise(branch_purity(F.col("p"), F.col("good"), F.col("labelled")))
         nodes = pooled.select(F.concat("node", F.array("branch")).alias("node"), "n", "good", "labelled", new.alias("purity"))
-        if level < DEPTH:
-            nodes = stored(nodes.withColumn("shared", F.lit(0)), "nodes")
-            continue
-        ends = tree.groupBy("node").agg(F.min("rest").alias("least"), F.max("rest").alias("most"))
-        nodes = nodes.join(ends, "node").withColumn("on", _going_on()).withColumn("shared", _shared().cast("int")).drop("least", "most")
-        nodes = stored(nodes, "nodes")
-        done.append(tree.join(nodes.filter("not on").select("node", "purity"), "node").select(*keys, "purity"))
-        nodes = nodes.filter("on").drop("on")
-        if nodes.isEmpty():
-            return reduce(DataFrame.union, done)
-        tree = tree.join(nodes.select("node"), "node", "left_semi")
+        nodes = scratch.stored(_settled(tree, nodes), "nodes")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_purity: float = LEAST_PURITY, key: str = "page_id") -> DataFrame:
@@ -183,9 +179,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_pur
     # pages without a key are dealt out by their host and path, as nothing fits them
     spread = F.when(F.col(key).isNull(), F.xxhash64("host", "path")).otherwise(F.lit(0))
     labelled = named.withColumn("spread", spread).join(known.withColumn("spread", F.lit(0).cast("long")), [key, "spread"], "left")
-    purity = template_purity(labelled.drop("spread"))
-    keys = ["host", "segments"]
-    blocked = stored(purity.filter(F.col("purity") < least_purity).select(*keys, F.lit("block").alias("found")), "blocked")
+    scratch, keys = Scratch(pages.sparkSession), ["host", "segments"]
+    purity = template_purity(labelled.drop("spread"), scratch)
+    blocked = scratch.stored(purity.filter(F.col("purity") < least_purity).select(*keys, F.lit("block").alias("found")), "blocked")
+    scratch.clear(blocked)
     judged = with_rules(named.join(blocked, keys, "left"), rules)
     verdict = F.coalesce("fits.verdict", "found", F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("fits.name").alias("rule"), verdict.alias("verdict"))

@@ -86,7 +86,7 @@ def test_near_fingerprints_equal_all_pairs(spark, radius):
     rows = [(signed(x >> 64), signed(x & (1 << 64) - 1), 1) for x in prints]
     table = spark.createDataFrame(rows, "hi long, lo long, n long")
     found = {(r.hi, r.lo): r.n_near for r in simhash.near_fingerprints(table, table.filter("hi % 3 != 1"), radius).collect()}
-    expected = {rows[k][:2]: sum((x ^ y).bit_count() <= radius for y in prints) for k, x in enumerate(prints) if math.fmod(rows[k][0], 3) != 1}
+    expected = {rows[k][:2]: sum((x ^ y).bit_count() <= radius for y in prints) for k, x in enumerate(prints) if (abs(rows[k][0]) % 3) * (1 if rows[k][0] >= 0 else -1) != 1}
     assert found == expected
     assert simhash.near_fingerprints(table.limit(0), table, radius).count() == 0
     with pytest.raises(ValueError):

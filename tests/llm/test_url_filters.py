@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
 
 from hertzlake.llm import urltree
+from hertzlake.llm.common import shared_dir
 from hertzlake.llm.queries import RULES, op4_url_filters, oracle_sql
 
 
@@ -89,6 +91,23 @@ def test_a_deep_chain_counts_labels_once(spark):
     assert {r.verdict for r in judged(spark, urls, labels).values()} == {"allow"}
 
 
+def test_few_labels_are_smoothed_once(spark):
+    # three labelled pages of sixty, all bad, where nearly all others are good: (0 + 8 * 0.99) / (3 + 8) is 0.72
+    urls = [f"http://h.xyz/a/{'bcd'[k % 3]}/{k}" for k in range(60)] + [f"http://g.xyz/{k}" for k in range(300)]
+    for bad in ((0, 1, 2), (0, 3, 6)):
+        labels = [(k, 0) for k in bad] + [(k, 1) for k in range(60, 357)]
+        assert {r.verdict for r in judged(spark, urls, labels).values()} == {"allow"}
+
+
+def test_nothing_stays_but_what_the_result_reads(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    path = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(path.iterdir())
+    urltree.judge_urls(pages, labels, RULES)
+    assert [x.name.split("-")[0] for x in set(path.iterdir()) - before] == ["blocked"]
+
+
 def test_documents_of_paths(spark):
     paths = {"/en/7": 7, "/en/7.html": 7, "/en/7//": 7, "/en/a7": None, "/7/en": None, "": None, "/en/" + "9" * 30: None, "/x/012": 12}
     frame = spark.createDataFrame([(p,) for p in paths], "path string").select("path", urltree.document_of(F.col("path")).alias("d"))
