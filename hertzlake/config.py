@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from typing import Any
@@ -90,6 +91,54 @@ class IpdftConfig:
         return cls(float(fs), int(lookup(config, "frame_len", 50)), str(lookup(config, "channel", "V1")), float(lookup(config, "nominal_hz", 60.0)))
 
 
+@dataclass(frozen=True)
+class LoopConfig:
+    """Loops around a second-order generalised integrator: its gain k, the low pass of a frequency-locked loop, the gains of a phase-locked one."""
+
+    fs: float
+    nominal_hz: float = 60.0
+    k: float = math.sqrt(2.0)
+    tau_s: float = 0.02
+    kp: float = 92.0
+    ki: float = 4232.0
+
+    def __post_init__(self):
+        if not self.fs > 2 * self.nominal_hz > 0:
+            raise ValueError("fs must be over twice the nominal frequency")
+
+
+@dataclass(frozen=True)
+class KalmanConfig:
+    """Variances of the state's change in a sample (of amplitude, of phase and of angular frequency in an extended filter), of a measurement, and at the start."""
+
+    fs: float
+    nominal_hz: float = 60.0
+    q: float = 1e-4
+    r: float = 1e-1
+    p0: float = 1.0
+    q_phase: float = 1e-6
+    q_omega: float = 1e-2
+    p_omega: float = 100.0
+
+    def __post_init__(self):
+        if min(self.q, self.r, self.p0) <= 0:
+            raise ValueError("variances must be positive")
+
+
+@dataclass(frozen=True)
+class TaylorConfig:
+    """A Taylor-Fourier frame: its length, and the order of the phasor's polynomial."""
+
+    fs: float
+    frame_len: int = 128
+    order: int = 2
+    nominal_hz: float = 60.0
+
+    def __post_init__(self):
+        if self.order < 1 or self.frame_len < 2 * (self.order + 1):
+            raise ValueError("order must be at least 1, and a frame has as many samples as unknowns")
+
+
 @dataclass(frozen=True)
 class RampStep:
     f0: float = 60.0

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import IpdftConfig, MultiConfig, NetworkConfig, RampStep, ZcdConfig
+from ..config import IpdftConfig, KalmanConfig, LoopConfig, MultiConfig, NetworkConfig, RampStep, TaylorConfig, ZcdConfig
 from ..functions.columns import angle, complex_of, has_status, magnitude
-from ..operators import fusion, ipdft, metrics, pmu, products, spectral, zcd
+from ..operators import fusion, ipdft, metrics, pmu, products, scan, sequential, spectral, taylor, zcd
 from ..schema import CHANNELS, STATUS, rounded
 from ..sources import signals
 from ..sources.tables import STEP, event_signal, read_table
@@ -315,6 +316,124 @@ def ensemble_trace(spark, folder):
     return _out(spectral.ensemble_trace(parts), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
+# recursive estimators: the twins go from sample to sample
+
+
+def D(x: float) -> str:
+    return f"({float(x)!r}::DOUBLE)"
+
+
+def _recursion(state: dict[str, float], *steps: dict[str, str]) -> str:
+    """CTEs sig and walk (series_id, i, t, the state after the sample). state has its start; each step has the columns that it sets, v is the sample, 0 if there is none, and known whether there is."""
+    names = list(state)
+    inner = "SELECT sig.series_id, sig.i, sig.t, coalesce(sig.x, 0.0) AS v, sig.x IS NOT NULL AS known, " + ", ".join(f"w.{n}" for n in names) + " FROM walk w JOIN sig ON sig.series_id = w.series_id AND sig.i = w.i + 1"
+    for step in steps:
+        inner = f"SELECT * REPLACE ({', '.join(f'{x} AS {n}' for n, x in step.items() if n in names)}) FROM ({inner})" if set(step) <= set(names) else f"SELECT *, {', '.join(f'{x} AS {n}' for n, x in step.items())} FROM ({inner})"
+    return f"""sig AS MATERIALIZED ({EVENTS_SQL}),
+    walk AS (SELECT series_id, -1::BIGINT AS i, 0.0::DOUBLE AS t, {', '.join(f'{D(x)} AS {n}' for n, x in state.items())} FROM (SELECT DISTINCT series_id FROM sig)
+             UNION ALL SELECT series_id, i, t, {', '.join(names)} FROM ({inner}))"""
+
+
+def _walked(frequency: str) -> str:
+    return _rated(f"trace0 AS (SELECT series_id, i, t, {frequency} AS frequency_hz FROM walk WHERE i >= 0)")
+
+
+LOOP = LoopConfig(5000.0)
+_A, _B, _G, _OMEGA = scan.sogi(LOOP)
+_INTEGRATOR = {"x1": f"s1 + {D(_G[0])} * v", "x2": f"s2 + {D(_G[1])} * v"}
+_ADVANCED = {f"s{k + 1}": f"CASE WHEN known THEN {D(_A[k][0])} * s1 + {D(_A[k][1])} * s2 + {D(_B[k])} * v ELSE s{k + 1} END" for k in (0, 1)}
+_KEEP = math.exp(-1.0 / (LOOP.fs * LOOP.tau_s))
+_SOGI = _recursion(
+    {"s1": 0.0, "s2": 0.0, "p": 0.0, "q": 0.0}, _INTEGRATOR,
+    {"p": f"{D(_KEEP)} * p + {D(1 - _KEEP)} * (v - x1) * x2", "q": f"{D(_KEEP)} * q + {D(1 - _KEEP)} * x2 * x2", **{k: x.replace("CASE WHEN known THEN", "").split("ELSE")[0] for k, x in _ADVANCED.items()}},
+)
+_SOGI_HZ = f"coalesce(atan({D(_OMEGA / (2 * LOOP.fs))} * sqrt(greatest(0.0, 1 - {D(LOOP.k)} * p / CASE WHEN q > 0 THEN q END))) * {D(LOOP.fs / math.pi)}, 60.0::DOUBLE)"
+_LOOP_SQL = f"series_id::VARCHAR AS series_id, i::BIGINT AS i, {R('t')} AS t, {R('frequency_hz', 4)} AS frequency_hz, {R('rocof_hz_s', 1)} AS rocof_hz_s"
+
+
+def _loop(df: DataFrame) -> DataFrame:
+    return _out(df, *TRACE_OUT, frequency_hz=4, rocof_hz_s=1)
+
+
+@query(f"WITH RECURSIVE {_SOGI}, {_walked(_SOGI_HZ)} SELECT {_LOOP_SQL} FROM trace")
+def sogi_fll_trace(spark, folder):
+    return _loop(scan.sogi_fll_trace(event_signal(spark, folder), LOOP))
+
+
+_WRAP = lambda x: f"({x}) - 2 * pi() * floor((({x}) + pi()) / (2 * pi()))"
+_PLL = _recursion(
+    {"s1": 0.0, "s2": 0.0, "angle": 0.0, "integral": 0.0, "omega": 0.0}, _INTEGRATOR,
+    {"error": "CASE WHEN known AND sqrt(x1 * x1 + x2 * x2) > 0 THEN (x2 * cos(angle) - x1 * sin(angle)) / sqrt(x1 * x1 + x2 * x2) ELSE 0.0 END"},
+    {"integral": f"integral + {D(LOOP.ki / LOOP.fs)} * error", **_ADVANCED},
+    {"omega": f"{D(2 * math.pi * LOOP.nominal_hz)} + {D(LOOP.kp)} * error + integral"},
+    {"angle": _WRAP(f"angle + omega * {D(1 / LOOP.fs)}")},
+)
+
+
+@query(f"WITH RECURSIVE {_PLL}, {_walked('omega / (2 * pi())')} SELECT {_LOOP_SQL} FROM trace")
+def srf_pll_trace(spark, folder):
+    return _loop(sequential.sequential_trace(event_signal(spark, folder), sequential.srf_pll(LOOP)))
+
+
+#: Events are far from a tone of amplitude 1.
+FILTER = KalmanConfig(5000.0, q=1.0, r=1000.0, p0=100.0)
+_C, _S = math.cos(2 * math.pi * 60.0 / 5000.0), math.sin(2 * math.pi * 60.0 / 5000.0)
+_KALMAN = _recursion(
+    {"m1": 0.0, "m2": 0.0, "p11": FILTER.p0, "p12": 0.0, "p22": FILTER.p0, "turn": 0.0},
+    {"m1": f"{D(_C)} * m1 - {D(_S)} * m2", "m2": f"{D(_S)} * m1 + {D(_C)} * m2",
+     "p11": f"{D(_C * _C)} * p11 - {D(2 * _C * _S)} * p12 + {D(_S * _S)} * p22 + {D(FILTER.q)}", "p12": f"{D(_C * _S)} * (p11 - p22) + {D(_C * _C - _S * _S)} * p12",
+     "p22": f"{D(_S * _S)} * p11 + {D(2 * _C * _S)} * p12 + {D(_C * _C)} * p22 + {D(FILTER.q)}"},
+    {"k1": f"CASE WHEN known THEN p11 / (p11 + {D(FILTER.r)}) ELSE 0.0 END", "k2": f"CASE WHEN known THEN p12 / (p11 + {D(FILTER.r)}) ELSE 0.0 END"},
+    {"m1": "m1 + k1 * (v - m1)", "m2": "m2 + k2 * (v - m1)", "p11": "p11 - k1 * p11", "p12": "p12 - k1 * p12", "p22": "p22 - k2 * p12"},
+)
+_TURNED = f"""turned AS (SELECT *, lag(m1) OVER w AS b1, lag(m2) OVER w AS b2 FROM walk WHERE i >= 0 WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+    {_rated(f"trace0 AS (SELECT series_id, i, t, coalesce(atan2(m2 * b1 - m1 * b2, m1 * b1 + m2 * b2) * {D(5000.0 / (2 * math.pi))}, 60.0::DOUBLE) AS frequency_hz FROM turned)")}"""
+
+
+@query(f"WITH RECURSIVE {_KALMAN}, {_TURNED} SELECT {_LOOP_SQL} FROM trace")
+def kalman_trace(spark, folder):
+    return _loop(scan.kalman_trace(event_signal(spark, folder), FILTER))
+
+
+_T = 1 / 5000.0
+_EKF = _recursion(
+    {"a": 1.0, "phase": 0.0, "omega": 2 * math.pi * 60.0, "p11": FILTER.p0, "p12": 0.0, "p13": 0.0, "p22": FILTER.p0, "p23": 0.0, "p33": FILTER.p_omega},
+    {"phase": _WRAP(f"phase + omega * {D(_T)}"), "p11": f"p11 + {D(FILTER.q)}", "p12": f"p12 + {D(_T)} * p13", "p22": f"p22 + {D(2 * _T)} * p23 + {D(_T * _T)} * p33 + {D(FILTER.q_phase)}",
+     "p23": f"p23 + {D(_T)} * p33", "p33": f"p33 + {D(FILTER.q_omega)}"},
+    {"h1": "sin(phase)", "h2": "a * cos(phase)"},
+    {"c1": "p11 * h1 + p12 * h2", "c2": "p12 * h1 + p22 * h2", "c3": "p13 * h1 + p23 * h2"},
+    {"spread": f"h1 * c1 + h2 * c2 + {D(FILTER.r)}", "gap": f"CASE WHEN known THEN (v - a * h1) / (h1 * c1 + h2 * c2 + {D(FILTER.r)}) ELSE 0.0 END"},
+    {"a": "a + c1 * gap", "phase": f"CASE WHEN known THEN {_WRAP('phase + c2 * gap')} ELSE phase END", "omega": "omega + c3 * gap",
+     **{f"p{j}{k}": f"p{j}{k} - CASE WHEN known THEN c{j} * c{k} / spread ELSE 0.0 END" for j, k in ((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3))}},
+)
+
+
+@query(f"WITH RECURSIVE {_EKF}, {_walked('omega / (2 * pi())')} SELECT {_LOOP_SQL} FROM trace")
+def ekf_trace(spark, folder):
+    return _loop(sequential.sequential_trace(event_signal(spark, folder), sequential.ekf_angle(FILTER)))
+
+
+FITTED = TaylorConfig(5000.0)
+
+
+def _fitted_sql() -> str:
+    """CTEs up to trace: the sums of each frame with the bank's weights."""
+    n, bank, names = FITTED.frame_len, taylor.filter_bank(FITTED), ("a0", "b0", "a1", "b1", "a2", "b2")
+    weights = ", ".join(f"unnest([{', '.join(repr(float(x)) for x in row)}]::DOUBLE[]) AS {name}" for name, row in zip(names, bank))
+    sums = ", ".join(f"sum(x.x * w.{name}) AS {name}" for name in names)
+    return f"""sig AS MATERIALIZED ({EVENTS_SQL}), w AS (SELECT unnest(range({n})) AS j, {weights}),
+    sums AS (SELECT x.series_id, x.i + {n - 1} - w.j AS i, {sums}, count(x.x) AS n FROM sig x, w GROUP BY ALL),
+    power AS (SELECT *, a0 * a0 + b0 * b0 AS z FROM sums WHERE n = {n}),
+    slope AS (SELECT *, (a1 * a0 + b1 * b0) / z AS re, (b1 * a0 - a1 * b0) / z AS im, (b2 * a0 - a2 * b0) / z AS bend FROM power WHERE z > 0),
+    trace AS (SELECT series_id, i, t, coalesce(60.0::DOUBLE + im / (2 * pi()), 60.0::DOUBLE) AS frequency_hz, coalesce((2 * bend - 2 * re * im) / (2 * pi()), 0.0::DOUBLE) AS rocof_hz_s
+              FROM sig LEFT JOIN slope USING (series_id, i))"""
+
+
+@query(f"WITH {_fitted_sql()} SELECT {_LOOP_SQL} FROM trace")
+def taylor_fourier_trace(spark, folder):
+    return _loop(taylor.taylor_fourier_trace(event_signal(spark, folder), FITTED))
+
+
 # several channels
 
 def _event_types(spark: SparkSession, folder: str) -> dict[str, str]:
