@@ -2,10 +2,10 @@
 
 A run is a table of (h1, h2, n): line hashes, and in how many documents of the run's batches the line
 stands. Runs are bucketed by hash and sorted, so that a batch meets the runs bucket by bucket, without a
-shuffle of what they hold. A new batch counts its lines, merge-anti-joins the runs, which leaves the lines
+shuffle of what they hold. A new batch hashes and counts its own lines, merge-anti-joins the runs, which leaves the lines
 that they don't yet show to be frequent, and adds these as its own run on level 0. When a level holds
 `fan_out` runs, they are compacted into one run of the next level, so that a join meets few runs however
-many batches came.
+many batches came. Nothing is counted over all batches but by the runs.
 
 Rows then lose their frequent lines where they are: up to a checked number, the hashes of frequent lines are
 broadcast. Beyond it, the hashes of all lines are joined with them, and rows with the places that they lose.
@@ -14,6 +14,7 @@ broadcast. Beyond it, the hashes of all lines are joined with them, and rows wit
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,10 @@ from .common import BLANKS, Scratch, ascii_lower, hash128, remove, shared_path
 LEAST_DOCS = 10
 BATCHES = 4
 FAN_OUT = 3
+#: Bytes of text, about, whose lines are a bucket of a run.
+BUCKET_BYTES = 16 << 20
+#: Bytes of text whose lines a task looks up at once.
+LOOKED_UP = 1 << 22
 #: Frequent lines whose hashes, 16 bytes each, are broadcast.
 MOST_BROADCAST = 500_000
 
@@ -60,11 +65,10 @@ def _counted(lines: DataFrame) -> DataFrame:
 class LineRuns:
     """The runs of one corpus: partitions of a bucketed table, whose files lie in a folder of the shared file system."""
 
-    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fan_out: int = FAN_OUT):
-        self.spark, self.least_docs, self.fan_out = spark, least_docs, fan_out
+    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fan_out: int = FAN_OUT, buckets: int = 1):
+        self.spark, self.least_docs, self.fan_out, self.buckets = spark, least_docs, fan_out, buckets
         self.path = shared_path(spark, "line_runs")
         self.table = f"line_runs_{uuid.uuid4().hex}"
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
     def _write(self, run: DataFrame, level: int) -> None:
@@ -94,11 +98,9 @@ class LineRuns:
         return self.counts().filter(F.col("n") >= self.least_docs)
 
     def add(self, batch: DataFrame) -> None:
-        """Count the lines of a batch of documents (doc_id, text) and add them as a run."""
-        self.add_counts(_counted(_hashed(batch)))
-
-    def add_counts(self, counts: DataFrame) -> None:
-        """Add a batch's lines (h1, h2, n), without those known as frequent, as a run; compact full levels."""
+        """Count the lines of a batch of documents (doc_id, text), without those known as frequent, and add them as a run; compact full levels."""
+        # counted where they are first, as one line may be in a third of all rows; then in the runs' buckets
+        counts = _counted(_hashed(batch)).repartition(self.buckets, "h1", "h2")
         if self._names():
             counts = counts.join(self.frequent().select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         self._write(counts, 0)
@@ -124,20 +126,11 @@ class LineRuns:
 
 
 def count_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT) -> LineRuns:
-    """The runs of docs, taken in so many batches by doc_id's hash.
-
-    Texts are read once: a row for each line has its count in each batch, in buckets that the runs share.
-    """
-    spark = docs.sparkSession
-    runs, name = LineRuns(spark, least_docs, fan_out), f"line_batches_{uuid.uuid4().hex}"
-    path = shared_path(spark, "line_batches")
-    lines = _hashed(docs, F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
-    every = lines.groupBy("h1", "h2").agg(*(F.count_if(F.col("batch") == k).alias(f"n{k}") for k in range(batches)))
-    every.write.bucketBy(runs.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
+    """The runs of docs, which come in so many batches by doc_id's hash, one after the other."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = LineRuns(docs.sparkSession, least_docs, fan_out, max(1, math.ceil(size / BUCKET_BYTES)))
     for k in range(batches):
-        runs.add_counts(spark.table(name).select("h1", "h2", F.col(f"n{k}").alias("n")).filter("n > 0"))
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
+        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     return runs
 
 
@@ -146,16 +139,32 @@ _SECOND = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
 
 
 class Frequent:
-    """The hashes of the frequent lines, in a task."""
+    """The hashes of the frequent lines, in a task: 16 bytes each, sorted."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray):
-        self.first = set(h1.view(np.uint64).tolist())
-        self.both = set(zip(h1.view(np.uint64).tolist(), h2.view(np.uint64).tolist()))
-
-    def stays(self, line: bytes) -> bool:
-        key = line.strip(BLANKS.encode()).lower()
-        h1 = xxhash.xxh64_intdigest(key, 42)
-        return h1 not in self.first or not key or (h1, xxhash.xxh64_intdigest(key, _SECOND)) not in self.both
+        order = np.lexsort((h2.view(np.uint64), h1.view(np.uint64)))
+        self.h1, self.h2 = h1.view(np.uint64)[order], h2.view(np.uint64)[order]
+
+    def holds(self, lines: list[bytes]) -> np.ndarray:
+        """Whether each line is frequent."""
+        keys = [line.strip(BLANKS.encode()).lower() for line in lines]
+        found = np.zeros(len(keys), bool)
+        if not len(self.h1):
+            return found
+        first = np.fromiter(map(_first_hash, keys), np.uint64, len(keys))
+        at = np.minimum(np.searchsorted(self.h1, first), len(self.h1) - 1)
+        for k in np.flatnonzero(self.h1[at] == first).tolist():
+            if keys[k]:
+                # lines with one first hash stand together
+                second, place = xxhash.xxh64_intdigest(keys[k], _SECOND), int(at[k])
+                while place < len(self.h1) and self.h1[place] == first[k] and not found[k]:
+                    found[k] = self.h2[place] == second
+                    place += 1
+        return found
+
+
+def _first_hash(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key, 42)
 
 
 def _frequent(docs: DataFrame, least_docs: int, batches: int) -> tuple[DataFrame, Callable[[], Frequent] | None]:
@@ -179,10 +188,23 @@ def _frequent(docs: DataFrame, least_docs: int, batches: int) -> tuple[DataFrame
 
 def _stripped(column: pa.Array, frequent: Frequent) -> Iterator[tuple[int, int, bytes]]:
     """Lines before, lines dropped and the lines that stay of each text."""
+    held: list[list[bytes]] = []
+    size = 0
+
+    def looked_up() -> Iterator[tuple[int, int, bytes]]:
+        lost, at = frequent.holds([x for own in held for x in own]).tolist(), 0
+        for own in held:
+            kept = [x for x, gone in zip(own, lost[at : at + len(own)]) if not gone]
+            at += len(own)
+            yield len(own), len(own) - len(kept), b"\n".join(kept)
+
     for text in column.cast(pa.binary()).to_pylist():
-        lines = (text or b"").split(b"\n")
-        kept = [x for x in lines if frequent.stays(x)]
-        yield len(lines), len(lines) - len(kept), text or b"" if len(kept) == len(lines) else b"\n".join(kept)
+        held.append((text or b"").split(b"\n"))
+        size += len(text or b"")
+        if size >= LOOKED_UP:
+            yield from looked_up()
+            held, size = [], 0
+    yield from looked_up()
 
 
 def _with_lost(docs: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from hertzlake.llm import linededup
@@ -70,3 +71,36 @@ def test_runs_meet_without_a_shuffle(spark, capsys):
         runs.drop()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_are_counted_one_by_one_and_compacted(spark, monkeypatch):
+    """No count is over more than a batch; the runs alone add up what a line has in several."""
+    monkeypatch.setattr(linededup, "BUCKET_BYTES", 500)
+    rnd, seen, counted = random.Random(3), [], linededup._counted
+    docs = spark.createDataFrame([(k, "\n".join(f"line {rnd.randrange(60)}" for _ in range(9))) for k in range(200)], "doc_id long, text string")
+
+    def one(lines):
+        counts = counted(lines)
+        seen.append(sum(r.n for r in counts.collect()))
+        return counts
+
+    monkeypatch.setattr(linededup, "_counted", one)
+    runs = linededup.count_lines(docs, least_docs=10**6)
+    distinct = sum(len(set(r.text.split("\n"))) for r in docs.collect())
+    assert len(seen) == 4 and sum(seen) == distinct and all(0.1 * distinct < n < 0.5 * distinct for n in seen)
+    assert [len(level) for level in runs.levels] == [1, 1] and runs.buckets > 1  # three were compacted
+    assert sum(r.n for r in runs.counts().collect()) == distinct
+    assert 1 < len(runs._read(runs.levels[1]).inputFiles()) <= runs.buckets
+    runs.drop()
+
+
+def test_lines_in_the_table_of_a_task():
+    rng = np.random.default_rng(1)
+    lines = [b"Line %d " % k for k in range(3000)]
+    known = {x.strip().lower() for x in lines[::3]}
+    hashes = [(linededup._first_hash(x), linededup.xxhash.xxh64_intdigest(x, linededup._SECOND)) for x in known]
+    # another line with the same first hash
+    hashes += [(h1, 7) for h1, _ in hashes[:50]] + [(linededup._first_hash(lines[1].strip().lower()), 9)]
+    h1, h2 = (np.array(x, np.uint64).view(np.int64) for x in zip(*[hashes[k] for k in rng.permutation(len(hashes))]))
+    assert linededup.Frequent(h1, h2).holds([*lines, b"", b" \t"]).tolist() == [x.strip().lower() in known for x in lines] + [False, False]
+    assert not linededup.Frequent(h1[:0], h2[:0]).holds(lines).any()
