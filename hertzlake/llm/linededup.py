@@ -30,7 +30,7 @@ LEAST_DOCS = 10
 BATCHES = 4
 FAN_OUT = 3
 #: Bytes of text, about, whose lines are a bucket of a run.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
 #: Bytes of text whose lines a task looks up at once.
 LOOKED_UP = 1 << 22
 #: Frequent lines whose hashes, 16 bytes each, are broadcast.
