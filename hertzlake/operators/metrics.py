@@ -69,12 +69,33 @@ def golden_gaps(results: DataFrame, golden: DataFrame, keys: tuple[str, ...], co
     return both.withColumn("passed", F.coalesce(near, F.lit(False)))
 
 
+def multiset_digest(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, n_rows, digest: the same for equal rows in any order, partitioning and order of columns, and another one for others.
+
+    A row's sha256 is taken in eight numbers of 32 bits, which are summed, so that partial sums meet in a tree and rows aren't sorted or gathered; the digest is the
+    sha256 of the number of rows and the sums. A null is not the empty string; doubles count as Spark writes them.
+    """
+    columns = sorted(c for c in rows.columns if c not in by)
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
+    parts = [F.conv(F.substring("sha", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)") for k in range(8)]
+    sums = rows.withColumn("sha", F.sha2(text, 256)).groupBy(*by).agg(F.count("*").alias("n_rows"), *(F.sum(x).alias(f"s{k}") for k, x in enumerate(parts)))
+    return sums.select(*by, "n_rows", F.sha2(F.concat_ws(",", "n_rows", *(f"s{k}" for k in range(8))), 256).alias("digest"))
+
+
 def suite_digest(rows: DataFrame) -> str:
-    """The same for equal rows in any order and partitioning, else another one: a sum over rows of two hashes each."""
-    columns = sorted(rows.columns)
-    hashes = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (0, 1)]
-    found = rows.agg(F.count("*"), *hashes).first()
-    return "-".join(map(str, found))
+    """The digest of all rows, as one string."""
+    return multiset_digest(rows).first().digest or ""
+
+
+def store_run(results: DataFrame, run_id: str, folder: str) -> None:
+    """Add results to the runs in a folder; a run is written once."""
+    results.write.mode("errorifexists").parquet(f"{folder}/run_id={run_id}")
+
+
+def compare_runs(runs: DataFrame, found: str, golden: str, keys: tuple[str, ...], column: str, tolerance: float = 0.03) -> DataFrame:
+    """golden_gaps of two of the stored runs (run_id, keys, column)."""
+    of = lambda name: runs.filter(F.col("run_id") == name)
+    return golden_gaps(of(found), of(golden), keys, column, tolerance)
 
 
 def total_vector_error(estimate: Column, truth: Column) -> Column:

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Windows of the plots. Fixed values.
 TOP_WINDOWS = ((0.95, 1.05), (1.95, 2.05))
 BOTTOM_WINDOW = (0.5, 2.5)
 log = logging.getLogger(__name__)
@@ -21,6 +22,24 @@ def zoom_windows(series: DataFrame, windows: tuple[tuple[float, float], ...] = T
     return series.withColumn("window_id", F.explode(F.array_compact(F.array(*inside))))
 
 
+def in_windows(series: DataFrame, windows: DataFrame, width: float) -> DataFrame:
+    """series (t, more) with window_id: each row once for each row of windows (window_id, t0, t1) that its t lies in, ends included.
+
+    A join by bins of time of the given width: a window is a row for each bin that it reaches, so that long ones are cut, and meets the samples of these bins
+    alone. Bins in which there is no sample aren't made: a window is cut to the time that the series spans. Windows that end before they begin, or with a null end, hold nothing; a window may
+    have the columns of series too, by which it then is joined.
+    """
+    by = [c for c in windows.columns if c in series.columns]
+    bin_ = lambda t: F.floor(t / F.lit(float(width))).cast("long")
+    span = series.agg(F.min("t"), F.max("t")).first()
+    if span[0] is None:
+        return series.join(windows.select("window_id"), F.lit(False))
+    reach = windows.filter("t0 <= t1").withColumns({"b0": bin_(F.greatest("t0", F.lit(span[0]))), "b1": bin_(F.least("t1", F.lit(span[1])))})
+    cut = reach.filter("b0 <= b1").withColumn("bin", F.explode(F.sequence("b0", "b1"))).drop("b0", "b1")
+    joined = series.withColumn("bin", bin_(F.col("t"))).join(cut, [*by, "bin"])
+    return joined.filter((F.col("t") >= F.col("t0")) & (F.col("t") <= F.col("t1"))).select(*(F.col(c) for c in series.columns), "window_id")
+
+
 def y_limits(truth: DataFrame, window: tuple[float, float] = BOTTOM_WINDOW, share: float = 0.15) -> DataFrame:
     """series_id, y_min, y_max: the mean of f_true in the window, less and plus a share of it; no row without samples there."""
     inside = truth.filter(F.col("t").between(*map(float, window))).groupBy("series_id").agg(F.avg("f_true").alias("m"))

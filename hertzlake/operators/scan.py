@@ -50,7 +50,7 @@ def affine_states(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return y
 
 
-def _carried(ends: DataFrame, compose: Callable[[np.ndarray, int, np.ndarray], np.ndarray], first: np.ndarray) -> DataFrame:
+def carried(ends: DataFrame, compose: Callable[[np.ndarray, int, np.ndarray], np.ndarray], first: np.ndarray) -> DataFrame:
     """series_id, chunk, start of ends (series_id, chunk, n, end): the state that each chunk starts with, of the chunks before it in order."""
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
@@ -64,7 +64,7 @@ def _carried(ends: DataFrame, compose: Callable[[np.ndarray, int, np.ndarray], n
     return ends.groupBy("series_id").applyInPandas(found, "series_id string, chunk long, start array<double>")
 
 
-def _started(samples: DataFrame, starts: DataFrame) -> DataFrame:
+def started(samples: DataFrame, starts: DataFrame) -> DataFrame:
     """samples with chunk's start, a row a chunk."""
     named = starts.select(F.col("series_id").alias("s"), F.col("chunk").alias("c"), "start")
     return samples.join(named, F.col("series_id").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).drop("s", "c")
@@ -88,7 +88,7 @@ def sogi(config: LoopConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]
     return a, (a + one) @ g, g, omega
 
 
-def _composed(a: np.ndarray) -> Callable[[np.ndarray, int, np.ndarray], np.ndarray]:
+def composed_powers(a: np.ndarray) -> Callable[[np.ndarray, int, np.ndarray], np.ndarray]:
     return lambda state, n, end: np.linalg.matrix_power(a, int(n)) @ state + end
 
 
@@ -111,7 +111,7 @@ def sogi_fll_trace(signal: DataFrame, config: LoopConfig, chunk: int = CHUNK) ->
         return pd.DataFrame({"series_id": rows["series_id"][:1], "chunk": rows["chunk"][:1], "n": len(rows), "end": [states[-1].tolist()]})
 
     ends = scratch.stored(cut.groupBy("series_id", "chunk").applyInPandas(end, "series_id string, chunk long, n long, end array<double>"), "ends")
-    starts = scratch.stored(_carried(ends, _composed(a), np.zeros(2)), "starts")
+    starts = scratch.stored(carried(ends, composed_powers(a), np.zeros(2)), "starts")
 
     def passed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i").reset_index(drop=True)
@@ -124,16 +124,16 @@ def sogi_fll_trace(signal: DataFrame, config: LoopConfig, chunk: int = CHUNK) ->
         means = affine_states(slow, (1 - keep) * np.column_stack((error * out[:, 1], out[:, 1] ** 2)))
         return pd.DataFrame({"series_id": rows["series_id"], "chunk": rows["chunk"], "i": rows["i"], "t": rows["t"], "at": np.arange(1, len(rows) + 1), "p": means[:, 0], "q": means[:, 1]})
 
-    local = _started(cut, starts).groupBy("series_id", "chunk").applyInPandas(passed, "series_id string, chunk long, i long, t double, at long, p double, q double")
+    local = started(cut, starts).groupBy("series_id", "chunk").applyInPandas(passed, "series_id string, chunk long, i long, t double, at long, p double, q double")
     local = scratch.stored(local, "means")
     last = local.groupBy("series_id", "chunk").agg(F.max("at").alias("n"), F.max_by(F.array("p", "q"), "at").alias("end"))
-    starts = scratch.stored(_carried(last, _composed(slow), np.zeros(2)), "starts")
+    starts = scratch.stored(carried(last, composed_powers(slow), np.zeros(2)), "starts")
     scratch.clear(local, starts)
     ahead = F.pow(F.lit(keep), F.col("at"))
     p, q = (F.col(c) + ahead * F.col("start")[k] for k, c in enumerate("pq"))
     squared = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(config.k) * p / F.when(q > 0, q))
     found = F.atan(F.lit(omega / (2 * config.fs)) * F.sqrt(squared)) * F.lit(config.fs / math.pi)
-    return rated(_started(local, starts).select("series_id", "i", "t", F.coalesce(found, F.lit(config.nominal_hz)).alias("frequency_hz")), chunk)
+    return rated(started(local, starts).select("series_id", "i", "t", F.coalesce(found, F.lit(config.nominal_hz)).alias("frequency_hz")), chunk)
 
 
 # a Kalman filter's elements: A, b, C, eta, J, as rows of 4 + 2 + 4 + 2 + 4 numbers
@@ -206,7 +206,7 @@ def kalman_states(signal: DataFrame, config: KalmanConfig, chunk: int = CHUNK) -
 
     ends = scratch.stored(cut.groupBy("series_id", "chunk").applyInPandas(end, "series_id string, chunk long, n long, end array<double>"), "ends")
     prior = np.concatenate((np.zeros(6), (config.p0 * np.eye(2)).ravel(), np.zeros(6)))
-    starts = scratch.stored(_carried(ends, lambda state, n, end: composed(state[None], end[None])[0], prior), "starts")
+    starts = scratch.stored(carried(ends, lambda state, n, end: composed(state[None], end[None])[0], prior), "starts")
 
     def passed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i").reset_index(drop=True)
@@ -215,7 +215,7 @@ def kalman_states(signal: DataFrame, config: KalmanConfig, chunk: int = CHUNK) -
         mean = prefixes(elements)[:, 4:6]
         return pd.DataFrame({"series_id": rows["series_id"], "i": rows["i"], "t": rows["t"], "re": mean[:, 0], "im": mean[:, 1]})
 
-    found = scratch.stored(_started(cut, starts).groupBy("series_id", "chunk").applyInPandas(passed, "series_id string, i long, t double, re double, im double"), "states")
+    found = scratch.stored(started(cut, starts).groupBy("series_id", "chunk").applyInPandas(passed, "series_id string, i long, t double, re double, im double"), "states")
     scratch.clear(found)
     return found
 

@@ -1,7 +1,7 @@
 """Further spectral estimators by moving sums: Goertzel at chosen frequencies, the sliding DFT's phase, ensembles.
 
-A frame's sums over x cos and x sin at a frequency are a window over a series' samples; which frequencies is
-a constant of the plan. Until a frame is full, the nominal frequency holds.
+A frame's sums over x cos and x sin at a frequency are a window over a chunk of a series' samples, which those of a frame
+before it visit; which frequencies is a constant of the plan. Until a frame is full, the nominal frequency holds.
 """
 
 from __future__ import annotations
@@ -9,15 +9,18 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IpdftConfig
-from .ipdft import with_rate
+from ..storage import Scratch
+from .scan import CHUNK, affine_states, carried, chunk_of, composed_powers, rated, started, with_visitors
 
 
 def _order():
-    return Window.partitionBy("series_id").orderBy("i")
+    return Window.partitionBy("series_id", "chunk").orderBy("i")
 
 
 def _frame_sums(turn: Column, n: int) -> tuple[Column, Column]:
@@ -25,33 +28,84 @@ def _frame_sums(turn: Column, n: int) -> tuple[Column, Column]:
     return F.sum(F.col("x") * F.cos(turn)).over(frame), F.sum(F.col("x") * F.sin(turn)).over(frame)
 
 
-def _estimated(found: DataFrame, config: IpdftConfig) -> DataFrame:
-    """The trace of found (series_id, i, t, f): nominal until the first frame is full."""
+def _estimated(found: DataFrame, config: IpdftConfig, chunk: int) -> DataFrame:
+    """The trace of found (series_id, chunk, i, t, f), visitors among it: nominal until the first frame is full."""
     f = F.when(F.col("i") >= config.frame_len - 1, F.coalesce("f", F.lit(config.nominal_hz))).otherwise(config.nominal_hz)
-    return with_rate(found.withColumn("frequency_hz", f))
+    own = found.filter(chunk_of(chunk) == F.col("chunk"))
+    return rated(own.select("series_id", "i", "t", f.alias("frequency_hz")), chunk)
 
 
-def goertzel_trace(signal: DataFrame, config: IpdftConfig, frequencies: tuple[float, ...]) -> DataFrame:
+def goertzel_trace(signal: DataFrame, config: IpdftConfig, frequencies: tuple[float, ...], chunk: int = CHUNK) -> DataFrame:
     """series_id, i, t, frequency_hz, rocof_hz_s: of the given frequencies the one with the most power in the frame; of equal ones the first."""
-    powers, cells = signal.select("series_id", "i", "t", "x"), []
+    powers, cells = with_visitors(signal.select("series_id", "i", "t", "x"), chunk, config.frame_len), []
     for k, frequency in enumerate(frequencies):
         c, s = _frame_sums(F.lit(2 * math.pi * frequency / config.fs) * F.col("i"), config.frame_len)
         powers = powers.withColumn(f"p{k}", c * c + s * s)
         cells.append(F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k"), F.lit(float(frequency)).alias("f")))
-    return _estimated(powers.select("series_id", "i", "t", F.array_max(F.array(*cells))["f"].alias("f")), config)
+    return _estimated(powers.select("series_id", "chunk", "i", "t", F.array_max(F.array(*cells))["f"].alias("f")), config, chunk)
 
 
-def sliding_dft_trace(signal: DataFrame, config: IpdftConfig) -> DataFrame:
+def sliding_dft_trace(signal: DataFrame, config: IpdftConfig, chunk: int = CHUNK) -> DataFrame:
     """series_id, i, t, frequency_hz, rocof_hz_s: from how far the phase of the bin next to nominal turns from a frame to the next."""
     k = max(1, round(config.nominal_hz * config.frame_len / config.fs))
     centre = k * config.fs / config.frame_len
     c, s = _frame_sums(F.lit(2 * math.pi * k / config.frame_len) * (F.col("i") % F.lit(config.frame_len)), config.frame_len)
-    sums = signal.select("series_id", "i", "t", c.alias("c"), s.alias("s"))
+    sums = with_visitors(signal, chunk, config.frame_len).select("series_id", "chunk", "i", "t", c.alias("c"), s.alias("s"))
     before = sums.withColumns({"c0": F.lag("c").over(_order()), "s0": F.lag("s").over(_order())})
     # the sums are those of exp(-iwn): a phase that grows is a frequency over the bin's
     turn = F.atan2(F.col("c") * F.col("s0") - F.col("s") * F.col("c0"), F.col("c") * F.col("c0") + F.col("s") * F.col("s0"))
     f = F.when(F.col("i") >= config.frame_len, F.lit(centre) + turn * F.lit(config.fs / (2 * math.pi)))
-    return _estimated(before.select("series_id", "i", "t", f.alias("f")), config)
+    return _estimated(before.select("series_id", "chunk", "i", "t", f.alias("f")), config, chunk)
+
+
+def prony_trace(signal: DataFrame, config: IpdftConfig, chunk: int = CHUNK) -> DataFrame:
+    """series_id, i, t, frequency_hz, rocof_hz_s: Prony's method for one damped tone.
+
+    In each frame x_k = a x_(k-1) + b x_(k-2) is fitted by least squares, from five moving sums; the tone is the complex root of
+    z^2 = a z + b, and the frequency its angle. Nominal where the roots are real.
+    """
+    frame = _order().rowsBetween(-(config.frame_len - 1), 0)
+    x0, x1, x2 = F.col("x"), F.lag("x", 1).over(_order()), F.lag("x", 2).over(_order())
+    near = with_visitors(signal.select("series_id", "i", "t", "x"), chunk, config.frame_len + 2).withColumns({"x1": x1, "x2": x2})
+    pairs = {"s11": ("x1", "x1"), "s12": ("x1", "x2"), "s22": ("x2", "x2"), "s01": ("x", "x1"), "s02": ("x", "x2")}
+    sums = near.withColumns({name: F.sum(F.col(u) * F.col(v)).over(frame) for name, (u, v) in pairs.items()})
+    # frames of whole products only
+    sums = sums.withColumn("n", F.count(x0 * F.col("x2")).over(frame))
+    det = F.nullif(F.expr("s11 * s22 - s12 * s12"), F.lit(0.0))
+    a, b = F.expr("s01 * s22 - s02 * s12") / det, F.expr("s02 * s11 - s01 * s12") / det
+    solved = sums.withColumns({"a": a, "b": b})
+    complex_ = (F.col("n") == config.frame_len) & (F.col("a") * F.col("a") + 4 * F.col("b") < 0)
+    f = F.when(complex_, F.atan2(F.sqrt(-F.col("a") * F.col("a") - 4 * F.col("b")), F.col("a")) * F.lit(config.fs / (2 * math.pi)))
+    return _estimated(solved.select("series_id", "chunk", "i", "t", f.alias("f")), config, chunk)
+
+
+def rls_trace(signal: DataFrame, config: IpdftConfig, forget: float = 0.99, chunk: int = CHUNK) -> DataFrame:
+    """series_id, i, t, frequency_hz, rocof_hz_s: recursive least squares with forgetting, of c in x_k + x_(k-2) = c x_(k-1), which is 2 cos of the turn a sample.
+
+    Both sums of the fit are discounted recursions: they run within a chunk from zero, and the sums at the ends of the chunks before, a row
+    each, come discounted by the samples since. Nominal without a tone: where the sum of squares is 0 or the cosine is over 1. A null sample's products count as 0.
+    """
+    near = with_visitors(signal.select("series_id", "i", "t", "x"), chunk, 2)
+    x1, x2 = F.lag("x", 1).over(_order()), F.lag("x", 2).over(_order())
+    terms = near.select("series_id", "chunk", "i", "t", F.coalesce(x1 * (F.col("x") + x2), F.lit(0.0)).alias("u"), F.coalesce(F.when((F.col("x") + x2).isNotNull(), x1 * x1), F.lit(0.0)).alias("v"))
+    terms = terms.filter(chunk_of(chunk) == F.col("chunk"))
+
+    def discounted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        sums = affine_states(forget * np.eye(2), rows[["u", "v"]].to_numpy(float))
+        return pd.DataFrame({"series_id": rows["series_id"], "chunk": rows["chunk"], "i": rows["i"], "t": rows["t"], "u": sums[:, 0], "v": sums[:, 1]})
+
+    scratch = Scratch(signal.sparkSession)
+    local = terms.groupBy("series_id", "chunk").applyInPandas(discounted, "series_id string, chunk long, i long, t double, u double, v double")
+    local = scratch.stored(local, "sums")
+    ends = local.groupBy("series_id", "chunk").agg(F.count("*").alias("n"), F.max_by(F.array("u", "v"), "i").alias("end"))
+    starts = scratch.stored(carried(ends, composed_powers(forget * np.eye(2)), np.zeros(2)), "starts")
+    scratch.clear(local, starts)
+    since = F.pow(F.lit(forget), F.col("i") - F.col("chunk") * F.lit(chunk) + 1)
+    whole = started(local, starts).withColumns({c: F.col(c) + since * F.col("start")[k] for k, c in enumerate("uv")})
+    cosine = F.col("u") / F.nullif(F.col("v"), F.lit(0.0)) / 2
+    f = F.when(F.abs(cosine) <= 1, F.acos(cosine) * F.lit(config.fs / (2 * math.pi)))
+    return rated(whole.select("series_id", "i", "t", F.coalesce(f, F.lit(config.nominal_hz)).alias("frequency_hz")), chunk)
 
 
 def ensemble_trace(traces: list[DataFrame]) -> DataFrame:

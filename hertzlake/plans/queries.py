@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..config import IpdftConfig, KalmanConfig, LoopConfig, MultiConfig, NetworkConfig, RampStep, TaylorConfig, ZcdConfig
 from ..functions.columns import angle, complex_of, has_status, magnitude
-from ..operators import fusion, ipdft, metrics, pmu, products, scan, sequential, spectral, taylor, zcd
+from ..operators import fusion, ipdft, metrics, pmu, products, scan, sequential, spectral, tablefunction, taylor, zcd
 from ..schema import CHANNELS, STATUS, rounded
 from ..sources import signals
 from ..sources.tables import STEP, event_signal, read_table
 from ..storage import shared_path
-from ..streaming import stateful
+from ..streaming import processors, stateful
 from . import benchmark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,7 @@ STEP_SQL = _generated("step", 20000, 5000.0, "CASE WHEN t >= 1.0 AND t < 2.0 THE
 EVENTS_SQL = f"""SELECT series_id, i, i * {STEP}::DOUBLE AS t, x FROM (
     SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i,
            value - avg(value) OVER (PARTITION BY event_type) AS x FROM events)"""
+TRUE_SQL = f"SELECT *, 60.0::DOUBLE AS f_true FROM ({EVENTS_SQL})"
 SIGNAL_OUT = ("series_id", "i", "t", "x", "f_true")
 SIGNAL_SQL = f"series_id::VARCHAR AS series_id, i::BIGINT AS i, {R('t')} AS t, {R('x')} AS x, {R('f_true')} AS f_true"
 
@@ -110,6 +111,11 @@ def _trace(df: DataFrame) -> DataFrame:
     return _out(df, *TRACE_OUT, rocof_hz_s=3)
 
 
+def _true(spark: SparkSession, folder: str) -> DataFrame:
+    """The event signal with a true frequency, the nominal one."""
+    return event_signal(spark, folder).withColumn("f_true", F.lit(60.0))
+
+
 def _step(spark: SparkSession) -> DataFrame:
     return signals.frequency_step(spark, 60.0, 59.5, 1.0, 2.0, 4.0, 5000.0)
 
@@ -259,12 +265,9 @@ def ipdft_trace(spark, folder):
     return _out(ipdft.ipdft_trace(event_signal(spark, folder), FRAME), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
-@query(f"WITH {_peaks(_generated('clean', 1000, 5000.0, '60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE'), 256, 5000.0)} SELECT {_IPDFT_SQL} FROM trace")
+@query(f"WITH {_peaks(EVENTS_SQL, 32, 5000.0)} SELECT {_IPDFT_SQL} FROM trace")
 def ipdft_rocof(spark, folder):
-    return _out(ipdft.ipdft_trace_sql(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 256)), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
-
-
-_DRIFT = f"{_generated('clean', 1000, 5000.0, '60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE')}"
+    return _out(ipdft.ipdft_trace_sql(event_signal(spark, folder), IpdftConfig(5000.0, 32)), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
 def _rated(trace0: str) -> str:
@@ -273,49 +276,62 @@ def _rated(trace0: str) -> str:
     FROM trace0 WINDOW w AS (PARTITION BY series_id ORDER BY i))"""
 
 
-@query(f"WITH {_rated(_peaks(_DRIFT, 256, 5000.0).split('trace0 AS')[0] + 'trace0 AS (SELECT sig.series_id, sig.i, t, coalesce(k * (5000.0::DOUBLE / 256), 60.0::DOUBLE) AS frequency_hz FROM sig LEFT JOIN peak ON peak.series_id = sig.series_id AND peak.i = sig.i)')} SELECT {_IPDFT_SQL} FROM trace")
+@query(f"WITH {_rated(_peaks(EVENTS_SQL, 64, 5000.0).split('trace0 AS')[0] + 'trace0 AS (SELECT sig.series_id, sig.i, t, coalesce(k * (5000.0::DOUBLE / 64), 60.0::DOUBLE) AS frequency_hz FROM sig LEFT JOIN peak ON peak.series_id = sig.series_id AND peak.i = sig.i)')} SELECT {_IPDFT_SQL} FROM trace")
 def fft_peak_trace(spark, folder):
-    found = ipdft.ipdft_trace(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 256), refined=False)
+    found = ipdft.ipdft_trace(event_signal(spark, folder), FRAME, refined=False)
     return _out(found, *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
+SHORT = IpdftConfig(5000.0, 100)
 GRID = tuple(55.0 + 0.5 * k for k in range(21))
-_FRAMES = "(PARTITION BY series_id ORDER BY i ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)"
-_POWERS = f"""sig AS ({_DRIFT}), parts AS (SELECT series_id, i, t, f, x * cos(2 * pi() * f / 5000.0::DOUBLE * i) AS c, x * sin(2 * pi() * f / 5000.0::DOUBLE * i) AS s FROM sig, (SELECT 55.0::DOUBLE + 0.5 * range AS f FROM range(21))),
-    powers AS (SELECT series_id, i, t, f, pow(sum(c) OVER w, 2) + pow(sum(s) OVER w, 2) AS p FROM parts WINDOW w AS (PARTITION BY series_id, f ORDER BY i ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)),
-    trace0 AS (SELECT series_id, i, any_value(t) AS t, CASE WHEN i >= 249 THEN arg_max(f, p) ELSE 60.0::DOUBLE END AS frequency_hz FROM powers GROUP BY series_id, i)"""
+_FRAMES = "(PARTITION BY series_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+_POWERS = f"""sig AS ({EVENTS_SQL}), parts AS (SELECT series_id, i, t, f, x * cos(2 * pi() * f / 5000.0::DOUBLE * i) AS c, x * sin(2 * pi() * f / 5000.0::DOUBLE * i) AS s FROM sig, (SELECT 55.0::DOUBLE + 0.5 * range AS f FROM range(21))),
+    powers AS (SELECT series_id, i, t, f, pow(sum(c) OVER w, 2) + pow(sum(s) OVER w, 2) AS p FROM parts WINDOW w AS (PARTITION BY series_id, f ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+    trace0 AS (SELECT series_id, i, any_value(t) AS t, CASE WHEN i >= 99 THEN arg_max(f, p) ELSE 60.0::DOUBLE END AS frequency_hz FROM powers GROUP BY series_id, i)"""
 
 
 @query(f"WITH {_rated(_POWERS)} SELECT {_IPDFT_SQL} FROM trace")
 def goertzel_trace(spark, folder):
-    found = spectral.goertzel_trace(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 250), GRID)
+    found = spectral.goertzel_trace(event_signal(spark, folder), SHORT, GRID)
     return _out(found, *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
-_TURNS = f"""sig AS ({_DRIFT}), parts AS (SELECT series_id, i, t, x * cos(2 * pi() * 3 / 250 * (i % 250)) AS c, x * sin(2 * pi() * 3 / 250 * (i % 250)) AS s FROM sig),
+_TURNS = f"""sig AS ({EVENTS_SQL}), parts AS (SELECT series_id, i, t, x * cos(2 * pi() / 100 * (i % 100)) AS c, x * sin(2 * pi() / 100 * (i % 100)) AS s FROM sig),
     sums AS (SELECT series_id, i, t, sum(c) OVER w AS c, sum(s) OVER w AS s FROM parts WINDOW w AS {_FRAMES}),
     steps AS (SELECT *, lag(c) OVER (PARTITION BY series_id ORDER BY i) AS c0, lag(s) OVER (PARTITION BY series_id ORDER BY i) AS s0 FROM sums),
-    trace0 AS (SELECT series_id, i, t, CASE WHEN i >= 250 THEN 60.0::DOUBLE + atan2(c * s0 - s * c0, c * c0 + s * s0) * 5000.0::DOUBLE / (2 * pi()) ELSE 60.0::DOUBLE END AS frequency_hz FROM steps)"""
+    trace0 AS (SELECT series_id, i, t, CASE WHEN i >= 100 THEN 50.0::DOUBLE + atan2(c * s0 - s * c0, c * c0 + s * s0) * 5000.0::DOUBLE / (2 * pi()) ELSE 60.0::DOUBLE END AS frequency_hz FROM steps)"""
 
 
 @query(f"WITH {_rated(_TURNS)} SELECT {_IPDFT_SQL} FROM trace")
 def sliding_dft_trace(spark, folder):
-    found = spectral.sliding_dft_trace(signals.clean(spark, 60.0, 0.1, 0.2), IpdftConfig(5000.0, 250))
+    found = spectral.sliding_dft_trace(event_signal(spark, folder), SHORT)
     return _out(found, *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
 @query(
     f"""SELECT series_id::VARCHAR AS series_id, i::BIGINT AS i, {R('any_value(t)')} AS t, {R('median(frequency_hz)', 4)} AS frequency_hz, {R('median(rocof_hz_s)', 0)} AS rocof_hz_s FROM (
-    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_windowed(_DRIFT)} SELECT * FROM trace) UNION ALL
-    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_peaks(_DRIFT, 256, 5000.0)} SELECT * FROM trace) UNION ALL
+    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_windowed(EVENTS_SQL)} SELECT * FROM trace) UNION ALL
+    SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_peaks(EVENTS_SQL, 64, 5000.0)} SELECT * FROM trace) UNION ALL
     SELECT series_id, i, t, frequency_hz, rocof_hz_s FROM (WITH {_rated(_TURNS)} SELECT * FROM trace)) GROUP BY series_id, i"""
 )
 def ensemble_trace(spark, folder):
-    signal = signals.clean(spark, 60.0, 0.1, 0.2)
-    parts = [zcd.zcd_trace(signal), ipdft.ipdft_trace(signal, IpdftConfig(5000.0, 256)), spectral.sliding_dft_trace(signal, IpdftConfig(5000.0, 250))]
+    signal = event_signal(spark, folder)
+    parts = [zcd.zcd_trace_chunked(signal), ipdft.ipdft_trace(signal, FRAME), spectral.sliding_dft_trace(signal, SHORT)]
     return _out(spectral.ensemble_trace(parts), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
+_PRONY = f"""sig AS ({EVENTS_SQL}), near AS (SELECT *, lag(x) OVER w AS x1, lag(x, 2) OVER w AS x2 FROM sig WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+    sums AS (SELECT *, sum(x1 * x1) OVER w AS s11, sum(x1 * x2) OVER w AS s12, sum(x2 * x2) OVER w AS s22, sum(x * x1) OVER w AS s01, sum(x * x2) OVER w AS s02, count(x * x2) OVER w AS n
+             FROM near WINDOW w AS {_FRAMES}),
+    fit AS (SELECT *, (s01 * s22 - s02 * s12) / nullif(s11 * s22 - s12 * s12, 0) AS a, (s02 * s11 - s01 * s12) / nullif(s11 * s22 - s12 * s12, 0) AS b FROM sums),
+    trace0 AS (SELECT series_id, i, t, coalesce(CASE WHEN n = 100 AND a * a + 4 * b < 0 THEN atan2(sqrt(-a * a - 4 * b), a) * 5000.0::DOUBLE / (2 * pi()) END, 60.0::DOUBLE) AS frequency_hz FROM fit)"""
+
+
+@query(f"WITH {_rated(_PRONY)} SELECT {_IPDFT_SQL} FROM trace")
+def prony_trace(spark, folder):
+    return _out(spectral.prony_trace(event_signal(spark, folder), SHORT), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
 # recursive estimators: the twins go from sample to sample
 
 
@@ -360,6 +376,19 @@ def sogi_fll_trace(spark, folder):
     return _loop(scan.sogi_fll_trace(event_signal(spark, folder), LOOP))
 
 
+_RLS = _recursion(
+    {"x1": 0.0, "x2": 0.0, "n": 0.0, "num": 0.0, "den": 0.0},
+    {"num": "0.99::DOUBLE * num + CASE WHEN n >= 2 AND known THEN x1 * (v + x2) ELSE 0.0 END", "den": "0.99::DOUBLE * den + CASE WHEN n >= 2 AND known THEN x1 * x1 ELSE 0.0 END"},
+    {"x2": "x1", "x1": "v", "n": "n + 1"},
+)
+_RLS_HZ = "CASE WHEN den > 0 AND abs(num / den / 2) <= 1 THEN acos(num / den / 2) * 5000.0::DOUBLE / (2 * pi()) ELSE 60.0::DOUBLE END"
+
+
+@query(f"WITH RECURSIVE {_RLS}, {_walked(_RLS_HZ)} SELECT {_LOOP_SQL} FROM trace")
+def rls_trace(spark, folder):
+    return _loop(spectral.rls_trace(event_signal(spark, folder), SHORT))
+
+
 _WRAP = lambda x: f"({x}) - 2 * pi() * floor((({x}) + pi()) / (2 * pi()))"
 _PLL = _recursion(
     {"s1": 0.0, "s2": 0.0, "angle": 0.0, "integral": 0.0, "omega": 0.0}, _INTEGRATOR,
@@ -619,14 +648,13 @@ def pmu_zcd_estimates(spark, folder):
 
 
 @query(
-    f"""WITH {_peaks(_generated('clean', 1000, 5000.0, '60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE'), 256, 5000.0)}
+    f"""WITH {_peaks(EVENTS_SQL, 64, 5000.0)}
     SELECT t.series_id::VARCHAR AS series_id, t.i::BIGINT AS i, {R('t.t')} AS "TIMESTAMP_UTC", {R('t.frequency_hz', 4)} AS "FREQUENCY_HZ", {R('t.rocof_hz_s', 0)} AS "ROCOF_HZ_S", 0::INTEGER AS "STATUS_WORD",
     {R('abs(sig.x)')} AS "V1_MAG", {R('CASE WHEN sig.x < 0 THEN pi() ELSE 0.0 END')} AS "V1_ANGLE_RAD", 0.0::DOUBLE AS "I3_MAG", 0.0::DOUBLE AS "I3_ANGLE_RAD"
-    FROM trace t JOIN sig ON sig.i = t.i"""
+    FROM trace t JOIN sig ON sig.series_id = t.series_id AND sig.i = t.i"""
 )
 def pmu_ipdft_estimates(spark, folder):
-    samples = pmu.as_samples(signals.clean(spark, 60.0, 0.1, 0.2))
-    flat = pmu.standard_rows(pmu.ipdft_estimates(samples, IpdftConfig(5000.0, 256)), ("V1", "I3"))
+    flat = pmu.standard_rows(pmu.ipdft_estimates(pmu.as_samples(event_signal(spark, folder)), FRAME), ("V1", "I3"))
     return _out(flat, *flat.columns, FREQUENCY_HZ=4, ROCOF_HZ_S=0)
 
 
@@ -670,13 +698,13 @@ def rmse_by_series(spark, folder):
 
 
 @query(
-    f"""WITH {_windowed(STEP_SQL)}, e AS (SELECT series_id, abs(frequency_hz - f_true) AS fe,
-    abs(rocof_hz_s - CASE WHEN t - lag(t) OVER w > 0 THEN (f_true - lag(f_true) OVER w) / (t - lag(t) OVER w) ELSE 0 END) AS rfe FROM trace WINDOW w AS (ORDER BY i))
+    f"""WITH {_windowed(TRUE_SQL)}, e AS (SELECT series_id, abs(frequency_hz - f_true) AS fe,
+    abs(rocof_hz_s - CASE WHEN t - lag(t) OVER w > 0 THEN (f_true - lag(f_true) OVER w) / (t - lag(t) OVER w) ELSE 0 END) AS rfe FROM trace WINDOW w AS (PARTITION BY series_id ORDER BY i))
     SELECT series_id, {R('quantile_cont(fe, 0.5)')} AS fe_p50, {R('quantile_cont(fe, 0.95)')} AS fe_p95, {R('quantile_cont(rfe, 0.5)', 3)} AS rfe_p50, {R('quantile_cont(rfe, 0.95)', 3)} AS rfe_p95 FROM e GROUP BY 1"""
 )
 def error_quantiles(spark, folder):
-    signal = _step(spark)
-    return _out(metrics.error_quantiles(zcd.zcd_trace(signal), signal), "series_id", "fe_p50", "fe_p95", "rfe_p50", "rfe_p95", rfe_p50=3, rfe_p95=3)
+    signal = _true(spark, folder)
+    return _out(metrics.error_quantiles(zcd.zcd_trace_chunked(signal), signal), "series_id", "fe_p50", "fe_p95", "rfe_p50", "rfe_p95", rfe_p50=3, rfe_p95=3)
 
 
 @query(f"SELECT event_id::BIGINT AS event_id, {R('abs(value - 50) / sqrt(pow(value, 2) + 1)')} AS tve, {R('sqrt(pow(value, 2) + 1)')} AS mag, {R('atan2(1.0, value)')} AS ang FROM events")
@@ -779,16 +807,43 @@ def budget_verdicts(spark, folder):
     return metrics.verdicts(_costs(spark, folder), {"cost": 100000, "error": 40000}).select("name", "passed", "reasons")
 
 
-@query(f"SELECT name, {R('rmse')} AS found, {R('rmse * 1.02')} AS expected, true AS passed FROM ({' UNION ALL '.join(_scored_sql('clean_drift', y, False) for y in _ESTIMATORS_SQL)})")
+_RMSE = "SELECT series_id, sqrt(avg(pow(frequency_hz - 60.0, 2))) AS rmse FROM trace GROUP BY 1"
+
+
+@query(
+    f"""WITH a AS (WITH {_windowed(EVENTS_SQL)} {_RMSE}), b AS (WITH {_windowed(EVENTS_SQL, 'pos_to_neg')} {_RMSE})
+    SELECT series_id::VARCHAR AS series_id, {R('a.rmse')} AS found, {R('b.rmse')} AS expected, coalesce(abs(a.rmse - b.rmse) <= 0.05 * abs(b.rmse), false) AS passed FROM a FULL JOIN b USING (series_id)"""
+)
 def golden_compare(spark, folder):
-    results = benchmark.run_matrix(spark, ["clean_drift"])
-    return _out(metrics.golden_gaps(results, results.withColumn("rmse", F.col("rmse") * 1.02), ("name",), "rmse"), "name", "found", "expected", "passed")
+    """Two runs, stored and compared by their names: rising crossings against falling ones as the golden run."""
+    signal, runs = _true(spark, folder), shared_path(spark, "runs")
+    for name in ("neg_to_pos", "pos_to_neg"):
+        metrics.store_run(metrics.frequency_rmse(zcd.zcd_trace_chunked(signal, ZcdConfig(mode=name)), signal), name, runs)
+    found = metrics.compare_runs(spark.read.parquet(runs), "neg_to_pos", "pos_to_neg", ("series_id",), "rmse", 0.05)
+    return _out(found, "series_id", "found", "expected", "passed")
 
 
-@query(f"SELECT 'step' AS series_id, count(*)::BIGINT AS n_samples, 0::BIGINT AS n_wrong, 0.0::DOUBLE AS largest FROM ({STEP_SQL})")
+@query(
+    f"""WITH e AS (SELECT series_id, abs(60.0::DOUBLE + 0.5 * t + CASE WHEN x > 45 THEN x / 1000 ELSE 0.0::DOUBLE END - (60.0::DOUBLE + 0.5 * t)) AS gap FROM ({EVENTS_SQL}))
+    SELECT series_id::VARCHAR AS series_id, count(*)::BIGINT AS n_samples, count(*) FILTER (WHERE gap > 1e-6 OR gap IS NULL)::BIGINT AS n_wrong, {R('max(gap)')} AS largest FROM e GROUP BY 1"""
+)
 def truth_check(spark, folder):
-    analytic = F.when((F.col("t") >= 1.0) & (F.col("t") < 2.0), 59.5).otherwise(60.0)
-    return _out(metrics.truth_gaps(_step(spark), analytic), "series_id", "n_samples", "n_wrong", "largest")
+    """A truth that is wrong where a sample is large."""
+    wrong = F.lit(60.0) + F.lit(0.5) * F.col("t") + F.when(F.col("x") > 45, F.col("x") / 1000).otherwise(0.0)
+    found = metrics.truth_gaps(event_signal(spark, folder).withColumn("f_true", wrong), F.lit(60.0) + F.lit(0.5) * F.col("t"))
+    return _out(found, "series_id", "n_samples", "n_wrong", "largest")
+
+
+_SHA = "sha256(concat_ws(chr(31), event_id::VARCHAR, user_id::VARCHAR))"
+_HEX = lambda k: f"list_reduce(list_transform(string_split(substr(h, {8 * k + 1}, 8), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: a * 16 + b)"
+
+
+@query(
+    f"""WITH r AS (SELECT event_type, {_SHA} AS h FROM events), s AS (SELECT event_type, count(*) AS n, {', '.join(f'sum({_HEX(k)}) AS s{k}' for k in range(8))} FROM r GROUP BY 1)
+    SELECT event_type, n::BIGINT AS n_rows, sha256(concat_ws(',', n::VARCHAR, {', '.join(f's{k}::VARCHAR' for k in range(8))})) AS digest FROM s"""
+)
+def suite_digests(spark, folder):
+    return metrics.multiset_digest(read_table(spark, folder, "events").select("event_type", "user_id", "event_id"), ("event_type",))
 
 
 @query(f"WITH {_windowed(STEP_SQL)} SELECT 'frequency_step' AS scenario, 'zcd' AS name, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - f_true, 2)))')} AS rmse FROM trace WHERE i >= 500")
@@ -804,9 +859,49 @@ def error_histogram(spark, folder):
     return products.error_histogram(event_signal(spark, folder).select("series_id", F.abs("x").alias("e")), "e", 0.0, 100.0, 10)
 
 
+_AROUND = "SELECT i AS window_id, t - 0.0013::DOUBLE AS t0, t + 0.0021::DOUBLE AS t1, series_id FROM s WHERE i % 40 = 7 UNION ALL SELECT -1, 0.004::DOUBLE, 1000.0::DOUBLE, series_id FROM s WHERE i = 3"
+
+
+@query(f"WITH s AS ({EVENTS_SQL}), w AS ({_AROUND}) SELECT s.series_id::VARCHAR AS series_id, s.i::BIGINT AS i, {R('x')} AS x, window_id::BIGINT AS window_id FROM s JOIN w ON w.series_id = s.series_id AND t >= t0 AND t <= t1")
+def windows_around_events(spark, folder):
+    """Windows from a table, around some samples, and one of nearly all the time."""
+    signal = event_signal(spark, folder)
+    marked = signal.filter("i % 40 = 7").select(F.col("i").alias("window_id"), (F.col("t") - 0.0013).alias("t0"), (F.col("t") + 0.0021).alias("t1"), "series_id")
+    long = signal.filter("i = 3").select(F.lit(-1).cast("long"), F.lit(0.004), F.lit(1000.0), "series_id")
+    return _out(products.in_windows(signal, marked.union(long), 0.005), "series_id", "i", "x", "window_id")
+
+
+@query(f"WITH RECURSIVE {_PLL}, {_walked('omega / (2 * pi())')} SELECT {_LOOP_SQL} FROM trace")
+def frequency_table_function(spark, folder):
+    """The phase-locked loop by SQL, over a table argument."""
+    tablefunction.register(spark)
+    sql = "SELECT * FROM frequency('srf_pll', 5000.0D, TABLE({signal}) PARTITION BY series_id ORDER BY i)"
+    return _loop(spark.sql(sql, signal=event_signal(spark, folder)))
+
+
 # streams
 
 
+_RUNS_SQL = f"SELECT *, (i + 50) // 150 AS run FROM ({EVENTS_SQL})"
+
+
+@query(f"WITH {_windowed(_RUNS_SQL, by='series_id, run')} SELECT {TRACE_SQL} FROM trace")
+def stream_reset(spark, folder):
+    """Crossings of a stream whose series are reset every 150 samples, and begin anew; a session of its own has the state store that this needs."""
+    signal, base = event_signal(spark, folder), shared_path(spark, "stream")
+    last = signal.agg(F.max("i")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], stateful.OUT)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", processors.PROVIDER)
+    marked = signal.withColumn("mark", F.when(F.col("i") % 150 == 100, "reset"))
+    for part in (F.col("i") <= last // 2, F.col("i") > last // 2):
+        marked.filter(part).write.mode("append").parquet(f"{base}/in")
+        source = own.readStream.schema("series_id string, i long, t double, x double, mark string").parquet(f"{base}/in")
+        stateful.drained(processors.sequential_stream(source, sequential.zcd_loop(ZcdConfig())), f"{base}/out", f"{base}/checkpoint")
+    return _trace(spark.read.schema(stateful.OUT).parquet(f"{base}/out"))
+
+
 def _streamed(spark: SparkSession, folder: str, estimate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The event signal through a stream in two runs, the first half of the samples in the one, the others in the next."""
     signal, base = event_signal(spark, folder), shared_path(spark, "stream")
