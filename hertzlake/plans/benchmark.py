@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
@@ -95,16 +95,22 @@ def list_estimators() -> list[str]:
     return sorted(ESTIMATORS)
 
 
-def estimates(spark: SparkSession, scenarios: list[str] | None = None, estimators: list[str] | None = None, warm_up: int = 0) -> DataFrame:
+def _named(chosen: Iterable[str] | Mapping | None, known: Mapping) -> Mapping:
+    return chosen if isinstance(chosen, Mapping) else {name: known[name] for name in (sorted(known) if chosen is None else chosen)}
+
+
+def estimates(
+    spark: SparkSession, scenarios: Iterable[str] | Mapping[str, Scenario] | None = None, estimators: Iterable[str] | Mapping[str, Estimator] | None = None, warm_up: int = 0
+) -> DataFrame:
     """scenario, name, series_id, i, t, frequency_hz, rocof_hz_s, f_true of every estimator on every scenario, without the warm-up samples.
 
-    No state passes between them. An estimator that doesn't keep f_true is joined with it by sample.
+    Both are names of the registries, all of them, or their own by name. No state passes between them. An estimator that doesn't keep f_true is joined with it by sample.
     """
     parts, columns = [], ["series_id", "i", "t", "frequency_hz", "rocof_hz_s", "f_true"]
-    for scenario in scenarios or list_scenarios():
-        signal = SCENARIOS[scenario](spark)
-        for name in estimators or list_estimators():
-            traced = ESTIMATORS[name].batch(signal, ("f_true",))
+    for scenario, made in _named(scenarios, SCENARIOS).items():
+        signal = made(spark)
+        for name, estimator in _named(estimators, ESTIMATORS).items():
+            traced = estimator.batch(signal, ("f_true",))
             if "f_true" not in traced.columns:
                 traced = traced.join(signal.select("series_id", "i", "f_true"), ["series_id", "i"])
             parts.append(without_warm_up(traced, warm_up).select(F.lit(scenario).alias("scenario"), F.lit(name).alias("name"), *columns))
@@ -112,7 +118,8 @@ def estimates(spark: SparkSession, scenarios: list[str] | None = None, estimator
 
 
 def run_matrix(
-    spark: SparkSession, scenarios: list[str] | None = None, estimators: list[str] | None = None, with_estimates: bool = False, warm_up: int = 0
+    spark: SparkSession, scenarios: Iterable[str] | Mapping[str, Scenario] | None = None, estimators: Iterable[str] | Mapping[str, Estimator] | None = None,
+    with_estimates: bool = False, warm_up: int = 0,
 ) -> DataFrame:
     """scenario, name, n_samples, rmse and, if asked for, f_hat; a NaN or null estimate is counted but not scored."""
     every = estimates(spark, scenarios, estimators, warm_up)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import IpdftConfig, KalmanConfig, LoopConfig, MultiConfig, NetworkConfig, RampStep, TaylorConfig, ZcdConfig
 from ..functions.columns import angle, complex_of, has_status, magnitude
 from ..operators import fusion, ipdft, metrics, pmu, products, scan, sequential, spectral, tablefunction, taylor, zcd
-from ..schema import CHANNELS, STATUS, rounded
+from ..schema import CHANNELS, RUN_RESULT, STATUS, rounded
 from ..sources import signals
 from ..sources.tables import STEP, event_signal, read_table
 from ..storage import shared_path
@@ -178,9 +178,14 @@ def zcd_crossings(spark, folder):
     return _out(zcd.crossings(event_signal(spark, folder)), "series_id", "n", "i", "t_cross")
 
 
-@query(f"WITH {_windowed(STEP_SQL)} SELECT {TRACE_SQL} FROM trace")
+_EVENT_STEP = f"SELECT series_id, i, t, CASE WHEN t >= 0.01 AND t < 0.02 THEN x - 20 ELSE x END AS x FROM ({EVENTS_SQL})"
+
+
+@query(f"WITH {_windowed(_EVENT_STEP)} SELECT {TRACE_SQL} FROM trace")
 def zcd_step_trace(spark, folder):
-    return _trace(zcd.zcd_trace(_step(spark)))
+    """Events with a step in their level."""
+    stepped = F.when((F.col("t") >= 0.01) & (F.col("t") < 0.02), F.col("x") - 20).otherwise(F.col("x"))
+    return _trace(zcd.zcd_trace(event_signal(spark, folder).withColumn("x", stepped)))
 
 
 @query(f"WITH {_windowed(EVENTS_SQL, 'pos_to_neg')} SELECT {TRACE_SQL} FROM trace")
@@ -213,13 +218,14 @@ def zcd_debounce_fold(spark, folder):
     return _trace(zcd.zcd_trace_chunked(event_signal(spark, folder), ZcdConfig(min_period_s=0.0006), fold=True))
 
 
-_LATCH = f"SELECT series_id, i, t, CASE WHEN t >= 1.0 AND t < 2.5 THEN -1.0::DOUBLE ELSE x END AS x FROM ({STEP_SQL})"
+_LATCH = f"SELECT series_id, i, t, CASE WHEN t >= 0.01 AND t < 0.025 THEN -1.0::DOUBLE ELSE x END AS x FROM ({EVENTS_SQL})"
 
 
-@query(f"WITH {_windowed(_LATCH)} SELECT {TRACE_SQL} FROM trace")
+@query(f"WITH {_windowed(_LATCH, most=0.01)} SELECT {TRACE_SQL} FROM trace")
 def zcd_latch(spark, folder):
-    flat = F.when((F.col("t") >= 1.0) & (F.col("t") < 2.5), F.lit(-1.0)).otherwise(F.col("x"))
-    return _trace(zcd.zcd_trace(_step(spark).withColumn("x", flat)))
+    """Events that stay below zero for longer than the longest period, after which the last frequency holds."""
+    flat = F.when((F.col("t") >= 0.01) & (F.col("t") < 0.025), F.lit(-1.0)).otherwise(F.col("x"))
+    return _trace(zcd.zcd_trace(event_signal(spark, folder).withColumn("x", flat), ZcdConfig(max_period_s=0.01)))
 
 
 # interpolated DFT
@@ -661,33 +667,39 @@ def pmu_ipdft_estimates(spark, folder):
 # scores
 
 
-@query(f"WITH {_windowed(STEP_SQL)} SELECT 'frequency_step' AS scenario, 'zcd' AS name, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - f_true, 2)))')} AS rmse FROM trace")
-def benchmark_zcd(spark, folder):
-    return _out(benchmark.run_matrix(spark, ["frequency_step"], ["zcd"]), "scenario", "name", "n_samples", "rmse")
+def _scenarios(spark: SparkSession, folder: str) -> dict[str, benchmark.Scenario]:
+    """The first five event types in order, a scenario each, with the nominal frequency as the true one."""
+    signal = _true(spark, folder)
+    return {name: lambda _, name=name: signal.filter(F.col("series_id") == name) for name in _event_types(spark, folder)}
+
+
+_ESTIMATORS = {"zcd": benchmark.Zcd(), "ipdft": benchmark.Ipdft(FRAME)}
+_ESTIMATORS_SQL = {"zcd": _windowed, "ipdft": lambda signal: _peaks(signal, 64, 5000.0)}
+_FIRST = "(SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL ORDER BY event_type LIMIT 5)"
+_RUN_OUT = ("scenario", "name", "n_samples", "rmse")
 
 
-_DRIFT_SQL = _generated("clean_drift", 1000, 5000.0, "60.0::DOUBLE + 0.1::DOUBLE * t / 0.2::DOUBLE")
-_SCENARIOS_SQL = {
-    "frequency_step": STEP_SQL,
-    "clean_drift": _DRIFT_SQL,
-    "ramp_step": _generated(
-        "ramp_step", 10000, 5000.0,
-        """CASE WHEN t < 0.5 THEN 60.0::DOUBLE WHEN t < 1.0 THEN 60.0::DOUBLE - 1.0::DOUBLE * (t - 0.5::DOUBLE) WHEN t < 1.5 THEN 59.5::DOUBLE
-        WHEN t < 2.0 THEN 59.5::DOUBLE + 1.0::DOUBLE * (t - 1.5::DOUBLE) ELSE 60.0::DOUBLE END""",
-    ),
-}
-_ESTIMATORS_SQL = {"zcd": _windowed, "ipdft": lambda signal: _peaks(signal, 256, 5000.0)}
+def _matrix(spark: SparkSession, folder: str, *names: str, **options) -> DataFrame:
+    """run_matrix over the events' scenarios; without events no row."""
+    scenarios = _scenarios(spark, folder)
+    if not scenarios:
+        return spark.createDataFrame([], RUN_RESULT)
+    return benchmark.run_matrix(spark, scenarios, {n: _ESTIMATORS[n] for n in names}, **options)
 
 
-def _scored_sql(scenario: str, name: str, rounded: bool = True) -> str:
-    signal, rmse = _SCENARIOS_SQL[scenario], "sqrt(avg(pow(frequency_hz - f_true, 2)))"
-    return f"""SELECT '{scenario}' AS scenario, '{name}' AS name, count(*)::BIGINT AS n_samples, {R(rmse) if rounded else rmse} AS rmse
-    FROM (WITH {_ESTIMATORS_SQL[name](signal)} SELECT i, frequency_hz FROM trace) JOIN ({signal}) USING (i)"""
+def _scored_sql(name: str, where: str = "true") -> str:
+    return f"""SELECT series_id::VARCHAR AS scenario, '{name}' AS name, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - 60.0, 2)))')} AS rmse
+    FROM (WITH {_ESTIMATORS_SQL[name](EVENTS_SQL)} SELECT series_id, i, frequency_hz FROM trace) WHERE series_id IN {_FIRST} AND {where} GROUP BY 1"""
 
 
-@query(" UNION ALL ".join(_scored_sql(x, y) for x in _SCENARIOS_SQL for y in _ESTIMATORS_SQL))
+@query(_scored_sql("zcd"))
+def benchmark_zcd(spark, folder):
+    return _out(_matrix(spark, folder, "zcd"), *_RUN_OUT)
+
+
+@query(" UNION ALL ".join(map(_scored_sql, _ESTIMATORS_SQL)))
 def benchmark_matrix(spark, folder):
-    return _out(benchmark.run_matrix(spark), "scenario", "name", "n_samples", "rmse")
+    return _out(_matrix(spark, folder, "zcd", "ipdft"), *_RUN_OUT)
 
 
 @query(f"WITH {_windowed(EVENTS_SQL)} SELECT series_id::VARCHAR AS series_id, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - 60.0, 2)))')} AS rmse FROM trace GROUP BY 1")
@@ -740,54 +752,61 @@ def cost_regression(spark, folder):
 
 # data of plots and reports
 
-_ZOOM = "SELECT *, 0 AS window_id FROM s WHERE t BETWEEN 0.95 AND 1.05 UNION ALL SELECT *, 1 FROM s WHERE t BETWEEN 1.95 AND 2.05"
+TOP, BOTTOM = ((0.01, 0.02), (0.025, 0.03)), (0.005, 0.03)
+_ZOOM = "SELECT *, 0 AS window_id FROM s WHERE t BETWEEN 0.01 AND 0.02 UNION ALL SELECT *, 1 FROM s WHERE t BETWEEN 0.025 AND 0.03"
+_LIMITS = "SELECT series_id, avg(f_true) AS m FROM s WHERE t BETWEEN 0.005 AND 0.03 GROUP BY 1"
+#: A truth that moves with the samples.
+MOVING_SQL = f"SELECT *, 60.0::DOUBLE + x / 100 AS f_true FROM ({EVENTS_SQL})"
+
+
+def _moving(spark: SparkSession, folder: str) -> DataFrame:
+    return event_signal(spark, folder).withColumn("f_true", F.lit(60.0) + F.col("x") / 100)
 
 
-@query(f"WITH s AS ({STEP_SQL}) SELECT {SIGNAL_SQL}, window_id::INTEGER AS window_id FROM ({_ZOOM})")
+@query(f"WITH s AS ({MOVING_SQL}) SELECT {SIGNAL_SQL}, window_id::INTEGER AS window_id FROM ({_ZOOM})")
 def plot_zoom_windows(spark, folder):
-    return _out(products.zoom_windows(_step(spark)), *SIGNAL_OUT, "window_id")
+    return _out(products.zoom_windows(_moving(spark, folder), TOP), *SIGNAL_OUT, "window_id")
 
 
-@query(f"WITH s AS ({STEP_SQL}) SELECT series_id, {R('avg(f_true) * (1 - 0.15::DOUBLE)')} AS y_min, {R('avg(f_true) * (1 + 0.15::DOUBLE)')} AS y_max FROM s WHERE t BETWEEN 0.5 AND 2.5 GROUP BY 1")
+@query(f"WITH s AS ({MOVING_SQL}) SELECT series_id::VARCHAR AS series_id, {R('m * (1 - 0.15::DOUBLE)')} AS y_min, {R('m * (1 + 0.15::DOUBLE)')} AS y_max FROM ({_LIMITS})")
 def plot_ylim(spark, folder):
-    return _out(products.y_limits(_step(spark)), "series_id", "y_min", "y_max")
+    return _out(products.y_limits(_moving(spark, folder), BOTTOM), "series_id", "y_min", "y_max")
 
 
 @query(
-    f"""SELECT 'clean_drift' AS scenario, name, (count(*) OVER (PARTITION BY name))::BIGINT AS n_samples,
-    {R('sqrt(avg(pow(frequency_hz - f_true, 2)) OVER (PARTITION BY name))')} AS rmse, i::BIGINT AS i, {R('frequency_hz', 4)} AS frequency_hz FROM (
-    SELECT 'zcd' AS name, i, frequency_hz FROM (WITH {_windowed(_DRIFT_SQL)} SELECT * FROM trace) UNION ALL
-    SELECT 'ipdft', i, frequency_hz FROM (WITH {_peaks(_DRIFT_SQL, 256, 5000.0)} SELECT * FROM trace)) JOIN ({_DRIFT_SQL}) USING (i)"""
+    f"""SELECT series_id::VARCHAR AS scenario, name, (count(*) OVER w)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - 60.0, 2)) OVER w)')} AS rmse, i::BIGINT AS i, {R('frequency_hz', 4)} AS frequency_hz FROM (
+    SELECT 'zcd' AS name, series_id, i, frequency_hz FROM (WITH {_windowed(EVENTS_SQL)} SELECT * FROM trace) UNION ALL
+    SELECT 'ipdft', series_id, i, frequency_hz FROM (WITH {_peaks(EVENTS_SQL, 64, 5000.0)} SELECT * FROM trace)) WHERE series_id IN {_FIRST} WINDOW w AS (PARTITION BY series_id, name)"""
 )
 def result_json(spark, folder):
     """The summary in JSON, read back."""
-    made = products.summary_json(benchmark.run_matrix(spark, ["clean_drift"], with_estimates=True))
+    made = products.summary_json(_matrix(spark, folder, "zcd", "ipdft", with_estimates=True))
     back = made.select("scenario", F.explode(F.from_json("json", "array<struct<name:string,n_samples:bigint,rmse:double,f_hat:array<double>>>")).alias("r"))
     flat = back.select("scenario", "r.name", "r.n_samples", "r.rmse", F.posexplode("r.f_hat").alias("i", "frequency_hz"))
     return _out(flat.withColumn("i", F.col("i").cast("long")), "scenario", "name", "n_samples", "rmse", "i", "frequency_hz", frequency_hz=4)
 
 
 @query(
-    f"""WITH s AS ({STEP_SQL}), z AS (SELECT avg(f_true) AS m FROM s WHERE t BETWEEN 0.5 AND 2.5), e AS (WITH {_windowed(STEP_SQL)} SELECT i, frequency_hz FROM trace),
-    rows AS (SELECT 'top' AS panel, 'signal' AS line, window_id, t, x AS y, false AS low FROM ({_ZOOM})
-      UNION ALL SELECT 'bottom', 'zcd', 0, i * ((SELECT max(t) FROM s) / ((SELECT count(*) FROM e) - 1)), frequency_hz, true FROM e
-      UNION ALL SELECT 'bottom', 'truth', 0, t, f_true, true FROM s)
-    SELECT panel, line, 'step' AS series_id, window_id::INTEGER AS window_id, {R('t')} AS t, {R('y')} AS y,
-      CASE WHEN low THEN {R('m * (1 - 0.15::DOUBLE)')} END AS y_min, CASE WHEN low THEN {R('m * (1 + 0.15::DOUBLE)')} END AS y_max FROM rows, z"""
+    f"""WITH s AS ({MOVING_SQL}), z AS ({_LIMITS}), e AS (WITH {_windowed(EVENTS_SQL)} SELECT series_id, i, frequency_hz FROM trace),
+    ends AS (SELECT series_id, max(t) AS t_end, count(*) AS n FROM s GROUP BY 1),
+    rows AS (SELECT 'top' AS panel, 'signal' AS line, series_id, window_id, t, x AS y, false AS low FROM ({_ZOOM})
+      UNION ALL SELECT 'bottom', 'zcd', series_id, 0, coalesce(i * (t_end / nullif(n - 1, 0)), 0), frequency_hz, true FROM e JOIN ends USING (series_id)
+      UNION ALL SELECT 'bottom', 'truth', series_id, 0, t, f_true, true FROM s)
+    SELECT panel, line, series_id::VARCHAR AS series_id, window_id::INTEGER AS window_id, {R('t')} AS t, {R('y')} AS y,
+      CASE WHEN low THEN {R('m * (1 - 0.15::DOUBLE)')} END AS y_min, CASE WHEN low THEN {R('m * (1 + 0.15::DOUBLE)')} END AS y_max FROM rows LEFT JOIN z USING (series_id)"""
 )
 def plot_product(spark, folder):
-    signal = _step(spark)
-    found = products.plot_series(signal, zcd.zcd_trace(signal).withColumn("name", F.lit("zcd")))
+    signal = _moving(spark, folder)
+    found = products.plot_series(signal, zcd.zcd_trace_chunked(signal).withColumn("name", F.lit("zcd")), TOP, BOTTOM)
     return _out(found, "panel", "line", "series_id", "window_id", "t", "y", "y_min", "y_max")
 
 
 @query(
-    f"""WITH m AS ({' UNION ALL '.join(_scored_sql(x, y) for x in ('clean_drift', 'ramp_step') for y in _ESTIMATORS_SQL)})
+    f"""WITH m AS ({' UNION ALL '.join(map(_scored_sql, _ESTIMATORS_SQL))})
     SELECT scenario, any_value(rmse) FILTER (WHERE name = 'ipdft') AS ipdft, any_value(rmse) FILTER (WHERE name = 'zcd') AS zcd FROM m GROUP BY scenario"""
 )
 def report_heatmap(spark, folder):
-    results = benchmark.run_matrix(spark, ["clean_drift", "ramp_step"])
-    return _out(products.heatmap(results, "scenario", "name", "rmse", ["ipdft", "zcd"]), "scenario", "ipdft", "zcd")
+    return _out(products.heatmap(_matrix(spark, folder, "zcd", "ipdft"), "scenario", "name", "rmse", ["ipdft", "zcd"]), "scenario", "ipdft", "zcd")
 
 
 _COSTS_SQL = "SELECT o_orderpriority AS name, count(*) AS n, avg(o_totalprice) AS cost, stddev_samp(o_totalprice) AS error FROM orders GROUP BY 1"
@@ -846,9 +865,9 @@ def suite_digests(spark, folder):
     return metrics.multiset_digest(read_table(spark, folder, "events").select("event_type", "user_id", "event_id"), ("event_type",))
 
 
-@query(f"WITH {_windowed(STEP_SQL)} SELECT 'frequency_step' AS scenario, 'zcd' AS name, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - f_true, 2)))')} AS rmse FROM trace WHERE i >= 500")
+@query(_scored_sql("zcd", "i >= 50"))
 def benchmark_warm_up(spark, folder):
-    return _out(benchmark.run_matrix(spark, ["frequency_step"], ["zcd"], warm_up=500), "scenario", "name", "n_samples", "rmse")
+    return _out(_matrix(spark, folder, "zcd", warm_up=50), *_RUN_OUT)
 
 
 @query(
