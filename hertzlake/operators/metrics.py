@@ -24,7 +24,11 @@ def frequency_rmse(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] =
         apart = estimates.select(*keys).exceptAll(truth.select(*keys)).union(truth.select(*keys).exceptAll(estimates.select(*keys)))
         if not apart.isEmpty():
             raise ValueError("estimates and truth hold different samples")
-    both = estimates.join(truth.select("series_id", "i", "f_true"), ["series_id", "i"])
+    return rmse_by(estimates.join(truth.select("series_id", "i", "f_true"), ["series_id", "i"]), by)
+
+
+def rmse_by(both: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """frequency_rmse of estimates that carry their truth, f_true."""
     real = F.when(~F.isnan(nan_if_null(F.col("frequency_hz"))), F.col("frequency_hz"))
     return both.groupBy(*by).agg(F.count("*").alias("n_samples"), nan_if_null(rmse_of(real, F.col("f_true"))).alias("rmse"))
 

@@ -63,7 +63,7 @@ def _matched(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """left with right's other columns, null where none fits; null keys fit each other."""
     others = [c for c in right.columns if c not in keys]
     named = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *others)
-    same = reduce(Column.__and__, (left[k].eqNullSafe(named[f"_{k}"]) for k in keys))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
     return left.join(named, same, "left").select(*left.columns, *others)
 
 
@@ -315,48 +315,77 @@ def _carried(ends: DataFrame) -> DataFrame:
     return ends.withColumn("earlier", F.slice(F.concat(*(F.coalesce(name, none) for name in names)), 1, HANDED)).drop(*names)
 
 
-def _chunks(signal: DataFrame, config: ZcdConfig, chunk: int) -> DataFrame:
+def _chunks(signal: DataFrame, config: ZcdConfig, chunk: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """signal's samples, marked, with their chunk; a chunk's last sample visits the next one."""
     own = F.floor(F.col("i") / F.lit(chunk))
     both = F.when(F.pmod("i", F.lit(chunk)) == chunk - 1, F.array(own, own + 1)).otherwise(F.array(own))
-    cut = signal.select("series_id", "i", "t", "x", F.explode(both).alias("chunk"))
+    cut = signal.select("series_id", "i", "t", "x", *keep, F.explode(both).alias("chunk"))
     marked = _marked(cut, F.lag("x").over(_order("chunk")), F.lag("t").over(_order("chunk")), config)
     return marked.filter(own == F.col("chunk"))
 
 
-def zcd_trace_chunked(signal: DataFrame, config: ZcdConfig = ZcdConfig(), chunk: int = 1 << 20, fold: bool | None = None) -> DataFrame:
+#: Chunks whose rows are broadcast.
+FEW_CHUNKS = 100_000
+
+
+def _before_chunks(marked: DataFrame, config: ZcdConfig) -> DataFrame:
+    """series_id, chunk, earlier, late, frozen, dead: what a chunk must know of its series, from a row a chunk.
+
+    earlier: the last HANDED crossing times before it. late: the sample of the series' first gap over the longest period, which ends all
+    acceptance, and frozen: the last times then. dead: the series' first crossing is at NaN, an anchor that nothing fits.
+    """
+    none, times = F.array().cast("array<double>"), F.coalesce("times", F.array().cast("array<double>"))
+    sure = F.col("crossed") & ~F.isnan("t_cross")
+    late = sure & (F.get(times, F.lit(0)) - F.get(times, F.lit(1)) > config.max_period_s)
+    at = lambda which: F.when(which, F.col("i"))
+    ends = marked.groupBy("series_id", "chunk").agg(
+        F.max_by("times", "i").alias("times"), F.min_by("t_cross", at(F.col("crossed"))).alias("first"), F.min(at(sure)).alias("sure_i"), F.min_by("t_cross", at(sure)).alias("sure_t"),
+        F.min(at(late)).alias("own_late"), F.min_by("times", at(late)).alias("own_times"),
+    )
+    known = _carried(ends).withColumn("earlier", F.coalesce("earlier", none))
+    # a gap from the chunks before comes first in a chunk
+    across = F.coalesce(F.col("sure_t") - F.get("earlier", F.lit(0)) > config.max_period_s, F.lit(False))
+    known = known.withColumns({
+        "at": F.when(across, F.col("sure_i")).otherwise(F.col("own_late")),
+        "then": F.slice(F.concat(F.when(across, F.array("sure_t")).otherwise(F.coalesce("own_times", none)), "earlier"), 1, HANDED),
+    })
+    whole = Window.partitionBy("series_id")
+    first = F.first("first", True).over(whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return known.select(
+        "series_id", "chunk", "earlier", F.min("at").over(whole).alias("late"), F.min_by("then", "at").over(whole).alias("frozen"), F.coalesce(F.isnan(first), F.lit(False)).alias("dead")
+    )
+
+
+def zcd_trace_chunked(signal: DataFrame, config: ZcdConfig = ZcdConfig(), chunk: int = 1 << 20, fold: bool | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """zcd_trace for long series, whose samples i numbers from 0: samples are partitioned by series and chunk of i.
 
     Samples are marked once and stored with the last crossing times in their chunk. Across chunks go a
-    chunk's last crossing times only, and a series' first gap that is too long; with the fold, its exits.
+    chunk's last crossing times only, and a series' first gap that is too long; with the fold, its exits. These are a row a chunk, which
+    all samples of the chunk meet in one join.
     """
-    marked = _chunks(signal, config, chunk)
+    keep = tuple(c for c in keep if c not in TRACE)
+    marked = _chunks(signal, config, chunk, keep)
     if needs_fold(config) if fold is None else fold:
-        return _filled(marked.drop("x"), config)
+        return _filled(marked.drop("x"), config, keep)
+    scratch = Scratch(signal.sparkSession)
     sure = F.when(F.col("crossed") & ~F.isnan("t_cross"), F.col("t_cross"))
-    marked = stored(_last_times(sure, _before("chunk"), _so_far("chunk"), marked).drop("x"), "marked")
-    first = F.min_by("t_cross", F.when(F.col("crossed"), F.col("i")))
-    ends = marked.groupBy("series_id", "chunk").agg(F.max_by("times", "i").alias("times"), first.alias("first"))
-    carried = stored(_carried(ends), "chunk-ends")
+    marked = scratch.stored(_last_times(sure, _before("chunk"), _so_far("chunk"), marked).drop("x"), "marked")
+    before = scratch.stored(_before_chunks(marked, config), "chunks")
+    few = before.count() <= FEW_CHUNKS
+    joined = _matched(marked, F.broadcast(before) if few else before, "series_id", "chunk")
     none = F.array().cast("array<double>")
-    known = F.slice(F.concat(F.coalesce("times", none), F.coalesce("earlier", none)), 1, HANDED)
-    joined = _matched(marked, carried.select("series_id", "chunk", "earlier"), "series_id", "chunk").withColumn("known", known)
-    gap = F.get("known", F.lit(0)) - F.get("known", F.lit(1))
-    late = joined.filter(F.col("crossed") & ~F.isnan("t_cross") & (gap > config.max_period_s))
-    late = late.groupBy("series_id").agg(F.min("i").alias("late"), F.min_by("known", "i").alias("frozen"))
-    dead = carried.filter("first is not null").groupBy("series_id").agg(F.isnan(F.min_by("first", "chunk")).alias("dead")).filter("dead")
-    joined = _matched(_matched(joined, late, "series_id"), dead, "series_id")
-    known = F.when(F.col("dead"), none).when(F.col("i") >= F.col("late"), F.slice("frozen", 2, HANDED)).otherwise(F.col("known"))
+    known = F.slice(F.concat(F.coalesce("times", none), "earlier"), 1, HANDED)
+    known = F.when(F.col("dead"), none).when(F.col("i") >= F.col("late"), F.slice("frozen", 2, HANDED)).otherwise(known)
     joined = joined.withColumn("known", known)
     newer, older = (F.get("known", F.lit(k)) - F.get("known", F.lit(k + 1)) for k in range(2))
     f = F.lit(1.0) / F.nullif(newer, F.lit(0.0))
     r = (f - F.lit(1.0) / F.nullif(older, F.lit(0.0))) / F.nullif(newer, F.lit(0.0))
     return joined.select(
-        "series_id", "i", "t", F.coalesce(f, F.lit(config.nominal_hz)).alias("frequency_hz"), F.coalesce(r, F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross"
+        "series_id", "i", "t", F.coalesce(f, F.lit(config.nominal_hz)).alias("frequency_hz"), F.coalesce(r, F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross", *keep
     )
 
 
-def _filled(marked: DataFrame, config: ZcdConfig) -> DataFrame:
+def _filled(marked: DataFrame, config: ZcdConfig, keep: tuple[str, ...] = ()) -> DataFrame:
     """The trace of marked samples by the fold, filled forward in each chunk and from chunk to chunk."""
     scratch = Scratch(marked.sparkSession)
     marked = scratch.stored(marked, "marked")
@@ -370,5 +399,5 @@ def _filled(marked: DataFrame, config: ZcdConfig) -> DataFrame:
     run = _so_far("chunk")
     return joined.select(
         "series_id", "i", "t", F.coalesce(F.last("f", True).over(run), "f0", F.lit(config.nominal_hz)).alias("frequency_hz"),
-        F.coalesce(F.last("r", True).over(run), "r0", F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross",
+        F.coalesce(F.last("r", True).over(run), "r0", F.lit(0.0)).alias("rocof_hz_s"), "crossed", "t_cross", *keep,
     )

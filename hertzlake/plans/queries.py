@@ -704,9 +704,8 @@ def benchmark_matrix(spark, folder):
 
 @query(f"WITH {_windowed(EVENTS_SQL)} SELECT series_id::VARCHAR AS series_id, count(*)::BIGINT AS n_samples, {R('sqrt(avg(pow(frequency_hz - 60.0, 2)))')} AS rmse FROM trace GROUP BY 1")
 def rmse_by_series(spark, folder):
-    signal = event_signal(spark, folder)
-    truth = signal.select("series_id", "i", F.lit(60.0).alias("f_true"))
-    return _out(metrics.frequency_rmse(zcd.zcd_trace_chunked(signal), truth), "series_id", "n_samples", "rmse")
+    traced = zcd.zcd_trace_chunked(_true(spark, folder), keep=("f_true",))
+    return _out(metrics.rmse_by(traced), "series_id", "n_samples", "rmse")
 
 
 @query(
