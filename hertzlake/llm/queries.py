@@ -225,8 +225,62 @@ FROM named LEFT JOIN blocked USING (host, segments)
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """zlib's crc32 of a string of code points under 2048, bit by bit."""
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END))"
+    bits = "list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda r, b: {bits}), 4294967295::BIGINT)"
+
+
+OP12_SQL = rf"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, {_crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+sized AS (
+  SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a,
+         1 + (len(words) - (h // 10) % nullif(len(words), 0)) // (3 + (h // 10) % 8) AS p FROM split),
+w0 AS (SELECT doc_id, unnest(range(n)) AS i, unnest(words) AS word, a, p FROM sized),
+w AS (
+  SELECT x.doc_id, x.i, y.word FROM w0 x JOIN w0 y ON y.doc_id = x.doc_id AND y.i = CASE WHEN x.i >= x.a THEN x.a + (x.i - x.a) % x.p ELSE x.i END),
+grams AS (
+  SELECT doc_id, i, concat_ws(' ', word, {', '.join(f'lead(word, {k}) OVER o' for k in range(1, 6))}) AS gram, lead(word, 5) OVER o IS NOT NULL AS whole
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON y.doc_id = x.doc_id AND y.gram = x.gram AND y.i > x.i WHERE x.whole AND y.whole),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 - min(i) + q AS l FROM island GROUP BY doc_id, q, k HAVING max(i) + 6 - min(i) + q >= greatest(12, 2 * q)),
+run AS (SELECT * FROM stretch r WHERE NOT EXISTS (SELECT 1 FROM stretch z WHERE z.doc_id = r.doc_id AND z.q < r.q AND z.s <= r.s AND z.s + z.l >= r.s + r.l)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w
+  WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.l) GROUP BY doc_id),
+whole AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) = 1)
+SELECT sized.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, n::BIGINT AS n_words
+FROM sized LEFT JOIN whole USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS c FROM found WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+hashed AS (SELECT *, {_crc32_sql("doc_id || ':' || run")} AS h FROM counted),
+damaged AS (SELECT c, CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(c) >= {spelling.LEAST_COUNT}),
+d AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS k FROM v)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON b.less = a.less AND b.k = a.k AND b.word <> a.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.less UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.less),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.FACTOR} * v.n THEN near END AS form, CASE WHEN near_n >= {spelling.FACTOR} * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+path AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS going FROM forms
+         UNION ALL SELECT p.word, coalesce(f.form, p.root), f.form IS NOT NULL FROM path p JOIN forms f ON f.word = p.root WHERE p.going)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN (SELECT word, root FROM path WHERE NOT going) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_url_filters": _op4_sql(), "op5_minhash_near_dedup": OP5_SQL,
-        "op6_embedding_near_dedup": OP6_SQL,
+        "op6_embedding_near_dedup": OP6_SQL, "op12_periodic_runs": OP12_SQL, "op13_spelling_variants": OP13_SQL,
     }

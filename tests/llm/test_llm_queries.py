@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, folder, name):
     assert rows_of(found.columns, map(tuple, found.collect())) == rows_of(twin.columns, twin.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(x for x in set(queries()) - set(oracle_sql()) if x.startswith("op")))
+@pytest.mark.parametrize("name", sorted(x for x in set(queries()) - set(oracle_sql()) if x.startswith("op")))  # all have a row a document
 def test_query_returns_every_document(spark, folder, name):
     found = [r.doc_id for r in queries()[name](spark, folder).select("doc_id").collect()]
     ids = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
