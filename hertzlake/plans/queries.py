@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import IpdftConfig, KalmanConfig, LoopConfig, MultiConfig, NetworkConfig, RampStep, TaylorConfig, ZcdConfig
 from ..functions.columns import angle, complex_of, has_status, magnitude
-from ..operators import fusion, ipdft, metrics, pmu, products, scan, sequential, spectral, tablefunction, taylor, zcd
+from ..operators import fusion, ipdft, metrics, pmu, products, scan, sequential, spectral, subspace, tablefunction, taylor, zcd
 from ..schema import CHANNELS, RUN_RESULT, STATUS, rounded
 from ..sources import signals
 from ..sources.tables import STEP, event_signal, read_table
@@ -338,6 +338,30 @@ def prony_trace(spark, folder):
     return _out(spectral.prony_trace(event_signal(spark, folder), SHORT), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
 
 
+_PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
+
+
+@query(
+    f"""WITH s AS (SELECT series_id, i // 100 AS block, i, x FROM ({EVENTS_SQL})),
+    ahead AS (SELECT series_id, block, x AS x0, {', '.join(f'lead(x, {k}) OVER w AS x{k}' for k in range(1, 4))} FROM s WINDOW w AS (PARTITION BY series_id, block ORDER BY i))
+    SELECT series_id::VARCHAR AS series_id, block::BIGINT AS block, count(*)::BIGINT AS n, {', '.join(f"{R(f'avg(x{a} * x{b})')} AS r{a}{b}" for a, b in _PAIRS)} FROM ahead WHERE x0 + x1 + x2 + x3 IS NOT NULL GROUP BY 1, 2"""
+)
+def block_covariances(spark, folder):
+    found = subspace.block_covariances(event_signal(spark, folder), SHORT, 4)
+    flat = found.select("series_id", F.col("block").cast("long").alias("block"), "n", *(F.col("r")[k].alias(f"r{a}{b}") for k, (a, b) in enumerate(_PAIRS)))
+    return _out(flat, *flat.columns)
+
+
+@query()
+def esprit_trace(spark, folder):
+    return _out(subspace.subspace_trace(event_signal(spark, folder), SHORT), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
+@query()
+def music_trace(spark, folder):
+    return _out(subspace.subspace_trace(event_signal(spark, folder), SHORT, GRID), *TRACE_OUT, frequency_hz=4, rocof_hz_s=0)
+
+
 # recursive estimators: the twins go from sample to sample
 
 
