@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, ascii_lower, hash128, remove, shared_path
+from .common import BLANKS, Scratch, ascii_lower, giving_back, hash128, remove, shared_path
 
 LEAST_DOCS = 10
 BATCHES = 4
@@ -262,7 +262,7 @@ def _mapped(docs: DataFrame, task: Callable[[], Frequent], name: str, last: Call
             columns = [pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([last(x[2]) for x in rows], pa.string())], ["doc_id", "n_lines", "n_dropped", name])
 
-    return picked.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, {name} string")
+    return picked.mapInArrow(giving_back(run), f"doc_id {kind}, n_lines long, n_dropped long, {name} string")
 
 
 def dedup_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -279,7 +279,7 @@ def dedup_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int
             kept = pa.array([x[2] for x in _stripped(batch.column(at), frequent)], pa.string())
             yield batch.set_column(at, pa.field("text", pa.string()), kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def dropped_lines_digests(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

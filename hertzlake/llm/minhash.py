@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_small
+from .common import Scratch, giving_back, if_small
 from .components import connected_components
 
 WORDS = 5
@@ -152,7 +152,7 @@ def _features(docs: DataFrame, scratch: Scratch) -> DataFrame:
             )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scratch.stored(picked.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "shingled")
+    return scratch.stored(picked.mapInArrow(giving_back(run), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "shingled")
 
 
 def _signed(classes: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _signed(classes: DataFrame) -> DataFrame:
             sketches = pa.array([x.tobytes() for x in signed.astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, sketches], ["id", "keys", "sketch"])
 
-    return classes.select("id", "signature").mapInArrow(run, "id long, keys array<long>, sketch binary")
+    return classes.select("id", "signature").mapInArrow(giving_back(run), "id long, keys array<long>, sketch binary")
 
 
 def _members(reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,7 +193,7 @@ def _pruned(pairs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
 
     signed = reps.select("id", "sketch")
     met = pairs.join(signed, "id").join(signed.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot")
-    return scratch.stored(met.select("id", "pivot", "sketch", "other").mapInArrow(run, "id long, pivot long, agree int"), "survivors")
+    return scratch.stored(met.select("id", "pivot", "sketch", "other").mapInArrow(giving_back(run), "id long, pivot long, agree int"), "survivors")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
@@ -205,7 +205,7 @@ def _sets(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(if_small(ids), "id", "left_semi")
-    return scratch.stored(picked.mapInArrow(run, "id long, shingles binary"), "sets")
+    return scratch.stored(picked.mapInArrow(giving_back(run), "id long, shingles binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -235,7 +235,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     order = ["pivot", "part", "rank"]
     together = heads.union(members).repartition("pivot", "part").sortWithinPartitions(*order)
-    return scratch.stored(together.mapInArrow(run, "a long, b long"), "links")
+    return scratch.stored(together.mapInArrow(giving_back(run), "a long, b long"), "links")
 
 
 def _pivots(members: DataFrame, scratch: Scratch) -> DataFrame:

@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import giving_back
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 DIGITS = frozenset("0123456789")
@@ -281,7 +283,7 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
             texts = [x if x is None else redact(x, find_spans(x)) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def personal_data_digests(docs: DataFrame) -> DataFrame:

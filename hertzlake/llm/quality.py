@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, giving_back
 
 GOOD, BAD, ABSTAIN = "1", "0", "-"
 DIMS = 4096
@@ -112,7 +112,7 @@ def voted_documents(docs: DataFrame) -> DataFrame:
             votes = [votes_of(Measured(text or "")) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), batch.column(0)], ["votes", "place"])
 
-    return docs.select(_place(docs).alias("place"), "text").mapInArrow(run, "votes string, place long")
+    return docs.select(_place(docs).alias("place"), "text").mapInArrow(giving_back(run), "votes string, place long")
 
 
 def _place(docs: DataFrame) -> Column:
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["place", "votes", "places", "values"])
 
     chosen = docs.select(_place(docs).alias("place"), "text").filter(F.col("place") <= cut).groupBy("place").agg(F.first("text").alias("text"))
-    featured = chosen.mapInArrow(run, "place long, votes string, places binary, values binary")
+    featured = chosen.mapInArrow(giving_back(run), "place long, votes string, places binary, values binary")
     # numbers as bytes, so that the driver makes no object of each
     rows = featured.orderBy("place").limit(sample).select("places", "values", "votes").toPandas()
     return Model(posteriors, fit_scorer([(np.frombuffer(p, np.int32), np.frombuffer(v), posteriors[x]) for p, v, x in rows.itertuples(index=False)]))
@@ -238,7 +238,7 @@ def classify_quality(docs: DataFrame, least_score: float = LEAST_SCORE, sample:
             )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInArrow(run, "doc_id long, votes string, posterior double, score double, kept boolean")
+    return picked.mapInArrow(giving_back(run), "doc_id long, votes string, posterior double, score double, kept boolean")
 
 
 def good_documents(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
@@ -251,4 +251,4 @@ def good_documents(docs: DataFrame, least_score: float = LEAST_SCORE, sample: in
             scores = [model.score(Measured(text or "")) for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([x is not None and x >= least_score for x in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
