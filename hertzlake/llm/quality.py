@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +85,14 @@ LABELLERS: dict[str, Callable[[Measured], str]] = {
 
 
 NOBODY = ABSTAIN * len(LABELLERS)
+#: Places that a step of the fit works on at once.
+BLOCK = 1 << 20
+#: Places (below DIMS), values, where each row starts, and each row's label between 0 and 1.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def hashed_features(x: Measured) -> tuple[list[int], list[float]]:
-    """Places and values, hashed to DIMS places: shares of word shapes, of words, and of repeated and distinct words."""
+def hashed_features(x: Measured) -> tuple[np.ndarray, np.ndarray]:
+    """Places of 2 and values of 4 bytes, hashed to DIMS places: shares of word shapes, of words, and of repeated and distinct words."""
     shares = {b"shape:" + shape: n / x.n for shape, n in x.shapes.items()}
     shares |= {b"=repeats": x.repeats, b"=same": 1 - x.distinct, b"=marks": x.marks / max(1, x.filled), b"=capitals": x.capitals / max(1, x.letters)}
     for word, n in x.counts.items():
@@ -96,7 +101,7 @@ def hashed_features(x: Measured) -> tuple[list[int], list[float]]:
     for name, value in shares.items():
         at = zlib.crc32(name)
         found[at % DIMS] = found.get(at % DIMS, 0.0) + (value if at & 0x80000000 else -value) * x.n / (x.n + SHRINK)
-    return list(found), list(found.values())
+    return np.fromiter(found, np.uint16, len(found)), np.fromiter(found.values(), np.float32, len(found))
 
 
 def votes_of(x: Measured) -> str:
@@ -142,20 +147,35 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     return dict(zip(names, posterior.tolist())), says, share
 
 
-def fit_scorer(rows: list[tuple[Sequence[int], Sequence[float], float]], rounds: int = 120, decay: float = 1e-5) -> np.ndarray:
-    """Weights, the last one constant, of a logistic regression on (places, values, label between 0 and 1)."""
-    weights = np.zeros(DIMS + 1)
-    if not rows:
-        return weights
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x[0]) for x in rows])
-    at = np.concatenate([x[0] for x in rows]).astype(np.int32)
-    value = np.concatenate([x[1] for x in rows])
-    label = np.array([x[2] for x in rows])
+def blocks_of(features: pa.Table, posteriors: dict[str, float]) -> Iterator[Block]:
+    """Rows of features (places, values, votes) in blocks of about BLOCK places, as views of the bytes that came."""
+    for batch in features.to_batches():
+        at, value = (_joined(batch.column(k), kind) for k, kind in ((0, np.uint16), (1, np.float32)))
+        label = np.array([posteriors[x] for x in batch.column(2).to_pylist()])
+        starts = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy() // value.itemsize))
+        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], BLOCK)), len(label)))
+        for low, high in zip(cuts, cuts[1:]):
+            yield at[starts[low] : starts[high]], value[starts[low] : starts[high]], starts[low:high] - starts[low], label[low:high]
+
+
+def _joined(column: pa.BinaryArray, kind: type) -> np.ndarray:
+    """The numbers of all rows of a column of bytes, one after the other."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def fit_scorer(blocks: list[Block], rounds: int = 120, decay: float = 1e-5) -> np.ndarray:
+    """Weights, the last one constant, of a logistic regression. No row is without places."""
+    weights, total = np.zeros(DIMS + 1), sum(len(label) for *_, label in blocks)
     first, second = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    for step in range(1, rounds + 1):
-        score = np.bincount(row, value * weights[at], len(rows)) + weights[-1]
-        wrong = (1 / (1 + np.exp(-score.clip(-500, 500))) - label) / len(rows)
-        slope = np.append(np.bincount(at, value * wrong[row], DIMS), wrong.sum()) + decay * weights
+    for step in range(1, rounds + 1 if total else 1):
+        slope = decay * weights
+        for at, value, starts, label in blocks:
+            score = np.add.reduceat(value * weights[at], starts) + weights[-1]
+            wrong = (1 / (1 + np.exp(-score.clip(-500, 500))) - label) / total
+            slope[:-1] += np.bincount(at, value * np.repeat(wrong, np.diff(starts, append=len(at))), DIMS)
+            slope[-1] += wrong.sum()
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights -= 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return weights
@@ -170,14 +190,14 @@ class Model:
         if not x.n:
             return None
         places, values = hashed_features(x)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[places] @ np.array(values) + self.weights[-1], -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip(self.weights[places] @ values + self.weights[-1], -500, 500))))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of docs: labellers from the counts of all rows' votes, the scorer from `sample` different texts.
 
     The driver gets the counts of at most 3^labellers vote patterns, a hash and the features of `sample`
-    texts, each at most DIMS numbers. Where no labeller votes on any row, all weights are 0.
+    texts, each at most 6 * DIMS bytes, 200 MB for SAMPLE texts of whatever length. Where no labeller votes on any row, all weights are 0.
     """
     scratch = Scratch(docs.sparkSession)
     texts = scratch.stored(voted_documents(docs).groupBy("votes", "place").agg(F.count("*").alias("n")), "voted")
@@ -203,7 +223,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 votes = votes_of(x)
                 if votes != NOBODY:
                     places, values = hashed_features(x)
-                    rows.append((place, votes, np.array(places, np.int32).tobytes(), np.array(values).tobytes()))
+                    rows.append((place, votes, places.tobytes(), values.tobytes()))
             columns = zip(*rows) if rows else [()] * 4
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["place", "votes", "places", "values"])
@@ -211,8 +231,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = docs.select(_place(docs).alias("place"), "text").filter(F.col("place") <= cut).groupBy("place").agg(F.first("text").alias("text"))
     featured = chosen.mapInArrow(giving_back(run), "place long, votes string, places binary, values binary")
     # numbers as bytes, so that the driver makes no object of each
-    rows = featured.orderBy("place").limit(sample).select("places", "values", "votes").toPandas()
-    return Model(posteriors, fit_scorer([(np.frombuffer(p, np.int32), np.frombuffer(v), posteriors[x]) for p, v, x in rows.itertuples(index=False)]))
+    rows = featured.orderBy("place").limit(sample).select("places", "values", "votes").toArrow()
+    return Model(posteriors, fit_scorer(list(blocks_of(rows, posteriors))))
 
 
 def classify_quality(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
