@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from .schema import CHANNELS
 
 MODES = ("neg_to_pos", "pos_to_neg", "either")
@@ -60,13 +62,15 @@ class MultiConfig:
 
 @dataclass(frozen=True)
 class NetworkConfig:
-    nodes: tuple[str, ...]
+    """nodes: names, or for large networks a table of them (node)."""
+
+    nodes: tuple[str, ...] | DataFrame
     zcd: ZcdConfig = ZcdConfig()
     fuse: str = "consensus"
     alpha: float = 1.0
 
     def __post_init__(self):
-        if not self.nodes:
+        if isinstance(self.nodes, tuple) and not self.nodes:
             raise ValueError("nodes must not be empty")
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MultiConfig, NetworkConfig
+from ..config import MultiConfig, NetworkConfig, ZcdConfig
 from ..functions.columns import complex_of
-from .zcd import zcd_trace
+from ..storage import stored
+from .zcd import traced
 
-#: Edges of a graph that is broadcast.
+#: Edges of a graph, or nodes, that are broadcast.
 SMALL_GRAPH = 100_000
+#: Nodes that a step meets at once, about.
+NODES_A_ROW = 1000
 
 
 def combined(column: str, how: str) -> Column:
@@ -18,20 +21,23 @@ def combined(column: str, how: str) -> Column:
     return F.coalesce(F.avg(column) if how == "mean" else F.median(column), F.lit(0.0))
 
 
-def channel_traces(wide: DataFrame, config: MultiConfig) -> DataFrame:
-    """series_id, channel, i, t, x, frequency_hz, rocof_hz_s of the chosen channels of PMU samples; an absent channel is 0."""
+def channel_traces(wide: DataFrame, config: MultiConfig, chunk: int | None = None) -> DataFrame:
+    """series_id, channel, i, t, x, frequency_hz, rocof_hz_s of the chosen channels of PMU samples; an absent channel is 0.
+
+    chunk: samples of a series that are worked on together, if i numbers a series' samples from 0; without it, all of them are.
+    """
     value = lambda c: F.col(c) if c in wide.columns else F.lit(0.0)
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), value(c).cast("double").alias("x")) for c in config.channels)))
     long = wide.select("series_id", "i", F.col("timestamp").alias("t"), pairs.alias("p")).select("series_id", "p.channel", "i", "t", "p.x")
-    keyed = long.withColumn("unit", F.col("series_id")).withColumn("series_id", F.concat_ws("\x1f", "series_id", "channel"))
-    traced = zcd_trace(keyed, config.zcd, keep=("unit", "channel", "x"))
-    return traced.select(F.col("unit").alias("series_id"), "channel", "i", "t", "x", "frequency_hz", "rocof_hz_s")
+    keyed = long.withColumns({"unit": F.col("series_id"), "value": F.col("x")}).withColumn("series_id", F.concat_ws("\x1f", "series_id", "channel"))
+    found = traced(keyed, config.zcd, chunk, ("unit", "channel", "value"))
+    return found.select(F.col("unit").alias("series_id"), "channel", "i", "t", F.col("value").alias("x"), "frequency_hz", "rocof_hz_s")
 
 
-def multi_channel(wide: DataFrame, config: MultiConfig = MultiConfig()) -> DataFrame:
+def multi_channel(wide: DataFrame, config: MultiConfig = MultiConfig(), chunk: int | None = None) -> DataFrame:
     """series_id, i, timestamp_utc, frequency_hz, rocof_hz_s, status_word, phasors of PMU samples: all chosen channels combined."""
     phasors = F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", complex_of(F.col("x")).alias("z")))))
-    grouped = channel_traces(wide, config).groupBy("series_id", "i", F.col("t").alias("timestamp_utc"))
+    grouped = channel_traces(wide, config, chunk).groupBy("series_id", "i", F.col("t").alias("timestamp_utc"))
     return grouped.agg(
         combined("frequency_hz", config.agg).alias("frequency_hz"), combined("rocof_hz_s", config.agg).alias("rocof_hz_s"), F.lit(0).alias("status_word"), phasors.alias("phasors")
     )
@@ -81,25 +87,43 @@ def consensus_step(values: DataFrame, edges: DataFrame, alpha: float = 1.0, by:
     return joined.select(*by_, "node", (F.lit(1.0 - alpha) * F.col("f") + F.lit(float(alpha)) * mixed).alias("f"))
 
 
-def node_traces(samples: DataFrame, config: NetworkConfig) -> DataFrame:
-    """i, t, node, frequency_hz, rocof_hz_s of samples (i, t, node, value): unknown nodes are ignored, absent ones are 0."""
-    times = samples.select("i", "t").distinct()
-    # the configured nodes are a constant of the plan
-    grid = times.withColumn("node", F.explode(F.lit(list(config.nodes)))).join(samples.select("i", "node", "value"), ["i", "node"], "left")
+def with_nodes(times: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each row of times and each of nodes (node): nodes lie in groups by their hash, which a step meets one by one."""
+    names = nodes.select("node").distinct()
+    size = names.count()
+    groups = max(1, -(-size // NODES_A_ROW))
+    grouped = names.groupBy(F.pmod(F.xxhash64("node"), F.lit(groups)).alias("group")).agg(F.collect_list("node").alias("names"))
+    every = times.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = every.join(F.broadcast(grouped) if size <= SMALL_GRAPH else grouped, "group")
+    return met.select(*times.columns, F.explode("names").alias("node"))
+
+
+def node_traces(samples: DataFrame, config: NetworkConfig, chunk: int | None = None) -> DataFrame:
+    """i, t, node, frequency_hz, rocof_hz_s of samples (i, t, node, value): unknown nodes are ignored, absent ones are 0. chunk: as for channels."""
+    nodes = config.nodes if isinstance(config.nodes, DataFrame) else samples.sparkSession.createDataFrame([(x,) for x in config.nodes], "node string")
+    grid = with_nodes(samples.select("i", "t").distinct(), nodes).join(samples.select("i", "node", "value"), ["i", "node"], "left")
     keyed = grid.select(F.col("node").alias("series_id"), "i", "t", F.coalesce("value", F.lit(0.0)).alias("x"))
-    return zcd_trace(keyed, config.zcd).select("i", "t", F.col("series_id").alias("node"), "frequency_hz", "rocof_hz_s")
+    return traced(keyed, config.zcd, chunk).select("i", "t", F.col("series_id").alias("node"), "frequency_hz", "rocof_hz_s")
 
 
-def fused_network(samples: DataFrame, edges: DataFrame, config: NetworkConfig) -> DataFrame:
-    """i, t, local (map of node to frequency and rate), frequency_hz, rocof_hz_s of each step.
+def fused_nodes(samples: DataFrame, edges: DataFrame, config: NetworkConfig, chunk: int | None = None) -> DataFrame:
+    """i, t, node, local_hz, local_rocof_hz_s, frequency_hz, rocof_hz_s: the estimate of each node at each step beside the fused one.
 
     The frequency is the mean after a consensus step if fuse is `consensus`, else the plain mean; the rate is always the mean.
+    No row holds a whole network.
     """
-    local = node_traces(samples, config)
-    values = local.select("i", "t", "node", F.col("frequency_hz").alias("f"))
+    local = stored(node_traces(samples, config, chunk), "node-traces")
+    fused = local.groupBy("i").agg(F.avg("frequency_hz").alias("f"), F.avg("rocof_hz_s").alias("r"))
     if config.fuse == "consensus":
-        values = consensus_step(values, edges, config.alpha, ("i", "t"))
-    headline = values.groupBy("i").agg(F.avg("f").alias("frequency_hz"))
-    entries = F.collect_list(F.struct("node", F.struct("frequency_hz", "rocof_hz_s").alias("v")))
-    nodes = local.groupBy("i", "t").agg(F.map_from_entries(F.array_sort(entries)).alias("local"), F.avg("rocof_hz_s").alias("rocof_hz_s"))
-    return nodes.join(headline, "i").select("i", "t", "local", "frequency_hz", "rocof_hz_s")
+        values = consensus_step(local.select("i", "t", "node", F.col("frequency_hz").alias("f")), edges, config.alpha, ("i", "t"))
+        fused = fused.drop("f").join(values.groupBy("i").agg(F.avg("f").alias("f")), "i")
+    named = local.select("i", "t", "node", F.col("frequency_hz").alias("local_hz"), F.col("rocof_hz_s").alias("local_rocof_hz_s"))
+    return named.join(fused, "i").select(*named.columns, F.col("f").alias("frequency_hz"), F.col("r").alias("rocof_hz_s"))
+
+
+def fused_network(samples: DataFrame, edges: DataFrame, config: NetworkConfig, chunk: int | None = None) -> DataFrame:
+    """i, t, local (map of node to frequency and rate), frequency_hz, rocof_hz_s of each step: fused_nodes with a row a step, for networks that fit one."""
+    value = F.struct(F.col("local_hz").alias("frequency_hz"), F.col("local_rocof_hz_s").alias("rocof_hz_s")).alias("v")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", value))))
+    same = [F.first(c).alias(c) for c in ("frequency_hz", "rocof_hz_s")]
+    return fused_nodes(samples, edges, config, chunk).groupBy("i", "t").agg(entries.alias("local"), *same).select("i", "t", "local", "frequency_hz", "rocof_hz_s")

@@ -9,7 +9,7 @@ from ..config import IpdftConfig, ZcdConfig
 from ..functions.columns import all_finite, angle, complex_of, magnitude
 from ..schema import CHANNELS, PHASORS
 from .ipdft import ipdft_trace
-from .zcd import zcd_trace
+from .zcd import traced
 
 
 def as_samples(signal: DataFrame, channel: str = "V1") -> DataFrame:
@@ -47,9 +47,9 @@ def _estimates(trace: DataFrame, phasors: Column) -> DataFrame:
     )
 
 
-def zcd_estimates(samples: DataFrame, config: ZcdConfig = ZcdConfig()) -> DataFrame:
-    """PMU estimates by zero crossings of one channel, without phasors."""
-    return _estimates(zcd_trace(channel_signal(samples, config.channel, required=True), config), F.create_map().cast(PHASORS))
+def zcd_estimates(samples: DataFrame, config: ZcdConfig = ZcdConfig(), chunk: int | None = None) -> DataFrame:
+    """PMU estimates by zero crossings of one channel, without phasors; by chunks of samples if i numbers a series' samples from 0."""
+    return _estimates(traced(channel_signal(samples, config.channel, required=True), config, chunk), F.create_map().cast(PHASORS))
 
 
 def ipdft_estimates(samples: DataFrame, config: IpdftConfig) -> DataFrame:

@@ -385,6 +385,11 @@ def zcd_trace_chunked(signal: DataFrame, config: ZcdConfig = ZcdConfig(), chunk:
     )
 
 
+def traced(signal: DataFrame, config: ZcdConfig, chunk: int | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The trace by chunks of so many samples, if a chunk is given, else by series."""
+    return zcd_trace(signal, config, keep=keep) if chunk is None else zcd_trace_chunked(signal, config, chunk, keep=keep)
+
+
 def _filled(marked: DataFrame, config: ZcdConfig, keep: tuple[str, ...] = ()) -> DataFrame:
     """The trace of marked samples by the fold, filled forward in each chunk and from chunk to chunk."""
     scratch = Scratch(marked.sparkSession)

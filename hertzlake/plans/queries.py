@@ -511,9 +511,13 @@ def _multi_sql(agg: str) -> str:
     {R(f'{agg}(rocof_hz_s)', 3)} AS rocof_hz_s, 0::INTEGER AS status_word FROM trace GROUP BY i"""
 
 
+#: Samples of a channel or node that a task works on together.
+CHUNK = 1 << 20
+
+
 def _multi(spark: SparkSession, folder: str, agg: str) -> DataFrame:
     wide = pmu.pivoted(event_signal(spark, folder), _event_types(spark, folder))
-    found = fusion.multi_channel(wide, MultiConfig(agg=agg))
+    found = fusion.multi_channel(wide, MultiConfig(agg=agg), CHUNK)
     return _out(found, "series_id", "i", "timestamp_utc", "frequency_hz", "rocof_hz_s", "status_word", rocof_hz_s=3)
 
 
@@ -532,7 +536,7 @@ def multi_mean(spark, folder):
 )
 def multi_channels(spark, folder):
     wide = pmu.pivoted(event_signal(spark, folder), _event_types(spark, folder))
-    return _out(fusion.channel_traces(wide, MultiConfig()), "series_id", "channel", "i", "x", "frequency_hz")
+    return _out(fusion.channel_traces(wide, MultiConfig(), CHUNK), "series_id", "channel", "i", "x", "frequency_hz")
 
 
 # networks
@@ -578,33 +582,22 @@ def consensus_step(spark, folder):
     return _out(fusion.consensus_step(_nation_values(spark, folder), _ring(spark, folder), 0.5), "node", "f")
 
 
-#: Nodes of a network, which its configuration lists on the driver.
-MOST_NODES = 100_000
-
-
-def _nodes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
-    """All event types as nodes, in a ring of their order."""
-    types = read_table(spark, folder, "events").select("event_type").filter("event_type is not null").distinct()
-    names = tuple(x[0] for x in types.orderBy("event_type").limit(MOST_NODES + 1).collect())
-    if len(names) > MOST_NODES:
-        raise ValueError(f"a network of more than {MOST_NODES} nodes")
-    ring = [(a, b) for k, a in enumerate(names) for b in (names[(k + 1) % len(names)], names[k - 1])]
+def _nodes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples of all event types as nodes, the edges of a ring of their order, the nodes."""
+    types = read_table(spark, folder, "events").filter("event_type is not null").select(F.col("event_type").alias("node")).distinct()
+    placed = signals.numbered(types, "node")
+    size = placed.count()
+    after = placed.select(F.col("node").alias("dst"), F.pmod(F.col("k") - 1, F.lit(max(1, size))).alias("k"))
+    ring = placed.join(after, "k").select(F.col("node").alias("src"), "dst")
     samples = event_signal(spark, folder).select("i", "t", F.col("series_id").alias("node"), F.col("x").alias("value"))
-    return samples, spark.createDataFrame(ring, "src string, dst string"), names
-
-
-FUSED = "i long, t double, node string, local_hz double, local_rocof_hz_s double, frequency_hz double, rocof_hz_s double"
+    return samples, ring.union(ring.select("dst", "src")), placed.select("node")
 
 
 def _fused(spark: SparkSession, folder: str, **config) -> DataFrame:
     """A row for each step and node: its own estimate and the fused one."""
-    samples, edges, names = _nodes(spark, folder)
-    if not names:
-        return spark.createDataFrame([], FUSED)
-    found = fusion.fused_network(samples, edges, NetworkConfig(names, **config))
-    flat = found.select("i", "t", F.explode("local").alias("node", "v"), "frequency_hz", "rocof_hz_s")
-    flat = flat.withColumns({"local_hz": F.col("v.frequency_hz"), "local_rocof_hz_s": F.col("v.rocof_hz_s")})
-    return _out(flat, "i", "t", "node", "local_hz", "local_rocof_hz_s", "frequency_hz", "rocof_hz_s", rocof_hz_s=3, local_rocof_hz_s=3)
+    samples, edges, nodes = _nodes(spark, folder)
+    found = fusion.fused_nodes(samples, edges, NetworkConfig(nodes, **config), CHUNK)
+    return _out(found, "i", "t", "node", "local_hz", "local_rocof_hz_s", "frequency_hz", "rocof_hz_s", rocof_hz_s=3, local_rocof_hz_s=3)
 
 
 _NODE_TYPES = "SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)"
@@ -673,7 +666,7 @@ def pmu_status_flags(spark, folder):
 
 @query(f"WITH {_windowed(EVENTS_SQL)} SELECT {TRACE_SQL.replace('AS t,', 'AS timestamp_utc,')}, 0::INTEGER AS status_word FROM trace")
 def pmu_zcd_estimates(spark, folder):
-    found = pmu.zcd_estimates(pmu.as_samples(event_signal(spark, folder)))
+    found = pmu.zcd_estimates(pmu.as_samples(event_signal(spark, folder)), chunk=CHUNK)
     return _out(found, "series_id", "i", "timestamp_utc", "frequency_hz", "rocof_hz_s", "status_word", rocof_hz_s=3)
 
 

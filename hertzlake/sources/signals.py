@@ -139,6 +139,16 @@ def from_table(rows: DataFrame, series: str, order: str, value: str, step: float
     return numbered.select("series_id", "i", (F.col("i") * F.lit(float(step))).alias("t"), "x")
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """order and k, the place from 0 of each of its values, which are unique; sorted by ranges, with a row for each range."""
+    ordered = rows.select(order).repartitionByRange(order).sortWithinPartitions(order)
+    placed = stored(ordered.select(order, F.monotonically_increasing_id().alias("place")).withColumn("part", F.shiftright("place", 33)), "places")
+    parts = placed.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("part", (F.coalesce(F.sum("n").over(past), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.join(shifts, "part").select(order, (F.col("place") + F.col("shift")).alias("k"))
+
+
 def from_csv(spark: SparkSession, path: str, mapping: dict[str, str], series_id: str = "csv") -> DataFrame:
     """series_id, i, t, x of CSV files with a header; mapping names their columns for i, t and x."""
     rows = spark.read.option("header", True).csv(path)
