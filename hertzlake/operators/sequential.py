@@ -37,11 +37,12 @@ def srf_pll(config: LoopConfig) -> tuple[State, Step]:
     """A phase-locked loop in the synchronous frame. State: the integrator's two numbers, angle, integral, time and frequency before (NaN: none).
 
     The integrator makes the quadrature; the part of both outputs across the loop's angle, over their magnitude, is the error, and
-    proportional and integral parts of it make the frequency.
+    proportional and integral parts of it make the frequency. On samples that are no tone the loop can be chaotic, so that a last bit grows to hertz within
+    some ten thousand samples: the operations are those of the SQL twin, one by one.
     """
     a, b, g, _ = (x.tolist() if isinstance(x, np.ndarray) else x for x in sogi(config))
     (a11, a12), (a21, a22) = a
-    nominal, period = 2 * math.pi * config.nominal_hz, 1.0 / config.fs
+    nominal, period, gain = 2 * math.pi * config.nominal_hz, 1.0 / config.fs, config.ki / config.fs
 
     def step(state, times, values):
         s1, s2, angle, integral, t0, f0 = state
@@ -51,10 +52,10 @@ def srf_pll(config: LoopConfig) -> tuple[State, Step]:
             if math.isfinite(v):
                 x1, x2 = s1 + g[0] * v, s2 + g[1] * v
                 s1, s2 = a11 * s1 + a12 * s2 + b[0] * v, a21 * s1 + a22 * s2 + b[1] * v
-                size = math.hypot(x1, x2)
+                size = math.sqrt(x1 * x1 + x2 * x2)
                 if size > 0:
                     error = (x2 * math.cos(angle) - x1 * math.sin(angle)) / size
-            integral += config.ki * period * error
+            integral += gain * error
             omega = nominal + config.kp * error + integral
             angle = _wrapped(angle + omega * period)
             f = omega / (2 * math.pi)
