@@ -77,11 +77,15 @@ def heatmap(results: DataFrame, rows: str, columns: str, value: str, names: list
 
 
 def pareto_front(results: DataFrame, cost: str, error: str) -> DataFrame:
-    """The results that none beats in both columns: one pass per distinct cost, whose count is small in a report."""
-    best = results.groupBy(cost).agg(F.min(error).alias("best"))
-    before = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("earlier", F.min("best").over(before)).filter("earlier is null or best < earlier")
-    return results.join(front.select(cost, F.col("best").alias(error)), [cost, error])
+    """The results that none beats in both columns: for a report, whose rows one task can sort. One without a cost or an error beats none and is beaten by none.
+
+    Each result is read once and meets the others in windows: sums in another order would give another last bit, and equal results would not be equal.
+    """
+    known = F.col(cost).isNotNull() & F.col(error).isNotNull()
+    upto = lambda value, by: F.min(F.when(known, F.col(value))).over(Window.orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = results.withColumns({"__error": upto(error, cost), "__cost": upto(cost, error)})
+    front = both.filter(~known | ((F.col(error) == F.col("__error")) & (F.col(cost) == F.col("__cost"))))
+    return front.drop("__error", "__cost")
 
 
 def error_histogram(errors: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -1,10 +1,13 @@
 """Operators against their SQL twins on tables of their own."""
 
+import random
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 from test_queries import database
 
-from hertzlake.operators import sequential
+from hertzlake.operators import products, sequential
 from hertzlake.plans import queries
 
 
@@ -23,3 +26,10 @@ def test_a_loop_keeps_every_bit(tmp_path):
     start, step = sequential.srf_pll(queries.LOOP)
     found = step(start, signal.t.to_numpy(), signal.x.to_numpy())[1]
     assert found == db.sql(sql).df().frequency_hz.tolist()
+
+
+def test_a_front_of_results_that_are_not_twice_the_same(spark):
+    last_bit = F.udf(lambda: random.random() * 1e-9, "double").asNondeterministic()
+    rows = [("a", 1.0, 3.0), ("b", 2.0, 2.0), ("c", 3.0, 2.5), ("d", 3.0, None), ("e", None, 0.0)]
+    results = spark.createDataFrame(rows, "name string, cost double, error double").withColumn("cost", F.col("cost") + last_bit())
+    assert sorted(r.name for r in products.pareto_front(results, "cost", "error").collect()) == ["a", "b", "d", "e"]
