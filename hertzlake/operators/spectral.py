@@ -1,7 +1,7 @@
 """Further spectral estimators by moving sums: Goertzel at chosen frequencies, the sliding DFT's phase, ensembles.
 
-A frame's sums over x cos and x sin at a frequency are a window over a chunk of a series' samples, which those of a frame
-before it visit; which frequencies is a constant of the plan. Until a frame is full, the nominal frequency holds.
+A frame's sums over x cos and x sin at a frequency are taken over a chunk of a series' samples, which those of a frame
+before it visit: at one frequency by a window, at many in numpy. Which frequencies is a constant of the plan. Until a frame is full, the nominal frequency holds.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from ..storage import Scratch
 from .scan import CHUNK, affine_states, carried, chunk_of, composed_powers, rated, started, with_visitors
 
 
+#: Frames that are summed at a time.
+PIECE = 4096
+
+
 def _order():
     return Window.partitionBy("series_id", "chunk").orderBy("i")
 
@@ -35,14 +39,44 @@ def _estimated(found: DataFrame, config: IpdftConfig, chunk: int) -> DataFrame:
     return rated(own.select("series_id", "i", "t", f.alias("frequency_hz")), chunk)
 
 
+def moving_sums(x: np.ndarray, n: int) -> np.ndarray:
+    """Sums over each n values that follow each other in the last axis, by doubling: no value leaves a trace in sums without it."""
+    found, at, power, width = None, 0, x, 1
+    while True:
+        if n & width:
+            part = power[..., at : at + x.shape[-1] - n + 1]
+            found, at = part if found is None else found + part, at + width
+        if 2 * width > n:
+            return found
+        power, width = power[..., :-width] + power[..., width:], 2 * width
+
+
 def goertzel_trace(signal: DataFrame, config: IpdftConfig, frequencies: tuple[float, ...], chunk: int = CHUNK) -> DataFrame:
-    """series_id, i, t, frequency_hz, rocof_hz_s: of the given frequencies the one with the most power in the frame; of equal ones the first."""
-    powers, cells = with_visitors(signal.select("series_id", "i", "t", "x"), chunk, config.frame_len), []
-    for k, frequency in enumerate(frequencies):
-        c, s = _frame_sums(F.lit(2 * math.pi * frequency / config.fs) * F.col("i"), config.frame_len)
-        powers = powers.withColumn(f"p{k}", c * c + s * s)
-        cells.append(F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k"), F.lit(float(frequency)).alias("f")))
-    return _estimated(powers.select("series_id", "chunk", "i", "t", F.array_max(F.array(*cells))["f"].alias("f")), config, chunk)
+    """series_id, i, t, frequency_hz, rocof_hz_s: of the given frequencies the one with the most power in the frame; of equal ones the first.
+
+    A null sample counts as 0. A chunk's frames are summed by doubling, whose work grows with the logarithm of their length.
+    """
+    n, turns = config.frame_len, np.array([2 * math.pi * f / config.fs for f in frequencies])[:, None]
+    grid = np.array(frequencies, float)
+
+    def strongest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        i, x = rows["i"].to_numpy(), rows["x"].mask(rows["gone"], 0.0).to_numpy(float)
+        f = np.full(len(rows), config.nominal_hz)
+        for low in range(0, len(x) - n + 1, PIECE):
+            at = slice(low, low + PIECE + n - 1)
+            turn = turns * i[at]
+            power = moving_sums(x[at] * np.cos(turn), n) ** 2 + moving_sums(x[at] * np.sin(turn), n) ** 2
+            f[low + n - 1 : low + n - 1 + power.shape[1]] = grid[power.argmax(0)]
+        f[i < n - 1] = config.nominal_hz
+        t = rows["t"].to_numpy(float)
+        dt, df = np.diff(t, prepend=np.nan), np.diff(f, prepend=np.nan)
+        rate = np.where(dt > 0, df / np.where(dt > 0, dt, 1), 0.0)
+        out = pd.DataFrame({"series_id": rows["series_id"], "i": i, "t": t, "frequency_hz": f, "rocof_hz_s": rate})
+        return out[i >= key[1] * chunk]
+
+    near = with_visitors(signal.select("series_id", "i", "t", "x", F.col("x").isNull().alias("gone")), chunk, n)
+    return near.groupBy("series_id", "chunk").applyInPandas(strongest, "series_id string, i long, t double, frequency_hz double, rocof_hz_s double")
 
 
 def sliding_dft_trace(signal: DataFrame, config: IpdftConfig, chunk: int = CHUNK) -> DataFrame:
