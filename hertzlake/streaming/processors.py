@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sequential import OUT, State, Step
+from .stateful import PIECE, sorted_columns
 
 #: The state store that typed state needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,17 +34,18 @@ class SequentialProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else self.start
-        own = pd.concat(list(rows)).sort_values("i")
-        marks = own["mark"].to_numpy(object)
-        ends, resets = marks == "end", marks == "reset"
-        # a run begins at a reset and after an end
-        cuts = sorted({0, *np.flatnonzero(resets).tolist(), *(np.flatnonzero(ends) + 1).tolist(), len(own)})
+        # marks as numbers: 1 is a reset, 2 an end
+        taken = lambda frame: frame.assign(mark=(frame["mark"] == "reset") + 2 * (frame["mark"] == "end"))
+        own = sorted_columns(rows, {"i": "i8", "t": "f8", "x": "f8", "mark": "i1"}, taken)
+        ends, resets = own["mark"] == 2, own["mark"] == 1
+        # a run begins at a reset and after an end; a long one goes on from piece to piece
+        cuts = sorted({*range(0, len(ends), PIECE), *np.flatnonzero(resets).tolist(), *(np.flatnonzero(ends) + 1).tolist(), len(ends)})
         for low, high in zip(cuts, cuts[1:]):
-            part = own.iloc[low:high]
             if resets[low] or low and ends[low - 1]:
                 state = self.start
-            state, f, rate = self.step(state, part["t"].to_numpy(float), part["x"].to_numpy(float))
-            yield pd.DataFrame({"series_id": part["series_id"], "i": part["i"], "t": part["t"], "frequency_hz": f, "rocof_hz_s": rate})
+            i, t, x = (own[c][low:high] for c in ("i", "t", "x"))
+            state, f, rate = self.step(state, t, x)
+            yield pd.DataFrame({"series_id": key[0], "i": i, "t": t, "frequency_hz": f, "rocof_hz_s": rate})
         if ends[-1]:
             self.state.clear()
         else:
