@@ -1,58 +1,71 @@
 """Interpolated DFT: peak of the spectrum of the last frame, refined by a parabola through its neighbours.
 
-The plan in SQL keeps a moving sum for each frequency bin. The Arrow form transforms all frames of a chunk
-of samples at once; chunks overlap by a frame, so that one long series is worked on in parallel.
+All frames of a chunk of samples are transformed at once; chunks overlap by a frame, so that one long series is worked on in
+parallel. The spectra are a row a sample, and their peaks columns; the trace finds both in a task and hands on no spectrum.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IpdftConfig
+from .scan import CHUNK, rated, with_visitors
 
+#: Magnitudes of a chunk of spectra.
+MAGNITUDES = 1 << 20
 
-def spectrum(signal: DataFrame, config: IpdftConfig) -> DataFrame:
+
+def spectra(signal: DataFrame, config: IpdftConfig, chunk: int | None = None) -> DataFrame:
+    """series_id, i, t, m of each sample: the magnitudes of the frame that ends there, in bins below half the frame length; null until a frame is full.
+
+    A null sample counts as 0; in a frame of nulls alone the magnitudes are null. A chunk, if not given, has about MAGNITUDES in a task.
+    """
+    n, half = config.frame_len, config.frame_len // 2
+    chunk = chunk or max(n, min(CHUNK, MAGNITUDES // half))
+
+    def transformed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        gone, m = rows["gone"].to_numpy(bool), [None] * min(n - 1, len(rows))
+        if len(rows) >= n:
+            frames, unknown = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (rows["x"].mask(gone, 0.0).to_numpy(float), gone))
+            for at in range(0, len(frames), 4096):
+                m.extend(np.abs(np.fft.rfft(frames[at : at + 4096], axis=1))[:, :half])
+            for k in np.flatnonzero(unknown.all(1)).tolist() if gone.any() else ():
+                m[k + n - 1] = [None] * half
+        own = (rows["i"] >= key[1] * chunk).to_numpy()
+        return pd.DataFrame({"series_id": rows["series_id"], "i": rows["i"], "t": rows["t"], "m": pd.Series(m, rows.index, object)})[own]
+
+    near = with_visitors(signal.select("series_id", "i", "t", "x", F.col("x").isNull().alias("gone")), chunk, n)
+    return near.groupBy("series_id", "chunk").applyInPandas(transformed, "series_id string, i long, t double, m array<double>")
+
+
+def spectrum(signal: DataFrame, config: IpdftConfig, chunk: int | None = None) -> DataFrame:
     """series_id, i, k, mag of each full frame, which ends at sample i; bins below half the frame length."""
-    n = config.frame_len
-    bins = signal.sparkSession.range(n // 2).select(F.col("id").alias("k"))
-    turn = F.lit(2 * math.pi / n) * ((F.col("k") * F.col("i")) % F.lit(n))
-    # n // 2 bins are a constant of the plan, not of the data
-    parts = signal.select("series_id", "i", "x").crossJoin(F.broadcast(bins)).select("series_id", "i", "k", (F.col("x") * F.cos(turn)).alias("c"), (F.col("x") * F.sin(turn)).alias("s"))
-    frame = Window.partitionBy("series_id", "k").orderBy("i").rowsBetween(-(n - 1), 0)
-    summed = parts.select("series_id", "i", "k", F.hypot(F.sum("c").over(frame), F.sum("s").over(frame)).alias("mag"))
-    return summed.filter(F.col("i") >= n - 1)
+    bins = spectra(signal, config, chunk).select("series_id", "i", F.posexplode("m").alias("k", "mag"))
+    return bins.withColumn("k", F.col("k").cast("long"))
 
 
-def peaks(bins: DataFrame, config: IpdftConfig) -> DataFrame:
-    """series_id, i, k, delta, frequency_hz of each frame of a spectrum; of equal peaks the lowest bin."""
+def peaks(found: DataFrame, config: IpdftConfig) -> DataFrame:
+    """series_id, i, t, k, delta, frequency_hz of each of the spectra (series_id, i, t, m); of equal peaks the lowest bin. Null where there is no spectrum."""
     half = config.frame_len // 2
-    frame = bins.groupBy("series_id", "i").agg(F.array_sort(F.collect_list(F.struct("k", "mag"))).alias("m")).withColumn("m", F.col("m.mag"))
-    frame = frame.withColumn("k", (F.array_position("m", F.array_max("m")) - 1).cast("int"))
+    frame = found.withColumn("k", (F.array_position("m", F.array_max("m")) - 1).cast("int"))
     left, middle, right = (F.get("m", F.col("k") + d) for d in (-1, 0, 1))
     bend = left - F.lit(2.0) * middle + right
     delta = F.when((F.col("k") >= 1) & (F.col("k") < half - 1) & (bend != 0), F.lit(0.5) * (left - right) / F.nullif(bend, F.lit(0.0))).otherwise(0.0)
     frame = frame.withColumn("delta", delta)
     width = config.fs / config.frame_len
-    return frame.select("series_id", "i", F.col("k").cast("long").alias("k"), "delta", ((F.col("k") + F.col("delta")) * F.lit(width)).alias("frequency_hz"))
-
-
-def with_rate(estimates: DataFrame) -> DataFrame:
-    """series_id, i, t, frequency_hz with rocof_hz_s, the change since the sample before; 0 at the first, or if time doesn't grow."""
-    order = Window.partitionBy("series_id").orderBy("i")
-    dt, df = F.col("t") - F.lag("t").over(order), F.col("frequency_hz") - F.lag("frequency_hz").over(order)
-    return estimates.select("series_id", "i", "t", "frequency_hz", F.when(dt > 0, df / F.nullif(dt, F.lit(0.0))).otherwise(0.0).alias("rocof_hz_s"))
+    return frame.select("series_id", "i", "t", F.col("k").cast("long").alias("k"), "delta", ((F.col("k") + F.col("delta")) * F.lit(width)).alias("frequency_hz"))
 
 
-def ipdft_trace_sql(signal: DataFrame, config: IpdftConfig) -> DataFrame:
-    """ipdft_trace by moving sums alone."""
-    found = peaks(spectrum(signal, config), config).select("series_id", "i", "frequency_hz")
-    filled = signal.select("series_id", "i", "t").join(found, ["series_id", "i"], "left")
-    return with_rate(filled.withColumn("frequency_hz", F.coalesce("frequency_hz", F.lit(config.nominal_hz))))
+def ipdft_trace_sql(signal: DataFrame, config: IpdftConfig, chunk: int | None = None) -> DataFrame:
+    """ipdft_trace with peak and rate as columns of the spectra."""
+    found = peaks(spectra(signal, config, chunk), config).withColumn("frequency_hz", F.coalesce("frequency_hz", F.lit(config.nominal_hz)))
+    return rated(found.select("series_id", "i", "t", "frequency_hz"))
 
 
 def frame_frequencies(x: np.ndarray, config: IpdftConfig, refined: bool = True) -> np.ndarray:

@@ -259,8 +259,8 @@ def ipdft_spectrum(spark, folder):
 
 @query(f"WITH {_peaks(EVENTS_SQL, 64, 5000.0)} SELECT series_id::VARCHAR AS series_id, i::BIGINT AS i, k::BIGINT AS k, {R('delta')} AS delta, {R('(k + delta) * (5000.0::DOUBLE / 64)', 4)} AS frequency_hz FROM peak")
 def ipdft_peak(spark, folder):
-    signal = event_signal(spark, folder)
-    return _out(ipdft.peaks(ipdft.spectrum(signal, FRAME), FRAME), "series_id", "i", "k", "delta", "frequency_hz", frequency_hz=4)
+    found = ipdft.peaks(ipdft.spectra(event_signal(spark, folder), FRAME), FRAME).filter(F.col("i") >= FRAME.frame_len - 1)
+    return _out(found, "series_id", "i", "k", "delta", "frequency_hz", frequency_hz=4)
 
 
 _IPDFT_SQL = f"series_id::VARCHAR AS series_id, i::BIGINT AS i, {R('t')} AS t, {R('frequency_hz', 4)} AS frequency_hz, {R('rocof_hz_s', 0)} AS rocof_hz_s"
